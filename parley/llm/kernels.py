@@ -6,8 +6,12 @@ and its longest text, not the partition.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_parley_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="parley-"), "parley.zip")
+    with zipfile.ZipFile(path, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._parley_shipped = True
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with batches of few rows."""
     small_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
