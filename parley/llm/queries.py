@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, packing, quality
+from parley.llm import bpe, neardup, packing, quality
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 85 per cent of three-word shingles."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in sequences of 4096 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
@@ -33,7 +38,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe)}
+    return {f.__name__: f for f in (op4_near_duplicates, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
