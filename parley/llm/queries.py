@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, neardup, packing, quality
+from parley.llm import bpe, langid, neardup, packing, quality, toxicity
+from parley.llm.kernels import crc_fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,11 +18,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned where crc32 of the id is not 2 modulo 4."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(crc_fold("doc_id", 4) != 2))
+    return langid.identify(docs, model).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 85 per cent of three-word shingles."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned where crc32 of the id is not 0 modulo 5."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = crc_fold("doc_id", 5) != 0
+    model = toxicity.fit(docs.where(learned), _table(spark, sf_dir, "labels").where(learned))
+    return toxicity.score_toxicity(docs, model).select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in sequences of 4096 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
@@ -38,7 +54,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_near_duplicates, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
