@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, langid, mtree, neardup, packing, quality, toxicity
+from parley.llm import bpe, htmltext, langid, mtree, neardup, packing, quality, toxicity
 from parley.llm.kernels import crc_fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -58,8 +58,13 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe, op9_exact_top_k)}
+    return {f.__name__: f for f in (op1_language_id, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe, op9_exact_top_k, op10_html_text)}
 
 
 OP9_SQL = """
