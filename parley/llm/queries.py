@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, htmltext, langid, mtree, neardup, packing, quality, toxicity
+from parley.llm import bpe, htmltext, langid, linededup, mtree, neardup, packing, quality, toxicity
 from parley.llm.kernels import crc_fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines whose template recurs across documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_recurring_lines(docs)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 85 per cent of three-word shingles."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
@@ -64,7 +70,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe, op9_exact_top_k, op10_html_text)}
+    return {f.__name__: f for f in (op1_language_id, op3_line_templates, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe, op9_exact_top_k, op10_html_text)}
 
 
 OP9_SQL = """
@@ -76,5 +82,28 @@ OP9_SQL = """
   SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+OP3_SQL = r"""
+  WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+       line AS (SELECT doc_id, generate_subscripts(l, 1) AS place, unnest(l) AS line FROM raw),
+       tok AS (SELECT doc_id, place, line, string_split(trim(regexp_replace(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[ \t-\r]+', ' ', 'g')), ' ') AS t FROM line),
+       m AS (SELECT doc_id, place, line, array_to_string(t, ' ') AS masked, len(t) AS size, [t[1], t[2], t[3]] AS lead, t FROM tok),
+       e AS (SELECT masked, any_value(size) AS size, any_value(lead) AS lead, any_value(t) AS t, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM m WHERE masked <> '' GROUP BY masked),
+       wide AS (SELECT size, lead FROM e WHERE size >= 6 GROUP BY ALL HAVING sum(docs) >= 10 AND count(*) > 1),
+       mem AS (SELECT e.* FROM e JOIN wide USING (size, lead)),
+       votes AS (SELECT size, lead, generate_subscripts(t, 1) AS pos, unnest(t) AS token, docs FROM mem),
+       voted AS (SELECT size, lead, pos, token, sum(docs) AS n FROM votes GROUP BY ALL),
+       common AS (SELECT size, lead, pos, token FROM voted QUALIFY row_number() OVER (PARTITION BY size, lead, pos ORDER BY n DESC, token) = 1),
+       shape AS (SELECT size, lead, list(token ORDER BY pos) AS shape FROM common GROUP BY ALL),
+       near AS (SELECT mem.*, len(list_filter(list_zip(t, shape), lambda x: x[1] = x[2])) AS same FROM mem JOIN shape USING (size, lead)),
+       close AS (SELECT * FROM near WHERE 10 * same >= 7 * size),
+       total AS (SELECT size, lead, min(first_doc) AS leaf_first FROM close GROUP BY ALL HAVING sum(docs) >= 10),
+       rec AS (SELECT masked, min(first_doc) AS first_doc FROM (
+                 SELECT masked, first_doc FROM e WHERE docs >= 10
+                 UNION ALL SELECT masked, leaf_first FROM close JOIN total USING (size, lead)) GROUP BY masked)
+  SELECT doc_id, string_agg(CASE WHEN rec.masked IS NULL OR m.doc_id <= rec.first_doc THEN line END, chr(10) ORDER BY place) AS text,
+         count(*)::INTEGER AS n_lines, count(*) FILTER (rec.masked IS NOT NULL AND m.doc_id > rec.first_doc)::INTEGER AS n_dropped
+  FROM m LEFT JOIN rec USING (masked) GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_top_k": OP9_SQL}
+    return {"op3_line_templates": OP3_SQL, "op9_exact_top_k": OP9_SQL}
