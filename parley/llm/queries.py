@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, htmltext, langid, linededup, mtree, neardup, packing, quality, toxicity
+from parley.llm import bpe, htmltext, langid, linededup, mtree, neardup, packing, quality, secretscan, toxicity
 from parley.llm.kernels import crc_fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate string of every document with the verdict on it."""
+    return secretscan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the lines whose template recurs across documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,7 +75,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_line_templates, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe, op9_exact_top_k, op10_html_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_line_templates, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe, op9_exact_top_k, op10_html_text)}
 
 
 OP9_SQL = """
