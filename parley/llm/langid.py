@@ -146,27 +146,31 @@ def fit(labelled: DataFrame, order: int = ORDER, texts_per_language: int = TEXTS
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred and score of every whole text.
+    """All columns of docs with lang_pred and score of every whole text.
 
     lang_pred is the language under which the text's code is shortest, ties to the first by name;
     score is its share of the probability of all languages. A text that is null or has no letter,
-    and any text without a model, is ``und`` with score 0. Repeated ids give a row each; an empty
-    table gives no rows; other columns are not read.
+    and any text without a model, is ``und`` with score 0. Columns that docs has already under the
+    names lang_pred or score are replaced. Repeated ids give a row each; an empty table gives no rows.
     """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for block in K.blocks(batch):
-                lettered = np.array([any(map(str.isalpha, text)) for text in K.fill(block.column(1)).to_pylist()], bool)
-                names, score = np.full(block.num_rows, UNDETERMINED, object), np.zeros(block.num_rows)
+                texts = block.column("text")
+                lettered = np.array([any(map(str.isalpha, text)) for text in K.fill(texts).to_pylist()], bool)
+                guess, score = np.full(block.num_rows, UNDETERMINED, object), np.zeros(block.num_rows)
                 if known is not None:
-                    bits = known.score(block.column(1))
+                    bits = known.score(texts)
                     best = bits.argmin(1)
-                    names[lettered] = np.array(known.languages, object)[best[lettered]]
+                    guess[lettered] = np.array(known.languages, object)[best[lettered]]
                     gap = np.minimum(bits - bits.min(1, keepdims=True), 1000)
                     score[lettered] = (1 / np.exp2(-gap).sum(1))[lettered]
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(guess, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return K.map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return K.map_batches(docs, run, f"{schema}, lang_pred string, score double")

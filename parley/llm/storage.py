@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a table of ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 SETTING = "spark.checkpoint.dir"
 
 
@@ -25,3 +28,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/parley/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A one-column table of ids, marked for broadcast if it is counted to be small; else it is joined by a shuffle."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.count() <= most else ids
