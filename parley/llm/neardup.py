@@ -251,8 +251,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     K.ship(docs.sparkSession)
     sort = dealt.repartition(*_CELL).sortWithinPartitions(*_CELL)
     live = storage.written(sort.mapInArrow(_live_cells, sort.schema))
-    wanted = live.select("doc_id").distinct()
-    sets = storage.written(sets_of(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "print1"]))
+    wanted = storage.broadcast_if_small(live.select("doc_id").distinct())
+    sets = sets_of(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "print1"])
     full = live.join(sets, ["doc_id", "print1"]).repartition(*_CELL).sortWithinPartitions(*_CELL)
     links = full.mapInArrow(_links(percent), "a long, b long")
     # Rows of one id are one document: a node is linked with the ids of other rows of its documents.
