@@ -5,34 +5,461 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.operators import speakers
-from parley.sources import carriers
+from parley.functions import scalars as S
+from parley.functions import text as T
+from parley.operators import edits, glossary, intervals, maintenance, reports, search, signal, speakers, transcripts, vectors
+from parley.sources import carriers as C
+from parley.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def _speaker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speakers.speaker_stats(carriers.segments(spark, sf_dir))
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(function: Query) -> Query:
+        _QUERIES[name] = function
+        if sql is not None:
+            _SQL[name] = sql
+        return function
 
+    return keep
 
-_QUERIES: dict[str, Query] = {"a1_speaker_stats": _speaker_stats}
 
-_SQL: dict[str, str] = {
-    "a1_speaker_stats": f"""
-        WITH seg AS ({carriers.SEGMENTS_SQL}), per AS (
-          SELECT meeting_id, speaker_id, count(*) AS replies, sum(greatest(end_ms - start_ms, 0))::BIGINT AS speaking_ms,
-                 arg_min(channel, idx) AS channel
-          FROM seg WHERE speaker_id <> '' GROUP BY ALL)
-        SELECT *, CASE WHEN sum(speaking_ms) OVER w = 0 THEN 0.0 ELSE speaking_ms::DOUBLE / (sum(speaking_ms) OVER w)::DOUBLE END AS share,
-               row_number() OVER (PARTITION BY meeting_id ORDER BY speaking_ms DESC, speaker_id) - 1 AS position
-        FROM per WINDOW w AS (PARTITION BY meeting_id)""",
-}
+#: Words of a text as the comparison takes them (X1); DuckDB and Spark agree on texts without combining marks.
+_WORDS = r"list_filter(list_transform(string_split_regex(text, '\s+'), lambda w: replace(lower(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')), 'ё', 'е')), lambda w: w <> '')"
+_TOKENS = r"list_filter(string_split_regex({0}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+# -- Scans, projections and filters -------------------------------------------------------------
+
+
+@_query("s2_list_chunks", f"SELECT session_id, channel, seq, ts_ms, row_number() OVER (PARTITION BY session_id ORDER BY channel, seq, ts_ms, duration_ms) AS position FROM ({C.CHUNKS_SQL}) WHERE session_id < 500")
+def _list_chunks(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("session_id").orderBy("channel", "seq", "ts_ms", "duration_ms")
+    return C.chunks(spark, sf_dir).where("session_id < 500").select("session_id", "channel", "seq", "ts_ms", F.row_number().over(order).cast("long").alias("position"))
+
+
+@_query("s3_captions", f"SELECT session_id, id, phase, row_number() OVER (PARTITION BY session_id ORDER BY created_at_ms, id) AS position FROM ({C.CAPTIONS_SQL})")
+def _captions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("session_id").orderBy("created_at_ms", "id")
+    return C.captions(spark, sf_dir).select("session_id", "id", "phase", F.row_number().over(order).cast("long").alias("position"))
+
+
+@_query("s7_segments_with_edits", f"""
+    WITH e AS ({C.EDITS_SQL}), w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY meeting_id, channel, start_ms, end_ms ORDER BY created_at_ms DESC, id DESC) = 1)
+    SELECT s.meeting_id, s.idx, coalesce(w.edited_text, s.text) AS text, s.text AS original_text, w.id IS NOT NULL AS text_edited
+    FROM ({C.SEGMENTS_SQL}) s LEFT JOIN w USING (meeting_id, channel, start_ms, end_ms)""")
+def _overlaid(spark, sf_dir):
+    return edits.overlaid(C.segments(spark, sf_dir), C.edits(spark, sf_dir)).select("meeting_id", "idx", "text", "original_text", "text_edited")
+
+
+@_query("f3_active_terms", f"SELECT id, surface, scope FROM ({C.TERMS_SQL}) WHERE scope = 'global' OR meeting_id = 4")
+def _active_terms(spark, sf_dir):
+    return glossary.active_terms(C.terms(spark, sf_dir), 4).select("id", "surface", "scope")
+
+
+@_query("f8_matching_terms", f"SELECT id, surface FROM ({C.TERMS_SQL}) WHERE language = 'en' AND (contains(lower(surface), 'ring') OR contains(lower(canonical), 'ring'))")
+def _matching_terms(spark, sf_dir):
+    return glossary.matching_terms(C.terms(spark, sf_dir), " Ring ", language="en").select("id", "surface")
+
+
+@_query("f9_audio_range", f"SELECT session_id, channel, seq, duration_ms FROM ({C.CHUNKS_SQL}) WHERE ts_ms < 2100 AND ts_ms + duration_ms > 900")
+def _audio_range(spark, sf_dir):
+    return C.chunks(spark, sf_dir).where((F.col("ts_ms") < 2100) & (F.col("ts_ms") + F.col("duration_ms") > 900)).select("session_id", "channel", "seq", "duration_ms")
+
+
+@_query("f12_stale_artifacts", f"""
+    SELECT a.id, a.meeting_id, coalesce(a.source_version <> v.latest, false) AS stale FROM ({C.ARTIFACTS_SQL}) a
+    LEFT JOIN (SELECT meeting_id, max(version) AS latest FROM ({C.VERSIONS_SQL}) GROUP BY 1) v USING (meeting_id)""")
+def _stale(spark, sf_dir):
+    return maintenance.stale(C.artifacts(spark, sf_dir), C.versions(spark, sf_dir)).select("id", "meeting_id", "stale")
+
+
+# -- Joins -----------------------------------------------------------------------------------------
+
+_LEV = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 1 - levenshtein(array_to_string(list_transform(a, lambda w: chr((33 + list_position(d, w))::INTEGER)), ''), array_to_string(list_transform(b, lambda w: chr((33 + list_position(d, w))::INTEGER)), ''))::DOUBLE / greatest(len(a), len(b)) END"
+_TWINS = f"""
+    seg AS (SELECT *, list_slice({_WORDS}, 1, 40) AS words FROM ({C.SEGMENTS_SQL})),
+    pairs AS (SELECT m.meeting_id, m.idx, s.idx AS r_idx, least(m.end_ms, s.end_ms) - greatest(m.start_ms, s.start_ms) AS overlap, m.words AS a, s.words AS b, list_distinct(list_concat(m.words, s.words)) AS d
+              FROM seg m JOIN seg s ON m.meeting_id = s.meeting_id AND m.channel = 'mic' AND s.channel = 'system' AND m.start_ms < s.end_ms AND s.start_ms < m.end_ms),
+    scored AS (SELECT meeting_id, idx, r_idx, overlap, round({_LEV}, 9) AS similarity, least(len(a), len(b)) AS shorter FROM pairs),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY similarity DESC, overlap DESC, r_idx) = 1)"""
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with texts of 40 words at most: the SQL twin codes words as single ASCII characters."""
+    rows = C.segments(spark, sf_dir)
+    return rows.withColumn("text", F.array_join(F.slice(T.words(F.col("text")), 1, 40), " "))
+
+
+@_query("j1_best_twin", f"WITH {_TWINS} SELECT meeting_id, idx, r_idx, overlap, similarity, shorter::INTEGER AS shorter FROM best")
+def _best_twin(spark, sf_dir):
+    return transcripts.twins(_short(spark, sf_dir)).select("meeting_id", "idx", "r_idx", "overlap", F.round("similarity", 9).alias("similarity"), "shorter")
+
+
+@_query("j9_total_overlap", f"""
+    SELECT m.meeting_id, sum(least(m.end_ms, s.end_ms) - greatest(m.start_ms, s.start_ms))::BIGINT AS overlap_ms
+    FROM ({C.SEGMENTS_SQL}) m JOIN ({C.SEGMENTS_SQL}) s ON m.meeting_id = s.meeting_id AND m.channel = 'mic' AND s.channel = 'system' AND m.start_ms < s.end_ms AND s.start_ms < m.end_ms GROUP BY 1""")
+def _total_overlap(spark, sf_dir):
+    rows = C.segments(spark, sf_dir)
+    return intervals.total_overlap(rows.where("channel = 'mic'"), rows.where("channel = 'system'"), ["meeting_id"])
+
+
+_MATRIX = f"""
+    SELECT a.meeting_id, a.speaker_id, b.idx % 3 AS cluster, sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms))::BIGINT AS ms
+    FROM ({C.SEGMENTS_SQL}) a JOIN ({C.SEGMENTS_SQL}) b ON a.meeting_id = b.meeting_id AND a.speaker_id <> '' AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms GROUP BY ALL"""
+
+
+def _matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.segments(spark, sf_dir)
+    return intervals.overlap_matrix(rows.where("speaker_id <> ''"), rows.withColumn("cluster", F.col("idx") % 3), ["meeting_id"])
+
+
+@_query("j10_overlap_matrix", _MATRIX)
+def _matrix(spark, sf_dir):
+    return _matrix_rows(spark, sf_dir)
+
+
+@_query("j11_greedy_assignment")
+def _greedy(spark, sf_dir):
+    return reports.greedy_assignment(_matrix_rows(spark, sf_dir), ["meeting_id"])
+
+
+@_query("a12_agreement")
+def _agreement(spark, sf_dir):
+    return reports.agreement(_matrix_rows(spark, sf_dir), ["meeting_id"])
+
+
+@_query("j4_reattached_edits", f"""
+    WITH e AS ({C.EDITS_SQL}),
+         h AS (SELECT e.id, e.meeting_id, e.created_at_ms, s.idx AS target_idx, least(e.end_ms, s.end_ms + 100) - greatest(e.start_ms, s.start_ms + 100) AS overlap
+               FROM e JOIN ({C.SEGMENTS_SQL}) s ON e.meeting_id = s.meeting_id AND e.channel = s.channel AND trim(e.original_text) <> '' AND contains(s.text, e.original_text)
+               WHERE least(e.end_ms, s.end_ms + 100) > greatest(e.start_ms, s.start_ms + 100)),
+         f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, target_idx) = 1),
+         p AS (SELECT id, target_idx FROM f QUALIFY row_number() OVER (PARTITION BY meeting_id, target_idx ORDER BY created_at_ms DESC, id DESC) = 1)
+    SELECT e.id, p.target_idx FROM e LEFT JOIN p USING (id)""")
+def _reattached(spark, sf_dir):
+    moved = C.segments(spark, sf_dir).withColumns({"start_ms": F.col("start_ms") + 100, "end_ms": F.col("end_ms") + 100})
+    return edits.reattached(C.edits(spark, sf_dir), moved).select("id", "target_idx")
+
+
+@_query("j7_meeting_summaries", f"""
+    SELECT c_custkey AS meeting_id, EXISTS (SELECT 1 FROM ({C.VERSIONS_SQL}) v WHERE v.meeting_id = c_custkey) AS has_final,
+           (SELECT count(*) FROM ({C.ARTIFACTS_SQL}) a WHERE a.meeting_id = c_custkey) AS artifact_count FROM customer""")
+def _summaries(spark, sf_dir):
+    meetings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meeting_id"))
+    return maintenance.summaries(meetings, C.versions(spark, sf_dir), C.artifacts(spark, sf_dir))
+
+
+@_query("j5_speaker_names", "SELECT s_suppkey AS id, coalesce(n_name, '') AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey < 20")
+def _names(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    both = table(spark, sf_dir, "supplier").join(F.broadcast(names), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return both.select(F.col("s_suppkey").alias("id"), F.coalesce("n_name", F.lit("")).alias("name"))
+
+
+@_query("j13_unknown_tokens", f"""
+    WITH t AS (SELECT DISTINCT lower(unnest({_TOKENS.format('text')})) AS key FROM conversations), k AS (SELECT DISTINCT lower(unnest({_TOKENS.format('text')})) AS key FROM benchmark)
+    SELECT key FROM t WHERE key NOT IN (SELECT key FROM k)""")
+def _unknown_tokens(spark, sf_dir):
+    tokens = lambda name: table(spark, sf_dir, name).select(F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("key")).distinct()
+    return tokens("conversations").join(tokens("benchmark"), "key", "left_anti")
+
+
+# -- Aggregations and reports -------------------------------------------------------------------
+
+
+@_query("a1_speaker_stats", f"""
+    WITH seg AS ({C.SEGMENTS_SQL}), per AS (
+      SELECT meeting_id, speaker_id, count(*) AS replies, sum(greatest(end_ms - start_ms, 0))::BIGINT AS speaking_ms, arg_min(channel, idx) AS channel
+      FROM seg WHERE speaker_id <> '' GROUP BY ALL)
+    SELECT *, CASE WHEN sum(speaking_ms) OVER w = 0 THEN 0.0 ELSE speaking_ms::DOUBLE / (sum(speaking_ms) OVER w)::DOUBLE END AS share,
+           row_number() OVER (PARTITION BY meeting_id ORDER BY speaking_ms DESC, speaker_id) - 1 AS position
+    FROM per WINDOW w AS (PARTITION BY meeting_id)""")
+def _speaker_stats(spark, sf_dir):
+    return speakers.speaker_stats(C.segments(spark, sf_dir))
+
+
+@_query("a4_next_version", f"SELECT meeting_id, coalesce(max(version), 0) + 1 AS next_version FROM ({C.VERSIONS_SQL}) GROUP BY 1")
+def _next_version(spark, sf_dir):
+    return maintenance.next_version(C.versions(spark, sf_dir))
+
+
+@_query("a11_collapse_report", f"""
+    WITH {_TWINS}, t AS (SELECT meeting_id, count(*) AS segments, count(*) FILTER (channel = 'mic') AS mic_total, count(*) FILTER (channel = 'system') AS system_total FROM seg GROUP BY 1),
+         p AS (SELECT meeting_id, count(*) AS paired, count(*) FILTER (similarity >= 0.02 AND shorter >= 4) AS collapsed, count(*) FILTER (similarity >= 0.02 AND shorter < 4) AS kept_short FROM best GROUP BY 1)
+    SELECT meeting_id, segments, mic_total, system_total, coalesce(paired, 0) AS paired, coalesce(collapsed, 0) AS collapsed, coalesce(kept_short, 0) AS kept_short,
+           mic_total - coalesce(paired, 0) AS lonely_mic, segments - coalesce(collapsed, 0) AS kept FROM t LEFT JOIN p USING (meeting_id)""")
+def _collapse_report(spark, sf_dir):
+    return transcripts.collapse_report(_short(spark, sf_dir), 0.02)
+
+
+@_query("a13_threshold_sweep", f"""
+    WITH {_TWINS} SELECT threshold::DOUBLE AS threshold, count(*) FILTER (similarity >= threshold) AS pairs, sum(CASE WHEN similarity >= threshold THEN shorter ELSE 0 END)::BIGINT AS words
+    FROM best, (VALUES (0.01), (0.03), (0.05), (0.1), (0.2), (0.4)) AS t(threshold) GROUP BY 1""")
+def _sweep(spark, sf_dir):
+    return reports.threshold_sweep(transcripts.twins(_short(spark, sf_dir)), [0.01, 0.03, 0.05, 0.1, 0.2, 0.4])
+
+
+@_query("a15_histogram", "SELECT label, least(floor((embedding[1] + 1) / 2 * 10), 9)::INTEGER AS bucket, count(*) AS n FROM embeddings GROUP BY ALL")
+def _histogram(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", ((F.col("embedding")[0].cast("double") + 1) / 2).alias("v"))
+    return reports.histogram(rows, "v", ["label"])
+
+
+@_query("a16_upper_median", "SELECT event_type, list_sort(list(value))[(count(*) // 2 + 1)::INTEGER] AS median FROM events GROUP BY 1")
+def _median(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(S.upper_median(F.collect_list("value")).alias("median"))
+
+
+@_query("a24_bucket_levels", f"""
+    SELECT session_id, (ts_ms // 10000)::BIGINT AS bucket, list_sort(list(level))[(count(*) // 2 + 1)::INTEGER] AS median_level, count(*) FILTER (level > 450) AS accepted, count(*) AS frames
+    FROM ({C.LEVELS_SQL}) GROUP BY ALL""")
+def _bucket_levels(spark, sf_dir):
+    return reports.bucket_levels(C.levels(spark, sf_dir), ["session_id"])
+
+
+_COUNTS = f"""
+    tok AS (SELECT meeting_id, unnest({_TOKENS.format('text')}) AS token FROM ({C.SEGMENTS_SQL})), t2 AS (SELECT *, lower(token) AS key FROM tok WHERE length(token) >= 2),
+    sp AS (SELECT meeting_id, key, token, count(*) AS n FROM t2 GROUP BY ALL),
+    cnt AS (SELECT meeting_id, key, sum(n)::BIGINT AS occurrences, first(token ORDER BY n DESC, token) AS surface FROM sp GROUP BY ALL)"""
+
+
+@_query("a5_token_counts", f"WITH {_COUNTS} SELECT meeting_id, key, occurrences, surface FROM cnt")
+def _token_counts(spark, sf_dir):
+    return glossary.token_counts(C.segments(spark, sf_dir), ["meeting_id"]).select("meeting_id", "key", "occurrences", "surface")
+
+
+_MINED = f"""
+    WITH {_COUNTS}, head AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY occurrences DESC, key) <= 20),
+         known AS (SELECT DISTINCT lower(unnest({_TOKENS.format('text')})) AS key FROM benchmark WHERE item_id < 3),
+         ruled AS (SELECT c.*, CASE WHEN regexp_matches(c.surface, '[A-Za-z]') AND NOT regexp_matches(regexp_replace(c.surface, '[A-Za-z]', '', 'g'), '\\p{{L}}') THEN 'latin'
+                                    WHEN length(regexp_replace(c.surface, '[^\\p{{L}}]', '', 'g')) >= 2 AND regexp_full_match(regexp_replace(c.surface, '[^\\p{{L}}]', '', 'g'), '\\p{{Lu}}+') THEN 'acronym'
+                                    WHEN c.occurrences >= 3 AND h.key IS NULL AND length(c.key) >= 4 THEN 'repeated' END AS rule
+                   FROM cnt c LEFT JOIN head h USING (meeting_id, key) WHERE c.key NOT IN (SELECT key FROM known))"""
+
+
+@_query("g4_mined_terms", f"{_MINED} SELECT meeting_id, surface, occurrences, rule, row_number() OVER (PARTITION BY meeting_id ORDER BY occurrences DESC, surface) - 1 AS position FROM ruled WHERE rule IS NOT NULL")
+def _mined(spark, sf_dir):
+    known = table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("key"))
+    return glossary.mined(C.segments(spark, sf_dir), known, ["meeting_id"], 3, 20).select("meeting_id", "surface", "occurrences", "rule", "position")
+
+
+@_query("a23_rule_totals", f"{_MINED} SELECT rule, count(*) AS candidates, sum(occurrences)::BIGINT AS occurrences FROM ruled WHERE rule IS NOT NULL GROUP BY 1")
+def _rule_totals(spark, sf_dir):
+    return reports.rule_totals(_mined(spark, sf_dir))
+
+
+# -- Order, windows and rendering -----------------------------------------------------------------
+
+
+@_query("o1_merged", f"SELECT meeting_id, idx, channel, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, CASE WHEN channel = 'mic' THEN 0 ELSE 1 END, end_ms, idx) - 1 AS position FROM ({C.SEGMENTS_SQL})")
+def _merged(spark, sf_dir):
+    return transcripts.merged(C.segments(spark, sf_dir)).select("meeting_id", "idx", "channel", "position")
+
+
+_PARA = f"""
+    WITH o AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, CASE WHEN channel = 'mic' THEN 0 ELSE 1 END, end_ms, idx) - 1 AS position FROM ({C.SEGMENTS_SQL})),
+         n AS (SELECT *, lag(speaker_id) OVER w AS ps, lag(channel) OVER w AS pc, lag(text) OVER w AS pt FROM o WHERE trim(text) <> '' WINDOW w AS (PARTITION BY meeting_id ORDER BY position)),
+         p AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> speaker_id OR pc <> channel OR regexp_matches(pt, '[.!?…]\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY position) - 1 AS paragraph FROM n)"""
+
+
+@_query("w2_paragraphs", f"{_PARA} SELECT meeting_id, idx, position, paragraph::BIGINT AS paragraph FROM p")
+def _paragraphs(spark, sf_dir):
+    return transcripts.paragraphs(C.segments(spark, sf_dir)).select("meeting_id", "idx", "position", "paragraph")
+
+
+@_query("g9_rendered", f"""{_PARA}, q AS (SELECT meeting_id, paragraph, concat('**', any_value(speaker_id), ':** ', string_agg(trim(text), ' ' ORDER BY position)) AS body FROM p GROUP BY ALL)
+    SELECT meeting_id, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body FROM q GROUP BY 1""")
+def _rendered(spark, sf_dir):
+    return transcripts.rendered(C.segments(spark, sf_dir))
+
+
+@_query("w3_clipped", f"""
+    WITH r AS (SELECT *, max(greatest(start_ms, end_ms)) OVER (PARTITION BY meeting_id, channel ORDER BY start_ms, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM ({C.SEGMENTS_SQL}) WHERE trim(text) <> '')
+    SELECT meeting_id, idx, greatest(start_ms, coalesce(latest, start_ms)) AS start_ms, greatest(end_ms, greatest(start_ms, coalesce(latest, start_ms))) AS end_ms FROM r""")
+def _clipped(spark, sf_dir):
+    return transcripts.clipped(C.segments(spark, sf_dir)).select("meeting_id", "idx", "start_ms", "end_ms")
+
+
+@_query("w6_chunk_islands", f"""
+    WITH c AS (SELECT DISTINCT * FROM ({C.CHUNKS_SQL})), b AS (SELECT *, lag(ts_ms) OVER w AS pt, lag(duration_ms) OVER w AS pd, lag(rate) OVER w AS pr FROM c WINDOW w AS (PARTITION BY session_id, channel ORDER BY ts_ms, seq, duration_ms)),
+         i AS (SELECT *, sum(CASE WHEN pt IS NULL OR pt + pd <> ts_ms OR pr <> rate THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, channel ORDER BY ts_ms, seq, duration_ms ROWS UNBOUNDED PRECEDING) - 1 AS island FROM b),
+         p AS (SELECT *, (ts_ms - min(ts_ms) OVER (PARTITION BY session_id, channel, island)) // 2000 AS piece FROM i)
+    SELECT session_id, channel, island::BIGINT AS island, min(ts_ms)::INTEGER AS ts_ms, sum(duration_ms)::BIGINT AS duration_ms, count(*) AS chunks FROM p GROUP BY session_id, channel, island, piece""")
+def _chunk_islands(spark, sf_dir):
+    rows = C.chunks(spark, sf_dir).distinct().withColumn("seq", F.col("seq") * 1000 + F.col("duration_ms"))
+    return signal.chunk_islands(rows, ["session_id", "channel"]).select("session_id", "channel", "island", "ts_ms", "duration_ms", "chunks")
+
+
+@_query("w7_dominant_channel", f"""
+    WITH s AS (SELECT session_id, (ts_ms // 60000)::BIGINT AS slot, coalesce(max(level) FILTER (kind = 'click'), 0) AS mic, coalesce(max(level) FILTER (kind <> 'click'), 0) AS system FROM ({C.LEVELS_SQL}) GROUP BY ALL)
+    SELECT session_id, slot, mic, system, coalesce(last_value(CASE WHEN system > mic * 1.5 THEN 'system' WHEN mic > system * 1.5 THEN 'mic' END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY slot ROWS UNBOUNDED PRECEDING), 'mic') AS dominant FROM s""")
+def _dominant(spark, sf_dir):
+    slot = F.floor(F.col("ts_ms") / 60000).alias("slot")
+    most = lambda hit: F.coalesce(F.max(F.when(hit, F.col("level"))), F.lit(0.0))
+    slots = C.levels(spark, sf_dir).groupBy("session_id", slot).agg(most(F.col("kind") == "click").alias("mic"), most(F.col("kind") != "click").alias("system"))
+    return signal.dominant_channel(slots, ["session_id"])
+
+
+@_query("w5_speech_islands", f"""
+    WITH f AS (SELECT session_id, (ts_ms // 60000 * 60000)::BIGINT AS ts_ms, max(level) AS level FROM ({C.LEVELS_SQL}) GROUP BY ALL), e AS (SELECT *, max(ts_ms + 60000) OVER (PARTITION BY session_id) AS track FROM f),
+         l AS (SELECT *, lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms) AS p FROM e WHERE level >= 200),
+         s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts_ms - p > 180000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts_ms) - 1 AS span FROM l)
+    SELECT session_id, span::BIGINT AS span, min(ts_ms) AS start_ms, least(max(ts_ms) + 180000, max(track)) AS end_ms FROM s GROUP BY ALL""")
+def _speech(spark, sf_dir):
+    frames = C.levels(spark, sf_dir).groupBy("session_id", (F.floor(F.col("ts_ms") / 60000) * 60000).alias("ts_ms")).agg(F.max("level").alias("level"))
+    return signal.speech_islands(frames, ["session_id"], 60000)
+
+
+@_query("w14_live_lines", f"SELECT session_id, id, phase FROM ({C.CAPTIONS_SQL}) QUALIFY phase = 'final' OR lead(id) OVER (PARTITION BY session_id ORDER BY created_at_ms, id) IS NULL")
+def _live(spark, sf_dir):
+    return transcripts.live_lines(C.captions(spark, sf_dir)).select("session_id", "id", "phase")
+
+
+@_query("o2_latest_version", f"SELECT meeting_id, version, body FROM ({C.VERSIONS_SQL}) QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY version DESC) = 1")
+def _latest(spark, sf_dir):
+    return maintenance.latest(C.versions(spark, sf_dir)).select("meeting_id", "version", "body")
+
+
+@_query("o9_prompt_words", f"""
+    WITH f AS (SELECT canonical, min(struct_pack(r := CASE WHEN language = 'en' THEN 0 ELSE 1 END, s := surface)) AS best FROM ({C.TERMS_SQL}) GROUP BY 1)
+    SELECT substr(string_agg(canonical, ', ' ORDER BY best.r, best.s, canonical), 1, 200) AS prompt FROM f""")
+def _prompt(spark, sf_dir):
+    return glossary.prompt_words(C.terms(spark, sf_dir), "en", 200)
+
+
+# -- Scalar functions -------------------------------------------------------------------------------
+
+
+@_query("x1_words", f"SELECT conv_id, turn, array_to_string({_WORDS}, ' ') AS words FROM conversations")
+def _x1(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.words(F.col("text")), " ").alias("words"))
+
+
+@_query("x6_likeness", f"""
+    WITH w AS (SELECT conv_id, turn, list_distinct({_WORDS}) AS w FROM conversations)
+    SELECT a.conv_id, a.turn, round(CASE WHEN greatest(len(a.w), len(b.w)) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)) END, 9) AS likeness
+    FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def _x6(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("w"))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.likeness(F.col("w"), F.col("v")), 9).alias("likeness"))
+
+
+@_query("x10_date_labels", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS label FROM events")
+def _x10(spark, sf_dir):
+    return C.levels(spark, sf_dir).select("event_id", S.date_label(F.col("ts_ms")).alias("label"))
+
+
+@_query("x21_cosine", """
+    SELECT a.vec_id, round(greatest(-1, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def _x21(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+@_query("x9_fingerprints")
+def _x9(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.fingerprint("text").alias("fingerprint"))
+
+
+@_query("f5_hallucinations")
+def _f5(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_hallucination(F.col("text")).alias("drop"), T.may_become_hallucination(F.col("text")).alias("hold"))
+
+
+# -- Compound operators -------------------------------------------------------------------------
+
+
+@_query("g1_collapsed", f"WITH {_TWINS} SELECT meeting_id, idx FROM seg WHERE (meeting_id, idx) NOT IN (SELECT (meeting_id, idx) FROM best WHERE similarity >= 0.02 AND shorter >= 4)")
+def _collapsed(spark, sf_dir):
+    return transcripts.collapsed(_short(spark, sf_dir), 0.02).select("meeting_id", "idx")
+
+
+@_query("g10_assembled")
+def _assembled(spark, sf_dir):
+    return transcripts.assembled(C.captions(spark, sf_dir))
+
+
+@_query("g3_replaced")
+def _replaced(spark, sf_dir):
+    return glossary.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), C.terms(spark, sf_dir))
+
+
+@_query("g17_search")
+def _search(spark, sf_dir):
+    docs = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("ref_id"), F.col("text").alias("body"))
+    return search.search(docs, "the tion", 50)
+
+
+@_query("j12_matched_voices")
+def _matched(spark, sf_dir):
+    rows = C.prints(spark, sf_dir)
+    return vectors.matched(rows.where("source <> 'human'"), vectors.centroids(rows.where("source = 'human'"))).select("id", "best", F.round("similarity", 6).alias("similarity"), F.round("runner_up", 6).alias("runner_up"), "speaker")
+
+
+@_query("g12_enrolment")
+def _enrolment(spark, sf_dir):
+    return vectors.enrolment(C.prints(spark, sf_dir))
+
+
+@_query("a21_held_out")
+def _held_out(spark, sf_dir):
+    rows = vectors.split_by_position(C.prints(spark, sf_dir), "speaker_id", "id")
+    return vectors.held_out(rows, [0.3, 0.35, 0.4, 0.45, 0.5])
+
+
+@_query("t5_noise_gate")
+def _gate(spark, sf_dir):
+    return signal.gated(C.levels(spark, sf_dir).where("level is not null"), ["session_id"])
+
+
+# -- Maintenance --------------------------------------------------------------------------------
+
+
+@_query("s29_upserted", f"SELECT meeting_id, version, body FROM ({C.VERSIONS_SQL}) WHERE version > 2 UNION ALL SELECT meeting_id, version, 'new' FROM ({C.VERSIONS_SQL}) WHERE version <= 2")
+def _upserted(spark, sf_dir):
+    old = C.versions(spark, sf_dir).select("meeting_id", "version", "body")
+    return maintenance.upserted(old, old.where("version <= 2").withColumn("body", F.lit("new")), ["meeting_id", "version"])
+
+
+@_query("s31_written_terms", f"""
+    WITH t AS ({C.TERMS_SQL}), n AS (SELECT id + 1000000 AS id, surface, 'new' AS canonical, language, scope, meeting_id, kind FROM t WHERE id % 100 = 0)
+    SELECT id, surface, canonical FROM t WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id = t.id OR (n.surface = t.surface AND n.language = t.language AND n.scope = t.scope AND n.meeting_id IS NOT DISTINCT FROM t.meeting_id))
+    UNION ALL SELECT id, surface, canonical FROM n""")
+def _written_terms(spark, sf_dir):
+    old = C.terms(spark, sf_dir)
+    new = old.where("id % 100 = 0").withColumns({"id": F.col("id") + 1_000_000, "canonical": F.lit("new")})
+    return maintenance.write_terms(old, new).select("id", "surface", "canonical")
+
+
+@_query("s32_cascaded", f"SELECT meeting_id, version FROM ({C.VERSIONS_SQL}) WHERE meeting_id % 3 <> 0")
+def _cascaded(spark, sf_dir):
+    gone = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("meeting_id"))
+    return maintenance.cascade({"versions": C.versions(spark, sf_dir)}, gone)["versions"].select("meeting_id", "version")
+
+
+@_query("s36_sweep_preview", "SELECT count(*) AS meetings, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM (SELECT c_custkey AS meeting_id FROM customer WHERE c_custkey < 500) JOIN (SELECT o_custkey AS meeting_id, count(*) * 100 AS bytes FROM orders GROUP BY 1) USING (meeting_id)")
+def _preview(spark, sf_dir):
+    meetings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meeting_id"), F.col("c_custkey").alias("started_at_ms"), F.lit(None).cast("long").alias("audio_deleted_at_ms"))
+    sizes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("meeting_id")).agg((F.count("*") * 100).alias("bytes"))
+    return maintenance.sweep_preview(meetings, sizes, 500)
 
 
 def queries() -> dict[str, Query]:
+    """Every query by name."""
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that have it."""
     return dict(_SQL)
