@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def overlap_ms(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -23,7 +24,7 @@ def duration_ms(start: Column, end: Column) -> Column:
     return F.when(end.isNotNull(), F.greatest(end - start, F.lit(0)))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fingerprint(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, 64 bits in 16 hex digits. Multiplication must wrap, which SQL in ANSI mode refuses."""
 
