@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
 from parley.functions import text as T
-from parley.operators import edits, glossary, intervals, maintenance, reports, search, signal, speakers, transcripts, vectors
+from parley.operators import diff, edits, glossary, intervals, maintenance, reports, search, signal, speakers, transcripts, vectors
 from parley.sources import carriers as C
 from parley.sources.tables import table
 
@@ -455,6 +455,191 @@ def _preview(spark, sf_dir):
     return maintenance.sweep_preview(meetings, sizes, 500)
 
 
+# -- Further scans, filters and aggregates ------------------------------------------------------
+
+
+@_query("s8_unapplied_edits", f"SELECT id, meeting_id FROM ({C.EDITS_SQL}) WHERE CASE WHEN id % 2 = 0 THEN id END IS NULL")
+def _unapplied(spark, sf_dir):
+    rows = C.edits(spark, sf_dir).withColumn("applied_version", F.when(F.col("id") % 2 == 0, F.col("id")))
+    return rows.where(F.col("applied_version").isNull()).select("id", "meeting_id")
+
+
+@_query("s10_glossary_order", f"SELECT id, row_number() OVER (ORDER BY surface, language, scope, coalesce(meeting_id::VARCHAR, ''), id) AS position FROM ({C.TERMS_SQL}) WHERE scope = 'global'")
+def _glossary_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = C.terms(spark, sf_dir).where("scope = 'global'")
+    order = Window.orderBy("surface", "language", "scope", F.coalesce(F.col("meeting_id").cast("string"), F.lit("")), "id")
+    return rows.select("id", F.row_number().over(order).cast("long").alias("position"))
+
+
+@_query("s33_conditional_update", f"SELECT id, CASE WHEN origin <> 'human' THEN 'cleared' ELSE edited_text END AS edited_text FROM ({C.EDITS_SQL})")
+def _conditional(spark, sf_dir):
+    return maintenance.update_where(C.edits(spark, sf_dir), F.col("origin") != "human", {"edited_text": F.lit("cleared")}).select("id", "edited_text")
+
+
+@_query("s38_keyed_delete", f"SELECT id, surface FROM ({C.TERMS_SQL}) WHERE id % 7 <> 0")
+def _keyed_delete(spark, sf_dir):
+    rows = C.terms(spark, sf_dir)
+    return maintenance.delete_matching(rows, rows.where("id % 7 = 0"), ["id"]).select("id", "surface")
+
+
+@_query("f7_calendar", "SELECT event_id, CASE WHEN ts::DATE = DATE '2024-01-10' THEN 'today' WHEN date_trunc('week', ts) = DATE '2024-01-08' THEN 'this week' WHEN ts < TIMESTAMP '2024-01-08' THEN 'older' ELSE 'later' END AS kind FROM events")
+def _calendar(spark, sf_dir):
+    day = F.to_date(F.timestamp_millis("ts_ms"))
+    now = F.lit("2024-01-10").cast("date")
+    week = F.date_trunc("week", F.timestamp_millis("ts_ms")) == F.date_trunc("week", now)
+    kind = F.when(day == now, "today").when(week, "this week").when(day < now, "older").otherwise("later")
+    return C.levels(spark, sf_dir).select("event_id", kind.alias("kind"))
+
+
+@_query("f15_long_pairs", f"WITH {_TWINS} SELECT meeting_id, idx FROM best WHERE shorter >= 20")
+def _long_pairs(spark, sf_dir):
+    return transcripts.twins(_short(spark, sf_dir)).where("shorter >= 20").select("meeting_id", "idx")
+
+
+@_query("a2_counts", f"SELECT session_id, channel, count(*) AS chunks, sum(duration_ms)::BIGINT AS ms, min(ts_ms)::INTEGER AS start_ms, count(DISTINCT rate) = 1 AS one_rate FROM ({C.CHUNKS_SQL}) GROUP BY ALL")
+def _counts(spark, sf_dir):
+    return C.chunks(spark, sf_dir).groupBy("session_id", "channel").agg(F.count("*").alias("chunks"), F.sum("duration_ms").alias("ms"), F.min("ts_ms").alias("start_ms"), (F.count_distinct("rate") == 1).alias("one_rate"))
+
+
+@_query("a8_majority_vote", "WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, first(event_type ORDER BY n DESC, event_type) AS winner FROM n GROUP BY 1")
+def _majority(spark, sf_dir):
+    votes = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return votes.groupBy("user_id").agg(F.min_by("event_type", F.struct((-F.col("n")).alias("n"), "event_type")).alias("winner"))
+
+
+@_query("a10_word_overlap", f"""
+    WITH w AS (SELECT conv_id, turn, unnest({_WORDS}) AS w FROM conversations), c AS (SELECT conv_id, turn, w, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT conv_id, turn, sum(n) AS n FROM c GROUP BY ALL),
+         s AS (SELECT a.conv_id, a.turn, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.w = b.w GROUP BY ALL)
+    SELECT t.conv_id, t.turn, round(2 * coalesce(common, 0)::DOUBLE / (t.n + u.n), 9) AS dice FROM t JOIN t u ON u.conv_id = t.conv_id AND u.turn = t.turn + 1 LEFT JOIN s ON s.conv_id = t.conv_id AND s.turn = t.turn""")
+def _dice(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.word_overlap(F.col("w"), F.col("v")), 9).alias("dice"))
+
+
+_CENTROID = """
+    u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS v FROM embeddings WHERE vec_id % 5 = 0),
+    m AS (SELECT label, pos, sum(v) AS v FROM u GROUP BY ALL), c AS (SELECT label, list(v ORDER BY pos) AS v FROM m GROUP BY 1),
+    p AS (SELECT concat('s', label) AS speaker_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM c)"""
+
+
+@_query("a20_centroids", f"WITH {_CENTROID} SELECT speaker_id, round(v[1], 6) AS first, round(v[64], 6) AS last FROM p")
+def _centroids(spark, sf_dir):
+    made = vectors.centroids(C.prints(spark, sf_dir).where("source = 'human'"))
+    return made.select("speaker_id", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+
+
+_MATCHED = f"""
+    WITH {_CENTROID}, s AS (SELECT e.vec_id AS id, p.speaker_id AS best, list_cosine_similarity(e.embedding::DOUBLE[], p.v) AS similarity FROM embeddings e, p WHERE e.vec_id % 5 <> 0),
+         r AS (SELECT *, lead(similarity) OVER (PARTITION BY id ORDER BY similarity DESC, best) AS runner_up, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, best) AS n FROM s)"""
+_SQL["j12_matched_voices"] = f"{_MATCHED} SELECT id, best, round(similarity, 6) AS similarity, round(coalesce(runner_up, -1), 6) AS runner_up, CASE WHEN similarity >= 0.4 AND similarity - coalesce(runner_up, -1) >= 0.05 THEN best END AS speaker FROM r WHERE n = 1"
+_SQL["g12_enrolment"] = f"""{_MATCHED}, k AS (SELECT id, best FROM r WHERE n = 1 AND similarity >= 0.4 AND similarity - coalesce(runner_up, -1) >= 0.05)
+    SELECT e.vec_id AS id, CASE WHEN e.vec_id % 5 = 0 THEN concat('s', label) WHEN k.best IS NOT NULL THEN k.best WHEN e.vec_id % 5 = 1 THEN NULL ELSE concat('s', label) END AS speaker_id,
+           CASE WHEN e.vec_id % 5 = 0 THEN 'human' WHEN k.best IS NOT NULL THEN 'voiceprint' WHEN e.vec_id % 5 = 1 THEN 'none' ELSE 'channel' END AS source
+    FROM embeddings e LEFT JOIN k ON k.id = e.vec_id"""
+
+
+@_query("a31_labelled_time", f"{_MATCHED} SELECT best AS speaker, sum(1000 + id % 7 * 100)::BIGINT AS ms FROM r WHERE n = 1 AND similarity >= 0.4 AND similarity - coalesce(runner_up, -1) >= 0.05 GROUP BY 1")
+def _labelled_time(spark, sf_dir):
+    rows = C.prints(spark, sf_dir)
+    named = vectors.matched(rows.where("source <> 'human'"), vectors.centroids(rows.where("source = 'human'")))
+    return named.where("speaker is not null").groupBy("speaker").agg(F.sum("ms").alias("ms"))
+
+
+@_query("a25_evidence", f"""
+    WITH s AS (SELECT meeting_id, sum(CASE WHEN channel = 'mic' THEN end_ms - start_ms ELSE 0 END)::BIGINT AS a_ms, sum(CASE WHEN channel = 'system' THEN end_ms - start_ms ELSE 0 END)::BIGINT AS b_ms, (max(end_ms) - min(start_ms))::BIGINT AS wall_ms FROM ({C.SEGMENTS_SQL}) GROUP BY 1),
+         o AS (SELECT m.meeting_id, sum(least(m.end_ms, s.end_ms) - greatest(m.start_ms, s.start_ms))::BIGINT AS shared_ms FROM ({C.SEGMENTS_SQL}) m JOIN ({C.SEGMENTS_SQL}) s ON m.meeting_id = s.meeting_id AND m.channel = 'mic' AND s.channel = 'system' AND m.start_ms < s.end_ms AND s.start_ms < m.end_ms GROUP BY 1),
+         e AS (SELECT s.*, coalesce(shared_ms, 0) AS shared_ms, CASE WHEN wall_ms > 0 THEN floor(a_ms * b_ms / wall_ms)::BIGINT ELSE 0 END AS expected_ms FROM s LEFT JOIN o USING (meeting_id))
+    SELECT meeting_id, shared_ms, expected_ms, shared_ms > expected_ms + expected_ms // 5 AS same FROM e""")
+def _evidence(spark, sf_dir):
+    rows = C.segments(spark, sf_dir)
+    long = F.col("end_ms") - F.col("start_ms")
+    sums = rows.groupBy("meeting_id").agg(F.sum(F.when(F.col("channel") == "mic", long).otherwise(0)).alias("a_ms"), F.sum(F.when(F.col("channel") == "system", long).otherwise(0)).alias("b_ms"), (F.max("end_ms") - F.min("start_ms")).alias("wall_ms"))
+    both = sums.join(_total_overlap(spark, sf_dir).withColumnRenamed("overlap_ms", "shared_ms"), "meeting_id", "left").fillna(0, ["shared_ms"])
+    return reports.evidence(both).select("meeting_id", "shared_ms", "expected_ms", "same")
+
+
+@_query("a18_lag_correlation", f"""
+    WITH e AS (SELECT session_id, (ts_ms // 3600000)::BIGINT AS pos, sum(CASE WHEN kind = 'click' THEN level ELSE 0 END) AS v, sum(CASE WHEN kind <> 'click' THEN level ELSE 0 END) AS w FROM ({C.LEVELS_SQL}) WHERE session_id < 20 GROUP BY ALL),
+         l AS (SELECT a.session_id, lag, a.v, b.w FROM e a, generate_series(-2, 2) AS g(lag), e b WHERE a.session_id = b.session_id AND b.pos = a.pos + lag)
+    SELECT session_id, lag::INTEGER AS lag, count(*) AS pairs FROM l GROUP BY ALL""")
+def _lags(spark, sf_dir):
+    part = lambda hit: F.sum(F.when(hit, F.col("level")).otherwise(0.0)).alias("v")
+    rows = C.levels(spark, sf_dir).where("session_id < 20").groupBy("session_id", F.floor(F.col("ts_ms") / 3_600_000).alias("at"))
+    a, b = rows.agg(part(F.col("kind") == "click")), rows.agg(part(F.col("kind") != "click"))
+    return signal.lag_correlation(a, b, ["session_id"], 2).select("session_id", "lag", "pairs")
+
+
+@_query("w12_split", f"SELECT id, speaker_id, (row_number() OVER (PARTITION BY speaker_id ORDER BY id) - 1) % 2 = 0 AS train FROM ({C.PRINTS_SQL})")
+def _split(spark, sf_dir):
+    return vectors.split_by_position(C.prints(spark, sf_dir), "speaker_id", "id").select("id", "speaker_id", "train")
+
+
+@_query("w4_monotone_ends", f"SELECT session_id, event_id, max(CASE WHEN event_id % 3 = 0 THEN 7 ELSE event_id END) OVER (PARTITION BY session_id ORDER BY event_id) AS end_ms FROM ({C.LEVELS_SQL})")
+def _monotone(spark, sf_dir):
+    rows = C.levels(spark, sf_dir).select("session_id", "event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id")).alias("end_ms"))
+    return transcripts.monotone_ends(rows, F.lit(7), ["session_id"], "event_id")
+
+
+@_query("o7_recent_lines", f"SELECT session_id, id FROM ({C.CAPTIONS_SQL}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at_ms DESC, id DESC) <= 3")
+def _recent(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("session_id").orderBy(F.desc("created_at_ms"), F.desc("id"))
+    return C.captions(spark, sf_dir).withColumn("_n", F.row_number().over(order)).where("_n <= 3").select("session_id", "id")
+
+
+@_query("o12_index_rows", f"""
+    SELECT meeting_id, 'final' AS kind, version::VARCHAR AS ref_id, body FROM ({C.VERSIONS_SQL})
+    UNION ALL SELECT session_id, 'caption', id::VARCHAR, text FROM ({C.CAPTIONS_SQL}) WHERE phase = 'final'
+    UNION ALL SELECT meeting_id, 'artifact', id::VARCHAR, kind FROM ({C.ARTIFACTS_SQL})""")
+def _index_rows(spark, sf_dir):
+    finals = C.versions(spark, sf_dir).withColumn("ref_id", F.col("version"))
+    captions = C.captions(spark, sf_dir).withColumnsRenamed({"session_id": "meeting_id", "id": "ref_id", "text": "body"})
+    return search.index_sources(finals, captions, C.artifacts(spark, sf_dir).withColumnsRenamed({"id": "ref_id", "kind": "body"}))
+
+
+@_query("j17_slot_join", f"""
+    WITH s AS (SELECT session_id, (ts_ms // 60000)::BIGINT AS slot, kind, level FROM ({C.LEVELS_SQL})), m AS (SELECT session_id, slot, max(level) AS mic FROM s WHERE kind = 'click' GROUP BY ALL), y AS (SELECT session_id, slot, max(level) AS system FROM s WHERE kind = 'view' GROUP BY ALL)
+    SELECT session_id, slot, mic, system FROM m FULL JOIN y USING (session_id, slot)""")
+def _slot_join(spark, sf_dir):
+    rows = C.levels(spark, sf_dir).withColumn("slot", F.floor(F.col("ts_ms") / 60000))
+    side = lambda kind, name: rows.where(F.col("kind") == kind).groupBy("session_id", "slot").agg(F.max("level").alias(name))
+    return side("click", "mic").join(side("view", "system"), ["session_id", "slot"], "full")
+
+
+@_query("j16_owner_names", f"SELECT DISTINCT meeting_id, speaker_id FROM ({C.SEGMENTS_SQL}) WHERE channel = 'mic' AND speaker_id <> '' AND (meeting_id, speaker_id) NOT IN (SELECT (meeting_id, speaker_id) FROM ({C.SEGMENTS_SQL}) WHERE channel = 'system')")
+def _owner_names(spark, sf_dir):
+    rows = C.segments(spark, sf_dir)
+    names = lambda channel: rows.where((F.col("channel") == channel) & (F.col("speaker_id") != "")).select("meeting_id", "speaker_id").distinct()
+    return names("mic").join(names("system"), ["meeting_id", "speaker_id"], "left_anti")
+
+
+@_query("g2_word_diffs")
+def _diffs(spark, sf_dir):
+    rows = C.edits(spark, sf_dir)
+    return rows.select("id", diff.word_diff("original_text", "edited_text").alias("spans"))
+
+
+@_query("g5_terms_from_edits")
+def _terms_from_edits(spark, sf_dir):
+    rows = _diffs(spark, sf_dir).select("id", diff.term_from_spans(F.col("spans")).alias("t"))
+    return rows.select("id", F.col("t").isNotNull().alias("found"), "t.surface", "t.canonical")
+
+
+@_query("j15_owner_windows", f"""
+    WITH s AS ({C.SEGMENTS_SQL}), w AS (SELECT meeting_id, idx, start_ms, start_ms + 300 AS end_ms FROM s)
+    SELECT meeting_id, idx, CASE WHEN o AND t THEN 'both' WHEN o THEN 'owner' WHEN t THEN 'others' ELSE 'neither' END AS kind FROM (
+      SELECT w.*, EXISTS (SELECT 1 FROM s WHERE s.meeting_id = w.meeting_id AND s.channel = 'mic' AND s.start_ms < w.end_ms AND w.start_ms < s.end_ms) AS o,
+             EXISTS (SELECT 1 FROM s WHERE s.meeting_id = w.meeting_id AND s.channel = 'system' AND s.start_ms < w.end_ms AND w.start_ms < s.end_ms) AS t FROM w)""")
+def _owner_windows(spark, sf_dir):
+    rows = C.segments(spark, sf_dir)
+    spans = rows.select("meeting_id", "idx", "start_ms", (F.col("start_ms") + 300).alias("end_ms"))
+    return intervals.owner_class(spans, rows.where("channel = 'mic'"), rows.where("channel = 'system'"), ["meeting_id"], ["idx"]).select("meeting_id", "idx", "kind")
+
+
 def queries() -> dict[str, Query]:
     """Every query by name."""
     return dict(_QUERIES)

@@ -2,7 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.sources.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``sf_dir``; any path that Spark can read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
