@@ -27,3 +27,14 @@ def speaker_stats(segments: DataFrame) -> DataFrame:
         F.when(whole == 0, 0.0).otherwise(F.col("speaking_ms").cast("double") / whole.cast("double")).alias("share"),
         (F.row_number().over(order) - 1).cast("long").alias("position"),
     )
+
+
+def with_silent(stats: DataFrame, speakers: DataFrame) -> DataFrame:
+    """The statistics, then the meeting's speakers without a reply in list order, with nothing said.
+
+    ``speakers`` has meeting_id, speaker_id and sort_index.
+    """
+    silent = speakers.join(stats, ["meeting_id", "speaker_id"], "left_anti").select("meeting_id", "speaker_id", F.lit(0).cast("long").alias("replies"), F.lit(0).cast("long").alias("speaking_ms"), F.lit(None).cast("string").alias("channel"), F.lit(0.0).alias("share"), (F.lit(1_000_000) + F.col("sort_index")).cast("long").alias("position"))
+    both = stats.unionByName(silent)
+    order = Window.partitionBy("meeting_id").orderBy("position", "speaker_id")
+    return both.withColumn("position", (F.row_number().over(order) - 1).cast("long"))

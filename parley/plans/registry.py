@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
 from parley.functions import text as T
-from parley.operators import diff, edits, glossary, intervals, maintenance, reports, search, signal, speakers, transcripts, vectors
+from parley.operators import briefs, diff, edits, glossary, intervals, maintenance, reports, search, signal, speakers, transcripts, vectors
 from parley.sources import carriers as C
+from parley.sources import files
 from parley.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -640,6 +641,97 @@ def _owner_windows(spark, sf_dir):
     return intervals.owner_class(spans, rows.where("channel = 'mic'"), rows.where("channel = 'system'"), ["meeting_id"], ["idx"]).select("meeting_id", "idx", "kind")
 
 
+# -- Further joins and reports ------------------------------------------------------------------
+
+
+@_query("j2_far_twin", f"""
+    WITH seg AS (SELECT *, list_slice({_WORDS}, 1, 40) AS words FROM ({C.SEGMENTS_SQL}) WHERE meeting_id < 40),
+         p AS (SELECT m.meeting_id, m.idx, s.idx AS r_idx, greatest(0, m.start_ms - s.end_ms, s.start_ms - m.end_ms) AS gap, m.words AS a, s.words AS b, list_distinct(list_concat(m.words, s.words)) AS d FROM seg m JOIN seg s ON m.meeting_id = s.meeting_id AND m.channel = 'mic' AND s.channel = 'system'),
+         q AS (SELECT meeting_id, idx, r_idx, gap, round({_LEV}, 9) AS similarity FROM p WHERE gap >= 3000)
+    SELECT meeting_id, idx, r_idx, gap, similarity FROM q QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY similarity DESC, gap DESC, r_idx) = 1""")
+def _far_twin(spark, sf_dir):
+    rows = _short(spark, sf_dir).where("meeting_id < 40").withColumn("words", T.words(F.col("text")))
+    similarity = F.round(T.word_similarity(F.col("words"), F.col("r_words")), 9)
+    return intervals.far_twin(rows.where("channel = 'mic'"), rows.where("channel = 'system'"), similarity, ["meeting_id"], ["idx"], "r_idx", 3000).select("meeting_id", "idx", "r_idx", "gap", "similarity")
+
+
+@_query("j8_doubled_text", f"""
+    WITH seg AS (SELECT *, list_distinct({_WORDS}) AS w FROM ({C.SEGMENTS_SQL}))
+    SELECT m.meeting_id, m.idx FROM seg m WHERE m.channel = 'mic' AND EXISTS (SELECT 1 FROM seg s WHERE s.meeting_id = m.meeting_id AND s.channel = 'system' AND m.start_ms < s.end_ms AND s.start_ms < m.end_ms
+      AND CASE WHEN greatest(len(m.w), len(s.w)) = 0 THEN 0 ELSE len(list_intersect(m.w, s.w))::DOUBLE / greatest(len(m.w), len(s.w)) END >= 0.1)""")
+def _doubled(spark, sf_dir):
+    rows = C.segments(spark, sf_dir).withColumn("words", T.words(F.col("text")))
+    likeness = T.likeness(F.col("words"), F.col("r_words"))
+    return intervals.doubled(rows.where("channel = 'mic'"), rows.where("channel = 'system'"), likeness, ["meeting_id"], ["idx"], 0.1).select("meeting_id", "idx")
+
+
+@_query("j6_silent_speakers", f"""
+    WITH s AS (SELECT meeting_id, speaker_id, count(*) AS replies, sum(greatest(end_ms - start_ms, 0))::BIGINT AS ms FROM ({C.SEGMENTS_SQL}) WHERE speaker_id <> '' GROUP BY ALL),
+         l AS (SELECT DISTINCT conv_id AS meeting_id, n.name AS speaker_id, n.i FROM conversations, (VALUES ('user', 0), ('guest', 1), ('assistant', 2), ('a guest', 3)) AS n(name, i))
+    SELECT meeting_id, speaker_id, coalesce(replies, 0) AS replies, row_number() OVER (PARTITION BY meeting_id ORDER BY CASE WHEN ms IS NULL THEN 1 ELSE 0 END, ms DESC, CASE WHEN ms IS NULL THEN i END, speaker_id) - 1 AS position FROM l FULL JOIN s USING (meeting_id, speaker_id)""")
+def _silent(spark, sf_dir):
+    names = spark.createDataFrame([("user", 0), ("guest", 1), ("assistant", 2), ("a guest", 3)], "speaker_id string, sort_index int")
+    people = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting_id")).distinct().crossJoin(F.broadcast(names))
+    return speakers.with_silent(_speaker_stats(spark, sf_dir), people).select("meeting_id", "speaker_id", "replies", "position")
+
+
+@_query("a19_plain_correlation", f"""
+    WITH e AS (SELECT session_id, (ts_ms // 3600000)::BIGINT AS pos, sum(CASE WHEN kind = 'click' THEN level ELSE 0 END) AS v, sum(CASE WHEN kind <> 'click' THEN level ELSE 0 END) AS w FROM ({C.LEVELS_SQL}) GROUP BY ALL)
+    SELECT session_id, round(CASE WHEN sum(v * v) * sum(w * w) > 0 THEN sum(v * w) / sqrt(sum(v * v) * sum(w * w)) ELSE 0 END, 6) AS corr FROM e GROUP BY 1""")
+def _plain_correlation(spark, sf_dir):
+    part = lambda hit, name: F.sum(F.when(hit, F.col("level")).otherwise(0.0)).alias(name)
+    rows = C.levels(spark, sf_dir).groupBy("session_id", F.floor(F.col("ts_ms") / 3_600_000).alias("at")).agg(part(F.col("kind") == "click", "v"), part(F.col("kind") != "click", "w"))
+    return signal.plain_correlation(rows, ["session_id"]).select("session_id", F.round("corr", 6).alias("corr"))
+
+
+@_query("a28_spans", f"SELECT meeting_id, sum(end_ms - start_ms)::BIGINT AS total_ms, (max(end_ms) - min(start_ms))::BIGINT AS wall_ms, count(DISTINCT speaker_id) AS labels FROM ({C.SEGMENTS_SQL}) GROUP BY 1")
+def _spans(spark, sf_dir):
+    rows = C.segments(spark, sf_dir)
+    return rows.groupBy("meeting_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("total_ms"), (F.max("end_ms") - F.min("start_ms")).alias("wall_ms"), F.count_distinct("speaker_id").alias("labels"))
+
+
+@_query("w9_drift", f"""
+    WITH l AS (SELECT session_id, event_id AS pos, (level // 10)::BIGINT AS lag FROM ({C.LEVELS_SQL})), d AS (SELECT *, lag - lag(lag) OVER (PARTITION BY session_id ORDER BY pos) AS step FROM l)
+    SELECT session_id, max(lag) - min(lag) > 100 AND 2 * greatest(count(*) FILTER (step >= 0), count(*) FILTER (step <= 0)) >= count(*) AS drifts FROM d GROUP BY 1""")
+def _drift(spark, sf_dir):
+    rows = C.levels(spark, sf_dir).select("session_id", F.col("event_id").alias("at"), F.floor(F.col("level") / 10).alias("lag"))
+    return signal.drift(rows, ["session_id"])
+
+
+@_query("w13_after_last_marker", f"""
+    WITH l AS ({C.LEVELS_SQL}), m AS (SELECT session_id, max(ts_ms) AS from_ms FROM l WHERE kind = 'error' GROUP BY 1) SELECT session_id, event_id FROM l JOIN m USING (session_id) WHERE ts_ms >= from_ms""")
+def _after_marker(spark, sf_dir):
+    return files.after_last_marker(C.levels(spark, sf_dir), "error", ("session_id",)).select("session_id", "event_id")
+
+
+@_query("s21_rotated", f"SELECT event_id FROM ({C.LEVELS_SQL}) ORDER BY ts_ms DESC LIMIT 200")
+def _rotated(spark, sf_dir):
+    return files.rotated(C.levels(spark, sf_dir), 200).select("event_id")
+
+
+@_query("s24_markdown_names", f"SELECT event_id, concat(strftime(ts, '%Y-%m-%d'), '-', substr(user_id::VARCHAR, 1, 8), '-', event_type, '.md') AS name FROM events")
+def _markdown(spark, sf_dir):
+    return C.levels(spark, sf_dir).select("event_id", S.markdown_name(F.col("ts_ms"), F.col("session_id"), F.col("kind")).alias("name"))
+
+
+@_query("g6_promotable_terms", f"""
+    WITH e AS (SELECT conv_id AS meeting_id, turn, CASE WHEN turn % 2 = 0 THEN 'Small Ring' ELSE 'red bolt' END AS original_text FROM conversations), t AS ({C.TERMS_SQL})
+    SELECT e.meeting_id, turn, t.id AS term_id FROM e JOIN t ON lower(t.surface) = lower(original_text) AND t.kind <> 1 AND (t.scope = 'global' OR t.meeting_id = e.meeting_id)""")
+def _promotable(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting_id"), "turn", F.when(F.col("turn") % 2 == 0, "Small Ring").otherwise("red bolt").alias("original_text"))
+    return edits.promotable(rows, C.terms(spark, sf_dir)).select("meeting_id", "turn", "term_id")
+
+
+@_query("g8_bulk_edits")
+def _bulk(spark, sf_dir):
+    return edits.bulk_edits(C.segments(spark, sf_dir), C.edits(spark, sf_dir), "the", "THE").select("meeting_id", "channel", "start_ms", "edited_text")
+
+
+@_query("g11_briefs")
+def _briefs(spark, sf_dir):
+    return briefs.brief(_rendered(spark, sf_dir), ["the", "que"])
+
+
 def queries() -> dict[str, Query]:
     """Every query by name."""
     return dict(_QUERIES)
