@@ -37,12 +37,12 @@ _TOKENS = r"list_filter(string_split_regex({0}, '[^\p{{L}}\p{{N}}]+'), lambda w:
 # -- Scans, projections and filters -------------------------------------------------------------
 
 
-@_query("s2_list_chunks", f"SELECT session_id, channel, seq, ts_ms, row_number() OVER (PARTITION BY session_id ORDER BY channel, seq, ts_ms, duration_ms) AS position FROM ({C.CHUNKS_SQL}) WHERE session_id < 500")
+@_query("s2_list_chunks", f"SELECT session_id, channel, seq, ts_ms, row_number() OVER (PARTITION BY session_id ORDER BY channel, seq, ts_ms, duration_ms) AS position FROM ({C.CHUNKS_SQL})")
 def _list_chunks(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("session_id").orderBy("channel", "seq", "ts_ms", "duration_ms")
-    return C.chunks(spark, sf_dir).where("session_id < 500").select("session_id", "channel", "seq", "ts_ms", F.row_number().over(order).cast("long").alias("position"))
+    return C.chunks(spark, sf_dir).select("session_id", "channel", "seq", "ts_ms", F.row_number().over(order).cast("long").alias("position"))
 
 
 @_query("s3_captions", f"SELECT session_id, id, phase, row_number() OVER (PARTITION BY session_id ORDER BY created_at_ms, id) AS position FROM ({C.CAPTIONS_SQL})")
@@ -85,24 +85,9 @@ def _stale(spark, sf_dir):
 
 # -- Joins -----------------------------------------------------------------------------------------
 
-_LEV = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 1 - levenshtein(array_to_string(list_transform(a, lambda w: chr((33 + list_position(d, w))::INTEGER)), ''), array_to_string(list_transform(b, lambda w: chr((33 + list_position(d, w))::INTEGER)), ''))::DOUBLE / greatest(len(a), len(b)) END"
-_TWINS = f"""
-    seg AS (SELECT *, list_slice({_WORDS}, 1, 40) AS words FROM ({C.SEGMENTS_SQL})),
-    pairs AS (SELECT m.meeting_id, m.idx, s.idx AS r_idx, least(m.end_ms, s.end_ms) - greatest(m.start_ms, s.start_ms) AS overlap, m.words AS a, s.words AS b, list_distinct(list_concat(m.words, s.words)) AS d
-              FROM seg m JOIN seg s ON m.meeting_id = s.meeting_id AND m.channel = 'mic' AND s.channel = 'system' AND m.start_ms < s.end_ms AND s.start_ms < m.end_ms),
-    scored AS (SELECT meeting_id, idx, r_idx, overlap, round({_LEV}, 9) AS similarity, least(len(a), len(b)) AS shorter FROM pairs),
-    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY similarity DESC, overlap DESC, r_idx) = 1)"""
-
-
-def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with texts of 40 words at most: the SQL twin codes words as single ASCII characters."""
-    rows = C.segments(spark, sf_dir)
-    return rows.withColumn("text", F.array_join(F.slice(T.words(F.col("text")), 1, 40), " "))
-
-
-@_query("j1_best_twin", f"WITH {_TWINS} SELECT meeting_id, idx, r_idx, overlap, similarity, shorter::INTEGER AS shorter FROM best")
+@_query("j1_best_twin")
 def _best_twin(spark, sf_dir):
-    return transcripts.twins(_short(spark, sf_dir)).select("meeting_id", "idx", "r_idx", "overlap", F.round("similarity", 9).alias("similarity"), "shorter")
+    return transcripts.twins(C.segments(spark, sf_dir)).select("meeting_id", "idx", "r_idx", "overlap", F.round("similarity", 9).alias("similarity"), "shorter")
 
 
 @_query("j9_total_overlap", f"""
@@ -159,9 +144,9 @@ def _summaries(spark, sf_dir):
     return maintenance.summaries(meetings, C.versions(spark, sf_dir), C.artifacts(spark, sf_dir))
 
 
-@_query("j5_speaker_names", "SELECT s_suppkey AS id, coalesce(n_name, '') AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey < 20")
+@_query("j5_speaker_names", "SELECT s_suppkey AS id, coalesce(n_name, '') AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
 def _names(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    names = table(spark, sf_dir, "nation")
     both = table(spark, sf_dir, "supplier").join(F.broadcast(names), F.col("n_nationkey") == F.col("s_nationkey"), "left")
     return both.select(F.col("s_suppkey").alias("id"), F.coalesce("n_name", F.lit("")).alias("name"))
 
@@ -193,20 +178,14 @@ def _next_version(spark, sf_dir):
     return maintenance.next_version(C.versions(spark, sf_dir))
 
 
-@_query("a11_collapse_report", f"""
-    WITH {_TWINS}, t AS (SELECT meeting_id, count(*) AS segments, count(*) FILTER (channel = 'mic') AS mic_total, count(*) FILTER (channel = 'system') AS system_total FROM seg GROUP BY 1),
-         p AS (SELECT meeting_id, count(*) AS paired, count(*) FILTER (similarity >= 0.02 AND shorter >= 4) AS collapsed, count(*) FILTER (similarity >= 0.02 AND shorter < 4) AS kept_short FROM best GROUP BY 1)
-    SELECT meeting_id, segments, mic_total, system_total, coalesce(paired, 0) AS paired, coalesce(collapsed, 0) AS collapsed, coalesce(kept_short, 0) AS kept_short,
-           mic_total - coalesce(paired, 0) AS lonely_mic, segments - coalesce(collapsed, 0) AS kept FROM t LEFT JOIN p USING (meeting_id)""")
+@_query("a11_collapse_report")
 def _collapse_report(spark, sf_dir):
-    return transcripts.collapse_report(_short(spark, sf_dir), 0.02)
+    return transcripts.collapse_report(C.segments(spark, sf_dir), 0.02)
 
 
-@_query("a13_threshold_sweep", f"""
-    WITH {_TWINS} SELECT threshold::DOUBLE AS threshold, count(*) FILTER (similarity >= threshold) AS pairs, sum(CASE WHEN similarity >= threshold THEN shorter ELSE 0 END)::BIGINT AS words
-    FROM best, (VALUES (0.01), (0.03), (0.05), (0.1), (0.2), (0.4)) AS t(threshold) GROUP BY 1""")
+@_query("a13_threshold_sweep")
 def _sweep(spark, sf_dir):
-    return reports.threshold_sweep(transcripts.twins(_short(spark, sf_dir)), [0.01, 0.03, 0.05, 0.1, 0.2, 0.4])
+    return reports.threshold_sweep(transcripts.twins(C.segments(spark, sf_dir)), [0.01, 0.03, 0.05, 0.1, 0.2, 0.4])
 
 
 @_query("a15_histogram", "SELECT label, least(floor((embedding[1] + 1) / 2 * 10), 9)::INTEGER AS bucket, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -240,7 +219,7 @@ def _token_counts(spark, sf_dir):
 
 _MINED = f"""
     WITH {_COUNTS}, head AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY occurrences DESC, key) <= 20),
-         known AS (SELECT DISTINCT lower(unnest({_TOKENS.format('text')})) AS key FROM benchmark WHERE item_id < 3),
+         known AS (SELECT DISTINCT lower(unnest({_TOKENS.format('text')})) AS key FROM benchmark),
          ruled AS (SELECT c.*, CASE WHEN regexp_matches(c.surface, '[A-Za-z]') AND NOT regexp_matches(regexp_replace(c.surface, '[A-Za-z]', '', 'g'), '\\p{{L}}') THEN 'latin'
                                     WHEN length(regexp_replace(c.surface, '[^\\p{{L}}]', '', 'g')) >= 2 AND regexp_full_match(regexp_replace(c.surface, '[^\\p{{L}}]', '', 'g'), '\\p{{Lu}}+') THEN 'acronym'
                                     WHEN c.occurrences >= 3 AND h.key IS NULL AND length(c.key) >= 4 THEN 'repeated' END AS rule
@@ -249,7 +228,7 @@ _MINED = f"""
 
 @_query("g4_mined_terms", f"{_MINED} SELECT meeting_id, surface, occurrences, rule, row_number() OVER (PARTITION BY meeting_id ORDER BY occurrences DESC, surface) - 1 AS position FROM ruled WHERE rule IS NOT NULL")
 def _mined(spark, sf_dir):
-    known = table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("key"))
+    known = table(spark, sf_dir, "benchmark").select(F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("key"))
     return glossary.mined(C.segments(spark, sf_dir), known, ["meeting_id"], 3, 20).select("meeting_id", "surface", "occurrences", "rule", "position")
 
 
@@ -381,9 +360,9 @@ def _f5(spark, sf_dir):
 # -- Compound operators -------------------------------------------------------------------------
 
 
-@_query("g1_collapsed", f"WITH {_TWINS} SELECT meeting_id, idx FROM seg WHERE (meeting_id, idx) NOT IN (SELECT (meeting_id, idx) FROM best WHERE similarity >= 0.02 AND shorter >= 4)")
+@_query("g1_collapsed")
 def _collapsed(spark, sf_dir):
-    return transcripts.collapsed(_short(spark, sf_dir), 0.02).select("meeting_id", "idx")
+    return transcripts.collapsed(C.segments(spark, sf_dir), 0.02).select("meeting_id", "idx")
 
 
 @_query("g10_assembled")
@@ -494,9 +473,9 @@ def _calendar(spark, sf_dir):
     return C.levels(spark, sf_dir).select("event_id", kind.alias("kind"))
 
 
-@_query("f15_long_pairs", f"WITH {_TWINS} SELECT meeting_id, idx FROM best WHERE shorter >= 20")
+@_query("f15_long_pairs")
 def _long_pairs(spark, sf_dir):
-    return transcripts.twins(_short(spark, sf_dir)).where("shorter >= 20").select("meeting_id", "idx")
+    return transcripts.twins(C.segments(spark, sf_dir)).where("shorter >= 20").select("meeting_id", "idx")
 
 
 @_query("a2_counts", f"SELECT session_id, channel, count(*) AS chunks, sum(duration_ms)::BIGINT AS ms, min(ts_ms)::INTEGER AS start_ms, count(DISTINCT rate) = 1 AS one_rate FROM ({C.CHUNKS_SQL}) GROUP BY ALL")
@@ -563,12 +542,12 @@ def _evidence(spark, sf_dir):
 
 
 @_query("a18_lag_correlation", f"""
-    WITH e AS (SELECT session_id, (ts_ms // 3600000)::BIGINT AS pos, sum(CASE WHEN kind = 'click' THEN level ELSE 0 END) AS v, sum(CASE WHEN kind <> 'click' THEN level ELSE 0 END) AS w FROM ({C.LEVELS_SQL}) WHERE session_id < 20 GROUP BY ALL),
+    WITH e AS (SELECT session_id, (ts_ms // 3600000)::BIGINT AS pos, sum(CASE WHEN kind = 'click' THEN level ELSE 0 END) AS v, sum(CASE WHEN kind <> 'click' THEN level ELSE 0 END) AS w FROM ({C.LEVELS_SQL}) GROUP BY ALL),
          l AS (SELECT a.session_id, lag, a.v, b.w FROM e a, generate_series(-2, 2) AS g(lag), e b WHERE a.session_id = b.session_id AND b.pos = a.pos + lag)
     SELECT session_id, lag::INTEGER AS lag, count(*) AS pairs FROM l GROUP BY ALL""")
 def _lags(spark, sf_dir):
     part = lambda hit: F.sum(F.when(hit, F.col("level")).otherwise(0.0)).alias("v")
-    rows = C.levels(spark, sf_dir).where("session_id < 20").groupBy("session_id", F.floor(F.col("ts_ms") / 3_600_000).alias("at"))
+    rows = C.levels(spark, sf_dir).groupBy("session_id", F.floor(F.col("ts_ms") / 3_600_000).alias("at"))
     a, b = rows.agg(part(F.col("kind") == "click")), rows.agg(part(F.col("kind") != "click"))
     return signal.lag_correlation(a, b, ["session_id"], 2).select("session_id", "lag", "pairs")
 
@@ -644,13 +623,9 @@ def _owner_windows(spark, sf_dir):
 # -- Further joins and reports ------------------------------------------------------------------
 
 
-@_query("j2_far_twin", f"""
-    WITH seg AS (SELECT *, list_slice({_WORDS}, 1, 40) AS words FROM ({C.SEGMENTS_SQL}) WHERE meeting_id < 40),
-         p AS (SELECT m.meeting_id, m.idx, s.idx AS r_idx, greatest(0, m.start_ms - s.end_ms, s.start_ms - m.end_ms) AS gap, m.words AS a, s.words AS b, list_distinct(list_concat(m.words, s.words)) AS d FROM seg m JOIN seg s ON m.meeting_id = s.meeting_id AND m.channel = 'mic' AND s.channel = 'system'),
-         q AS (SELECT meeting_id, idx, r_idx, gap, round({_LEV}, 9) AS similarity FROM p WHERE gap >= 3000)
-    SELECT meeting_id, idx, r_idx, gap, similarity FROM q QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY similarity DESC, gap DESC, r_idx) = 1""")
+@_query("j2_far_twin")
 def _far_twin(spark, sf_dir):
-    rows = _short(spark, sf_dir).where("meeting_id < 40").withColumn("words", T.words(F.col("text")))
+    rows = C.segments(spark, sf_dir).withColumn("words", T.words(F.col("text")))
     similarity = F.round(T.word_similarity(F.col("words"), F.col("r_words")), 9)
     return intervals.far_twin(rows.where("channel = 'mic'"), rows.where("channel = 'system'"), similarity, ["meeting_id"], ["idx"], "r_idx", 3000).select("meeting_id", "idx", "r_idx", "gap", "similarity")
 

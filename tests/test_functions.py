@@ -99,3 +99,34 @@ def test_correlation_and_smoothing(spark):
     best = signal.lag_correlation(a, b, ["k"], 2).where("best").first()
     assert best.lag == 2 and best.corr == pytest.approx(1.0)
     assert one(spark, signal.smoothed(F.array(F.lit(2.0), F.lit(2.0)))) == [1.25, 1.4375]
+
+
+def test_twins_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(m, i, s := rng.randrange(0, 90_000), s + rng.randrange(0, 9000), rng.choice(("mic", "system")), "a", " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 9)))) for m in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "meeting_id long, idx long, start_ms long, end_ms long, channel string, speaker_id string, text string")
+
+    def distance(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, line[0] = line[0], i
+            for j, y in enumerate(b, 1):
+                last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+        return line[-1]
+
+    def likeness(a, b):
+        x, y = a.split(), b.split()
+        return 1 - distance(x, y) / max(len(x), len(y)) if x and y else 0.0
+
+    wanted = {}
+    for m, i, s, e, c, _, t in rows:
+        if c == "mic":
+            far = [(-likeness(t, r[6]), -(min(e, r[3]) - max(s, r[2])), r[1]) for r in rows if r[0] == m and r[4] == "system" and min(e, r[3]) > max(s, r[2])]
+            if far:
+                wanted[m, i] = min(far)
+    got = {(r.meeting_id, r.idx): r for r in transcripts.twins(df).collect()}
+    assert got.keys() == wanted.keys()
+    for k, (similarity, overlap, other) in wanted.items():
+        assert got[k].r_idx == other and got[k].overlap == -overlap and got[k].similarity == pytest.approx(-similarity)
