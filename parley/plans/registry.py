@@ -666,7 +666,7 @@ def _spans(spark, sf_dir):
 
 
 @_query("w9_drift", f"""
-    WITH l AS (SELECT session_id, event_id AS pos, (level // 10)::BIGINT AS lag FROM ({C.LEVELS_SQL})), d AS (SELECT *, lag - lag(lag) OVER (PARTITION BY session_id ORDER BY pos) AS step FROM l)
+    WITH l AS (SELECT session_id, event_id AS pos, floor(level / 10)::BIGINT AS lag FROM ({C.LEVELS_SQL})), d AS (SELECT *, lag - lag(lag) OVER (PARTITION BY session_id ORDER BY pos) AS step FROM l)
     SELECT session_id, max(lag) - min(lag) > 100 AND 2 * greatest(count(*) FILTER (step >= 0), count(*) FILTER (step <= 0)) >= count(*) AS drifts FROM d GROUP BY 1""")
 def _drift(spark, sf_dir):
     rows = C.levels(spark, sf_dir).select("session_id", F.col("event_id").alias("at"), F.floor(F.col("level") / 10).alias("lag"))

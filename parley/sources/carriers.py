@@ -35,7 +35,7 @@ CHUNKS_SQL = """
   SELECT l_orderkey AS session_id, CASE WHEN l_returnflag = 'R' THEN 'mic' ELSE 'system' END AS channel, l_linenumber AS seq,
          l_linenumber * 500 AS ts_ms, CASE WHEN l_quantity < 25 THEN 400 ELSE 500 END AS duration_ms, 16000 AS rate FROM lineitem"""
 LEVELS_SQL = """
-  SELECT user_id AS session_id, epoch_ms(ts) AS ts_ms, event_id, event_type AS kind, value * 20 AS level FROM events"""
+  SELECT user_id AS session_id, epoch_us(ts) // 1000 AS ts_ms, event_id, event_type AS kind, value * 20 AS level FROM events"""
 PRINTS_SQL = """
   SELECT vec_id AS id, concat('s', label) AS speaker_id, embedding AS vector, CASE WHEN vec_id % 5 = 0 THEN 'human' WHEN vec_id % 5 = 1 THEN 'voiceprint' ELSE 'channel' END AS source,
          1000 + vec_id % 7 * 100 AS ms FROM embeddings"""
