@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import kernels as K
+from parley.llm import storage
 
 ORDER = 3
 #: Expected bound on the texts of a language that the statistics are learned from.
@@ -123,7 +124,7 @@ def fit(labelled: DataFrame, order: int = ORDER, texts_per_language: int = TEXTS
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(texts_per_language)) / F.col("n"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    part = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(draw < F.col("share"))
+    part = rows.join(storage.broadcast_if_small(counts.select("lang", share.alias("share"))), "lang").where(draw < F.col("share"))
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     set is its distinct ``width``-word shingles after lower-casing A-Z; words are runs of characters
     other than space and \\t to \\r; a shorter text has one shingle, all its words. Null and empty
     texts, and texts without a word, are linked with nothing. Rows with the same id are one
-    document. An empty table gives no rows; other columns are not read.
+    document. A row without an id has the component of equal sets, if any, and a null ``kept``. An empty table gives no rows; other columns are not read.
 
     Equal sets become one node. A node is posted under its rarest signature coordinates; pairs of a
     posting list that collide often enough are confirmed on whole sets. Long lists are dealt over
