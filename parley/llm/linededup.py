@@ -14,28 +14,41 @@ from parley.llm import storage
 #: generalised template the least tokens and the share of them that must agree (in tenths).
 MIN_DOCS, DEPTH = 10, 3
 MIN_TOKENS, AGREE_TENTHS = 6, 7
-SPACE = "[ \\t-\\r]+"
 VARIABLE = "<*>"
 
 
 def _masked(line: Column) -> Column:
     """The line with its runs of digits as variable fields and its white space as single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", VARIABLE), SPACE, " "))
+    masked = F.regexp_replace(F.trim(F.regexp_replace(line, "[ \\t-\\r]+", " ")), "[0-9]+", VARIABLE)
+    return F.when(line.rlike("[0-9\\t-\\r]|  "), masked).otherwise(F.trim(line))  # most lines need one scan alone
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with a token: row key, doc_id, place, masked line, template and leaf."""
-    rows = docs.select(_row(), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    rows = rows.select("row", "doc_id", "place", _masked(F.col("line")).alias("masked")).where("masked <> ''")
-    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    return rows.select("row", "doc_id", "place", "masked", size.alias("size"), F.xxhash64("masked").alias("template")).withColumn("leaf", F.xxhash64("size", F.substring_index("masked", " ", DEPTH)))
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
-def _row() -> Column:
-    return F.xxhash64("doc_id", "text").alias("row")
+def line_table(docs: DataFrame) -> DataFrame:
+    """Every line with a token, without its text: row key, doc_id, place, number of tokens, template and leaf.
+
+    It is written once; all counts are made from it, so the texts are cut and masked only once.
+    """
+    rows = docs.select(_row().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    rows = rows.select("row", "doc_id", "place", _masked(F.col("line")).alias("masked"))
+    size = F.when(F.col("masked") == "", 0).otherwise(F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1)
+    made = rows.select("row", "doc_id", "place", size.alias("size"), F.xxhash64("masked").alias("template"), F.xxhash64(size, F.substring_index("masked", " ", DEPTH)).alias("leaf"))
+    return storage.written(made).where("size > 0")
+
+
+def _texts(docs: DataFrame, lines: DataFrame, wide: DataFrame) -> DataFrame:
+    """Template, leaf and tokens of the lines of wide leaves, read from one line of each template."""
+    chosen = lines.join(storage.broadcast_if_small(wide), "leaf", "left_semi").groupBy("template", "leaf").agg(F.min(F.struct("row", "place")).alias("at"))
+    chosen = storage.written(chosen.groupBy("at.row").agg(F.collect_list(F.struct("at.place", "template", "leaf")).alias("wanted")))
+    sources = docs.select(_row().alias("row"), "text").join(storage.limited_broadcast(chosen), "row").select("row", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    masked = _masked(F.get(F.col("lines"), F.col("w.place")))
+    return sources.dropDuplicates(["w"]).select("w.template", "w.leaf", F.split(masked, " ").alias("tokens"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Masked lines (by hash, as ``template``) of recurring templates, with the first document of each.
 
     The tree has a level for the number of tokens and one for each leading token. In a leaf, lines
@@ -44,14 +57,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     and the lines that agree with it in enough places become one template with variable fields at
     the others.
     """
-    lines = _lines(docs)
     each = lines.groupBy("template", "leaf", "size", "doc_id").agg(F.lit(1).alias("one"))
     exact = each.groupBy("template", "leaf", "size").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
     exact = storage.written(exact)
     wide = exact.where(F.col("size") >= MIN_TOKENS).groupBy("leaf").agg(F.sum("docs").alias("n"), F.min("template").alias("low"), F.max("template").alias("high"))
-    wide = storage.written(wide.where((F.col("n") >= min_docs) & (F.col("low") < F.col("high"))).select("leaf"))
-    texts = lines.where(F.col("size") >= MIN_TOKENS).join(wide, "leaf", "left_semi").groupBy("template", "leaf").agg(F.first("masked").alias("masked"))
-    members = storage.written(exact.join(texts, ["template", "leaf"]).select("template", "leaf", "size", "first_doc", "docs", F.split("masked", " ").alias("tokens")))
+    wide = wide.where((F.col("n") >= min_docs) & (F.col("low") < F.col("high"))).select("leaf")
+    texts = storage.written(_texts(docs, lines, wide))
+    members = storage.written(texts.join(exact, ["template", "leaf"]))
     votes = members.select("leaf", "docs", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n"))
     common = votes.groupBy("leaf", "at").agg(F.min_by("token", F.struct((-F.col("n")).alias("n"), "token")).alias("token"))
     shape = common.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("shape"))
@@ -74,11 +86,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     names n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    recurring = storage.written(recurring_lines(docs, min_docs))
-    hits = _lines(docs).select("row", "doc_id", "place", "template").join(recurring, "template")
+    lines = line_table(docs)
+    recurring = storage.broadcast_if_small(recurring_lines(docs, lines, min_docs))
+    hits = lines.select("row", "doc_id", "place", "template").join(recurring, "template")
     hits = hits.where(F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(True)))
-    drops = storage.written(hits.groupBy("row").agg(F.collect_set("place").alias("_drops")))
-    lost = docs.withColumns({"_row": _row(), "_lines": F.split("text", "\n")}).join(drops.withColumnRenamed("row", "_row"), "_row", "left")
+    drops = hits.groupBy(F.col("row").alias("_row")).agg(F.collect_set("place").alias("_drops"))
+    lost = docs.withColumns({"_row": _row(), "_lines": F.split("text", "\n")}).join(storage.limited_broadcast(storage.written(drops)), "_row", "left")
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
     left = F.array_join(F.transform(places, lambda i: F.get(F.col("_lines"), i)), "\n")
     changed = {

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table of ids that are broadcast at most.
+#: Rows of a table of ids that are broadcast at most; of a table with an array column, its items.
 BROADCAST_IDS = 1_000_000
 SETTING = "spark.checkpoint.dir"
 
@@ -34,3 +34,10 @@ def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """A one-column table of ids, marked for broadcast if it is counted to be small; else it is joined by a shuffle."""
     ids = written(ids)
     return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def limited_broadcast(written_rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table whose array column has ``most`` items in all at most, marked for broadcast; else it is joined by a shuffle."""
+    array = next(f.name for f in written_rows.schema.fields if f.dataType.typeName() == "array")
+    items = written_rows.agg(F.coalesce(F.sum(F.size(array)), F.lit(0))).first()[0]
+    return F.broadcast(written_rows) if items <= most else written_rows
