@@ -84,3 +84,15 @@ def stale(artifacts: DataFrame, versions: DataFrame) -> DataFrame:
     """artifacts with whether a later version than theirs exists."""
     now = versions.groupBy("meeting_id").agg(F.max("version").alias("_latest"))
     return artifacts.join(now, "meeting_id", "left").withColumn("stale", F.coalesce(F.col("source_version") != F.col("_latest"), F.lit(False))).drop("_latest")
+
+
+def latest_spans(segments: DataFrame, channel: str) -> DataFrame:
+    """Spans of one channel in the latest version of each meeting."""
+    now = segments.groupBy("meeting_id").agg(F.max("version").alias("version"))
+    return segments.where(F.col("channel") == channel).join(now, ["meeting_id", "version"], "left_semi").select("meeting_id", "idx", "start_ms", "end_ms")
+
+
+def preferred(files: DataFrame, priority: list[str]) -> DataFrame:
+    """The file (name) that comes first in a list of names, else the first by name."""
+    place = F.array_position(F.array(*map(F.lit, priority)), F.col("name"))
+    return files.agg(F.min_by("name", F.struct(F.when(place == 0, len(priority) + 1).otherwise(place).alias("place"), "name")).alias("name"))

@@ -100,6 +100,11 @@ def agree(hypotheses: Column) -> Column:
     return F.aggregate(hypotheses, start, step, lambda s: s["all"])
 
 
+def _corr() -> Column:
+    """Pearson correlation of v and w, null without variance (the built-in one divides by it)."""
+    return F.try_divide(F.covar_pop("v", "w"), F.stddev_pop("v") * F.stddev_pop("w"))
+
+
 def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Pearson correlation of two envelopes (at, v) at each lag; 0 for under two pairs or no variance.
 
@@ -108,7 +113,7 @@ def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], most: int) -> D
     moved = a.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_at", F.col("at") + F.col("lag"))
     pairs = moved.join(b.select(*keys, F.col("at").alias("_at"), F.col("v").alias("w")), [*keys, "_at"])
     flat = (F.count("*") < 2) | (F.stddev_pop("v") == 0) | (F.stddev_pop("w") == 0)
-    value = F.when(flat, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr("v", "w"))))
+    value = F.when(flat, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _corr())))
     found = pairs.groupBy(*keys, "lag").agg(F.count("*").alias("pairs"), F.round(value, 9).alias("corr"))
     order = Window.partitionBy(*keys).orderBy(F.desc("corr"), "lag")
     return found.withColumn("best", (F.row_number().over(order) == 1) & (F.col("corr") > 0))
@@ -137,3 +142,39 @@ def sub_words(tokens: DataFrame, keys: list[str]) -> DataFrame:
     rows = tokens.where(F.trim("piece") != "").withColumn("_s", starts.cast("int")).withColumn("word", F.sum("_s").over(order) - 1)
     made = rows.groupBy(*keys, "word").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]), "")).alias("text"), F.max_by("end_ms", "at").alias("end_ms"))
     return made.where("text <> ''")
+
+
+def minute_match(a: DataFrame, b: DataFrame, keys: list[str], size: int = 60) -> DataFrame:
+    """Correlation of two envelopes (at, v) in each tumbling window of ``size`` places that both fill."""
+    both = a.join(b.select(*keys, "at", F.col("v").alias("w")), [*keys, "at"])
+    flat = (F.stddev_pop("v") == 0) | (F.stddev_pop("w") == 0)
+    made = both.groupBy(*keys, F.floor(F.col("at") / size).alias("window")).agg(F.count("*").alias("n"), F.round(F.when(flat, 0.0).otherwise(_corr()), 9).alias("corr"))
+    return made.where(F.col("n") == size).drop("n")
+
+
+def gate_report(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Of gated frames the median and peak of the floor, its median in the last third, and acceptance by the gate and by a fixed 450."""
+    order = Window.partitionBy(*keys).orderBy("ts_ms")
+    rows = frames.withColumn("_n", F.row_number().over(order) - 1).withColumn("_total", F.count("*").over(Window.partitionBy(*keys)))
+    tail = 3 * F.col("_n") >= 2 * F.col("_total")
+    median = lambda c: F.get(F.sort_array(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
+    return rows.groupBy(*keys).agg(median(F.col("floor")).alias("median_floor"), median(F.when(tail, F.col("floor"))).alias("tail_floor"), F.max("floor").alias("peak_floor"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("level") > 450).alias("accepted_fixed"))
+
+
+def paced_inferences(frames: DataFrame, keys: list[str], base: int = 10, idle_rounds: int = 2, most: int = 3) -> DataFrame:
+    """Inferences that a session costs: one for each ``base`` accepted frames, less often after idle rounds.
+
+    After ``idle_rounds`` rounds without speech the pace slows by one more ``base`` up to ``most``;
+    speech brings it back. ``frames`` is gated; the fold runs over a session's frames in order.
+    """
+    state = F.struct(F.lit(0).alias("waited"), F.lit(0).alias("idle"), F.lit(1).alias("pace"), F.lit(0).alias("heard"), F.lit(0).alias("runs"))
+
+    def step(s: Column, accepted: Column) -> Column:
+        heard = F.when(accepted, 1).otherwise(s["heard"])
+        full = s["waited"] + 1 >= s["pace"] * base
+        idle = F.when(~full, s["idle"]).when(heard == 1, 0).otherwise(s["idle"] + 1)
+        pace = F.when(~full, s["pace"]).when(heard == 1, 1).when(idle >= idle_rounds, F.least(s["pace"] + 1, F.lit(most))).otherwise(s["pace"])
+        return F.struct(F.when(full, 0).otherwise(s["waited"] + 1).alias("waited"), idle.alias("idle"), pace.alias("pace"), F.when(full, 0).otherwise(heard).alias("heard"), (s["runs"] + F.when(full, 1).otherwise(0)).alias("runs"))
+
+    rows = frames.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts_ms", "accepted"))), lambda x: x["accepted"]).alias("a"))
+    return rows.select(*keys, F.aggregate("a", state, step, lambda s: s["runs"]).alias("inferences"))

@@ -76,3 +76,28 @@ def held_out(rows: DataFrame, accepts: list[float], margin: float = MARGIN) -> D
     ms = F.col("ms")
     both = tried.crossJoin(F.broadcast(levels))
     return both.groupBy("accept").agg(F.sum(F.when(named & right, ms).otherwise(0)).alias("named_ms"), F.sum(F.when(named & ~right, ms).otherwise(0)).alias("wrong_ms"), F.sum(F.when(~named, ms).otherwise(0)).alias("unknown_ms"))
+
+
+def remembered(rows: DataFrame, voices: DataFrame, accept: float = ACCEPT, margin: float = MARGIN) -> DataFrame:
+    """Rows without a label, with a vector, named by remembered voices of the same model.
+
+    ``rows`` has id, source, vector and model_id; ``voices`` has speaker_id, vector and model_id.
+    """
+    open_rows = rows.where((F.col("source") == "none") & F.col("vector").isNotNull())
+    known = voices.select(F.col("speaker_id").alias("best"), F.col("vector").alias("_print"), "model_id")
+    pairs = open_rows.join(known, "model_id").withColumn("similarity", scalars.cosine(F.col("vector"), F.col("_print")))
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "best")
+    ranked = pairs.select("id", "best", "similarity", F.row_number().over(order).alias("_n"), F.lead("similarity").over(order).alias("_next")).where("_n = 1")
+    ok = (F.col("similarity") >= accept) & (F.col("similarity") - F.coalesce("_next", F.lit(-1.0)) >= margin)
+    return ranked.where(ok).select("id", F.col("best").alias("speaker_id"), "similarity")
+
+
+def human_labels(segments: DataFrame, names: DataFrame) -> DataFrame:
+    """segments that a human gave a speaker, with the speaker's name, or '' if it has none."""
+    rows = segments.where((F.col("source") == "human") & (F.coalesce(F.col("speaker_id"), F.lit("")) != ""))
+    return rows.join(names.select("speaker_id", "display_name"), "speaker_id", "left").withColumn("display_name", F.coalesce("display_name", F.lit("")))
+
+
+def label_counts(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """segments without a speaker, and those that a human labelled."""
+    return segments.groupBy(*keys).agg(F.count_if(F.coalesce(F.col("speaker_id"), F.lit("")) == "").alias("unidentified"), F.count_if(F.col("source") == "human").alias("human_labelled"))

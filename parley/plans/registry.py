@@ -707,6 +707,53 @@ def _briefs(spark, sf_dir):
     return briefs.brief(_rendered(spark, sf_dir), ["the", "que"])
 
 
+@_query("f11_label_counts", f"SELECT speaker_id AS meeting_id, count(*) FILTER (id % 9 = 0) AS unidentified, count(*) FILTER (source = 'human') AS human_labelled FROM ({C.PRINTS_SQL}) GROUP BY 1")
+def _label_counts(spark, sf_dir):
+    rows = C.prints(spark, sf_dir).withColumn("meeting_id", F.col("speaker_id")).withColumn("speaker_id", F.when(F.col("id") % 9 != 0, F.col("speaker_id")))
+    return vectors.label_counts(rows, ["meeting_id"])
+
+
+@_query("f10_human_labels", f"SELECT p.id, p.speaker_id, coalesce(n_name, '') AS display_name FROM ({C.PRINTS_SQL}) p LEFT JOIN nation ON concat('s', n_nationkey) = p.speaker_id WHERE p.source = 'human'")
+def _human_labels(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey")).alias("speaker_id"), F.col("n_name").alias("display_name"))
+    return vectors.human_labels(C.prints(spark, sf_dir), names).select("id", "speaker_id", "display_name")
+
+
+@_query("w10_window_match", f"""
+    WITH e AS (SELECT session_id, event_id % 1000 AS pos, sum(CASE WHEN kind = 'click' THEN level ELSE 0 END) AS v, sum(level) AS w FROM (SELECT session_id % 3 AS session_id, event_id, kind, level FROM ({C.LEVELS_SQL})) GROUP BY ALL)
+    SELECT session_id, (pos // 10)::BIGINT AS "window", round(CASE WHEN stddev_pop(v) = 0 OR stddev_pop(w) = 0 THEN 0 ELSE corr(v, w) END, 6) AS corr FROM e GROUP BY ALL HAVING count(*) = 10""")
+def _window_match(spark, sf_dir):
+    rows = C.levels(spark, sf_dir).groupBy((F.col("session_id") % 3).alias("session_id"), (F.col("event_id") % 1000).alias("at"))
+    a = rows.agg(F.sum(F.when(F.col("kind") == "click", F.col("level")).otherwise(0.0)).alias("v"))
+    return signal.minute_match(a, rows.agg(F.sum("level").alias("v")), ["session_id"], 10).select("session_id", "window", F.round("corr", 6).alias("corr"))
+
+
+@_query("s40_latest_spans", f"""
+    WITH s AS (SELECT *, idx % 2 AS version FROM ({C.SEGMENTS_SQL})) SELECT meeting_id, idx, start_ms, end_ms FROM s WHERE channel = 'mic' AND version = (SELECT max(version) FROM s t WHERE t.meeting_id = s.meeting_id)""")
+def _latest_spans(spark, sf_dir):
+    return maintenance.latest_spans(C.segments(spark, sf_dir).withColumn("version", F.col("idx") % 2), "mic")
+
+
+@_query("o13_preferred_file", "SELECT first(p_name ORDER BY CASE p_name WHEN 'none' THEN 1 WHEN 'small ring' THEN 2 ELSE 3 END, p_name) AS name FROM part")
+def _preferred(spark, sf_dir):
+    return maintenance.preferred(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), ["none", "small ring"])
+
+
+@_query("a30_gate_report")
+def _gate_report(spark, sf_dir):
+    return signal.gate_report(_gate(spark, sf_dir), ["session_id"])
+
+
+@_query("g20_paced_inferences")
+def _paced(spark, sf_dir):
+    return signal.paced_inferences(_gate(spark, sf_dir), ["session_id"])
+
+
+@_query("g18_collapsed_text")
+def _collapsed_text(spark, sf_dir):
+    return transcripts.rendered(transcripts.collapsed(C.segments(spark, sf_dir), 0.5))
+
+
 def queries() -> dict[str, Query]:
     """Every query by name."""
     return dict(_QUERIES)

@@ -174,3 +174,33 @@ def persist(captions: DataFrame, path: str, checkpoint: str):
         rows.where(F.trim("text") != "").withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
 
     return captions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hold_step(state: dict, row: dict) -> list[dict]:
+    """Final texts one by one; one that may begin a hallucination (``hold``) waits and is joined with the next.
+
+    ``row`` has id, text, hold and drop: the flags of ``functions.text``. A text that is dropped
+    takes the held one with it.
+    """
+    held = state.pop("held", None)
+    text = row["text"] if held is None else f"{held} {row['text']}"
+    if row["drop"]:
+        return []
+    if row["hold"] and held is None:
+        state["held"] = text
+        return []
+    return [{"id": int(row["id"]), "text": text}]
+
+
+def attribute_step(state: dict, row: dict) -> list[dict]:
+    """The channel of an event by majority of frames since the last final; mic wins ties.
+
+    ``row`` is a frame (kind 'frame', channel) or an event (kind 'partial' or 'final', id).
+    """
+    if row["kind"] == "frame":
+        state[row["channel"]] = state.get(row["channel"], 0) + 1
+        return []
+    channel = "system" if state.get("system", 0) > state.get("mic", 0) else "mic"
+    if row["kind"] == "final":
+        state.clear()
+    return [{"id": int(row["id"]), "channel": channel}]

@@ -130,3 +130,15 @@ def test_twins_against_all_pairs(spark):
     assert got.keys() == wanted.keys()
     for k, (similarity, overlap, other) in wanted.items():
         assert got[k].r_idx == other and got[k].overlap == -overlap and got[k].similarity == pytest.approx(-similarity)
+
+
+def test_pace_slows_when_idle(spark):
+    frames = spark.createDataFrame([("a", i, i < 4) for i in range(24)], "k string, ts_ms int, accepted boolean")
+    # rounds of 2 frames: two with speech, two idle ones, then rounds of 4, then of 6
+    assert signal.paced_inferences(frames, ["k"], base=2).first().inferences == 4 + 1 + 2
+
+
+def test_remembered_voices(spark):
+    rows = spark.createDataFrame([(1, "none", [1.0, 0.1], "m"), (2, "none", [1.0, 0.1], "other"), (3, "human", [1.0, 0.1], "m"), (4, "none", None, "m")], "id int, source string, vector array<double>, model_id string")
+    voices = spark.createDataFrame([("ann", [1.0, 0.0], "m"), ("bob", [0.0, 1.0], "m")], "speaker_id string, vector array<double>, model_id string")
+    assert [(r.id, r.speaker_id) for r in vectors.remembered(rows, voices).collect()] == [(1, "ann")]

@@ -70,3 +70,13 @@ def test_windows_under_a_watermark(spark, tmp_path):
     frames = stream(spark, tmp_path, [rows, on, on, late], "session_id string, ts timestamp, channel string, pcm array<int>")
     got = drained(slots.windowed(frames), "windowed").orderBy("start").collect()
     assert [r.samples for r in got] == [2, 2, 2, 2, 2]
+
+
+def test_held_texts_and_channels(spark):
+    state = {}
+    rows = [{"id": 1, "text": "субтитры", "hold": True, "drop": False}, {"id": 2, "text": "в проекте", "hold": False, "drop": False}, {"id": 3, "text": "субтитры", "hold": True, "drop": False}, {"id": 4, "text": "сделал кто", "hold": False, "drop": True}, {"id": 5, "text": "да", "hold": False, "drop": False}]
+    assert [x for r in rows for x in slots.hold_step(state, r)] == [{"id": 2, "text": "субтитры в проекте"}, {"id": 5, "text": "да"}]
+    frames = [{"kind": "frame", "channel": c} for c in ("mic", "system", "system")]
+    events = [*frames, {"kind": "partial", "id": 1}, {"kind": "final", "id": 2}, {"kind": "partial", "id": 3}]
+    state = {}
+    assert [x["channel"] for e in events for x in slots.attribute_step(state, e)] == ["system", "system", "mic"]
