@@ -136,7 +136,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(waiting)
 
 
-def _passing(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _passing(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a cell's rows above the match threshold whose first shared prefix value is this list's.
 
     Skips at once pairs whose set sizes can't meet the similarity, and counts collisions for the rest.
@@ -151,7 +151,7 @@ def _passing(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at, a in enumerate(left):
         b = right[at + 1 :] if i == j else right
-        b = b[100 * np.minimum(size[b], size[a]) >= 85 * np.maximum(size[b], size[a])]
+        b = b[100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a])]
         b = b[(signature[b] == signature[a]).sum(1) >= MATCHES]
         shared = posted[b] == posted[a]
         b, shared = b[shared.sum(1) >= POSTED_MATCHES], shared[shared.sum(1) >= POSTED_MATCHES]
@@ -164,17 +164,20 @@ def _passing(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _live_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for cell in _groups(batches):
-        a, b = _passing(cell)
-        if len(a):
-            yield from cell.take(pa.array(np.unique(np.concatenate((a, b))))).to_batches()
+def _live_cells(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _groups(batches):
+            a, b = _passing(cell, percent)
+            if len(a):
+                yield from cell.take(pa.array(np.unique(np.concatenate((a, b))))).to_batches()
+
+    return run
 
 
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _groups(batches):
-            a, b = _passing(cell)
+            a, b = _passing(cell, percent)
             if not len(a):
                 continue
             column = cell.column("shingles").combine_chunks()
@@ -234,7 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     set is its distinct ``width``-word shingles after lower-casing A-Z; words are runs of characters
     other than space and \\t to \\r; a shorter text has one shingle, all its words. Null and empty
     texts, and texts without a word, are linked with nothing. Rows with the same id are one
-    document. A row without an id has the component of equal sets, if any, and a null ``kept``. An empty table gives no rows; other columns are not read.
+    document. A row without an id has the component of
+    equal sets, if any, and a null ``kept``. An empty table gives no rows; other columns are not read.
 
     Equal sets become one node. A node is posted under its rarest signature coordinates; pairs of a
     posting list that collide often enough are confirmed on whole sets. Long lists are dealt over
@@ -250,7 +254,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     dealt = cells(posting_lists(nodes)).join(held, ["doc_id", "print1"])
     K.ship(docs.sparkSession)
     sort = dealt.repartition(*_CELL).sortWithinPartitions(*_CELL)
-    live = storage.written(sort.mapInArrow(_live_cells, sort.schema))
+    live = storage.written(sort.mapInArrow(_live_cells(percent), sort.schema))
     wanted = storage.broadcast_if_small(live.select("doc_id").distinct())
     sets = sets_of(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id", "print1"])
     full = live.join(sets, ["doc_id", "print1"]).repartition(*_CELL).sortWithinPartitions(*_CELL)

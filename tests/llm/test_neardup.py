@@ -56,6 +56,14 @@ def test_against_all_pairs(spark):
     check(spark, made_rows(), 3, 85)
 
 
+def test_a_text_of_four_fifths_of_another(spark):
+    base = [f"w{k}" for k in range(204)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:165])), (3, " ".join(base[:160]))]
+    got = check(spark, rows, 5, 80)
+    assert got[2].component_id == 1
+    check(spark, made_rows(), 5, 80)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(30_000))
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, None), (9, "One"), (3, "one"), (10, "one two"), (11, "ONE  two"), (20, long), (21, long + " x"), (22, "a b c d"), (22, "one"), (30, "a b c d")]
