@@ -178,3 +178,25 @@ def paced_inferences(frames: DataFrame, keys: list[str], base: int = 10, idle_ro
 
     rows = frames.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts_ms", "accepted"))), lambda x: x["accepted"]).alias("a"))
     return rows.select(*keys, F.aggregate("a", state, step, lambda s: s["runs"]).alias("inferences"))
+
+
+def buffer_starts(rounds: DataFrame, keys: list[str], order: str, guard_ms: int = 200, most_ms: int = 30_000) -> DataFrame:
+    """Where a session's audio buffer begins after each round.
+
+    ``rounds`` has now_ms and until_ms, the end of what the round committed, or null. Audio before
+    ``guard_ms`` short of a committed end goes, and so does what is older than ``most_ms``; a start never moves back.
+    """
+    over = Window.partitionBy(*keys).orderBy("now_ms", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    floor = F.greatest(F.coalesce(F.col("until_ms") - guard_ms, F.lit(0)), F.col("now_ms") - most_ms)
+    return rounds.withColumn("start_ms", F.greatest(F.lit(0), F.max(floor).over(over)))
+
+
+def bounded(rows: DataFrame, keys: list[str], order: str, most: int = 256) -> DataFrame:
+    """The first ``most`` diagnostics of each buffer; the rest is dropped, as the bound is the feature."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
+def due(script: DataFrame, column: str, after_ms: int, until_ms: int) -> DataFrame:
+    """Rows of a script whose time has come since the last look."""
+    return script.where((F.col(column) > after_ms) & (F.col(column) <= until_ms))

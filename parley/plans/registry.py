@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
 from parley.functions import text as T
 from parley.operators import briefs, diff, edits, glossary, intervals, maintenance, reports, search, signal, speakers, transcripts, vectors
+from parley.plans import further  # noqa: F401  registers its queries
+from parley.plans.register import CENTROID as _CENTROID
+from parley.plans.register import QUERIES as _QUERIES
+from parley.plans.register import SQL as _SQL
+from parley.plans.register import TOKENS as _TOKENS
+from parley.plans.register import WORDS as _WORDS
+from parley.plans.register import Query
+from parley.plans.register import query as _query
 from parley.sources import carriers as C
 from parley.sources import files
 from parley.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(function: Query) -> Query:
-        _QUERIES[name] = function
-        if sql is not None:
-            _SQL[name] = sql
-        return function
-
-    return keep
-
-
-#: Words of a text as the comparison takes them (X1); DuckDB and Spark agree on texts without combining marks.
-_WORDS = r"list_filter(list_transform(string_split_regex(text, '\s+'), lambda w: replace(lower(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g')), 'ё', 'е')), lambda w: w <> '')"
-_TOKENS = r"list_filter(string_split_regex({0}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
-
-
 # -- Scans, projections and filters -------------------------------------------------------------
 
 
@@ -499,12 +485,6 @@ def _dice(spark, sf_dir):
     return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.word_overlap(F.col("w"), F.col("v")), 9).alias("dice"))
 
 
-_CENTROID = """
-    u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS v FROM embeddings WHERE vec_id % 5 = 0),
-    m AS (SELECT label, pos, sum(v) AS v FROM u GROUP BY ALL), c AS (SELECT label, list(v ORDER BY pos) AS v FROM m GROUP BY 1),
-    p AS (SELECT concat('s', label) AS speaker_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM c)"""
-
-
 @_query("a20_centroids", f"WITH {_CENTROID} SELECT speaker_id, round(v[1], 6) AS first, round(v[64], 6) AS last FROM p")
 def _centroids(spark, sf_dir):
     made = vectors.centroids(C.prints(spark, sf_dir).where("source = 'human'"))
