@@ -1,3 +1,6 @@
+import struct
+import wave
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +86,16 @@ def test_briefs(spark):
     finals = spark.createDataFrame([(1, "First part here.\n\nWe will call them.\n\nNothing."), (2, "")], "meeting_id long, body string")
     got = {r.meeting_id: (r.summary, r.actions) for r in briefs.brief(finals, ["will"]).collect()}
     assert got == {1: ("First part here.", "- We will call them."), 2: ("", "")}
+
+
+def test_wav_files(spark, tmp_path):
+    for name, width in (("a", 2), ("b", 1)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as out:
+            out.setnchannels(1)
+            out.setsampwidth(width)
+            out.setframerate(16000)
+            out.writeframes(struct.pack("<3h", 1, -2, 300) if width == 2 else bytes(3))
+    (tmp_path / "c.wav").write_bytes(b"no sound")
+    got = {r.path[-5]: r for r in files.wav(spark, str(tmp_path)).collect()}
+    assert (got["a"].rate, got["a"].channels, got["a"].pcm) == (16000, 1, [1, -2, 300])
+    assert got["b"].rate == 16000 and got["b"].pcm is None and got["c"].rate is None and got["c"].pcm is None
