@@ -27,12 +27,16 @@ KEY_WORDS = frozenset("access api apikey auth authorization aws bearer client cr
 OTHER_WORDS = frozenset("build checksum commit digest dummy etag example fake file guid hash id image isbn issue md5 order page phone placeholder ref request revision sample serial sha sha1 sha256 sum test trace tracking uuid version".split())
 DICTIONARY = frozenset("about account admin after again also application array based before between business change class client code color common company config content control count create customer data database date default delete design detail develop different display document domain dummy each element email enable error event every example export field file filter first format from function general get global group have header height help home host image import index info input insert install int international internet item java json last length level library line link list load local location login long main make manage many map market media member message method mobile model module more most name network news next node note number object only open option order other output package page parameter parent password path people place platform play point policy post print private process product profile program project property provider public query question range read record release remote report request research resource response result return review role root sample save script search secret section security select send server service session set show side sign simple single site size software some source space start state status stop store string style system table target team template test text that their them then there these they this time title token tool type under update upload user using valid value version video view web website well when where which width will window with word work world would write year your".split())
 
-_CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]{0,20000}-----END [A-Z ]*PRIVATE KEY-----)?"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=.-]{0,64}[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
-    r"|(?i:(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key)[ \t]*[:=][ \t]*[\"'])[^\s\"']{8,200}"
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]{0,20000}-----END [A-Z ]*PRIVATE KEY-----)?")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_.-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: A name with or without quotes, an assignment or an authorization scheme, and a value with or without quotes.
+_ASSIGNED = re.compile(
+    r"(?:(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|(?:(?<![a-z])|api|access|private|secret|auth|account|client|master|signing|encryption)[_-]?key)[\"']?[ \t]*(?:=>|:=|[:=])"
+    r"|authorization[\"']?[ \t]*[:=][ \t]*[\"']?(?:bearer|basic|token)(?=[ \t]))"
+    r"[ \t]*[\"']?(?P<value>(?<=[\"'])[^\s\"']{8,200}|(?<![\"'])[^\s\"']{8,200})",
+    re.I,
 )
-_ASSIGNED = re.compile(r"^[A-Za-z_-]+[ \t]*[:=][ \t]*[\"']")
+_DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9]*")
 _PREFIX = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|ya29|eyJ|npm_|SG\.|hf_|-----BEGIN)")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
@@ -93,22 +97,39 @@ def describe(value: str, before: str, after: str, path: str) -> list[float]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """Start, value, and the text before and after, of each candidate."""
-    for match in _CANDIDATE.finditer(text):
+    """Start, value, and the text before and after, of each candidate.
+
+    Candidates are private keys, assigned values, and runs of 16 characters or more that have a
+    digit or a known prefix. They come by start, each span once; those of different kinds may overlap.
+    """
+    spans = {m.span() for m in _KEY_BLOCK.finditer(text)}
+    blocks = sorted(spans)
+    for match in _ASSIGNED.finditer(text):
+        start, end = match.span("value")
+        if text[start - 1] not in "\"'":  # without quotes a value may be followed by punctuation
+            end = max(start + 8, start + len(text[start:end].rstrip(".,;:)]}>")))
+        spans.add((start, end))
+    at = 0
+    for match in _RUN.finditer(text):
         start, value = match.start(), match.group()
-        lead = _ASSIGNED.match(value)
-        if lead:
-            start, value = start + lead.end(), value[lead.end() :]
+        if not (_DIGIT.search(value) or _PREFIX.match(value)):
+            continue
+        while at < len(blocks) and blocks[at][1] <= start:
+            at += 1
+        if at < len(blocks) and blocks[at][0] <= start:
+            continue
         stripped = value.rstrip(".-/")
-        value = stripped if len(stripped) >= 8 else value
-        yield start, value, text[max(0, start - CONTEXT) : start], text[start + len(value) : start + len(value) + CONTEXT]
+        spans.add((start, start + len(stripped if len(stripped) >= 8 else value)))
+    for start, end in sorted(spans):
+        yield start, text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of ``n`` findings: half secrets, half strings that look like them.
+def labelled_texts(n: int = FINDINGS, seed: int = 5) -> Iterator[tuple[str, str, str, str, int]]:
+    """Value, text before and after, path and label of ``n`` findings: half secrets, half strings that look like them.
 
     The findings are made here by rule: keys, tokens and passwords in assignments and headers of
-    either case, against hashes, ids, numbers, paths, version strings and words around prose.
+    either case, against hashes, ids, numbers, paths, version strings, references to variables and
+    words around prose.
     """
     rng = np.random.default_rng(seed)
 
@@ -147,7 +168,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> tuple[np.ndarray, np.
         return value, prose(4) + " " + lead, tail + prose(3)
 
     def other() -> tuple[str, str, str]:
-        kind = int(rng.integers(10))
+        kind = int(rng.integers(11))
+        if kind == 10:
+            word = pick(words)
+            return pick(("${%s_%s}", "{{%s.%s}}", "$(%s_%s)", "%%(%s_%s)s", "%s.get(%s)", "<%s-%s>")) % ((word, pick(words)) if rng.random() < 0.5 else (word.upper(), pick(words).upper())), prose(3) + pick((" token=", " password: ", ' secret = "', " API_KEY=", " key: ")), pick(('"', " ")) + prose(3)
         if kind == 0:
             return chars("0123456789", int(rng.integers(16, 25))), prose(5) + " ", " " + prose(3)
         if kind == 1:
@@ -168,15 +192,18 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> tuple[np.ndarray, np.
             return "x" * int(rng.integers(8, 33)) + str(int(rng.integers(10))), prose(3) + pick((' key = "', ' token = "')), '"' + prose(2)
         return "".join(pick(("th", "er", "on", "an", "ch", "en", "ou", "ie")) for _ in range(9)) + str(int(rng.integers(99))), prose(5) + " ", " " + prose(3)
 
-    x, y = [], []
     for i in range(n):
         value, before, after = secret() if i % 2 else other()
         if rng.random() < 0.15 and i % 2 and not _PREFIX.match(value):
             value, before = value.upper(), before.upper()
         path = pick(("src/app.py", "config/prod.env", "src3", "notes.txt")) if i % 2 or rng.random() < 0.7 else pick(("tests/test_auth.py", "docs/example.md"))
-        x.append(describe(value, before[-CONTEXT:], after[:CONTEXT], path))
-        y.append(i % 2)
-    return np.array(x), np.array(y)
+        yield value, before, after, path, i % 2
+
+
+def labelled_findings(n: int = FINDINGS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of ``n`` findings."""
+    made = list(labelled_texts(n, seed))
+    return np.array([describe(value, before[-CONTEXT:], after[:CONTEXT], path) for value, before, after, path, _ in made]), np.array([m[4] for m in made])
 
 
 @functools.cache
@@ -233,10 +260,15 @@ def redact(docs: DataFrame, model: forest.Forest | None = None) -> DataFrame:
                 texts = block.column(at).to_pylist()
                 paths = ["" if p is None else str(p) for p in block.column(path_at).to_pylist()] if path_at is not None else [""] * len(texts)
                 found, score = findings_in([t or "" for t in texts], paths, shared.value)
-                for k in range(len(found) - 1, -1, -1):  # from the last, so that places stay right
-                    i, start, value = found[k][:3]
-                    if score[k] >= THRESHOLD:
-                        texts[i] = texts[i][:start] + REPLACEMENT + texts[i][start + len(value) :]
+                spans: list[list[int]] = []  # secrets that overlap are one
+                for (i, start, value, *_), s in zip(found, score, strict=True):
+                    if s >= THRESHOLD:
+                        if spans and spans[-1][0] == i and start < spans[-1][2]:
+                            spans[-1][2] = max(spans[-1][2], start + len(value))
+                        else:
+                            spans.append([i, start, start + len(value)])
+                for i, start, end in reversed(spans):  # from the last, so that places stay right
+                    texts[i] = texts[i][:start] + REPLACEMENT + texts[i][end:]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else block.column(k) for k in range(len(names))], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

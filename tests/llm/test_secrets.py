@@ -48,3 +48,29 @@ def test_best_split_equals_a_scan_of_all_cuts():
 
     cuts = [(gini(y[x <= c]) + gini(y[x > c])) for c in np.unique(x)[:-1] if min((x <= c).sum(), (x > c).sum()) >= 3]
     assert np.isclose(forest.best_split(x, y, 3)[0], min(cuts))
+
+
+def test_candidates_of_every_labelled_secret():
+    lost = [(before, value) for value, before, after, _, label in secretscan.labelled_texts() if label and value not in [c[1] for c in secretscan.candidates(before + value + after)]]
+    assert lost == []
+
+
+def test_assignments_with_and_without_quotes():
+    plain = "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEY"
+    for text, value in (
+        ("AWS_SECRET_ACCESS_KEY=" + plain, plain),
+        ("export DATABASE_ENCRYPTION_KEY=" + plain, plain),
+        ("https://host.example/p?key=" + HEX + "&page=2", HEX),
+        ("password: hunter2x", "hunter2x"),
+        ('{"password": "a!b@c1$Zq"}', "a!b@c1$Zq"),
+        ("token=ghp_" + "aBcDeFgHiJ" * 4, "ghp_" + "aBcDeFgHiJ" * 4),
+        ("a note (password: hunter2x).", "hunter2x"),
+    ):
+        assert value in [c[1] for c in secretscan.candidates(text)], text
+    assert [c[1] for c in secretscan.candidates(f'token = "{HEX}"')] == [HEX]
+
+
+def test_assigned_secrets_are_redacted_and_references_are_not(spark):
+    rows = [(1, f"API_TOKEN={HEX}\nnext"), (2, '{"password": "a!b@c1$Zq"}'), (3, "token=${GITHUB_TOKEN} and password: required field")]
+    left = {r.doc_id: r.text for r in secretscan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {1: "API_TOKEN=[SECRET]\nnext", 2: '{"password": "[SECRET]"}', 3: rows[2][1]}
