@@ -27,13 +27,17 @@ KEY_WORDS = frozenset("access api apikey auth authorization aws bearer client cr
 OTHER_WORDS = frozenset("build checksum commit digest dummy etag example fake file guid hash id image isbn issue md5 order page phone placeholder ref request revision sample serial sha sha1 sha256 sum test trace tracking uuid version".split())
 DICTIONARY = frozenset("about account admin after again also application array based before between business change class client code color common company config content control count create customer data database date default delete design detail develop different display document domain dummy each element email enable error event every example export field file filter first format from function general get global group have header height help home host image import index info input insert install int international internet item java json last length level library line link list load local location login long main make manage many map market media member message method mobile model module more most name network news next node note number object only open option order other output package page parameter parent password path people place platform play point policy post print private process product profile program project property provider public query question range read record release remote report request research resource response result return review role root sample save script search secret section security select send server service session set show side sign simple single site size software some source space start state status stop store string style system table target team template test text that their them then there these they this time title token tool type under update upload user using valid value version video view web website well when where which width will window with word work world would write year your".split())
 
-_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]{0,20000}-----END [A-Z ]*PRIVATE KEY-----)?")
+_KEY_BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
+#: Headers, an empty line and whole lines of base64 after a BEGIN line that has no END line.
+_LINE = r"[ \t]*(?:\r?\n|\\n)"
+_KEY_BODY = re.compile(rf"(?:{_LINE}(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash):[^\n\\]*)*+(?:{_LINE}(?={_LINE}))?+(?:{_LINE}[A-Za-z0-9+/=]++(?={_LINE}|[ \t]*\Z))*+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_.-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: A name with or without quotes, an assignment or an authorization scheme, and a value with or without quotes.
 _ASSIGNED = re.compile(
     r"(?:(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|(?:(?<![a-z])|api|access|private|secret|auth|account|client|master|signing|encryption)[_-]?key)[\"']?[ \t]*(?:=>|:=|[:=])"
     r"|authorization[\"']?[ \t]*[:=][ \t]*[\"']?(?:bearer|basic|token)(?=[ \t]))"
-    r"[ \t]*[\"']?(?P<value>(?<=[\"'])[^\s\"']{8,200}|(?<![\"'])[^\s\"']{8,200})",
+    r"[ \t]*[\"']?(?P<value>(?<=\")[^\s\"]{8,}|(?<=')[^\s']{8,}|(?<![\"'])[^\s\"']{8,})",
     re.I,
 )
 _DIGIT = re.compile(r"[0-9]")
@@ -96,14 +100,27 @@ def describe(value: str, before: str, after: str, path: str) -> list[float]:
     ]
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Spans of private keys of any length; one without an END line before the next BEGIN goes as far as its body."""
+    begins, ends = list(_KEY_BEGIN.finditer(text)), [m.end() for m in _KEY_END.finditer(text)]
+    spans, k = [], 0
+    for i, begin in enumerate(begins):
+        while k < len(ends) and ends[k] <= begin.end():
+            k += 1
+        limit = begins[i + 1].start() if i + 1 < len(begins) else len(text)
+        closed = k < len(ends) and ends[k] <= limit
+        spans.append((begin.start(), ends[k] if closed else _KEY_BODY.match(text, begin.end(), limit).end()))
+    return spans
+
+
 def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
     """Start, value, and the text before and after, of each candidate.
 
     Candidates are private keys, assigned values, and runs of 16 characters or more that have a
     digit or a known prefix. They come by start, each span once; those of different kinds may overlap.
     """
-    spans = {m.span() for m in _KEY_BLOCK.finditer(text)}
-    blocks = sorted(spans)
+    blocks = key_blocks(text)
+    spans = set(blocks)
     for match in _ASSIGNED.finditer(text):
         start, end = match.span("value")
         if text[start - 1] not in "\"'":  # without quotes a value may be followed by punctuation

@@ -1,3 +1,5 @@
+import base64
+
 import numpy as np
 
 from parley.llm import forest, secretscan
@@ -74,3 +76,22 @@ def test_assigned_secrets_are_redacted_and_references_are_not(spark):
     rows = [(1, f"API_TOKEN={HEX}\nnext"), (2, '{"password": "a!b@c1$Zq"}'), (3, "token=${GITHUB_TOKEN} and password: required field")]
     left = {r.doc_id: r.text for r in secretscan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == {1: "API_TOKEN=[SECRET]\nnext", 2: '{"password": "[SECRET]"}', 3: rows[2][1]}
+
+
+def test_long_values_and_keys_leave_nothing_behind(spark):
+    rng = np.random.default_rng(4)
+    body = base64.b64encode(rng.bytes(3750)).decode()
+    big = "\n".join(base64.b64encode(rng.bytes(48)).decode() for _ in range(600))
+    token = f"eyJ{body[:300]}.{body[300:4700]}.{body[4700:]}"
+    rows = [
+        (1, f'a token: "{token}" b'),
+        (2, f"a DB_PASSWORD={body} b"),
+        (3, f"a -----BEGIN RSA PRIVATE KEY-----\n{big}\n-----END RSA PRIVATE KEY----- b"),
+        (4, f"a -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{HEX.upper()}\n\n{big[:900]}\n-----END RSA PRIVATE KEY----- b"),
+        (5, f"a -----BEGIN PRIVATE KEY-----\n{big[:900]}\n\nb c -----BEGIN EC PRIVATE KEY-----\n{big[1000:1500]}\n-----END EC PRIVATE KEY----- b"),
+    ]
+    assert len(token) > 5000 and len(body) == 5000 and len(big) > 30_000
+    left = {r.doc_id: r.text for r in secretscan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == 'a token: "[SECRET]" b' and left[2] == "a DB_PASSWORD=[SECRET] b"
+    assert left[3] == left[4] == "a [SECRET] b" and left[5].split() == "a [SECRET] b c [SECRET] b".split()
+    assert "x'Q7#k2!mZ9" in [c[1] for c in secretscan.candidates("a password: \"x'Q7#k2!mZ9\" b")]
