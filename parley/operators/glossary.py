@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from parley.functions import text as T
 MIN_TOKEN, MIN_REPEATED, EXAMPLES = 2, 4, 2
 #: Fixed ranges: only these letters make a word for the glossary.
 LETTERS = "A-Za-zЀ-ԯⷠ-ⷿꙀ-ꚟ"
+#: Different glossary surfaces that go to every task at most.
+MOST_TERMS = 100_000
+
+_LETTER = re.compile(f"[{LETTERS}]")
 
 
 def token_counts(replies: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,24 +85,81 @@ def prompt_words(terms: DataFrame, language: str, most: int) -> DataFrame:
     return first.agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "canonical"))), lambda x: x["canonical"]), ", "), 1, most).alias("prompt"))
 
 
-def replaced(texts: DataFrame, terms: DataFrame, kind: int = 1) -> DataFrame:
+def _named(terms: DataFrame, kind: int) -> DataFrame:
+    """One row for each lower-case surface and its length ``n``: ties go to the smallest surface, then canonical form."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            surfaces = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.lower() for s in surfaces], pa.string()), pa.array([len(s) for s in surfaces], pa.int64())], ["surface", "canonical", "key", "n"])
+
+    rows = terms.where((F.col("kind") == kind) & (F.col("surface") != "")).select("surface", "canonical").distinct()
+    rows = rows.mapInArrow(keyed, "surface string, canonical string, key string, n long")
+    return rows.groupBy("n", "key").agg(F.min(F.struct("surface", "canonical"))["canonical"].alias("canonical"))
+
+
+def _places(text: str, head: re.Pattern, lengths: dict[str, list[int]]) -> Iterator[tuple[int, int, str]]:
+    """Start, length and lower-case form of what a surface could match, from left to right, the longest first."""
+    for m in head.finditer(text):
+        i = m.start()
+        for n in lengths.get(m.group().lower()[:1], ()):
+            if i + n <= len(text) and not (i + n < len(text) and _LETTER.match(text, i + n)):
+                yield i, n, text[i : i + n].lower()
+
+
+def _rewritten(text: str, hits: Iterator[tuple[int, int, str]]) -> str:
+    """The text with canonical forms at the hits (start, length, canonical; in order) that begin after the one before."""
+    out, end = [], 0
+    for i, n, name in hits:
+        if i >= end:
+            out += [text[end:i], name]
+            end = i + n
+    return "".join([*out, text[end:]]) if out else text
+
+
+def replaced(texts: DataFrame, terms: DataFrame, kind: int = 1, most: int = MOST_TERMS) -> DataFrame:
     """Texts with glossary surfaces replaced, in one pass from left to right.
 
     The longest surface that matches at a place wins; matches ignore case and stand between
-    characters that are no letters of ``LETTERS``; what was put in is not read again. ``terms`` (a
-    glossary, at most some thousand rows) goes to the tasks as one pattern.
+    characters that are no letters of ``LETTERS``; what was put in is not read again. All of
+    ``terms`` counts: up to ``most`` different surfaces go to the tasks as a table; more are joined
+    with the places of the texts where one of them could stand.
     """
-    rows = terms.where((F.col("kind") == kind) & (F.col("surface") != "")).orderBy(F.desc(F.length("surface")), "surface").select("surface", "canonical").limit(20_000).collect()
-    canonical: dict[str, str] = {}
-    for r in rows:
-        canonical.setdefault(r["surface"].lower(), r["canonical"])
-    names = [re.escape(k) for k in sorted(canonical, key=lambda k: (-len(k), k))]
-    pattern = re.compile(f"(?<![{LETTERS}])(?:{'|'.join(names)})(?![{LETTERS}])", re.IGNORECASE) if names else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    named = _named(terms, kind)
+    rows = named.limit(most + 1).collect()
+    small = len(rows) <= most
+    pairs = {(r["key"][:1], r["n"]) for r in rows} if small else {(r["head"], r["n"]) for r in named.select(F.substring("key", 1, 1).alias("head"), "n").distinct().collect()}
+    lengths: dict[str, list[int]] = {}
+    for first, n in sorted(pairs, key=lambda p: -p[1]):
+        lengths.setdefault(first, []).append(n)
+    if not lengths:
+        return texts
+    head, columns = re.compile(f"(?<![{LETTERS}])[{re.escape(''.join(lengths))}]", re.IGNORECASE), texts.columns
+    if small:
+        canonical = texts.sparkSession.sparkContext.broadcast({(r["n"], r["key"]): r["canonical"] for r in rows})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = canonical.value
+            for batch in batches:
+                batch["text"] = [None if t is None else _rewritten(t, ((i, n, names[n, k] or "") for i, n, k in _places(t, head, lengths) if (n, k) in names)) for t in batch["text"]]
+                yield batch
+
+        return texts.mapInPandas(run, texts.schema)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if pattern is not None:
-                batch["text"] = [None if t is None else pattern.sub(lambda m: canonical.get(m.group().lower(), m.group()), t) for t in batch["text"]]
-            yield batch
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = list(_places(text, head, lengths))
+                start, n, key = ([f[k] for f in found] for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array([mark] * len(n), pa.string()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.string())], ["_text", "start", "n", "key"])
 
-    return texts.mapInPandas(run, texts.schema)
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["text"] = [t if hits is None else _rewritten(t, sorted(((h["start"], h["n"], h["canonical"] or "") for h in hits), key=lambda h: (h[0], -h[1]))) for t, hits in zip(batch["text"], batch["_hits"], strict=True)]
+            yield batch[columns]
+
+    marked = texts.withColumn("_text", F.sha2("text", 256))
+    each = marked.where("text is not null").select("_text", "text").dropDuplicates(["_text"])
+    hits = each.mapInArrow(places, "_text string, start long, n long, key string").join(named, ["n", "key"])
+    hits = hits.groupBy("_text").agg(F.collect_list(F.struct("start", "n", "canonical")).alias("_hits"))
+    return marked.join(hits, "_text", "left").select(*texts.columns, "_hits").mapInPandas(put, texts.schema)

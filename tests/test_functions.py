@@ -59,6 +59,17 @@ def test_glossary_replacement(spark):
     assert got == {1: "PayPal, PayPal! xpaypal PayPal2 payments", 2: None}
 
 
+def test_glossary_replacement_reads_every_term(spark):
+    texts = spark.createDataFrame([(1, "a Tin cup, TIN and a long brass horn; tins"), (1, "a Tin cup, TIN and a long brass horn; tins"), (2, None), (3, "")], "id long, text string")
+    many = spark.range(20_001).select(F.lit("long brass horn").alias("surface"), F.lit("HORN").alias("canonical"), F.lit(1).alias("kind"))
+    terms = many.union(spark.createDataFrame([("tin", "Sn", 1), ("Tin cup", "mug", 1), ("tin cup", "other", 1), ("cup", "CUP", 1)], "surface string, canonical string, kind int"))
+    wanted = [(1, "a mug, Sn and a long brass horn; tins".replace("long brass horn", "HORN"))] * 2 + [(2, None), (3, "")]
+    for most in (100_000, 0):  # as a table in the tasks, and by a join
+        got = sorted(map(tuple, glossary.replaced(texts, terms, most=most).collect()), key=lambda r: r[0])
+        assert got == wanted
+    assert glossary.replaced(texts, terms.limit(0)).where("id = 1").first().text == texts.first().text
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("a", "обсудили биллинга срок"), ("b", "ничего"), ("c", "Élan vital élan")], "ref_id string, body string")
     assert [r.ref_id for r in search.search(docs, "биллин").collect()] == ["a"]
