@@ -19,7 +19,7 @@ from parley.llm import kernels as K
 TRAINING_PAGES = 400
 #: Fixed values of HTML: elements without content, elements whose content is no markup, elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "select", "math", "canvas", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "select", "annotation-xml", "annotation", "canvas", "audio", "video")
 BREAKING = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements and words of class, id and role that speak against or for content.
 AGAINST = frozenset("nav footer aside form menu button dialog".split())
@@ -31,6 +31,8 @@ NEIGHBOUR_BITS, SIBLING_BITS = 0.5, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^>]*>|<[a-zA-Z/][^<>]*\Z", re.S | re.I)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A class that says what a page has or lacks, not what the element is.
+_ABOUT = re.compile(r"(?<!\S)(?:has|have|with|no|without|show|hide)[-_]\S+")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -47,14 +49,30 @@ class Block:
     parent: int = 0
     hint: float = 0.0
     in_page: bool = True
+    marks: tuple[int, ...] = ()
     text: str = ""
 
 
-def blocks_of(source: str) -> list[Block]:
-    """Blocks with text, in page order; character references are decoded and white space is one space."""
+def wrappers(found: list[Block]) -> frozenset[int]:
+    """Elements with words against content that hold most of the page's text, and all that is marked for content."""
+    size: dict[int, int] = {}
+    for b in found:
+        for m in b.marks:
+            size[m] = size.get(m, 0) + len(b.text)
+    total = sum(len(b.text) for b in found)
+    return frozenset(m for m, n in size.items() if 2 * n > total and all(m in b.marks for b in found if b.hint > 0))
+
+
+def blocks_of(source: str, void: frozenset[int] | None = None) -> list[Block]:
+    """Blocks with text, in page order; character references are decoded and white space is one space.
+
+    The words of the elements numbered in ``void`` are no evidence against content; if it is not
+    given, these are the page's wrappers.
+    """
     out: list[Block] = []
-    # An open element: name, number, hint, links open, whether its text shows.
-    stack: list[tuple[str, int, float, int, bool]] = [("", 0, 0.0, 0, True)]
+    # An open element: name, number, hint, links open, whether its text shows, numbers of the
+    # elements around with words against content, whether an element against content is around.
+    stack: list[tuple[str, int, float, int, bool, tuple[int, ...], bool]] = [("", 0, 0.0, 0, True, (), False)]
     now, number, at = Block(), 0, 0
 
     def flush() -> None:
@@ -62,8 +80,8 @@ def blocks_of(source: str) -> list[Block]:
         now.text = _SPACE.sub(" ", html.unescape("".join(now.parts))).strip()
         if now.text and now.in_page:
             out.append(now)
-        name, own, hint, _, shows = next((e for e in reversed(stack) if e[0] in BREAKING), stack[0])
-        now = Block(name=name, parent=own, hint=hint, in_page=shows)
+        name, own, hint, _, shows, marks, _ = next((e for e in reversed(stack) if e[0] in BREAKING), stack[0])
+        now = Block(name=name, parent=own, hint=hint, in_page=shows, marks=marks)
 
     def add(text: str) -> None:
         if text and stack[-1][4]:
@@ -92,21 +110,25 @@ def blocks_of(source: str) -> list[Block]:
                 del stack[depth:]
         if name not in VOID:
             number += 1
-            _, _, hint, links, shows = stack[-1]
+            _, _, hint, links, shows, marks, hard = stack[-1]
             attrs = token["attrs"]
-            words = {w for m in _HINT.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attrs else set()
+            words = {w for m in _HINT.finditer(attrs) for w in _WORD.findall(_ABOUT.sub(" ", (m[1] or m[2] or m[3] or "").lower()))} if attrs else set()
             inside = any(e[0] in FOR for e in stack)
-            if name in AGAINST or (name == "header" and not inside) or (words & AGAINST_WORDS and name not in ("html", "body") and not (name in FOR)):
-                hint = AGAINST_BITS
-            elif hint >= 0 and (name in FOR or words & FOR_WORDS and name not in ("html", "body")):
+            if name in AGAINST or (name == "header" and not inside):
+                hint, hard = AGAINST_BITS, True
+            elif words & AGAINST_WORDS and name not in ("html", "body") and not (name in FOR) and not (void and number in void):
+                hint, marks = AGAINST_BITS, (*marks, number)
+            elif (hint >= 0 or name == "main" and not hard) and (name in FOR or words & FOR_WORDS and name not in ("html", "body")):
                 hint = FOR_BITS
             if name == "head" or attrs and _HIDDEN.search(attrs):
                 shows = False
-            stack.append((name, number, hint, links + (name == "a"), shows))
+            stack.append((name, number, hint, links + (name == "a"), shows, marks, hard))
         if name in BREAKING:
             flush()
     add(source[at:])
     flush()
+    if void is None and (wide := wrappers(out)):
+        return blocks_of(source, wide)
     return out
 
 

@@ -39,3 +39,26 @@ def test_odd_pages(spark):
     assert got[6].text == " ".join(["word and more."] * 5000) and got[7].text == ""
     assert all(r.n_chars == len(r.text) for r in got) and got[2].url is None
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+def test_a_wrapper_of_the_page_is_no_evidence_against_its_article():
+    article = "<h1>Title of it</h1>" + "<p>A long sentence of the article, which has words and a full stop.</p>" * 4
+    text = "Title of it" + " A long sentence of the article, which has words and a full stop." * 4
+    side = '<div class="sidebar"><p>A side text that could be an article, with a full stop.</p></div>'
+    for page in (
+        f'<div class="site has-sidebar"><main><article>{article}</article></main>{side}</div>',
+        f'<div id="page" class="with-comments"><div>{article}</div>{side}</div>',
+        f'<section class="content no-banner">{article}</section>{side}',
+        f'<div class="sidebar-left"><article>{article}</article>{side}</div>',
+        f'<div class="search-page"><div class="banner-top"><div class="post">{article}</div>{side}</div></div>',
+        f'<div class="menu-open"><p>Other.</p><main>{article}</main></div>',
+    ):
+        assert htmltext.main_text(page, WEIGHTS).removeprefix("Other. ") == text, page
+    comments = f'<article>{article}</article><section class="comments">' + '<article class="comment-body"><p>I like this article a lot. Really good text.</p></article>' * 20 + "</section>"
+    assert not htmltext.main_text(comments.replace("<article class", "<div class").replace("</p></article>", "</p></div>"), WEIGHTS).endswith("good text.")
+    assert htmltext.main_text(f"<nav><main>{article}</main></nav>", WEIGHTS) == ""
+
+
+def test_formulas_stay():
+    page = "<article><p>So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2</annotation></semantics></math> holds.</p></article>"
+    assert htmltext.main_text(page, WEIGHTS) == "So x=2 holds."
