@@ -8,36 +8,50 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table of ids that are broadcast at most; of a table with an array column, its items.
-BROADCAST_IDS = 1_000_000
+#: Estimated bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 24 << 20
+#: Estimated bytes of a row of a hashed relation besides its values, and of a value.
+ROW_BYTES, VALUE_BYTES = 24, 8
 SETTING = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where the session names none, as in tests."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder that all machines share: ``folder`` if given, else the one that the session names.
+
+    Where neither is given, a temporary folder is made in local mode alone, one for each Spark
+    context; on a cluster, whose machines would not see each other's files, it is an error.
+    """
+    named = folder or spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="parley-")
-        spark.conf.set(SETTING, named)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
+        if not hasattr(context, "_parley_folder"):
+            context._parley_folder = "file://" + tempfile.mkdtemp(prefix="parley-")
+        named = context._parley_folder
     return named.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder, so that a lost executor costs no recomputing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/parley/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark, folder)}/parley/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """A one-column table of ids, marked for broadcast if it is counted to be small; else it is joined by a shuffle."""
-    ids = written(ids)
-    return F.broadcast(ids) if ids.count() <= most else ids
+def broadcast_bytes(written_rows: DataFrame) -> int:
+    """Estimated bytes of a written table of numbers and arrays of numbers, once it is broadcast."""
+    arrays = [f.name for f in written_rows.schema.fields if f.dataType.typeName() == "array"]
+    n, *items = written_rows.agg(F.count("*"), *(F.coalesce(F.sum(F.size(a)), F.lit(0)) for a in arrays)).first()
+    return n * (ROW_BYTES + VALUE_BYTES * len(written_rows.columns)) + VALUE_BYTES * sum(items)
+
+
+def limited_broadcast(written_rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if it has ``most`` bytes by estimate; else it is joined by a shuffle."""
+    return F.broadcast(written_rows) if broadcast_bytes(written_rows) <= most else written_rows
 
 
-def limited_broadcast(written_rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """A written table whose array column has ``most`` items in all at most, marked for broadcast; else it is joined by a shuffle."""
-    array = next(f.name for f in written_rows.schema.fields if f.dataType.typeName() == "array")
-    items = written_rows.agg(F.coalesce(F.sum(F.size(array)), F.lit(0))).first()[0]
-    return F.broadcast(written_rows) if items <= most else written_rows
+def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A table that is written, counted, and broadcast if it is small; else it is joined by a shuffle."""
+    return limited_broadcast(written(ids), most)

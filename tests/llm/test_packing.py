@@ -57,10 +57,39 @@ def test_every_piece_has_one_place_and_few_sequences_are_used(spark):
     assert check_layout(rows, 64) <= sequential([p[2] for p in pieces], 64) + 2
 
 
-def test_best_fit_takes_the_smallest_gap_that_holds():
-    runs = packing.best_fit({60: 1, 70: 1, 30: 1, 40: 1}, 100)
-    place = {r[0]: (r[3], r[4]) for r in runs.tolist()}
-    assert place[30][0] == place[70][0] and place[40][0] == place[60][0]
+def successors(docs, gaps):
+    """Each document in falling order takes the smallest gap that holds it and is still free."""
+    free, out = sorted(gaps), {}
+    for length, rank in sorted(((n, r) for r, n in docs), key=lambda d: (-d[0], d[1])):
+        fits = [g for g in free if g[0] >= length]
+        if fits:
+            free.remove(fits[0])
+            out[rank] = fits[0][0]
+    return out
+
+
+def test_a_sweep_against_one_document_after_another(spark, monkeypatch):
+    rng = random.Random(8)
+    for rows, most in ((10_000, 9), (7, 9), (7, 300)):  # one range, and ranges that carry gaps over their bounds
+        monkeypatch.setattr(packing, "TASK_ROWS", rows)
+        docs = [(r, rng.randint(1, most)) for r in range(60)]
+        gaps = [(rng.randint(1, most), s) for s in range(50)]
+        found, many, n, low, top = packing.sweep(spark.createDataFrame(docs, "rank long, length long"), spark.createDataFrame(gaps, "size long, sequence long"), 110)
+        got = {r.rank: r.sequence for r in found.collect()}
+        size, wanted = dict((s, g) for g, s in gaps), successors(docs, gaps)
+        assert len(got) == 60 and {r: size[s] for r, s in got.items() if s is not None} == wanted
+        taken = [s for s in got.values() if s is not None]
+        assert len(set(taken)) == len(taken) == many and n == 60 - many
+        lone = [dict(docs)[r] for r, s in got.items() if s is None]
+        assert (low, top) == (min(lone, default=0), max(lone, default=0))
+
+
+def test_hot_lengths_and_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ROWS", 50)
+    for lengths, wanted in (([1] * 400, 7), ([33] * 90, 90), ([64] * 5, 5), ([64, 1] * 20, 21), ([], 0)):
+        frame = spark.createDataFrame([(1, 0, n, "x") for n in lengths], "doc_id long, piece int, length long, sequence string")
+        rows = packing.pack(frame, 64).collect()
+        assert sorted(r.length for r in rows) == sorted(lengths) and check_layout(rows, 64) == wanted
 
 
 def test_documents(spark):
