@@ -39,6 +39,25 @@ def test_against_all_pairs_with_ties_and_many_copies(spark):
     assert found(spark, rows) == brute(rows, 10, 100)
 
 
+def test_the_tree_splits_and_passes_over_rows_that_bounds_rule_out(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "PAGE_ROWS", 40)
+    monkeypatch.setattr(mtree, "FANOUT", 4)
+    rng = random.Random(11)
+    centres = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(12)]
+    rows = [(i, [exact(c + rng.gauss(0, 0.02)) for c in centres[i % 12]]) for i in range(2400)]
+    report = []
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(frame, 10, 100, report).collect())
+    assert got == brute(rows, 10, 100)
+    assert len(report) > 3  # root, inner nodes, leaves
+    assert sum(r["computed"] for r in report) < 0.5 * 24 * 2400 and sum(r["passed"] for r in report) > 0
+
+
+def test_large_values_are_exact(spark):
+    rows = [(100 * (i == 0) + i, [float(1 << 21) + i, -float(1 << 20) * i, 0.5]) for i in range(30)]
+    assert found(spark, rows) == brute(rows, 10, 100)
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.5]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.25, -1.0]), (5, [0.25, -1.0]), (100, [0.0, 0.0]), (200, []), (7, [0.0, 0.0])]
     assert found(spark, rows) == brute(rows, 10, 100)
