@@ -19,7 +19,7 @@ END_ID = 1
 #: Rows of one task of a sorted table, about.
 TASK_ROWS = 20_000
 #: Ratio of the lengths that are packed in one band of sweeps: fewer bands are fewer jobs.
-BAND = 4
+BAND = 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -184,8 +184,8 @@ def fill(docs: DataFrame, gaps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             if not many:
                 break
             placed.append(found.where("sequence is not null").withColumn("step", F.lit(len(placed))))
-            used = placed[-1].groupBy("sequence").agg(F.sum("length").alias("used"))
-            gaps = storage.written(gaps.join(used, "sequence", "left").select("sequence", (F.col("size") - F.coalesce("used", F.lit(0))).alias("size")).where("size > 0"))
+            used = placed[-1].select("sequence", (-F.col("length")).alias("size"))
+            gaps = storage.written(gaps.union(used).groupBy("sequence").agg(F.sum("size").alias("size")).where("size > 0"))
         if n:
             left.append(now)
     return placed, functools.reduce(DataFrame.union, left) if left else docs.limit(0)

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from parley.llm import kernels as K
 
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 NONE = np.int32(2**31 - 1)
 GROUP_CELLS = 1 << 18
 #: Fixed values of the vocabulary's pattern: contractions that are tokens of their own.
