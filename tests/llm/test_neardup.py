@@ -74,10 +74,67 @@ def test_odd_rows(spark):
 
 def test_a_long_posting_list_is_dealt_over_cells(spark, monkeypatch):
     base = [f"w{k}" for k in range(60)]
-    rows = [(i, " ".join([*base[: i % 60], f"x{i}", *base[i % 60 :]])) for i in range(neardup.PART_ROWS + 150)]
+    monkeypatch.setattr(neardup, "PART_ROWS", 40)
+    monkeypatch.setattr(neardup, "HUB_ROWS", 30)
+    rng = random.Random(2)
+    rows = [(i, " ".join([*base[: i % 60], f"x{i}", *base[i % 60 :]])) for i in range(200)]
+    for i in range(200, 500):  # near each other, but most of them not linked
+        rows.append((i, " ".join(w if rng.random() > 0.06 else f"y{i}" for w in base)))
     check(spark, rows, 3, 85)
 
 
+def test_pairs_compared_in_a_hot_group_grow_with_its_size(spark, monkeypatch):
+    """Near copies of one text are linked with their hub; no cell is left to compare."""
+    base = [f"w{k}" for k in range(150)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"x{i}"])) for i in range(3000)], "doc_id long, text string")
+    made = []
+    cells = neardup.cells
+    monkeypatch.setattr(neardup, "cells", lambda p: made.append(cells(p)) or made[-1])
+    got = neardup.near_duplicates(docs, 5, 80).collect()
+    assert {r.component_id for r in got} == {0} and made[0].count() == 0
+
+
+def test_every_link_of_the_tables_is_found(spark):
+    """Against all pairs that share a shingle, at both thresholds in use."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((3, 85), (5, 80)):
+        sets, holders = {}, {}
+        for i, text in rows:
+            words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+            sets[i] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+            for x in sets[i]:
+                holders.setdefault(x, []).append(i)
+        pairs = {(a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :]}
+        label = {i: i for i in sets}
+
+        def root(i, label=label):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        for a, b in pairs:
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                ra, rb = root(a), root(b)
+                label[max(ra, rb)] = min(ra, rb)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, width, percent).collect()}
+        assert got == {i: root(i) for i in sets}
+
+
+def test_threshold_misses_few():
+    """The binomial bound, and collisions of real signatures of sets of a known similarity."""
+    assert (neardup.match_threshold(85), neardup.match_threshold(80)) == (39, 34)
+    import pyarrow as pa
+
+    least = 64
+    for k in range(300):  # one set is 0.85 of the other
+        words = [f"{k}_{i}" for i in range(200)]
+        value, ends = neardup.shingle_sets(pa.array([" ".join(words), " ".join(words[:170])]), 1)
+        a, b = ((value[s:e, None] * neardup._MULTIPLIERS).min(0) for s, e in zip(ends, ends[1:]))
+        least = min(least, int((a == b).sum()))
+    assert least >= 42  # far from the threshold of 39
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
