@@ -87,27 +87,51 @@ OP9_SQL = """
   SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
-OP3_SQL = r"""
+def _level_sql(k: int) -> str:
+    """One level of the template tree: shapes of the nodes, lines that agree with them, and the lines that go deeper."""
+    return f"""
+       tok{k} AS (SELECT node, masked, docs, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM mem{k}),
+       votes{k} AS (SELECT node, pos, token, sum(docs) AS n FROM tok{k} GROUP BY ALL),
+       common{k} AS (SELECT node, pos, token FROM votes{k} QUALIFY row_number() OVER (PARTITION BY node, pos ORDER BY n DESC, token) = 1),
+       shape{k} AS (SELECT node, list(token ORDER BY pos) AS shape FROM common{k} GROUP BY ALL),
+       near{k} AS (SELECT m.* FROM mem{k} m JOIN shape{k} USING (node) WHERE 10 * len(list_filter(list_zip(t, shape), lambda x: x[1] = x[2])) >= 7 * size),
+       total{k} AS (SELECT node, min(doc_id) AS first_doc FROM near{k} JOIN holder USING (masked) GROUP BY node HAVING count(DISTINCT doc_id) >= 10),
+       done{k} AS (SELECT masked, total{k}.first_doc FROM near{k} JOIN total{k} USING (node)),
+       rest{k} AS (SELECT * FROM mem{k} WHERE masked NOT IN (SELECT masked FROM done{k})),
+       left{k} AS (SELECT node, masked, docs, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM rest{k}),
+       weight{k} AS (SELECT node, pos, token, sum(docs) AS n FROM left{k} GROUP BY ALL),
+       whole{k} AS (SELECT node, sum(docs) AS whole FROM rest{k} GROUP BY node),
+       best{k} AS (SELECT masked, pos, token FROM left{k} JOIN weight{k} USING (node, pos, token) JOIN whole{k} USING (node) WHERE n < whole
+                   QUALIFY row_number() OVER (PARTITION BY masked ORDER BY n DESC, pos) = 1),
+       mem{k + 1} AS (SELECT r.* REPLACE (r.node || chr(1) || pos || chr(1) || token AS node) FROM rest{k} r JOIN best{k} USING (masked)
+                      QUALIFY sum(docs) OVER (PARTITION BY r.node, pos, token) >= 10 AND count(*) OVER (PARTITION BY r.node, pos, token) > 1),"""
+
+
+OP3_SQL = (
+    r"""
   WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
        line AS (SELECT doc_id, generate_subscripts(l, 1) AS place, unnest(l) AS line FROM raw),
        tok AS (SELECT doc_id, place, line, string_split(trim(regexp_replace(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[ \t-\r]+', ' ', 'g')), ' ') AS t FROM line),
-       m AS (SELECT doc_id, place, line, array_to_string(t, ' ') AS masked, len(t) AS size, [t[1], t[2], t[3]] AS lead, t FROM tok),
-       e AS (SELECT masked, any_value(size) AS size, any_value(lead) AS lead, any_value(t) AS t, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM m WHERE masked <> '' GROUP BY masked),
-       wide AS (SELECT size, lead FROM e WHERE size >= 6 GROUP BY ALL HAVING sum(docs) >= 10 AND count(*) > 1),
-       mem AS (SELECT e.* FROM e JOIN wide USING (size, lead)),
-       votes AS (SELECT size, lead, generate_subscripts(t, 1) AS pos, unnest(t) AS token, docs FROM mem),
-       voted AS (SELECT size, lead, pos, token, sum(docs) AS n FROM votes GROUP BY ALL),
-       common AS (SELECT size, lead, pos, token FROM voted QUALIFY row_number() OVER (PARTITION BY size, lead, pos ORDER BY n DESC, token) = 1),
-       shape AS (SELECT size, lead, list(token ORDER BY pos) AS shape FROM common GROUP BY ALL),
-       near AS (SELECT mem.*, len(list_filter(list_zip(t, shape), lambda x: x[1] = x[2])) AS same FROM mem JOIN shape USING (size, lead)),
-       close AS (SELECT * FROM near WHERE 10 * same >= 7 * size),
-       total AS (SELECT size, lead, min(first_doc) AS leaf_first FROM close GROUP BY ALL HAVING sum(docs) >= 10),
-       rec AS (SELECT masked, min(first_doc) AS first_doc FROM (
-                 SELECT masked, first_doc FROM e WHERE docs >= 10
-                 UNION ALL SELECT masked, leaf_first FROM close JOIN total USING (size, lead)) GROUP BY masked)
-  SELECT doc_id, string_agg(CASE WHEN rec.masked IS NULL OR m.doc_id <= rec.first_doc THEN line END, chr(10) ORDER BY place) AS text,
-         count(*)::INTEGER AS n_lines, count(*) FILTER (rec.masked IS NOT NULL AND m.doc_id > rec.first_doc)::INTEGER AS n_dropped
-  FROM m LEFT JOIN rec USING (masked) GROUP BY doc_id"""
+       m AS (SELECT doc_id, place, line, array_to_string(t, ' ') AS masked, CASE WHEN array_to_string(t, ' ') = '' THEN 0 ELSE len(t) END AS size, t FROM tok),
+       e AS (SELECT masked, any_value(size) AS size, any_value(t) AS t, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM m WHERE masked <> '' GROUP BY masked),
+       holder AS (SELECT DISTINCT masked, doc_id FROM m),
+       mem0 AS (SELECT size || chr(1) || t[1] || chr(1) || t[2] || chr(1) || t[3] AS node, masked, size, t, docs FROM e WHERE size > 3
+                QUALIFY sum(docs) OVER (PARTITION BY size, t[1], t[2], t[3]) >= 10 AND count(*) OVER (PARTITION BY size, t[1], t[2], t[3]) > 1),"""
+    + "".join(_level_sql(k) for k in range(linededup.LEVELS))
+    + r"""
+       rec AS (SELECT masked, min(first_doc) AS first_doc FROM (SELECT masked, first_doc FROM e WHERE docs >= 10"""
+    + "".join(f" UNION ALL SELECT masked, first_doc FROM done{k}" for k in range(linededup.LEVELS))
+    + r""") GROUP BY masked),
+       own AS (SELECT m.doc_id, m.place, m.size, e.first_doc FROM m JOIN e USING (masked) WHERE e.docs >= 2),
+       total AS (SELECT doc_id, sum(size) AS total FROM m GROUP BY doc_id),
+       copied AS (SELECT doc_id, first_doc FROM own JOIN total USING (doc_id) GROUP BY doc_id, first_doc, total HAVING 2 * sum(size) > total),
+       gone AS (SELECT m.doc_id, m.place FROM m JOIN rec USING (masked) WHERE m.doc_id > rec.first_doc
+                UNION SELECT o.doc_id, o.place FROM own o WHERE o.size > 50 AND o.doc_id > o.first_doc
+                  AND NOT EXISTS (SELECT 1 FROM copied c WHERE c.doc_id = o.doc_id AND c.first_doc = o.first_doc))
+  SELECT m.doc_id, coalesce(string_agg(CASE WHEN g.doc_id IS NULL THEN line END, chr(10) ORDER BY m.place), '') AS text,
+         count(*)::INTEGER AS n_lines, count(g.doc_id)::INTEGER AS n_dropped
+  FROM m LEFT JOIN gone g ON g.doc_id = m.doc_id AND g.place = m.place GROUP BY m.doc_id"""
+)
 
 
 def oracle_sql() -> dict[str, str]:
