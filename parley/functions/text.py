@@ -31,20 +31,31 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "[^\\p{IsAlphabetic}\\p{N}\\s]", " ")), "\\s+", " "))
 
 
+#: Characters that stand for the words that two texts share, after one for all other words of a side.
+_SHARED = "".join(chr(0x4E00 + i) for i in range(MAX_WORDS))
+
+
 def word_similarity(a: Column, b: Column, most: int = MAX_WORDS) -> Column:
     """1 - distance / longer length of two word arrays by word-level edit distance; 0 if either is empty.
 
-    Words become characters by their place among the distinct words of both sides, so that the
-    built-in edit distance of strings counts words. Only the first ``most`` words count.
+    Words become characters, so that the built-in edit distance of strings counts words: a word that
+    both sides have by its place among those, any other by a character of its side, since it can
+    match nothing. Only the first ``most`` words count.
     """
-    left, right = F.slice(a, 1, most), F.slice(b, 1, most)
-    known = F.array_distinct(F.concat(left, right))
+    if most > MAX_WORDS:
+        raise ValueError(f"at most {MAX_WORDS} words are compared")
 
-    def coded(side: Column) -> Column:
-        return F.array_join(F.transform(side, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 19968), 4, "0")), "UTF-16BE")), "")
+    def coded(side: Column, shared: Column, own: str) -> Column:
+        return F.array_join(F.transform(side, lambda w: F.substring(F.lit(own + _SHARED), F.array_position(shared, w).cast("int") + 1, F.lit(1))), "")
 
-    longer = F.greatest(F.size(left), F.size(right))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(1 - F.levenshtein(coded(left), coded(right)) / longer)
+    def similarity(s: Column) -> Column:
+        longer = F.greatest(F.size(s["a"]), F.size(s["b"]))
+        return F.when(F.size(s["k"]) == 0, 0.0).otherwise(1 - F.levenshtein(coded(s["a"], s["k"], "<"), coded(s["b"], s["k"], ">")) / longer)
+
+    left, right = F.slice(a, 1, most), F.slice(b, 1, most)
+    # One element, so that the shared words are found once for a pair and not once for each word.
+    pair = F.array(F.struct(left.alias("a"), right.alias("b"), F.array_intersect(left, right).alias("k")))
+    return F.get(F.transform(pair, similarity), F.lit(0))
 
 
 def word_overlap(a: Column, b: Column) -> Column:

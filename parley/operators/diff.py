@@ -4,35 +4,43 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+#: Words between the equal ends of two texts that are aligned; longer ones are removed and added as a whole.
 MAX_WORDS = 1200
 SPANS = ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())]))
 _EDGE = re.compile(r"^\W+|\W+$|^_+|_+$")
 
 
-def _same(a: str, b: str) -> bool:
-    x, y = (_EDGE.sub("", w).lower() for w in (a, b))
-    return bool(x) and x == y
+def _codes(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, equal where two words count as the same; words without a letter or digit equal none."""
+    known: dict[str, int] = {}
 
+    def code(word: str, none: int) -> int:
+        bare = _EDGE.sub("", word).lower()
+        return known.setdefault(bare, len(known)) if bare else none
 
-def _spans(left: list[str], right: list[str]) -> list[tuple[str, str]]:
-    """(op, word) from the longest common subsequence; where both ways are as long, a word is removed first."""
+    return np.array([code(w, -1) for w in left], np.int64), np.array([code(w, -2) for w in right], np.int64)
+
+
+def _spans(left: list[str], right: list[str], a: np.ndarray, b: np.ndarray) -> list[tuple[str, str]]:
+    """(op, word) from the longest common subsequence of the codes; where both ways are as long, a word is removed first."""
     n, m = len(left), len(right)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    best = np.zeros((n + 1, m + 1), np.int16)
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(left[i], right[j]) else max(best[i + 1][j], best[i][j + 1])
+        row = np.where(b == a[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out, i, j = [], 0, 0
     while i < n or j < m:
-        if i < n and j < m and _same(left[i], right[j]):
+        if i < n and j < m and a[i] == b[j]:
             out.append(("equal", right[j]))
             i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
+        elif i < n and (j == m or best[i + 1, j] >= best[i, j + 1]):
             out.append(("removed", left[i]))
             i += 1
         else:
@@ -44,14 +52,14 @@ def _spans(left: list[str], right: list[str]) -> list[tuple[str, str]]:
 def spans_of(left: str | None, right: str | None) -> list[dict[str, str]]:
     """G2 for one pair: adjacent words of one kind are one span; equal text is the right side's."""
     a, b = (left or "").split(), (right or "").split()
-    head = 0
-    while head < min(len(a), len(b)) and _same(a[head], b[head]):
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and _same(a[-1 - tail], b[-1 - tail]):
-        tail += 1
+    c, d = _codes(a, b)
+    least = min(len(a), len(b))
+    differ = np.flatnonzero(c[:least] != d[:least])
+    head = int(differ[0]) if len(differ) else least
+    differ = np.flatnonzero(c[::-1][: least - head] != d[::-1][: least - head])
+    tail = int(differ[0]) if len(differ) else least - head
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    middle = _spans(x, y) if max(len(x), len(y)) <= MAX_WORDS else [*(("removed", w) for w in x), *(("added", w) for w in y)]
+    middle = _spans(x, y, c[head : len(a) - tail], d[head : len(b) - tail]) if max(len(x), len(y)) <= MAX_WORDS else [*(("removed", w) for w in x), *(("added", w) for w in y)]
     out: list[dict[str, str]] = []
     for op, word in [*(("equal", w) for w in b[:head]), *middle, *(("equal", w) for w in b[len(b) - tail :])]:
         if out and out[-1]["op"] == op:

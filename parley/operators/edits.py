@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions import scalars
+from parley.operators import intervals
 
 _PLACE = ["meeting_id", "channel", "start_ms", "end_ms"]
 
@@ -30,14 +30,11 @@ def reattached(edits: DataFrame, segments: DataFrame) -> DataFrame:
     original text; a blank original has none. The home with most overlap is taken, ties to the
     smallest index. One edit stays at each segment, the last by (created_at_ms, id).
     """
-    target = segments.select("meeting_id", "channel", F.col("idx").alias("target_idx"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("text").alias("_text"))
-    common = scalars.overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("_s"), F.col("_e"))
-    homes = edits.where(F.trim("original_text") != "").join(target, ["meeting_id", "channel"]).withColumn("_overlap", common)
-    homes = homes.where((F.col("_overlap") > 0) & F.contains(F.col("_text"), F.col("original_text")))
-    best = Window.partitionBy("id").orderBy(F.desc("_overlap"), "target_idx")
-    first = homes.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    last = Window.partitionBy("meeting_id", "target_idx").orderBy(F.desc("created_at_ms"), F.desc("id"))
-    placed = first.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("id", "target_idx")
+    target = segments.select("meeting_id", "channel", "idx", "start_ms", "end_ms", "text")
+    moving = edits.where(F.trim("original_text") != "").select("id", "meeting_id", "channel", "start_ms", "end_ms", "original_text", "created_at_ms")
+    homes = intervals.overlap_join(moving, target, ["meeting_id", "channel"]).where(F.contains(F.col("r_text"), F.col("original_text")))
+    first = homes.groupBy("id", "meeting_id", "created_at_ms").agg(F.max_by("r_idx", F.struct("overlap", (-F.col("r_idx")).alias("before"))).alias("target_idx"))
+    placed = first.groupBy("meeting_id", "target_idx").agg(F.max_by("id", F.struct("created_at_ms", "id")).alias("id")).select("id", "target_idx")
     return edits.join(placed, "id", "left")
 
 

@@ -6,7 +6,7 @@ and a pair counts in the first bucket that both touch. A hot meeting is spread o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import scalars
@@ -40,8 +40,14 @@ def best_twin(left: DataFrame, right: DataFrame, similarity: Column, keys: list[
     Only left rows with a partner are returned; the caller's threshold comes after the choice.
     """
     pairs = overlap_join(left, right, keys).withColumn("similarity", similarity)
-    order = Window.partitionBy(*keys, *row).orderBy(F.desc("similarity"), F.desc("overlap"), tie)
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return best_pair(pairs, [*keys, *row], "overlap", tie)
+
+
+def best_pair(pairs: DataFrame, by: list[str], then: str, tie: str) -> DataFrame:
+    """The pair of each left row that is greatest by similarity, then by ``then``, then least by ``tie``; an aggregate with a partial step."""
+    kept = [c for c in pairs.columns if c not in by]
+    best = pairs.groupBy(*by).agg(F.max_by(F.struct(*kept), F.struct("similarity", then, (-F.col(tie)).alias("tie"))).alias("best"))
+    return best.select(*by, "best.*")
 
 
 def far_twin(left: DataFrame, right: DataFrame, similarity: Column, keys: list[str], row: list[str], tie: str, gap_ms: int = 30_000) -> DataFrame:
@@ -49,8 +55,7 @@ def far_twin(left: DataFrame, right: DataFrame, similarity: Column, keys: list[s
     renamed = right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys))
     gap = scalars.gap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r_start_ms"), F.col("r_end_ms"))
     pairs = left.join(renamed, keys).withColumn("gap", gap).where(F.col("gap") >= gap_ms).withColumn("similarity", similarity)
-    order = Window.partitionBy(*keys, *row).orderBy(F.desc("similarity"), F.desc("gap"), tie)
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return best_pair(pairs, [*keys, *row], "gap", tie)
 
 
 def total_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -70,11 +70,10 @@ def live_lines(captions: DataFrame) -> DataFrame:
 
 def twins(segments: DataFrame) -> DataFrame:
     """Each mic segment's best overlapping system segment, with its similarity and the words of the shorter side."""
-    rows = segments.withColumn("words", T.words(F.col("text")))
-    mic, system = rows.where("channel = 'mic'"), rows.where("channel = 'system'")
-    similarity = T.word_similarity(F.col("words"), F.col("r_words"))
-    best = intervals.best_twin(mic, system, similarity, ["meeting_id"], ["idx"], "r_idx")
-    return best.withColumn("shorter", F.least(F.size("words"), F.size("r_words")))
+    rows = segments.withColumn("words", T.words(F.col("text"))).drop("text")
+    mic, system = rows.where("channel = 'mic'"), rows.where("channel = 'system'").select("meeting_id", "idx", "start_ms", "end_ms", "words")
+    pairs = intervals.overlap_join(mic, system, ["meeting_id"]).withColumns({"similarity": T.word_similarity(F.col("words"), F.col("r_words")), "shorter": F.least(F.size("words"), F.size("r_words"))})
+    return intervals.best_pair(pairs.drop("words", "r_words"), ["meeting_id", "idx"], "overlap", "r_idx")
 
 
 def collapsed(segments: DataFrame, threshold: float, touched: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import scalars as S
 from parley.functions import text as T
 from parley.operators import audio, briefs, diff, edits, flows, glossary, intervals, maintenance, reports, search, signal, transcripts, vectors
-from parley.plans.register import CENTROID, SQL, TOKENS, WORDS, query
+from parley.plans.register import CENTROID, SQL, TOKENS, WORDS, query, report_sql, twins_sql
 from parley.sources import carriers as C
 from parley.sources.tables import table
 from parley.streaming import slots
@@ -290,13 +290,15 @@ def _x3(spark, sf_dir):
 
 
 @query("x4_word_similarity", f"""
-    WITH w AS (SELECT conv_id, turn, ({WORDS})[1:40] AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b, list_distinct(list_concat(a.w, b.w)) AS k FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-         c AS (SELECT *, array_to_string(list_transform(a, lambda x: chr((33 + list_position(k, x))::INTEGER)), '') AS ca, array_to_string(list_transform(b, lambda x: chr((33 + list_position(k, x))::INTEGER)), '') AS cb FROM p)
-    SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(ca, cb)::DOUBLE / greatest(len(a), len(b)) END, 9) AS similarity FROM c""")
+    WITH w AS (SELECT conv_id, turn, ({WORDS})[1:400] AS w FROM conversations),
+         p AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b, list_intersect(a.w, b.w) AS k FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+         c AS (SELECT *, array_to_string(list_transform(a, lambda x: chr((CASE WHEN coalesce(list_position(k, x), 0) = 0 THEN 33 ELSE 34 + list_position(k, x) END)::INTEGER)), '') AS ca,
+                      array_to_string(list_transform(b, lambda x: chr((CASE WHEN coalesce(list_position(k, x), 0) = 0 THEN 34 ELSE 34 + list_position(k, x) END)::INTEGER)), '') AS cb FROM p)
+    SELECT conv_id, turn, round(CASE WHEN len(k) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(ca, cb)::DOUBLE / greatest(len(a), len(b)) END, 9) AS similarity FROM c""")
 def _x4(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("a"))
     after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
-    return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.word_similarity(F.col("a"), F.col("b"), 40), 9).alias("similarity"))
+    return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.word_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 @query("x5_plain", r"SELECT conv_id, turn, trim(regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{N}\s]', ' ', 'g')), '\s+', ' ', 'g')) AS plain FROM conversations")
@@ -344,10 +346,10 @@ def _x15(spark, sf_dir):
 
 
 @query("x16_numbered_lines", f"""
-    WITH w AS (SELECT conv_id, turn, ({WORDS})[1:5] AS w FROM conversations)
+    WITH w AS (SELECT conv_id, turn, ({WORDS}) AS w FROM conversations)
     SELECT conv_id, turn, array_to_string(list_transform(w, lambda x, i: concat(i, '. ', x)), chr(10)) AS batch, array_to_string(w, ' ') AS parsed FROM w WHERE len(w) > 0""")
 def _x16(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(T.words(F.col("text")), 1, 5).alias("w")).where(F.size("w") > 0)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
     rows = rows.withColumn("batch", T.numbered(F.col("w")))
     return rows.select("conv_id", "turn", "batch", F.array_join(T.parse_numbered(F.col("batch"), F.size("w")), " ").alias("parsed"))
 
@@ -409,7 +411,9 @@ def _x30(spark, sf_dir):
     return rows.select("conv_id", "turn", _shown(S.padded(F.array(F.col("turn").cast("short")), F.col("turn") % 4)).alias("pcm"))
 
 
-@query("x31_collapse_notes")
+@query("x31_collapse_notes", f"""
+    WITH {twins_sql(C.SEGMENTS_SQL)}, {report_sql(C.SEGMENTS_SQL, 0.02)}
+    SELECT meeting_id, CASE WHEN collapsed > 0 THEN concat('Wiederholungen entfernt: ', collapsed, CASE WHEN kept_short > 0 THEN concat(', kurze behalten: ', kept_short) ELSE '' END) ELSE '' END AS note FROM report""")
 def _x31(spark, sf_dir):
     report = transcripts.collapse_report(C.segments(spark, sf_dir), 0.02)
     return report.select("meeting_id", briefs.collapse_note(report, "de").alias("note"))
@@ -547,7 +551,7 @@ def _t3(spark, sf_dir):
 
 @query("t8_agreed_words")
 def _t8(spark, sf_dir):
-    words = F.transform(F.slice(F.split("text", " "), 1, 30), lambda w, i: F.struct(w.alias("text"), ((i + 1) * 100).cast("long").alias("end_ms")))
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), ((i + 1) * 100).cast("long").alias("end_ms")))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("iteration"), words.alias("words"))
     return slots.batch(rows, slots.agree_step, slots.AGREED, ["iteration"])
 

@@ -32,3 +32,28 @@ CENTROID = """
     u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS v FROM embeddings WHERE vec_id % 5 = 0),
     m AS (SELECT label, pos, sum(v) AS v FROM u GROUP BY ALL), c AS (SELECT label, list(v ORDER BY pos) AS v FROM m GROUP BY 1),
     p AS (SELECT concat('s', label) AS speaker_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM c)"""
+
+
+def twins_sql(segments: str, condition: str = "m.start_ms < s.end_ms AND s.start_ms < m.end_ms", measure: str = "least(m.end_ms, s.end_ms) - greatest(m.start_ms, s.start_ms)") -> str:
+    """Common table expression ``twin``: each mic segment's best system segment, by similarity, then ``measure``.
+
+    Shared words get a character each; the edit distance counts bytes, so there may be 90 of them.
+    """
+    place = "coalesce(list_position(k, x), 0)"
+    return f"""
+    seg AS (SELECT *, {WORDS} AS w FROM ({segments})),
+    pair AS (SELECT m.meeting_id, m.idx, s.idx AS r_idx, {measure} AS measure, m.w[1:400] AS a, s.w[1:400] AS b, list_intersect(m.w[1:400], s.w[1:400]) AS k, least(len(m.w), len(s.w)) AS shorter
+             FROM seg m JOIN seg s ON m.meeting_id = s.meeting_id AND m.channel = 'mic' AND s.channel = 'system' AND {condition}),
+    coded AS (SELECT *, array_to_string(list_transform(a, lambda x: chr((CASE WHEN {place} = 0 THEN 33 ELSE 34 + {place} END)::INTEGER)), '') AS ca,
+                     array_to_string(list_transform(b, lambda x: chr((CASE WHEN {place} = 0 THEN 34 ELSE 34 + {place} END)::INTEGER)), '') AS cb FROM pair),
+    alike AS (SELECT meeting_id, idx, r_idx, measure, shorter, CASE WHEN len(k) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(ca, cb)::DOUBLE / greatest(len(a), len(b)) END AS similarity FROM coded),
+    twin AS (SELECT * FROM alike QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY similarity DESC, measure DESC, r_idx) = 1)"""
+
+
+def report_sql(segments: str, threshold: float) -> str:
+    """Common table expression ``report`` over ``twin``: what a collapse at the threshold would do to each meeting."""
+    return f"""
+    found AS (SELECT meeting_id, count(*) AS paired, count(*) FILTER (similarity >= {threshold} AND shorter >= 4) AS collapsed, count(*) FILTER (similarity >= {threshold} AND shorter < 4) AS kept_short FROM twin GROUP BY 1),
+    whole AS (SELECT meeting_id, count(*) AS segments, count(*) FILTER (channel = 'mic') AS mic_total, count(*) FILTER (channel = 'system') AS system_total FROM ({segments}) GROUP BY 1),
+    report AS (SELECT meeting_id, segments, mic_total, system_total, coalesce(paired, 0) AS paired, coalesce(collapsed, 0) AS collapsed, coalesce(kept_short, 0) AS kept_short,
+                      mic_total - coalesce(paired, 0) AS lonely_mic, segments - coalesce(collapsed, 0) AS kept FROM whole LEFT JOIN found USING (meeting_id))"""

@@ -16,6 +16,8 @@ from parley.plans.register import TOKENS as _TOKENS
 from parley.plans.register import WORDS as _WORDS
 from parley.plans.register import Query
 from parley.plans.register import query as _query
+from parley.plans.register import report_sql as _report_sql
+from parley.plans.register import twins_sql as _twins_sql
 from parley.sources import carriers as C
 from parley.sources import files
 from parley.sources.tables import table
@@ -71,7 +73,10 @@ def _stale(spark, sf_dir):
 
 # -- Joins -----------------------------------------------------------------------------------------
 
-@_query("j1_best_twin")
+_TWINS = _twins_sql(C.SEGMENTS_SQL)
+
+
+@_query("j1_best_twin", f"WITH {_TWINS} SELECT meeting_id, idx, r_idx, measure AS overlap, round(similarity, 9) AS similarity, shorter::INTEGER AS shorter FROM twin")
 def _best_twin(spark, sf_dir):
     return transcripts.twins(C.segments(spark, sf_dir)).select("meeting_id", "idx", "r_idx", "overlap", F.round("similarity", 9).alias("similarity"), "shorter")
 
@@ -164,12 +169,14 @@ def _next_version(spark, sf_dir):
     return maintenance.next_version(C.versions(spark, sf_dir))
 
 
-@_query("a11_collapse_report")
+@_query("a11_collapse_report", f"WITH {_TWINS}, {_report_sql(C.SEGMENTS_SQL, 0.02)} SELECT * FROM report")
 def _collapse_report(spark, sf_dir):
     return transcripts.collapse_report(C.segments(spark, sf_dir), 0.02)
 
 
-@_query("a13_threshold_sweep")
+@_query("a13_threshold_sweep", f"""
+    WITH {_TWINS} SELECT threshold::DOUBLE AS threshold, count(*) FILTER (similarity >= threshold) AS pairs, coalesce(sum(shorter) FILTER (similarity >= threshold), 0)::BIGINT AS words
+    FROM twin, (VALUES (0.01::DOUBLE), (0.03::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.4::DOUBLE)) AS t(threshold) GROUP BY 1""")
 def _sweep(spark, sf_dir):
     return reports.threshold_sweep(transcripts.twins(C.segments(spark, sf_dir)), [0.01, 0.03, 0.05, 0.1, 0.2, 0.4])
 
@@ -231,10 +238,16 @@ def _merged(spark, sf_dir):
     return transcripts.merged(C.segments(spark, sf_dir)).select("meeting_id", "idx", "channel", "position")
 
 
-_PARA = f"""
-    WITH o AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, CASE WHEN channel = 'mic' THEN 0 ELSE 1 END, end_ms, idx) - 1 AS position FROM ({C.SEGMENTS_SQL})),
+def _para(source: str) -> str:
+    """Common table expression ``p``: paragraphs of the segments that ``source`` selects."""
+    return f"""
+         o AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms, CASE WHEN channel = 'mic' THEN 0 ELSE 1 END, end_ms, idx) - 1 AS position FROM ({source})),
          n AS (SELECT *, lag(speaker_id) OVER w AS ps, lag(channel) OVER w AS pc, lag(text) OVER w AS pt FROM o WHERE trim(text) <> '' WINDOW w AS (PARTITION BY meeting_id ORDER BY position)),
-         p AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> speaker_id OR pc <> channel OR regexp_matches(pt, '[.!?…]\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY position) - 1 AS paragraph FROM n)"""
+         p AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> speaker_id OR pc <> channel OR regexp_matches(pt, '[.!?…]\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id ORDER BY position) - 1 AS paragraph FROM n),
+         q AS (SELECT meeting_id, paragraph, concat('**', any_value(speaker_id), ':** ', string_agg(trim(text), ' ' ORDER BY position)) AS body FROM p GROUP BY ALL)"""
+
+
+_PARA = f"WITH {_para(C.SEGMENTS_SQL)}"
 
 
 @_query("w2_paragraphs", f"{_PARA} SELECT meeting_id, idx, position, paragraph::BIGINT AS paragraph FROM p")
@@ -242,7 +255,7 @@ def _paragraphs(spark, sf_dir):
     return transcripts.paragraphs(C.segments(spark, sf_dir)).select("meeting_id", "idx", "position", "paragraph")
 
 
-@_query("g9_rendered", f"""{_PARA}, q AS (SELECT meeting_id, paragraph, concat('**', any_value(speaker_id), ':** ', string_agg(trim(text), ' ' ORDER BY position)) AS body FROM p GROUP BY ALL)
+@_query("g9_rendered", f"""{_PARA}
     SELECT meeting_id, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body FROM q GROUP BY 1""")
 def _rendered(spark, sf_dir):
     return transcripts.rendered(C.segments(spark, sf_dir))
@@ -333,7 +346,11 @@ def _x21(spark, sf_dir):
     return rows.join(after, "vec_id").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-@_query("x9_fingerprints")
+@_query("x9_fingerprints", """
+    WITH h AS (SELECT conv_id, turn, hex(text) AS h FROM conversations),
+         f AS (SELECT conv_id, turn, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(generate_series(1, len(h) - 1, 2), lambda i: ('0x' || h[i:i + 1])::HUGEINT)),
+                                                 lambda s, b: (xor(s, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS f FROM h)
+    SELECT conv_id, turn, lower(lpad(hex(f), 16, '0')) AS fingerprint FROM f""")
 def _x9(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.fingerprint("text").alias("fingerprint"))
 
@@ -346,7 +363,7 @@ def _f5(spark, sf_dir):
 # -- Compound operators -------------------------------------------------------------------------
 
 
-@_query("g1_collapsed")
+@_query("g1_collapsed", f"WITH {_TWINS} SELECT meeting_id, idx FROM ({C.SEGMENTS_SQL}) s WHERE NOT EXISTS (SELECT 1 FROM twin t WHERE t.meeting_id = s.meeting_id AND t.idx = s.idx AND similarity >= 0.02 AND shorter >= 4)")
 def _collapsed(spark, sf_dir):
     return transcripts.collapsed(C.segments(spark, sf_dir), 0.02).select("meeting_id", "idx")
 
@@ -459,7 +476,7 @@ def _calendar(spark, sf_dir):
     return C.levels(spark, sf_dir).select("event_id", kind.alias("kind"))
 
 
-@_query("f15_long_pairs")
+@_query("f15_long_pairs", f"WITH {_TWINS} SELECT meeting_id, idx FROM twin WHERE shorter >= 20")
 def _long_pairs(spark, sf_dir):
     return transcripts.twins(C.segments(spark, sf_dir)).where("shorter >= 20").select("meeting_id", "idx")
 
@@ -603,7 +620,10 @@ def _owner_windows(spark, sf_dir):
 # -- Further joins and reports ------------------------------------------------------------------
 
 
-@_query("j2_far_twin")
+_FAR = _twins_sql(C.SEGMENTS_SQL, "greatest(m.start_ms, s.start_ms) - least(m.end_ms, s.end_ms) >= 3000", "greatest(m.start_ms, s.start_ms) - least(m.end_ms, s.end_ms)")
+
+
+@_query("j2_far_twin", f"WITH {_FAR} SELECT meeting_id, idx, r_idx, measure AS gap, round(similarity, 9) AS similarity FROM twin")
 def _far_twin(spark, sf_dir):
     rows = C.segments(spark, sf_dir).withColumn("words", T.words(F.col("text")))
     similarity = F.round(T.word_similarity(F.col("words"), F.col("r_words")), 9)
@@ -729,7 +749,10 @@ def _paced(spark, sf_dir):
     return signal.paced_inferences(_gate(spark, sf_dir), ["session_id"])
 
 
-@_query("g18_collapsed_text")
+_UNDOUBLED = f"SELECT * FROM ({C.SEGMENTS_SQL}) s WHERE NOT EXISTS (SELECT 1 FROM twin t WHERE t.meeting_id = s.meeting_id AND t.idx = s.idx AND similarity >= 0.5 AND shorter >= 4)"
+
+
+@_query("g18_collapsed_text", f"WITH {_TWINS}, {_para(_UNDOUBLED)} SELECT meeting_id, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body FROM q GROUP BY 1")
 def _collapsed_text(spark, sf_dir):
     return transcripts.rendered(transcripts.collapsed(C.segments(spark, sf_dir), 0.5))
 

@@ -21,12 +21,12 @@ VERSIONS_SQL = """
          o_orderpriority AS body, o_orderkey AS created_at_ms FROM orders"""
 ARTIFACTS_SQL = """
   SELECT o_orderkey AS id, o_custkey AS meeting_id, o_orderstatus AS kind,
-         CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 END AS source_version FROM orders WHERE o_orderkey % 5 = 0"""
+         CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 END AS source_version FROM orders"""
 EDITS_SQL = """
   SELECT conv_id * 1000 + turn * 10 + k AS id, conv_id AS meeting_id, CASE WHEN role = 'assistant' THEN 'system' ELSE 'mic' END AS channel,
-         turn * 2000 AS start_ms, turn * 2000 + 500 + 10 * length(text) AS end_ms, substr(text, 1, 12) AS original_text,
+         turn * 2000 AS start_ms, turn * 2000 + 500 + 10 * length(text) AS end_ms, text AS original_text,
          concat('edit ', k, ' ', conv_id) AS edited_text, 100 - k % 2 AS created_at_ms, CASE WHEN k = 1 THEN 'human' ELSE 'bulk' END AS origin
-  FROM conversations, (VALUES (0), (1), (2)) AS n(k) WHERE (conv_id + turn) % 4 = 0"""
+  FROM conversations, (VALUES (0), (1), (2)) AS n(k)"""
 TERMS_SQL = """
   SELECT p_partkey AS id, p_name AS surface, upper(p_name) AS canonical, CASE WHEN p_size % 2 = 0 THEN 'en' ELSE 'de' END AS language,
          CASE WHEN p_size % 3 = 0 THEN 'global' ELSE 'meeting' END AS scope, CASE WHEN p_size % 3 <> 0 THEN p_size % 7 END AS meeting_id, p_size % 2 AS kind
@@ -67,21 +67,21 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth order as an artifact, some with a source version."""
+    """Every order as an artifact, some with a source version."""
     part = F.col("o_orderkey") % 3
-    return table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("meeting_id"), F.col("o_orderstatus").alias("kind"), F.when(part > 0, part).alias("source_version"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("meeting_id"), F.col("o_orderstatus").alias("kind"), F.when(part > 0, part).alias("source_version"))
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits on every fourth segment."""
-    rows = segments(spark, sf_dir).where((F.col("meeting_id") + F.col("idx")) % 4 == 0).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    """Three edits on every segment."""
+    rows = segments(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
     return rows.select(
         (F.col("meeting_id") * 1000 + F.col("idx") * 10 + F.col("k")).alias("id"),
         "meeting_id",
         "channel",
         "start_ms",
         "end_ms",
-        F.substring("text", 1, 12).alias("original_text"),
+        F.col("text").alias("original_text"),
         F.concat(F.lit("edit "), F.col("k"), F.lit(" "), F.col("meeting_id")).alias("edited_text"),
         (100 - F.col("k") % 2).alias("created_at_ms"),
         F.when(F.col("k") == 1, "human").otherwise("bulk").alias("origin"),

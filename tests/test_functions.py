@@ -153,3 +153,35 @@ def test_remembered_voices(spark):
     rows = spark.createDataFrame([(1, "none", [1.0, 0.1], "m"), (2, "none", [1.0, 0.1], "other"), (3, "human", [1.0, 0.1], "m"), (4, "none", None, "m")], "id int, source string, vector array<double>, model_id string")
     voices = spark.createDataFrame([("ann", [1.0, 0.0], "m"), ("bob", [0.0, 1.0], "m")], "speaker_id string, vector array<double>, model_id string")
     assert [(r.id, r.speaker_id) for r in vectors.remembered(rows, voices).collect()] == [(1, "ann")]
+
+
+def test_fingerprints_side_by_side_equal_those_byte_by_byte(spark):
+    def plain(value):
+        state = 0xCBF29CE484222325
+        for byte in value.encode():
+            state = (state ^ byte) * 0x100000001B3 % (1 << 64)
+        return f"{state:016x}"
+
+    texts = ["é" * n + "x" * (n % 7) for n in range(40)] + ["", "a" * 5000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.fingerprint("t").alias("f")).collect()
+    assert all(r.f == (None if r.t is None else plain(r.t)) for r in rows)
+
+
+def test_similarity_against_a_plain_edit_distance(spark):
+    import random
+
+    def plain(a, b):
+        if not a or not b:
+            return 0.0
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, before = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(row[j] + 1, before[j + 1] + 1, before[j] + (x != y)))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    rng = random.Random(3)
+    pick = lambda: [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 12))]
+    pairs = [(pick(), pick()) for _ in range(200)]
+    rows = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", T.word_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert all(abs(r.s - plain(r.a, r.b)) < 1e-12 for r in rows)
