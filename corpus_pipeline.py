@@ -25,45 +25,75 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: a null text, or one without a letter.
+    """Drops documents whose language can't be told: a null or empty text, or one without a letter.
 
-    The others get the predicted language as ``lang``. Statistics are learned from the rows that
-    have a text and a language; if there are none, nothing is dropped.
+    The others get the predicted language as ``lang``, whatever their length. Statistics are learned
+    from the rows that have a text and a language; if there are none, the others keep their ``lang``.
+    Ties go to the first language in order. Repeated rows and ids are judged row by row, and nulls
+    in other columns play no part. An empty table gives no rows. Columns of docs under other names,
+    lang_pred and score among them, come back as they are.
     """
-    model = langid.fit(docs)
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
     if model is None:
-        return docs
-    found = langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+        return docs.where(F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
+    # The other columns travel under names of their own, so that none is taken for a result.
+    others = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang")}
+    found = langid.identify(docs.select("text", *(F.col(f"`{c}`").alias(name) for c, name in others.items())), model)
+    back = {**{c: F.col(name).alias(c) for c, name in others.items()}, "text": F.col("text"), "lang": F.col("lang_pred").alias("lang")}
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*(back[c] for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring lines out of the texts, and documents that consisted of them alone."""
+    """Takes recurring lines and passages out of the texts, and documents that consisted of them alone.
+
+    A line stays in the document of the smallest id that has it. Null and empty texts, texts that
+    lose nothing and texts that were blank before stay as they are. Repeated rows count as one
+    document, lose the same lines and stay as often as they were. Rows without an id lose every
+    recurring line. An empty table gives no rows. ``n_chars`` follows the text, null for a null one;
+    other columns come back as they are.
+    """
     left = linededup.drop_recurring_lines(docs).where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "[\\t-\\r]", " ")) != ""))
     return _counted(left, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate group, and one row of each id.
+    """Keeps the document of the smallest id of each near-duplicate group.
 
-    Rows without an id stay.
+    Documents without a word (null, empty or blank texts) are linked with nothing and stay, and so do
+    rows without an id. Texts of any length are compared whole. Of rows that repeat an id that stays,
+    each different text stays once, with the least of its other columns; none is lost by chance. An
+    empty table gives no rows. Columns come back as they are.
     """
-    kept = storage.written(neardup.near_duplicates(docs, WIDTH, PERCENT).where("kept").select("doc_id"))
-    ids = kept.distinct()
-    left = docs.join(storage.broadcast_if_small(ids), "doc_id", "left_semi")
-    if kept.count() > ids.count():
-        left = left.dropDuplicates(["doc_id"])
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), WIDTH, PERCENT).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = storage.written(kept)
+    left = docs.join(storage.broadcast_if_small(kept.select("doc_id")), "doc_id", "left_semi")
+    again = kept.where("_rows > 1").select("doc_id")
+    if not again.isEmpty():
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        several = left.join(storage.broadcast_if_small(again), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_x"))
+        several = several.select(*(c if c in ("doc_id", "text") else F.col(f"_x.{c}") for c in docs.columns))
+        left = left.join(storage.broadcast_if_small(again), "doc_id", "left_anti").select(*docs.columns).union(several)
     return left.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret; all documents stay."""
+    """Replaces every secret of every whole text; all documents stay.
+
+    Null and empty texts, and texts without a secret, stay as they are. Secrets that overlap are
+    replaced as one. Repeated rows are treated alike; a null ``source`` is an empty path. An empty
+    table gives no rows. ``n_chars`` follows the text; other columns come back as they are.
+    """
     return _counted(secretscan.redact(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 4096 tokens."""
-    return packing.pack_documents(docs, WORD_BPE)
+    """Packs the documents into sequences of 4096 tokens; a row for each piece.
+
+    A null or empty text is one end id. Only texts longer than a sequence are cut. Repeated rows and
+    ids are packed row by row; a row without an id keeps its null. An empty table gives no rows.
+    Columns of docs other than doc_id and text are not read.
+    """
+    return packing.pack_documents(docs.select("doc_id", "text"), WORD_BPE)
 
 
 STAGES = [
