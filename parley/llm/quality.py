@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -16,6 +17,8 @@ from parley.llm import kernels as K
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SAMPLE_ROWS = 2000
+#: Counts that every text gets.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Bytes that are symbols: # * $ % & | < >
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -24,10 +27,18 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 class Measures:
     """Counts over a block of texts, each made when a rule first asks for it."""
 
-    def __init__(self, array: pa.Array) -> None:
-        self.array = K.fill(array)
-        self.texts = K.Texts(self.array)
-        self._made: dict[str, np.ndarray] = {}
+    def __init__(self, array: pa.Array, rows: np.ndarray | None = None, made: dict[str, np.ndarray] | None = None) -> None:
+        self.whole, self.rows = K.fill(array), rows
+        self._made: dict[str, np.ndarray] = made or {}
+
+    @functools.cached_property
+    def texts(self) -> K.Texts:
+        return K.Texts(self.whole if self.rows is None else self.whole.take(pa.array(self.rows)))
+
+    def take(self, keep: np.ndarray) -> Measures:
+        """The same for some of the texts, with the counts that are made already; texts are copied only for others."""
+        rows = keep if self.rows is None else self.rows[keep]
+        return Measures(self.whole, rows, {name: count[keep] for name, count in self._made.items() if name != "spans"})
 
     def get(self, name: str) -> np.ndarray:
         if name not in self._made:
@@ -114,9 +125,13 @@ def sample_rejections(docs: DataFrame, rules: tuple[Rule, ...], rows: int) -> li
         for batch in batches:
             for block in K.blocks(batch):
                 bits, cost = np.zeros(block.num_rows, np.int64), []
+                m = Measures(block.column(0))
+                for name in BASE:
+                    m.get(name)  # the base rule has made these before any other is asked
                 for i, rule in enumerate(rules):
+                    own = m.take(np.arange(block.num_rows))
                     began = time.perf_counter()
-                    bits |= rule.rejects(Measures(block.column(0))).astype(np.int64) << i
+                    bits |= rule.rejects(own).astype(np.int64) << i
                     cost.append(time.perf_counter() - began)
                 found, count = np.unique(bits, return_counts=True)
                 share = [[c * n / block.num_rows for c in cost] for n in count]
@@ -146,7 +161,8 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
     and failed_rule: the rule that rejected the text, ``base`` for the base rule, else null. Texts
-    that the base rule rejects enter no rule, and a rule sees only what the rules before it kept.
+    that the base rule rejects enter no rule, and a rule sees only what the rules before it kept, with
+    all counts made so far.
     The sample of about ``sample_rows`` texts sets the order alone: ``kept`` does not depend on it.
 
     A null or empty text has no words and fails the base rule. Repeated ids give a row each. An
@@ -155,26 +171,27 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
     docs = docs.select("doc_id", "text")
     order = rule_order(sample_rejections(docs, rules, sample_rows), len(rules))
     ranked = [rules[i] for i in order]
-    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in K.blocks(batch):
                 m = Measures(block.column(1))
-                counts = [m.get(name).astype(np.int64) for name in base]
+                counts = [m.get(name).astype(np.int64) for name in BASE]
                 failed = (counts[0] < MIN_WORDS) | (100 * counts[4] > MAX_REPEAT_PERCENT * counts[0])
                 why = np.full(block.num_rows, None, object)
                 why[failed] = "base"
                 alive = np.flatnonzero(~failed)
+                m = m.take(alive)
                 for rule in ranked:
                     if not len(alive):
                         break
-                    bad = rule.rejects(Measures(m.array.take(pa.array(alive))))
+                    bad = rule.rejects(m)
                     why[alive[bad]] = rule.name
-                    alive = alive[~bad]
+                    if bad.any():
+                        alive, m = alive[~bad], m.take(np.flatnonzero(~bad))
                 kept = np.zeros(block.num_rows, bool)
                 kept[alive] = True
-                yield pa.RecordBatch.from_arrays([block.column(0), *map(pa.array, counts), pa.array(failed), pa.array(kept), pa.array(why, pa.string())], ["doc_id", *base, "base_failed", "kept", "failed_rule"])
+                yield pa.RecordBatch.from_arrays([block.column(0), *map(pa.array, counts), pa.array(failed), pa.array(kept), pa.array(why, pa.string())], ["doc_id", *BASE, "base_failed", "kept", "failed_rule"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, failed_rule string"
     return K.map_batches(docs.withColumn("doc_id", F.col("doc_id").cast("long")), judge, schema)

@@ -68,24 +68,23 @@ def coverage(value: str) -> float:
 def describe(value: str, before: str, after: str, path: str) -> list[float]:
     """Features of a candidate: its characters, the path it is found in and the words around it."""
     n = len(value)
-    head = value[:400]
-    classes = [_class(c) for c in head]
-    many = Counter(head)
-    pairs = sum(a.isalpha() and b.isalpha() for a, b in zip(head, head[1:], strict=False))
+    classes = [_class(c) for c in value]
+    many = Counter(value)
+    pairs = sum(a.isalpha() and b.isalpha() for a, b in zip(value, value[1:], strict=False))
     left = [w.lower() for w in _WORD.findall(before)][-6:]
     right = [w.lower() for w in _WORD.findall(after)][:4]
     near = {p for w in re.findall(r"[A-Za-z]+", before[-24:].replace("_", " ")) for p in (w.lower(),)}
     path_words = {w.lower() for w in re.findall(r"[A-Za-z]+", path)}
-    share = [classes.count(k) / len(head) for k in range(4)]
+    share = [classes.count(k) / n for k in range(4)]
     return [
-        float(min(n, 400)),
+        float(n),
         *share,
-        sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(1, len(head) - 1),
-        len(many) / len(head),
-        -sum(c / len(head) * math.log2(c / len(head)) for c in many.values()),
-        pairs / max(1, len(head) - 1),
-        sum(c in "aeiouAEIOU" for c in head) / len(head),
-        coverage(head),
+        sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(1, n - 1),
+        len(many) / n,
+        -sum(c / n * math.log2(c / n) for c in many.values()),
+        pairs / max(1, n - 1),
+        sum(c in "aeiouAEIOU" for c in value) / n,
+        coverage(value),
         float(bool(_HEX.match(value))),
         float(bool(_UUID.match(value))),
         float(bool(_PREFIX.match(value))),
@@ -164,7 +163,13 @@ def labelled_texts(n: int = FINDINGS, seed: int = 5) -> Iterator[tuple[str, str,
         return " ".join(pick(words) if rng.random() < 0.5 else "".join(pick(("th", "er", "on", "an", "ch", "en", "ou", "ie", "es", "ti")) for _ in range(int(rng.integers(1, 5)))) for _ in range(size))
 
     def secret() -> tuple[str, str, str]:
-        kind = int(rng.integers(7))
+        kind = int(rng.integers(8))
+        if kind == 7:
+            lines = [chars(both + "+/", 64) for _ in range(int(rng.integers(4, 60)))]
+            if rng.random() < 0.5:
+                begin = pick(("", "RSA ", "EC ", "OPENSSH ")) + "PRIVATE KEY-----"
+                return f"-----BEGIN {begin}\n" + "\n".join(lines) + f"\n-----END {begin}", prose(4) + pick((" ", "\n", ' key = "')), pick(("\n", '"')) + prose(3)
+            return "".join(lines)[: int(rng.integers(200, 3000))], prose(4) + " " + pick((' password = "', " token: '", ' "secret": "')), '"' + prose(3)
         if kind < 2:
             value = chars(hexes, int(pick((32, 40, 40, 48, 64))))
         elif kind == 2:
