@@ -15,7 +15,7 @@ from parley.llm import kernels as K
 BUCKETS = 1 << 20
 #: First letters of a word, in bytes, that are features beside the whole word.
 PREFIXES = (4, 5, 6)
-#: Expected bounds on the texts to learn from, and on the features that the classifier weighs.
+#: Expected bounds on the texts of either kind that the classifier is fitted on, and on its features.
 POSITIVE_TEXTS, UNLABELLED_TEXTS, FEATURES = 4000, 16000, 4096
 MIN_POSITIVE = 4
 EPOCHS, RATE, DECAY = 400, 0.05, 1e-4
@@ -53,23 +53,30 @@ class Model:
         return np.bincount(whose, weights=value, minlength=len(array)) + self.bias
 
 
-def train(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative positive-unlabelled risk of the logistic loss.
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """Non-negative risk of the log odds of a sample, and the direction to step against, for each text.
 
-    With loss l and class prior p the risk is p E+[l(+)] + max(0, Eu[l(-)] - p E+[l(-)]): positives
-    count negatively among the unlabelled, and where that part falls below 0 the step climbs out.
+    With the logistic loss l and class prior p the risk is p E+[l(+)] + max(0, Eu[l(-)] - p E+[l(-)]):
+    positives count negatively among the unlabelled. While the part under the max is not below 0 the
+    direction is the risk's gradient; below 0 it leads out of there.
     """
+    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
+    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    as_negative, as_positive = np.logaddexp(0, z), np.logaddexp(0, -z)
+    inner = as_negative[~positive].sum() / n_u - prior * as_negative[positive].sum() / n_p
+    pull = np.where(positive, -prior * p / n_p, p / n_u)  # gradient of the inner part
+    grad = np.where(positive, prior * (p - 1) / n_p, 0.0) + pull if inner >= 0 else -pull
+    return float(prior * as_positive[positive].sum() / n_p + max(0.0, inner)), grad
+
+
+def train(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative positive-unlabelled ``risk``."""
     n = len(positive)
     weights, bias = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
     for step in range(1, EPOCHS + 1):
         z = np.bincount(rows, weights=weights[cols], minlength=n) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        as_negative = np.logaddexp(0, z)
-        inner = as_negative[~positive].sum() / n_u - prior * as_negative[positive].sum() / n_p
-        pull = np.where(positive, -prior * p / n_p, p / n_u)  # gradient of the inner part
-        grad = np.where(positive, prior * (p - 1) / n_p, 0.0) + pull if inner >= 0 else -pull
+        grad = risk(z, positive, prior)[1]
         whole = np.append(np.bincount(cols, weights=grad[rows], minlength=n_features) + DECAY * weights, grad.sum())
         first, second = 0.9 * first + 0.1 * whole, 0.999 * second + 0.001 * whole**2
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)

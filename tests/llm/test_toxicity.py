@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from parley.llm import toxicity
 
 SCHEMA = "doc_id long, text string, score string"
@@ -45,3 +47,28 @@ def test_nothing_to_learn_from(spark):
     assert toxicity.fit(docs, empty) is None
     assert toxicity.score_toxicity(docs, None).where("score = 0 and predicted = 0").count() == 10
     assert toxicity.score_toxicity(spark.createDataFrame([], SCHEMA), None).count() == 0
+
+
+def test_risk_and_its_gradient_against_finite_differences():
+    rng = np.random.default_rng(4)
+    for prior, shift in ((0.1, 0.0), (0.4, 1.0), (0.3, -3.0)):
+        z, positive = rng.normal(shift, 1, 30), np.arange(30) < 8
+        plain = lambda x: [float(np.log(1 + np.exp(-s * x))) for s in (1, -1)]  # noqa: E731; loss as positive and as negative
+        losses = np.array([plain(x) for x in z])
+        inner = losses[~positive, 1].mean() - prior * losses[positive, 1].mean()
+        value, grad = toxicity.risk(z, positive, prior)
+        assert np.isclose(value, prior * losses[positive, 0].mean() + max(0, inner))
+        if inner < 0:
+            continue
+        for i in range(30):
+            step = np.zeros(30)
+            step[i] = 1e-5
+            slope = (toxicity.risk(z + step, positive, prior)[0] - toxicity.risk(z - step, positive, prior)[0]) / 2e-5
+            assert np.isclose(grad[i], slope, atol=1e-8)
+
+
+def test_a_step_leads_out_where_the_inner_part_is_negative():
+    z, positive = np.array([3.0, 3.0, -4.0, -4.0]), np.array([True, True, False, False])
+    value, grad = toxicity.risk(z, positive, 0.5)
+    inner = lambda x: np.logaddexp(0, x[~positive]).mean() - 0.5 * np.logaddexp(0, x[positive]).mean()
+    assert inner(z) < 0 and np.isclose(value, 0.5 * np.logaddexp(0, -3.0)) and inner(z - 0.1 * grad) > inner(z)
