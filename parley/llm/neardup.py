@@ -25,7 +25,7 @@ HUB_ROWS = 2000
 SKIP_AFTER = 16
 COLUMNS_AT_ONCE = 4096
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNED = "doc_id long, n_shingles long, print1 long, print2 long, posted array<long>, signature binary"
+_SIGNED = "doc_id long, n_shingles long, print1 long, print2 long, posted array<long>"
 _NODE = ["doc_id", "print1"]
 
 
@@ -88,10 +88,10 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 if len(full):
                     for k in range(COORDINATES):
                         least[full, k] = np.minimum.reduceat(value * _MULTIPLIERS[k], ends[full])
-                keys = K.mix(least + np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                place = np.arange(COORDINATES, dtype=np.uint64)
+                keys = K.mix(least + place * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(COORDINATES - 1) | place  # the coordinate in the low bits
                 posted = pa.ListArray.from_arrays(pa.array(np.arange(block.num_rows + 1) * COORDINATES, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                short = (keys >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), *map(pa.array, fingerprints(value, ends)), posted, pa.array([row.tobytes() for row in short], pa.binary())], ["doc_id", "n_shingles", "print1", "print2", "posted", "signature"])
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(size), *map(pa.array, fingerprints(value, ends)), posted], ["doc_id", "n_shingles", "print1", "print2", "posted"])
 
     return K.map_batches(docs, run, _SIGNED)
 
@@ -112,16 +112,18 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 def posting_lists(nodes: DataFrame, need: int) -> DataFrame:
     """Prefix postings of nodes under coordinate-value pairs: node, n_shingles, key, c and the mask of the node's prefix.
 
-    Each node is posted under all its coordinates. Values that no other node has can't collide, and a
+    Each node is posted under all its coordinates, by its number alone. Values that no other node has can't collide, and a
     node with fewer than ``need`` others has no partner. Of the rest two partners share one of their
     prefixes, which leave out the ``need`` - 1 most frequent values of each, by a global order.
     """
-    post = nodes.select(*_NODE, "n_shingles", F.posexplode("posted").alias("c", "key"))
+    post = nodes.select("node", F.explode("posted").alias("key"))
     often = storage.broadcast_if_small(post.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = post.join(often, "key").groupBy(*_NODE, "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "key", "c"))).alias("all"))
-    prefix = shared.where(F.size("all") >= need).withColumn("prefix", F.slice("all", F.lit(1), F.size("all") - need + 1))
-    bit = F.aggregate("prefix", F.lit(0).cast("long"), lambda whole, x: whole.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["c"])))
-    return prefix.select(*_NODE, "n_shingles", bit.alias("mask"), F.explode("prefix").alias("p")).select(*_NODE, "n_shingles", "mask", "p.c", "p.key")
+    shared = post.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("all"))
+    prefix = shared.where(F.size("all") >= need).select("node", F.slice("all", F.lit(1), F.size("all") - need + 1).alias("prefix"))
+    c = lambda key: key.bitwiseAND(F.lit(COORDINATES - 1)).cast("int")
+    bit = F.aggregate("prefix", F.lit(0).cast("long"), lambda whole, x: whole.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c(x["key"]))))
+    named = nodes.select("node", *_NODE, "n_shingles").join(storage.written(prefix.select("node", bit.alias("mask"), "prefix")), "node")
+    return named.select(*_NODE, "n_shingles", "mask", F.explode("prefix.key").alias("key")).withColumn("c", c(F.col("key")))
 
 
 def collisions(a: np.ndarray, b: np.ndarray, need: int) -> np.ndarray:
@@ -136,6 +138,15 @@ def collisions(a: np.ndarray, b: np.ndarray, need: int) -> np.ndarray:
     return out
 
 
+def _with_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posted keys as 32 bits of each, in one binary value."""
+    for batch in batches:
+        if batch.num_rows:
+            keys = batch.column("posted").flatten().to_numpy().view(np.uint64).reshape(-1, COORDINATES)
+            short = (keys >> np.uint64(32)).astype("<u4")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_NODE, "n_shingles")), pa.array([row.tobytes() for row in short], pa.binary())], [*_NODE, "n_shingles", "signature"])
+
+
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
 
@@ -332,11 +343,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     K.ship(docs.sparkSession)
     rows = storage.written(signed(docs, width))
     prints = ["n_shingles", "print1", "print2"]
-    nodes = rows.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("doc_id"), F.first("posted").alias("posted"), F.first("signature").alias("signature"))
-    nodes = storage.written(nodes)
+    nodes = rows.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("doc_id"), F.first("posted").alias("posted"))
+    nodes = storage.written(nodes.withColumn("node", F.monotonically_increasing_id()))
     postings = storage.written(posting_lists(nodes, need))
     posted = storage.written(postings.select(*_NODE).distinct())
-    held = storage.written(nodes.join(storage.limited_broadcast(posted), _NODE, "left_semi").select(*_NODE, "n_shingles", "signature"))
+    held = nodes.join(storage.limited_broadcast(posted), _NODE, "left_semi").select(*_NODE, "n_shingles", "posted")
+    held = storage.written(K.map_batches(held, _with_signature, "doc_id long, print1 long, n_shingles long, signature binary"))
     wanted = storage.broadcast_if_small(posted.select("doc_id").distinct())
     sets = storage.written(sets_of(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(_NODE))
     to_hubs = storage.written(hub_links(postings, held, sets, percent, need))
