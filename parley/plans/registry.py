@@ -355,7 +355,20 @@ def _x9(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.fingerprint("text").alias("fingerprint"))
 
 
-@_query("f5_hallucinations")
+def _hallucination_sql() -> str:
+    """F5 and F6 from the same fixed values as the expressions."""
+    quoted = ", ".join(f"'{m}'" for m in T.MARKERS)
+    single = "|".join(v for v in T.CREDIT_VERBS if " " not in v)
+    between = f"{T.CREDIT_STEM}\\S*(?: \\S+){{0,{T.CREDIT_WORDS - 1}}}? (?:{single})(?: |$)|{T.CREDIT_STEM}\\S*(?: \\S+){{0,{T.CREDIT_WORDS - 2}}}? и перевод(?: |$)"
+    return f"""
+    WITH p AS (SELECT conv_id, turn, trim(regexp_replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g')), '\\s+', ' ', 'g')) AS low FROM conversations),
+         c AS (SELECT *, regexp_matches(low, '{between}') AS credits, [{quoted}] AS markers FROM p)
+    SELECT conv_id, turn, length(low) < 2 OR credits OR len(list_filter(markers, lambda m: contains(low, m))) > 0 AS drop,
+           length(low) >= {T.MIN_PREFIX} AND (starts_with(low, '{T.CREDIT_STEM}') AND len(string_split(low, ' ')) <= {T.CREDIT_PREFIX_WORDS} AND NOT credits
+             OR len(list_filter(markers, lambda m: strlen(low) < strlen(m) AND starts_with(m, low))) > 0) AS hold FROM c"""
+
+
+@_query("f5_hallucinations", _hallucination_sql())
 def _f5(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_hallucination(F.col("text")).alias("drop"), T.may_become_hallucination(F.col("text")).alias("hold"))
 
@@ -697,12 +710,28 @@ def _promotable(spark, sf_dir):
     return edits.promotable(rows, C.terms(spark, sf_dir)).select("meeting_id", "turn", "term_id")
 
 
-@_query("g8_bulk_edits")
+_LETTER = r"A-Za-z\x{0400}-\x{052f}\x{2de0}-\x{2dff}\x{a640}-\x{a69f}"
+
+
+def _worded(text: str, surface: str, canonical: str) -> str:
+    """A word replaced wherever no letter is next to it; twice, as neighbours share the character between them."""
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(^|[^{_LETTER}]){surface}([^{_LETTER}]|$)', '\\1' || chr(1) || '\\2', 'gi')"
+    return f"replace({text}, chr(1), '{canonical}')"
+
+
+@_query("g8_bulk_edits", f"""
+    WITH e AS ({C.EDITS_SQL}), w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY meeting_id, channel, start_ms, end_ms ORDER BY created_at_ms DESC, id DESC) = 1),
+         n AS (SELECT *, {_worded('text', 'the', 'THE')} AS edited_text FROM ({C.SEGMENTS_SQL}))
+    SELECT meeting_id, channel, start_ms, edited_text FROM n WHERE edited_text <> text
+      AND NOT EXISTS (SELECT 1 FROM w WHERE w.meeting_id = n.meeting_id AND w.channel = n.channel AND w.start_ms = n.start_ms AND w.end_ms = n.end_ms AND w.origin = 'human')""")
 def _bulk(spark, sf_dir):
     return edits.bulk_edits(C.segments(spark, sf_dir), C.edits(spark, sf_dir), "the", "THE").select("meeting_id", "channel", "start_ms", "edited_text")
 
 
-@_query("g11_briefs")
+@_query("g11_briefs", f"""{_PARA}, b AS (SELECT meeting_id, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body FROM q GROUP BY 1),
+    c AS (SELECT meeting_id, list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM b)
+    SELECT meeting_id, coalesce(p[1][1:280], '') AS summary, array_to_string(list_transform(list_filter(p, lambda x: contains(lower(x), 'the') OR contains(lower(x), 'que')), lambda x: concat('- ', x)), chr(10)) AS actions FROM c""")
 def _briefs(spark, sf_dir):
     return briefs.brief(_rendered(spark, sf_dir), ["the", "que"])
 
