@@ -195,7 +195,7 @@ def hub_links(postings: DataFrame, held: DataFrame, sets: DataFrame, percent: in
                     ok[i] = 100 * same >= percent * (len(own) + len(hub) - same)
             yield batch.select(names).filter(pa.array(ok))
 
-    return of_hub.union(asking).repartition(*key).sortWithinPartitions(*key, "asks").mapInArrow(confirmed, ", ".join(f"{c} long" for c in names))
+    return of_hub.union(asking).repartition(*key).sortWithinPartitions(*key, "asks").mapInArrow(K.tidy(confirmed), ", ".join(f"{c} long" for c in names))
 
 
 def cells(postings: DataFrame) -> DataFrame:
@@ -359,9 +359,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labelled = storage.written(labelled.join(hubs, _NODE, "left").withColumn("label", F.when(F.col("_hub"), own).otherwise(F.col("label"))).drop("_hub"))
     dealt = cells(labelled).join(held.select(*_NODE, "signature"), _NODE)
     sort = dealt.repartition(*_CELL).sortWithinPartitions(*_CELL)
-    live = storage.written(sort.mapInArrow(_live_cells(percent, need), sort.schema))
+    live = storage.written(sort.mapInArrow(K.tidy(_live_cells(percent, need)), sort.schema))
     full = live.join(sets, _NODE).repartition(*_CELL).sortWithinPartitions(*_CELL)
-    links = full.mapInArrow(_links(percent, need), "a long, b long").union(to_hubs.select(F.col("doc_id").alias("a"), F.col("hub_id").alias("b")))
+    links = full.mapInArrow(K.tidy(_links(percent, need)), "a long, b long").union(to_hubs.select(F.col("doc_id").alias("a"), F.col("hub_id").alias("b")))
     # Rows of one id are one document: a node is linked with the ids of other rows of its documents.
     again = rows.where("n_shingles > 0").join(rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"), "doc_id", "left_semi")
     again = again.join(nodes.select(*prints, F.col("doc_id").alias("_node")), prints).select(F.col("doc_id").alias("a"), F.col("_node").alias("b"))
