@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import bpe, htmltext, langid, linededup, mtree, neardup, packing, quality, secretscan, toxicity
+from pyspark.sql import functions as F
+
+from parley.llm import bpe, codebooks, htmltext, langid, linededup, mtree, neardup, packing, prefixtrie, quality, secretscan, sharding, toxicity
 from parley.llm.kernels import crc_fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,8 +76,24 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every whole vector under eight codebooks."""
+    return codebooks.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards are near equal in bytes."""
+    made = sharding.shard(_table(spark, sf_dir, "documents"), 8, ["doc_id"])
+    return made.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_line_templates, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe, op9_exact_top_k, op10_html_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_line_templates, op4_near_duplicates, op5_toxicity, op6_best_fit_packing, op7_quality_cascade, op8_byte_bpe, op9_exact_top_k, op10_html_text, op11_prefix_trie, op12_code_compression, op13_sharding)}
 
 
 OP9_SQL = """
@@ -134,5 +152,53 @@ OP3_SQL = (
 )
 
 
+#: crc32 of the decimal id, bit by bit with the usual polynomial.
+CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+              lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))))"""
+OP11_SQL = f"""
+  WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+             FROM conversations WHERE conv_id IS NOT NULL),
+       c AS (SELECT conv_id, max(pos) AS own, conv_id - conv_id % 100 AS donor, {CRC32_SQL} % 6 AS h FROM t GROUP BY conv_id),
+       k AS (SELECT c.*, least(c.h, coalesce(g.own, 0)) AS kept FROM c LEFT JOIN c g ON g.conv_id = c.donor),
+       r AS (SELECT k.conv_id, t.pos AS depth, role, text FROM k JOIN t ON t.conv_id = k.donor AND t.pos <= k.kept
+             UNION ALL SELECT conv_id, t.pos - k.h + k.kept, role, text FROM k JOIN t USING (conv_id) WHERE t.pos > k.h),
+       p AS (SELECT conv_id, depth, length(text) AS n, sha256(string_agg(role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM r
+             UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+       up AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+       node AS (SELECT key, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(n) AS n, count(*) FILTER (last) AS n_ends,
+                       string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last) AS ends FROM up GROUP BY ALL),
+       kids AS (SELECT parent AS key, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY 1),
+       own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (key)),
+       under AS (SELECT p.key, count(*) FILTER (y.n_children = 0) AS n_leaves, sum((y.n_convs - 1) * y.n) AS saved_tokens
+                 FROM own y JOIN p ON p.conv_id = y.conv_id AND p.depth <= y.depth GROUP BY 1)
+  SELECT own.conv_id, own.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, own.n_convs, own.n_children::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(own.ends, '')) AS ends_sha256
+  FROM own JOIN under USING (key) LEFT JOIN node above ON above.key = own.parent"""
+
+_DISTANCE = "list_sum(list_transform(list_zip(d.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_NEAREST = f"SELECT d.*, b.e, {_DISTANCE} AS error FROM d JOIN b{{k}} b USING (pos) QUALIFY row_number() OVER (PARTITION BY d.pos, d.part ORDER BY error, e) = 1"
+OP12_SQL = (
+    f"""
+  WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor({codebooks.SCALE} * x::DOUBLE)::BIGINT) AS v
+             FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+       p AS MATERIALIZED (SELECT r, pos, v[pos * len(v) // {codebooks.PARTS} + 1:(pos + 1) * len(v) // {codebooks.PARTS}] AS part FROM v, range({codebooks.PARTS}) g(pos)),
+       d AS MATERIALIZED (SELECT pos, part, count(*) AS n FROM p GROUP BY ALL),
+       b0 AS (SELECT pos, r AS e, part FROM p WHERE r < {codebooks.ENTRIES})"""
+    + "".join(
+        f""",
+       near{k} AS MATERIALIZED ({_NEAREST.format(k=k)}),
+       sums{k} AS (SELECT pos, e, i, sum(n * part[i])::BIGINT AS s, sum(n)::BIGINT AS m FROM near{k}, range(1, 1 + (SELECT max(len(part)) FROM d)) g(i) GROUP BY ALL),
+       new{k} AS (SELECT pos, e, list((s - ((s % m) + m) % m) // m ORDER BY i) AS part FROM sums{k} GROUP BY ALL),
+       b{k + 1} AS MATERIALIZED (SELECT pos, e, coalesce(new{k}.part, b{k}.part) AS part FROM b{k} LEFT JOIN new{k} USING (pos, e))"""
+        for k in range(codebooks.ROUNDS)
+    )
+    + f""",
+       code AS MATERIALIZED ({_NEAREST.format(k=codebooks.ROUNDS)}),
+       back AS (SELECT r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY pos) AS code, sum(error)::BIGINT AS error FROM p JOIN code USING (pos, part) GROUP BY r),
+       flat AS (SELECT pos, e, i, part[i] AS x FROM b{codebooks.ROUNDS}, range(1, 1 + (SELECT max(len(part)) FROM d)) g(i))
+  SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY pos, e, i)) FROM flat) AS codebooks_sha256
+  FROM v JOIN back USING (r)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_templates": OP3_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op3_line_templates": OP3_SQL, "op9_exact_top_k": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_code_compression": OP12_SQL}

@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.shared import new_path, shared_folder, written  # noqa: F401  the operators write through this module
+
 #: Estimated bytes of a table that is broadcast at most.
 BROADCAST_BYTES = 24 << 20
 #: Estimated bytes of a row of a hashed relation besides its values, and of a value.
 ROW_BYTES, VALUE_BYTES = 24, 8
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
-    """The folder that all machines share: ``folder`` if given, else the one that the session names.
-
-    Where neither is given, a temporary folder is made in local mode alone, one for each Spark
-    context; on a cluster, whose machines would not see each other's files, it is an error.
-    """
-    named = folder or spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not named:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
-        if not hasattr(context, "_parley_folder"):
-            context._parley_folder = "file://" + tempfile.mkdtemp(prefix="parley-")
-        named = context._parley_folder
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, so that a lost executor costs no recomputing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark, folder)}/parley/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_bytes(written_rows: DataFrame) -> int:
