@@ -105,5 +105,6 @@ def upper_median(rows: DataFrame, keys: list[str], column: str, few: int = FEW)
 
 def _within(values: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """The values that lie in their key's range, with the state of the search."""
+    state = state if keys else F.broadcast(state)  # one row
     inside = _same(values, state, keys) & values["_v"].between(state["_a"], state["_b"])
     return values.join(state, inside).select(*(values[f"`{k}`"] for k in keys), "_v", "_rank", "_a", "_b")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import scalars
+from parley.operators import ordered
 
 BLURRED = 0.15
 
@@ -35,12 +36,14 @@ def lowest_threshold(sweep: DataFrame, control_percent: int = 5) -> DataFrame:
     return sweep.agg(F.when(some, within).alias("few"), F.when(some, clean).alias("none"))
 
 
-def gap_verdict(real: DataFrame, control: DataFrame) -> DataFrame:
-    """Upper medians of two similarity columns and what their gap says."""
-    a = real.agg(scalars.upper_median(F.collect_list("similarity")).alias("real"))
-    b = control.agg(scalars.upper_median(F.collect_list("similarity")).alias("control"))
+def gap_verdict(real: DataFrame, control: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Upper medians of two similarity columns, of each key if there are keys, and what their gap says."""
+    keys = keys or []
+    side = lambda rows, name: ordered.upper_median(rows, keys, "similarity").withColumnRenamed("median", name)
+    a, b = side(real, "real"), side(control, "control")
+    both = a.join(b, keys, "full") if keys else a.crossJoin(b)  # one row each without keys
     gap = F.col("real") - F.col("control")
-    return a.crossJoin(b).withColumn("verdict", F.when(gap.isNull(), "nothing").when(gap < BLURRED, "blurred").otherwise("clear"))
+    return both.withColumn("verdict", F.when(gap.isNull(), "nothing").when(gap < BLURRED, "blurred").otherwise("clear"))
 
 
 def greedy_assignment(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,5 +118,8 @@ def rule_totals(candidates: DataFrame) -> DataFrame:
 def bucket_levels(levels: DataFrame, keys: list[str], bucket_ms: int = 10_000) -> DataFrame:
     """Upper median level of each bucket, the frames over a fixed level, and all frames."""
     bucket = F.floor(F.col("ts_ms") / bucket_ms).alias("bucket")
-    return levels.groupBy(*keys, bucket).agg(scalars.upper_median(F.collect_list("level")).alias("median_level"), F.count_if(F.col("level") > 450).alias("accepted"), F.count("*").alias("frames"))
+    rows = levels.select(*keys, bucket, "level")
+    counts = rows.groupBy(*keys, "bucket").agg(F.count_if(F.col("level") > 450).alias("accepted"), F.count("*").alias("frames"))
+    middle = ordered.upper_median(rows, [*keys, "bucket"], "level").withColumnRenamed("median", "median_level")
+    return middle.join(counts, [*keys, "bucket"]).select(*keys, "bucket", "median_level", "accepted", "frames")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators import folds, ordered
+
 SPEECH_MARGIN, ABSOLUTE_FLOOR, RISE, FALL = 3.0, 120.0, 0.02, 0.25
 HYSTERESIS = 1.5
 MAX_PENDING = 24
@@ -42,62 +45,80 @@ def dominant_channel(slots: DataFrame, keys: list[str]) -> DataFrame:
     return slots.withColumn("dominant", F.coalesce(F.last(decided, ignorenulls=True).over(order), F.lit("mic")))
 
 
-def smoothed(values: Column, start: float = 1.0, share: float = 0.25) -> Column:
-    """Exponential smoothing of an array from ``start``: each value moves by ``share`` of its distance."""
-    state = F.struct(F.lit(start).cast("double").alias("now"), F.array().cast("array<double>").alias("all"))
-    step = lambda s, x: F.struct((s["now"] + (x - s["now"]) * share).alias("now"), F.concat(s["all"], F.array(s["now"] + (x - s["now"]) * share)).alias("all"))
-    return F.aggregate(values, state, step, lambda s: s["all"])
+def smoothed(frames: DataFrame, keys: list[str], order: list[str], column: str, start: float = 1.0, share: float = 0.25) -> DataFrame:
+    """``gain``, exponential smoothing of a column from ``start``: each value moves by ``share`` of its distance."""
+
+    def step(now: float | None, rows: pa.RecordBatch) -> tuple[float, list[pa.Array]]:
+        now, out = start if now is None else now, []
+        for x in rows.column(column).to_pylist():
+            now += (x - now) * share
+            out.append(now)
+        return now, [pa.array(out, pa.float64())]
+
+    return folds.scan(frames, keys, order, step, "gain double")
 
 
-def gate(levels: Column) -> Column:
-    """T5: array of levels to an array of (accepted, floor) by the adaptive noise gate.
+def gate_rows(floor: float | None, levels: list[float]) -> tuple[float | None, list[bool], list[float]]:
+    """T5: levels through the adaptive noise gate: the floor after them, and for each whether it is speech and its floor.
 
     The floor begins at the first level. A level over three floors and over 120 is speech. In
     speech the floor only falls; else it moves 0.25 of the way down or 0.02 up.
     """
-    kind = "struct<floor:double,all:array<struct<accepted:boolean,floor:double>>>"
-    start = F.struct(F.lit(None).cast("double").alias("floor"), F.array().cast("array<struct<accepted:boolean,floor:double>>").alias("all")).cast(kind)
+    accepted, floors = [], []
+    for level in levels:
+        if floor is None:
+            floor = level
+        speech = level > max(floor * SPEECH_MARGIN, ABSOLUTE_FLOOR)
+        if speech:
+            floor = min(floor, level)
+        else:
+            floor += (level - floor) * (FALL if level < floor else RISE)
+        accepted.append(speech)
+        floors.append(floor)
+    return floor, accepted, floors
+
+
+def gated(frames: DataFrame, keys: list[str], order: list[str] | None = None, parts: int | None = None, report: list[int] | None = None) -> DataFrame:
+    """Frames (ts_ms, level) with the gate's decision ``accepted`` and its ``floor``, each session in order of time and level.
+
+    Sessions are folded in linear time, a long one in several ranges. Levels are not null.
+    """
 
-    def step(s: Column, x: Column) -> Column:
-        level = x.cast("double")
-        floor = F.coalesce(s["floor"], level)
-        speech = level > F.greatest(floor * SPEECH_MARGIN, F.lit(ABSOLUTE_FLOOR))
-        moved = F.when(speech, F.least(floor, level)).otherwise(floor + (level - floor) * F.when(level < floor, FALL).otherwise(RISE))
-        return F.struct(moved.alias("floor"), F.concat(s["all"], F.array(F.struct(speech.alias("accepted"), moved.alias("floor")))).alias("all")).cast(kind)
+    def step(floor: float | None, rows: pa.RecordBatch) -> tuple[float | None, list[pa.Array]]:
+        floor, accepted, floors = gate_rows(floor, rows.column("level").cast(pa.float64()).to_pylist())
+        return floor, [pa.array(accepted, pa.bool_()), pa.array(floors, pa.float64())]
 
-    return F.aggregate(levels, start, step, lambda s: s["all"])
+    return folds.scan(frames, keys, order or ["ts_ms", "level"], step, "accepted boolean, floor double", parts, report)
 
 
-def gated(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Frames of each session in time order with the gate's decision and floor."""
-    rows = frames.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts_ms", "level"))).alias("f"))
-    both = rows.select(*keys, F.explode(F.arrays_zip(F.col("f"), gate(F.transform("f", lambda x: x["level"])).alias("g"))).alias("x"))
-    return both.select(*keys, "x.f.ts_ms", "x.f.level", "x.g.accepted", "x.g.floor")
+def agree_words(before: list[tuple[str, int]], words: list[tuple[str, int]], most: int = MAX_PENDING) -> tuple[int, list[tuple[str, int]]]:
+    """How many words of a hypothesis (text, end_ms) are committed after the pending words of the one before, and those left.
 
+    The words that both begin with are committed; so are words beyond the last ``most``. An empty
+    hypothesis clears what was pending.
+    """
+    bare = lambda w: "".join(ch if ch.isalnum() else " " for ch in w).strip().lower()
+    n = 0
+    for (a, _), (b, _) in zip(before, words, strict=False):
+        if not bare(a) or bare(a) != bare(b):
+            break
+        n += 1
+    n = min(len(words), max(n, len(words) - most))
+    return n, words[n:]
 
-def agree(hypotheses: Column) -> Column:
-    """Array of hypotheses (arrays of text and end_ms) to what each iteration commits and leaves pending.
 
-    The words that two hypotheses in a row begin with are committed; so are words beyond the last
-    MAX_PENDING. An empty hypothesis clears what was pending.
-    """
-    word = "array<struct<text:string,end_ms:bigint>>"
-    item = "struct<committed:string,pending:string,until_ms:bigint>"
-    kind = f"struct<before:{word},all:array<{item}>>"
-    start = F.struct(F.array().cast(word).alias("before"), F.array().cast(f"array<{item}>").alias("all")).cast(kind)
-    bare = lambda w: F.lower(F.regexp_replace(w["text"], "^[^\\p{IsAlphabetic}\\p{N}]+|[^\\p{IsAlphabetic}\\p{N}]+$", ""))
-    joined = lambda ws: F.array_join(F.transform(ws, lambda w: w["text"]), " ")
+def agreed(hypotheses: DataFrame, keys: list[str], order: list[str], report: list[int] | None = None) -> DataFrame:
+    """Hypotheses (``words``, an array of text and end_ms) with what each commits, what it leaves pending and the end of the last committed word."""
 
-    def step(s: Column, h: Column) -> Column:
-        same = F.zip_with(s["before"], h, lambda a, b: F.coalesce((bare(a) != "") & (bare(a) == bare(b)), F.lit(False)))
-        stop = F.array_position(same, F.lit(False))
-        agreed = F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
-        n = F.least(F.greatest(agreed, F.size(h) - MAX_PENDING, F.lit(0)), F.size(h))
-        done, rest = F.slice(h, F.lit(1), n), F.slice(h, n + 1, F.size(h))
-        made = F.struct(joined(done).alias("committed"), joined(rest).alias("pending"), F.when(n > 0, F.get(done, n - 1)["end_ms"]).alias("until_ms"))
-        return F.struct(rest.alias("before"), F.concat(s["all"], F.array(made)).alias("all")).cast(kind)
+    def step(before: list | None, rows: pa.RecordBatch) -> tuple[list, list[pa.Array]]:
+        before, made = before or [], []
+        for words in rows.column("words").to_pylist():
+            each = [(w["text"], w["end_ms"]) for w in words or []]
+            n, before = agree_words(before, each)
+            made.append((" ".join(t for t, _ in each[:n]), " ".join(t for t, _ in before), each[n - 1][1] if n else None))
+        return before, [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.int64())]
 
-    return F.aggregate(hypotheses, start, step, lambda s: s["all"])
+    return folds.scan(hypotheses, keys, order, step, "committed string, pending string, until_ms long", report=report)
 
 
 def _corr() -> Column:
@@ -153,12 +174,16 @@ def minute_match(a: DataFrame, b: DataFrame, keys: list[str], size: int = 60) ->
 
 
 def gate_report(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Of gated frames the median and peak of the floor, its median in the last third, and acceptance by the gate and by a fixed 450."""
-    order = Window.partitionBy(*keys).orderBy("ts_ms")
-    rows = frames.withColumn("_n", F.row_number().over(order) - 1).withColumn("_total", F.count("*").over(Window.partitionBy(*keys)))
-    tail = 3 * F.col("_n") >= 2 * F.col("_total")
-    median = lambda c: F.get(F.sort_array(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
-    return rows.groupBy(*keys).agg(median(F.col("floor")).alias("median_floor"), median(F.when(tail, F.col("floor"))).alias("tail_floor"), F.max("floor").alias("peak_floor"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("level") > 450).alias("accepted_fixed"))
+    """Of gated frames the median and peak of the floor, its median in the last third, and acceptance by the gate and by a fixed 450.
+
+    Frames are numbered and medians found without a session being gathered.
+    """
+    rows = ordered.numbered(frames.select(*keys, "ts_ms", "level", "accepted", "floor"), keys, ["ts_ms", "level"], "_n")
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("_total"), F.max("floor").alias("peak_floor"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("level") > 450).alias("accepted_fixed"))
+    tail = rows.select(*keys, "_n", "floor").join(whole.select(*keys, "_total"), keys).where("3 * (_n - 1) >= 2 * _total")
+    middle = ordered.upper_median(rows, keys, "floor").withColumnRenamed("median", "median_floor")
+    late = ordered.upper_median(tail, keys, "floor").withColumnRenamed("median", "tail_floor")
+    return whole.drop("_total").join(middle, keys).join(late, keys, "left").select(*keys, "median_floor", "tail_floor", "peak_floor", "accepted", "accepted_fixed")
 
 
 def paced_inferences(frames: DataFrame, keys: list[str], base: int = 10, idle_rounds: int = 2, most: int = 3) -> DataFrame:
@@ -167,17 +192,22 @@ def paced_inferences(frames: DataFrame, keys: list[str], base: int = 10, idle_ro
     After ``idle_rounds`` rounds without speech the pace slows by one more ``base`` up to ``most``;
     speech brings it back. ``frames`` is gated; the fold runs over a session's frames in order.
     """
-    state = F.struct(F.lit(0).alias("waited"), F.lit(0).alias("idle"), F.lit(1).alias("pace"), F.lit(0).alias("heard"), F.lit(0).alias("runs"))
-
-    def step(s: Column, accepted: Column) -> Column:
-        heard = F.when(accepted, 1).otherwise(s["heard"])
-        full = s["waited"] + 1 >= s["pace"] * base
-        idle = F.when(~full, s["idle"]).when(heard == 1, 0).otherwise(s["idle"] + 1)
-        pace = F.when(~full, s["pace"]).when(heard == 1, 1).when(idle >= idle_rounds, F.least(s["pace"] + 1, F.lit(most))).otherwise(s["pace"])
-        return F.struct(F.when(full, 0).otherwise(s["waited"] + 1).alias("waited"), idle.alias("idle"), pace.alias("pace"), F.when(full, 0).otherwise(heard).alias("heard"), (s["runs"] + F.when(full, 1).otherwise(0)).alias("runs"))
 
-    rows = frames.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts_ms", "accepted"))), lambda x: x["accepted"]).alias("a"))
-    return rows.select(*keys, F.aggregate("a", state, step, lambda s: s["runs"]).alias("inferences"))
+    def step(state: tuple | None, rows: pa.RecordBatch) -> tuple[tuple, list[pa.Array]]:
+        waited, idle, pace, heard = state or (0, 0, 1, False)
+        ran = []
+        for accepted in rows.column("accepted").to_pylist():
+            heard, waited = heard or accepted, waited + 1
+            full = waited >= pace * base
+            ran.append(full)
+            if full:
+                idle = 0 if heard else idle + 1
+                pace = 1 if heard else min(pace + 1, most) if idle >= idle_rounds else pace
+                waited, heard = 0, False
+        return (waited, idle, pace, heard), [pa.array(ran, pa.bool_())]
+
+    order = [c for c in ("ts_ms", "level") if c in frames.columns]
+    return folds.scan(frames, keys, order, step, "_ran boolean").groupBy(*keys).agg(F.count_if("_ran").cast("int").alias("inferences"))
 
 
 def buffer_starts(rounds: DataFrame, keys: list[str], order: str, guard_ms: int = 200, most_ms: int = 30_000) -> DataFrame:

@@ -208,12 +208,10 @@ def _a26(spark, sf_dir):
 @query("a32_gap_verdict", """
     WITH m AS (SELECT conv_id AS k, list_sort(list(length(text)) FILTER (turn % 2 = 0))  AS a, list_sort(list(length(text)) FILTER (turn % 2 = 1)) AS b FROM conversations GROUP BY 1),
          v AS (SELECT k, a[(len(a) // 2 + 1)::INTEGER] AS a, b[(len(b) // 2 + 1)::INTEGER] AS b FROM m)
-    SELECT k AS conv_id, CASE WHEN a IS NULL OR b IS NULL THEN 'nothing' WHEN (a - b) / 1000.0 < 0.15 THEN 'blurred' ELSE 'clear' END AS verdict FROM v""")
+    SELECT k AS conv_id, CASE WHEN a IS NULL OR b IS NULL THEN 'nothing' WHEN a / 1000::DOUBLE - b / 1000::DOUBLE < 0.15::DOUBLE THEN 'blurred' ELSE 'clear' END AS verdict FROM v""")
 def _a32(spark, sf_dir):
-    median = lambda part: S.upper_median(F.collect_list(F.when(F.col("turn") % 2 == part, F.length("text"))))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(median(0).alias("a"), median(1).alias("b"))
-    gap = (F.col("a") - F.col("b")) / 1000
-    return rows.select("conv_id", F.when(gap.isNull(), "nothing").when(gap < reports.BLURRED, "blurred").otherwise("clear").alias("verdict"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") / 1000).alias("similarity"))
+    return reports.gap_verdict(rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1"), ["conv_id"]).select("conv_id", "verdict")
 
 
 @query("a33_two_sided_errors", f"""
@@ -240,8 +238,8 @@ def _a35(spark, sf_dir):
     WITH o AS (SELECT session_id, level, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, event_id) AS i, count(*) OVER (PARTITION BY session_id) AS n FROM ({C.LEVELS_SQL}))
     SELECT session_id, round(sum(0.25 * pow(0.75, n - i) * level) + pow(0.75, max(n)), 4) AS gain FROM o GROUP BY 1""")
 def _w8(spark, sf_dir):
-    rows = C.levels(spark, sf_dir).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("ts_ms", "event_id", "level"))).alias("f"))
-    return rows.select("session_id", F.round(F.element_at(signal.smoothed(F.transform("f", lambda x: x["level"])), -1), 4).alias("gain"))
+    rows = signal.smoothed(C.levels(spark, sf_dir).select("session_id", "ts_ms", "event_id", "level"), ["session_id"], ["ts_ms", "event_id"], "level")
+    return rows.groupBy("session_id").agg(F.round(F.max_by("gain", F.struct("ts_ms", "event_id")), 4).alias("gain"))
 
 
 @query("w11_loudest_windows")
@@ -553,7 +551,7 @@ def _t3(spark, sf_dir):
 def _t8(spark, sf_dir):
     words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), ((i + 1) * 100).cast("long").alias("end_ms")))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("iteration"), words.alias("words"))
-    return slots.batch(rows, slots.agree_step, slots.AGREED, ["iteration"])
+    return signal.agreed(rows, ["session_id"], ["iteration"]).select("session_id", "iteration", "committed", "pending", "until_ms")
 
 
 @query("t10_held_texts")

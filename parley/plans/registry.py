@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
 from parley.functions import text as T
-from parley.operators import briefs, diff, edits, glossary, intervals, maintenance, reports, search, signal, speakers, transcripts, vectors
+from parley.operators import briefs, diff, edits, glossary, intervals, maintenance, ordered, reports, search, signal, speakers, transcripts, vectors
 from parley.plans import further  # noqa: F401  registers its queries
 from parley.plans.register import CENTROID as _CENTROID
 from parley.plans.register import QUERIES as _QUERIES
@@ -189,7 +189,7 @@ def _histogram(spark, sf_dir):
 
 @_query("a16_upper_median", "SELECT event_type, list_sort(list(value))[(count(*) // 2 + 1)::INTEGER] AS median FROM events GROUP BY 1")
 def _median(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(S.upper_median(F.collect_list("value")).alias("median"))
+    return ordered.upper_median(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @_query("a24_bucket_levels", f"""
@@ -414,9 +414,19 @@ def _held_out(spark, sf_dir):
     return vectors.held_out(rows, [0.3, 0.35, 0.4, 0.45, 0.5])
 
 
-@_query("t5_noise_gate")
+#: The gate, frame by frame of each session.
+_GATE = f"""
+    WITH RECURSIVE f AS (SELECT session_id, ts_ms, level, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, level) AS n FROM ({C.LEVELS_SQL}) WHERE level IS NOT NULL),
+    g AS (SELECT session_id, ts_ms, level, n, level > greatest(level * 3, 120) AS accepted, level AS floor FROM f WHERE n = 1
+          UNION ALL SELECT f.session_id, f.ts_ms, f.level, f.n, f.level > greatest(g.floor * 3, 120),
+                           CASE WHEN f.level > greatest(g.floor * 3, 120) THEN least(g.floor, f.level) ELSE g.floor + (f.level - g.floor) * CASE WHEN f.level < g.floor THEN 0.25::DOUBLE ELSE 0.02::DOUBLE END END
+          FROM g JOIN f ON f.session_id = g.session_id AND f.n = g.n + 1)"""
+
+
+@_query("t5_noise_gate", f"{_GATE} SELECT session_id, ts_ms, level, accepted, floor FROM g")
 def _gate(spark, sf_dir):
-    return signal.gated(C.levels(spark, sf_dir).where("level is not null"), ["session_id"])
+    rows = C.levels(spark, sf_dir).where("level is not null").select("session_id", "ts_ms", "level")
+    return signal.gated(rows, ["session_id"])
 
 
 # -- Maintenance --------------------------------------------------------------------------------
@@ -462,11 +472,9 @@ def _unapplied(spark, sf_dir):
 
 @_query("s10_glossary_order", f"SELECT id, row_number() OVER (ORDER BY surface, language, scope, coalesce(meeting_id::VARCHAR, ''), id) AS position FROM ({C.TERMS_SQL}) WHERE scope = 'global'")
 def _glossary_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = C.terms(spark, sf_dir).where("scope = 'global'")
-    order = Window.orderBy("surface", "language", "scope", F.coalesce(F.col("meeting_id").cast("string"), F.lit("")), "id")
-    return rows.select("id", F.row_number().over(order).cast("long").alias("position"))
+    order = ["surface", "language", "scope", F.coalesce(F.col("meeting_id").cast("string"), F.lit("")), "id"]
+    return ordered.numbered(rows, [], order).select("id", "position")
 
 
 @_query("s33_conditional_update", f"SELECT id, CASE WHEN origin <> 'human' THEN 'cleared' ELSE edited_text END AS edited_text FROM ({C.EDITS_SQL})")
@@ -768,12 +776,19 @@ def _preferred(spark, sf_dir):
     return maintenance.preferred(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), ["none", "small ring"])
 
 
-@_query("a30_gate_report")
+@_query("a30_gate_report", f"""{_GATE}, w AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS total FROM g),
+    s AS (SELECT session_id, list_sort(list(floor)) AS a, list_sort(list(floor) FILTER (3 * (n - 1) >= 2 * total)) AS b, max(floor) AS peak_floor, count(*) FILTER (accepted) AS accepted, count(*) FILTER (level > 450) AS accepted_fixed FROM w GROUP BY 1)
+    SELECT session_id, a[(len(a) // 2 + 1)::INTEGER] AS median_floor, b[(len(b) // 2 + 1)::INTEGER] AS tail_floor, peak_floor, accepted, accepted_fixed FROM s""")
 def _gate_report(spark, sf_dir):
     return signal.gate_report(_gate(spark, sf_dir), ["session_id"])
 
 
-@_query("g20_paced_inferences")
+@_query("g20_paced_inferences", f"""{_GATE},
+    p AS (SELECT session_id, n, 1 AS waited, 0 AS idle, 1 AS pace, accepted AS heard, 0 AS runs FROM g WHERE n = 1
+          UNION ALL SELECT session_id, n, CASE WHEN done THEN 0 ELSE waited END, CASE WHEN NOT done THEN idle WHEN heard THEN 0 ELSE idle + 1 END,
+                           CASE WHEN NOT done THEN pace WHEN heard THEN 1 WHEN idle + 1 >= 2 THEN least(pace + 1, 3) ELSE pace END, heard AND NOT done, runs + done::INTEGER
+          FROM (SELECT p.session_id, g.n, p.waited + 1 AS waited, idle, pace, heard OR g.accepted AS heard, runs, p.waited + 1 >= pace * 10 AS done FROM p JOIN g ON g.session_id = p.session_id AND g.n = p.n + 1))
+    SELECT session_id, max(runs) AS inferences FROM p GROUP BY 1""")
 def _paced(spark, sf_dir):
     return signal.paced_inferences(_gate(spark, sf_dir), ["session_id"])
 

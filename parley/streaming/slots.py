@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parley.operators import signal
+
 SLOT_MS, TOLERANCE = 100, 2
 HYSTERESIS = 1.5
 #: Fixed values of the gain: levels that are left alone, the level aimed at, its bound and its pace.
@@ -79,29 +81,16 @@ def mix_flush(state: dict) -> list[dict]:
 
 
 def gate_step(state: dict, row: dict) -> list[dict]:
-    """T5: one level through the adaptive noise gate; the batch form is ``operators.signal.gate``."""
+    """T5: one level through the adaptive noise gate; the batch form is ``operators.signal.gated``."""
     level = float(row["level"])
-    floor = state.get("floor", level)
-    speech = level > max(3.0 * floor, 120.0)
-    if speech:
-        floor = min(floor, level)
-    else:
-        floor += (level - floor) * (0.25 if level < floor else 0.02)
-    state["floor"] = floor
+    state["floor"], (speech,), (floor,) = signal.gate_rows(state.get("floor"), [level])
     return [{"ts_ms": int(row["ts_ms"]), "level": level, "accepted": speech, "floor": floor}]
 
 
-def agree_step(state: dict, row: dict, most: int = 24) -> list[dict]:
-    """One hypothesis, a list of (text, end_ms); the batch form is ``operators.signal.agree``."""
+def agree_step(state: dict, row: dict, most: int = signal.MAX_PENDING) -> list[dict]:
+    """One hypothesis, a list of (text, end_ms); the batch form is ``operators.signal.agreed``."""
     words = [(w["text"], int(w["end_ms"])) for w in row["words"]]
-    bare = lambda w: "".join(ch if ch.isalnum() else " " for ch in w).strip().lower()
-    n = 0
-    for (a, _), (b, _) in zip(state.get("before", []), words, strict=False):
-        if not bare(a) or bare(a) != bare(b):
-            break
-        n += 1
-    n = min(len(words), max(n, len(words) - most))
-    state["before"] = words[n:]
+    n, state["before"] = signal.agree_words(state.get("before", []), words, most)
     join = lambda part: " ".join(t for t, _ in part)
     return [{"iteration": int(row["iteration"]), "committed": join(words[:n]), "pending": join(words[n:]), "until_ms": words[n - 1][1] if n else None}]
 

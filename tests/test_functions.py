@@ -109,7 +109,8 @@ def test_correlation_and_smoothing(spark):
     b = a.withColumn("at", F.col("at") + 2)
     best = signal.lag_correlation(a, b, ["k"], 2).where("best").first()
     assert best.lag == 2 and best.corr == pytest.approx(1.0)
-    assert one(spark, signal.smoothed(F.array(F.lit(2.0), F.lit(2.0)))) == [1.25, 1.4375]
+    rows = spark.createDataFrame([(1, 2.0), (2, 2.0)], "at long, v double")
+    assert [r.gain for r in signal.smoothed(rows, [], ["at"], "v").orderBy("at").collect()] == [1.25, 1.4375]
 
 
 def test_twins_against_all_pairs(spark):

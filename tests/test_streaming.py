@@ -59,8 +59,8 @@ def test_two_hypotheses_agree(spark):
     got = slots.batch(frame, slots.agree_step, slots.AGREED, ["iteration"]).orderBy("iteration").collect()
     assert (got[1].committed, got[1].pending, got[1].until_ms) == ("обсудим", "биллинг сегодня", 300)
     assert got[2].committed == "Биллинг, сегодня" and got[3].committed == ""
-    native = frame.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("iteration", "words"))), lambda x: x["words"]).alias("h")).select(signal.agree(F.col("h")).alias("g")).first().g
-    assert [(g.committed, g.pending) for g in native] == [(r.committed, r.pending) for r in got]
+    folded = signal.agreed(frame, ["session_id"], ["iteration"]).orderBy("iteration").collect()
+    assert [(g.committed, g.pending, g.until_ms) for g in folded] == [(r.committed, r.pending, r.until_ms) for r in got]
 
 
 def test_windows_under_a_watermark(spark, tmp_path):
