@@ -6,10 +6,12 @@ and a pair counts in the first bucket that both touch. A hot meeting is spread o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars
+from parley.functions import text as T
+from parley.sources.shared import written
 
 BUCKET_MS = 60_000
 
@@ -50,12 +52,73 @@ def best_pair(pairs: DataFrame, by: list[str], then: str, tie: str) -> DataFrame
     return best.select(*by, "best.*")
 
 
-def far_twin(left: DataFrame, right: DataFrame, similarity: Column, keys: list[str], row: list[str], tie: str, gap_ms: int = 30_000) -> DataFrame:
-    """The best partner at least ``gap_ms`` away, within the keys: a control group for J1."""
-    renamed = right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys))
+#: Similarities, in per cent, down to which far partners are looked for round by round.
+FAR_PERCENTS = (50, 25, 10, 0)
+
+
+def _ranked_tokens(rows: DataFrame, frequency: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
+    """Words of each row, told apart by their occurrence, with their place from the rarest on and their number."""
+    words = rows.select(*keys, *row, F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    turn = F.row_number().over(Window.partitionBy(*keys, *row, "word").orderBy("at"))
+    tokens = words.withColumn("turn", turn).join(frequency, [*keys, "word", "turn"])
+    place = F.row_number().over(Window.partitionBy(*keys, *row).orderBy("many", "word", "turn"))
+    return written(tokens.select(*keys, *row, "n", "word", "turn", place.alias("place")))
+
+
+def far_twin(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], tie: str, gap_ms: int = 30_000, report: list[int] | None = None) -> DataFrame:
+    """The best partner at least ``gap_ms`` away, within the keys: a control group for J1.
+
+    Best is greatest by similarity of the arrays ``words`` (rounded to nine places), then by gap, then
+    least by ``tie``. Two rows of similarity s have s of the longer one's words in common, so they share one
+    of the rarest words of each, and all but that share of words may be left out of the join. The search begins at half,
+    and goes down for rows that have found nothing so good; a row whose partners all have similarity
+    0 gets the farthest, which is at an end of its meeting. No pair without a common word is made.
+    ``report`` gets the number of pairs that each round compared.
+    """
+    side = lambda df, cols: written(df.select(*keys, *cols, "start_ms", "end_ms", F.slice("words", 1, T.MAX_WORDS).alias("words")))
+    mine, theirs = side(left, row), side(right, [tie])
+    each = lambda df, cols: df.select(*keys, *cols, F.explode("words").alias("word")).groupBy(*keys, *cols, "word").agg(F.count("*").alias("_n"))
+    counts = each(mine, row).select(*keys, "word", "_n").union(each(theirs, [tie]).select(*keys, "word", "_n"))
+    # How many rows have a word at least so often.
+    frequency = counts.select(*keys, "word", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("turn")).groupBy(*keys, "word", "turn").agg(F.count("*").alias("many"))
+    frequency = written(frequency)
+    a, b = _ranked_tokens(mine, frequency, keys, row), _ranked_tokens(theirs, frequency, keys, [tie])
+    other = theirs.select(*keys, *(F.col(c).alias(f"r_{c}") for c in (tie, "start_ms", "end_ms", "words")))
     gap = scalars.gap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r_start_ms"), F.col("r_end_ms"))
-    pairs = left.join(renamed, keys).withColumn("gap", gap).where(F.col("gap") >= gap_ms).withColumn("similarity", similarity)
-    return best_pair(pairs, [*keys, *row], "gap", tie)
+    similarity = F.round(T.word_similarity(F.col("words"), F.col("r_words")), 9)
+    open_rows, found = mine, None
+    for percent in FAR_PERCENTS:
+        needed = F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1))
+        rare = lambda df: df.where(F.col("place") <= F.col("n") - needed + 1)  # noqa: B023, E731
+        asked = rare(a.join(open_rows.select(*keys, *row), [*keys, *row], "left_semi")).withColumnRenamed("n", "_n")
+        met = asked.drop("place").join(rare(b).drop("place").withColumnRenamed(tie, f"r_{tie}"), [*keys, "word", "turn"])
+        met = met.where(100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")).select(*keys, *row, f"r_{tie}").distinct()
+        pairs = met.join(mine, [*keys, *row]).join(other, [*keys, f"r_{tie}"]).withColumn("gap", gap).where(F.col("gap") >= gap_ms)
+        pairs = pairs.select(*keys, *row, f"r_{tie}", "gap", similarity.alias("similarity"))
+        if report is not None:
+            report.append(pairs.count())
+        best = best_pair(pairs, [*keys, *row], "gap", f"r_{tie}")
+        best = written(best.where((F.col("similarity") > 0) & (100 * F.col("similarity") >= percent)).select(*keys, *row, f"r_{tie}", "gap", "similarity"))
+        found = best if found is None else found.union(best)
+        open_rows = written(open_rows.join(best, [*keys, *row], "left_anti"))
+    return found.union(_farthest(open_rows, theirs, keys, row, tie, gap_ms))
+
+
+def _farthest(rows: DataFrame, others: DataFrame, keys: list[str], row: list[str], tie: str, gap_ms: int) -> DataFrame:
+    """Of each row the other one with the widest gap, from the ends of each key's intervals, as pairs of similarity 0."""
+    least = F.col(tie)
+    long = F.col("start_ms") - F.col("end_ms")
+    ends = others.groupBy(*keys).agg(
+        F.min(F.struct((-F.col("start_ms")).alias("v"), least.alias("t"))).alias("_late"),
+        F.min(F.struct(F.col("end_ms").alias("v"), least.alias("t"))).alias("_early"),
+        F.min(F.struct((-long).alias("v"), least.alias("t"))).alias("_back"),
+        F.min(least).alias("_any"),
+    )
+    both = rows.join(ends, keys)
+    ways = [(-F.col("_late.v") - F.col("end_ms"), F.col("_late.t")), (F.col("start_ms") - F.col("_early.v"), F.col("_early.t")), (-F.col("_back.v"), F.col("_back.t")), (F.col("start_ms") - F.col("end_ms"), F.col("_any"))]
+    widest = F.greatest(*(g for g, _ in ways))
+    who = F.least(*(F.when(g == widest, t) for g, t in ways))
+    return both.where(widest >= gap_ms).select(*keys, *row, who.alias(f"r_{tie}"), widest.alias("gap"), F.lit(0.0).alias("similarity"))
 
 
 def total_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

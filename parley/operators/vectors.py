@@ -43,12 +43,12 @@ def _prints_in_blocks(prints: DataFrame, names: list[str], rows: int) -> Iterato
 def _unit(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of length 1, and whether a vector has that width and a length at all."""
     out, sound = np.zeros((len(vectors), width)), np.zeros(len(vectors), bool)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == width and width and None not in v:
-            out[i] = v
-            norm = np.sqrt((out[i] * out[i]).sum())
-            sound[i] = norm > 0
-            out[i] = out[i] / norm if sound[i] else 0.0
+    fit = [i for i, v in enumerate(vectors) if width and v is not None and len(v) == width and None not in v]
+    if fit:
+        x = np.array([vectors[i] for i in fit], float)
+        norm = np.sqrt((x * x).sum(1))
+        sound[fit] = norm > 0
+        out[fit] = x / np.where(norm > 0, norm, 1.0)[:, None]
     return out, sound
 
 
@@ -70,7 +70,10 @@ def _two_of_block(block: list[Row], by: str | None) -> Callable[[Iterator[pa.Rec
             out = []
             vectors = batch.column("vector").to_pylist()
             asked = batch.column(by).to_pylist() if by else [None] * len(vectors)
-            matrices = {w: (_unit(vectors, w)[0], known, _unit(vectors, w)[1], sound) for w, (known, sound) in sides.items()}
+            matrices = {}
+            for w, (known, sound) in sides.items():
+                mine, fit = _unit(vectors, w)
+                matrices[w] = (mine, known, fit, sound)
             for g in set(asked):
                 if g is None and by:
                     continue  # a trial without a group meets no print

@@ -408,7 +408,15 @@ def _enrolment(spark, sf_dir):
     return vectors.enrolment(C.prints(spark, sf_dir))
 
 
-@_query("a21_held_out")
+@_query("a21_held_out", """
+    WITH h AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 2 = 0 AS train FROM embeddings),
+         u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS v FROM h WHERE train),
+         m AS (SELECT label, pos, sum(v) AS v FROM u GROUP BY ALL), p AS (SELECT concat('s', label) AS best, list(v ORDER BY pos) AS v FROM m GROUP BY label),
+         s AS (SELECT vec_id, label, best, list_cosine_similarity(embedding::DOUBLE[], p.v) AS similarity FROM h, p WHERE NOT train),
+         r AS (SELECT *, lead(similarity) OVER (PARTITION BY vec_id ORDER BY similarity DESC, best) AS following, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, best) AS n FROM s),
+         k AS (SELECT accept, similarity >= accept AND similarity - coalesce(following, -1) >= 0.05 AS named, best = concat('s', label) AS right_one, 1000 + vec_id % 7 * 100 AS ms
+               FROM r, (VALUES (0.3::DOUBLE), (0.35), (0.4), (0.45), (0.5)) AS t(accept) WHERE n = 1)
+    SELECT accept, coalesce(sum(ms) FILTER (named AND right_one), 0)::BIGINT AS named_ms, coalesce(sum(ms) FILTER (named AND NOT right_one), 0)::BIGINT AS wrong_ms, coalesce(sum(ms) FILTER (NOT named), 0)::BIGINT AS unknown_ms FROM k GROUP BY 1""")
 def _held_out(spark, sf_dir):
     rows = vectors.split_by_position(C.prints(spark, sf_dir), "speaker_id", "id")
     return vectors.held_out(rows, [0.3, 0.35, 0.4, 0.45, 0.5])
@@ -647,8 +655,7 @@ _FAR = _twins_sql(C.SEGMENTS_SQL, "greatest(m.start_ms, s.start_ms) - least(m.en
 @_query("j2_far_twin", f"WITH {_FAR} SELECT meeting_id, idx, r_idx, measure AS gap, round(similarity, 9) AS similarity FROM twin")
 def _far_twin(spark, sf_dir):
     rows = C.segments(spark, sf_dir).withColumn("words", T.words(F.col("text")))
-    similarity = F.round(T.word_similarity(F.col("words"), F.col("r_words")), 9)
-    return intervals.far_twin(rows.where("channel = 'mic'"), rows.where("channel = 'system'"), similarity, ["meeting_id"], ["idx"], "r_idx", 3000).select("meeting_id", "idx", "r_idx", "gap", "similarity")
+    return intervals.far_twin(rows.where("channel = 'mic'"), rows.where("channel = 'system'"), ["meeting_id"], ["idx"], "idx", 3000).select("meeting_id", "idx", "r_idx", "gap", "similarity")
 
 
 @_query("j8_doubled_text", f"""
