@@ -10,7 +10,7 @@ from parley.functions import text as T
 from parley.operators import audio, briefs, diff, edits, flows, glossary, intervals, maintenance, reports, search, signal, transcripts, vectors
 from parley.plans.register import CENTROID, SQL, TOKENS, WORDS, query, report_sql, twins_sql
 from parley.sources import carriers as C
-from parley.sources.tables import table
+from parley.sources.tables import stream, table
 from parley.streaming import slots
 
 
@@ -540,6 +540,25 @@ def _t15(spark, sf_dir):
     return slots.correlated(rows, answers).select("id", "phase", "channel")
 
 
+_ISLANDS = f"""
+    i AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts_ms, level, event_id ROWS UNBOUNDED PRECEDING) AS part FROM (
+            SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms, level, event_id) > 7200000 THEN 1 ELSE 0 END AS new FROM ({C.LEVELS_SQL}) WHERE level IS NOT NULL)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY session_id, part ORDER BY ts_ms, level, event_id) AS n FROM i)"""
+
+
+@query("t5_streamed_gate", f"""
+    WITH RECURSIVE {_ISLANDS},
+    g AS (SELECT session_id, part, n, ts_ms, level, level > greatest(level * 3, 120) AS accepted, level AS floor FROM f WHERE n = 1
+          UNION ALL SELECT f.session_id, f.part, f.n, f.ts_ms, f.level, f.level > greatest(g.floor * 3, 120),
+                           CASE WHEN f.level > greatest(g.floor * 3, 120) THEN least(g.floor, f.level) ELSE g.floor + (f.level - g.floor) * CASE WHEN f.level < g.floor THEN 0.25::DOUBLE ELSE 0.02::DOUBLE END END
+          FROM g JOIN f ON f.session_id = g.session_id AND f.part = g.part AND f.n = g.n + 1)
+    SELECT session_id::VARCHAR AS session_id, ts_ms, level, accepted, floor FROM g""")
+def _t5_stream(spark, sf_dir):
+    """The table of events as a stream: the gate's state begins anew after two silent hours."""
+    rows = stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_id", (F.col("value") * 20).alias("level")).where("level is not null")
+    return slots.drained(slots.stateful(rows, slots.gate_step, slots.GATED, ["ts_ms", "level", "event_id"], None, 7_200_000, "30 days"))
+
+
 @query("t3_mixed_slots")
 def _t3(spark, sf_dir):
     channel = F.when(F.col("kind") == "click", "mic").otherwise("system").alias("channel")

@@ -12,11 +12,16 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from parley.operators import signal
+from parley.operators import folds, signal
+from parley.sources.shared import new_path, written
+from parley.sources.shipping import ship
 
 SLOT_MS, TOLERANCE = 100, 2
 HYSTERESIS = 1.5
@@ -27,7 +32,14 @@ MIXED = "session_id string, slot long, ts_ms long, dominant string, pcm array<in
 GATED = "session_id string, ts_ms long, level double, accepted boolean, floor double"
 AGREED = "session_id string, iteration long, committed string, pending string, until_ms long"
 
+#: Silence after which a session is over.
+IDLE_MS = 30 * 60_000
+#: Event time runs so far ahead of ts_ms: the watermark begins at 0, and rows at or below it count as late.
+AHEAD_MS = 10 * 86_400_000
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 Step = Callable[[dict, dict], list[dict]]
+Flush = Callable[[dict], list[dict]]
 
 
 def _rms(samples: list[int]) -> float:
@@ -99,35 +111,96 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def stateful(frames: DataFrame, step: Step, schema: str, order: list[str]) -> DataFrame:
-    """A stream through ``step``, keyed by session_id; rows of a trigger go by ``order``.
+def advance(state: dict, rows: list[dict], step: Step, flush: Flush | None, idle_ms: int | None) -> list[dict]:
+    """Rows of a session through ``step``; a pause of more than ``idle_ms`` flushes what is held and starts afresh.
 
-    The state is a small JSON text for each session: a few open slots, a level or a few words.
+    ``state`` is empty at first; it keeps the rule's own state and the latest ts_ms.
     """
+    out = []
+    for row in rows:
+        at = int(row["ts_ms"]) if idle_ms is not None else 0
+        if state and idle_ms is not None and at > state["last"] + idle_ms:
+            out += flush(state["held"]) if flush else []
+            state.clear()
+        held = state.setdefault("held", {})
+        out += step(held, row)
+        state["last"] = max(state.get("last", at), at)
+    return out
+
+
+def _table(key: tuple, out: list[dict], schema: str) -> pd.DataFrame:
+    """Made rows with their session; numbers that may be missing keep their kind."""
+    names = _names(schema)
+    return pd.DataFrame({n: pd.Series([key[0] if n == "session_id" else row[n] for row in out], dtype=object) for n in names}, columns=names)
+
+
+class TimedRule(StatefulProcessor):
+    """A rule keyed by session, whose state a timer flushes and removes once the watermark is ``idle_ms`` past its last row."""
+
+    def __init__(self, step: Step, flush: Flush | None, schema: str, order: list[str], idle_ms: int) -> None:
+        self.step, self.flush, self.schema, self.order, self.idle_ms = step, flush, schema, order, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable").to_dict("records")
-        out = [made for row in rows for made in step(held, row)]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame([{"session_id": key[0], **row} for row in out], columns=_names(schema))
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        whole = pd.concat(list(rows)).sort_values(self.order, kind="stable").to_dict("records")
+        out = advance(state, whole, self.step, self.flush, self.idle_ms)
+        self.state.update((json.dumps(state),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(state["last"] + self.idle_ms + AHEAD_MS)
+        yield _table(key, out, self.schema)
 
-    return frames.groupBy("session_id").applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        self.state.clear()
+        yield _table(key, self.flush(state["held"]) if state and self.flush else [], self.schema)
 
+    def close(self) -> None:
+        pass
 
-def batch(frames: DataFrame, step: Step, schema: str, order: list[str], flush: Callable[[dict], list[dict]] | None = None) -> DataFrame:
-    """The batch twin of ``stateful``; with ``flush`` the held rest is emitted at the end.
 
-    A session is one group, as its state passes from row to row; sessions run side by side.
+def stateful(frames: DataFrame, step: Step, schema: str, order: list[str], flush: Flush | None = None, idle_ms: int = IDLE_MS, delay: str = "10 seconds") -> DataFrame:
+    """A stream with ts_ms through ``step``, keyed by session_id; rows of a trigger go by ``order``.
+
+    The state is a small JSON text for each session: a few open slots, a level or a few words. A
+    session that is silent for ``idle_ms`` is over: a timer of the event time emits what is held
+    (T13) and removes its state, so the state follows the sessions that are live. Frames that are
+    late by less than ``delay`` reach the rule, which counts them; later ones are dropped by the watermark.
+    The state is kept by the RocksDB store, which the session is set to if it has Spark's default.
+    """
+    spark = frames.sparkSession
+    ship(spark)
+    if "RocksDB" not in spark.conf.get(STORE, ""):
+        spark.conf.set(STORE, ROCKS)
+    timed = frames.withColumn("_ts", F.timestamp_millis(F.col("ts_ms") + AHEAD_MS)).withWatermark("_ts", delay)
+    return timed.groupBy("session_id").transformWithStateInPandas(TimedRule(step, flush, schema, order, idle_ms), schema, "append", "eventTime")
+
+
+def batch(frames: DataFrame, step: Step, schema: str, order: list[str], flush: Flush | None = None, idle_ms: int | None = None) -> DataFrame:
+    """The batch twin of ``stateful``; with ``flush`` the held rest is emitted at the end, and at each pause of ``idle_ms``.
+
+    Rows are dealt over ranges and sorted; a task reads a session's rows as they come, with the state
+    alone in memory, and a session that crosses ranges carries it on (see ``operators.folds``).
     """
+    names = [n for n in _names(schema) if n != "session_id"]
+    rows_of = f"array<struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in StructType.fromDDL(schema).fields if f.name in names)}>>"
+    kind = to_arrow_type(StructType.fromDDL(f"x {rows_of}")["x"].dataType)
+    cells = lambda many: pa.array([[{n: r[n] for n in names} for r in out] for out in many], kind)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
-        out = [made for row in rows.sort_values(order, kind="stable").to_dict("records") for made in step(held, row)]
-        out += flush(held) if flush else []
-        return pd.DataFrame([{"session_id": key[0], **row} for row in out], columns=_names(schema))
+    def rule(state: dict | None, rows: pa.RecordBatch) -> tuple[dict, list[pa.Array]]:
+        state = state or {}
+        made = [advance(state, [row], step, flush, idle_ms) for row in rows.to_pylist()]
+        # What would be left if the session ended here; only that of its last row counts.
+        rest = [[]] * (rows.num_rows - 1) + [flush(json.loads(json.dumps(state["held"]))) if flush else []]
+        return state, [cells(made), cells(rest)]
 
-    return frames.groupBy("session_id").applyInPandas(run, schema)
+    folded = written(folds.scan(frames, ["session_id"], order, rule, f"_out {rows_of}, _rest {rows_of}").select("session_id", *order, "_out", "_rest"))
+    last = folded.groupBy("session_id").agg(F.max_by("_rest", F.struct(*order)).alias("_rest"))
+    return folded.select("session_id", F.inline("_out")).union(last.select("session_id", F.inline("_rest"))).select(*_names(schema))
 
 
 def windowed(frames: DataFrame, delay: str = "200 milliseconds") -> DataFrame:
@@ -156,6 +229,18 @@ def correlated(requests: DataFrame, answers: DataFrame, within: str = "30 second
     return b.join(a, F.expr(f"id = _id AND ts >= _ts AND ts <= _ts + INTERVAL {within}")).drop("_id", "_ts")
 
 
+def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """What a stream gives for all that its sources hold now, as a table in the shared folder.
+
+    The query's checkpoint lies beside the table, and its rows are committed once, also after a restart.
+    """
+    spark = stream.sparkSession
+    path = new_path(spark, folder)
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def persist(captions: DataFrame, path: str, checkpoint: str):
     """A stream of captions appended to a Parquet table, batch by batch, without blank texts."""
 
