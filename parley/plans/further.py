@@ -10,6 +10,8 @@ from parley.functions import text as T
 from parley.operators import audio, briefs, diff, edits, flows, glossary, intervals, maintenance, reports, search, signal, transcripts, vectors
 from parley.plans.register import CENTROID, SQL, TOKENS, WORDS, query, report_sql, twins_sql
 from parley.sources import carriers as C
+from parley.sources.shared import new_path
+from parley.sources.stored import StoredTable
 from parley.sources.tables import stream, table
 from parley.streaming import slots
 
@@ -98,12 +100,16 @@ def _s28(spark, sf_dir):
 def _s30(spark, sf_dir):
     old = C.versions(spark, sf_dir).select("meeting_id", "version", "body")
     new = old.where("meeting_id % 2 = 0 AND version = 1").withColumn("body", F.lit("redone"))
-    return maintenance.replace_partition(old, new, ["meeting_id"])
+    stored = StoredTable.create(old, new_path(spark), ["meeting_id"])
+    stored.replace(new, ["meeting_id"])
+    return stored.rows()
 
 
 @query("s34_point_update", f"SELECT id, CASE WHEN id = 1 THEN 'renamed' ELSE canonical END AS canonical FROM ({C.TERMS_SQL})")
 def _s34(spark, sf_dir):
-    return maintenance.update_one(C.terms(spark, sf_dir), F.col("id") == 1, {"canonical": F.lit("renamed")}).select("id", "canonical")
+    stored = StoredTable.create(C.terms(spark, sf_dir), new_path(spark), ["id"])
+    stored.update_one(F.col("id") == 1, {"canonical": F.lit("renamed")})
+    return stored.rows().select("id", "canonical")
 
 
 @query("s37_index_maintained", f"""
@@ -388,7 +394,13 @@ def _x25(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower(F.trim("p_type")).alias("folded"), F.coalesce(F.when(F.col("p_size") > 25, F.col("p_brand")), F.lit("")).alias("brand"))
 
 
-@query("x27_snippets")
+_HIT = f"(starts_with(regexp_replace(translate(lower(x), '{search.MARKED}', '{search.PLAIN}'), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 'the') OR starts_with(regexp_replace(translate(lower(x), '{search.MARKED}', '{search.PLAIN}'), '[^\\p{{L}}\\p{{N}}]', '', 'g'), 'tion'))"
+
+
+@query("x27_snippets", f"""
+    WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations),
+         f AS (SELECT *, greatest(coalesce(list_position(list_transform(w, lambda x: {_HIT}), true), 0), 1) AS first FROM w)
+    SELECT conv_id, turn, concat(CASE WHEN first > 1 THEN '…' ELSE '' END, array_to_string(list_transform(w[first:first + 11], lambda x: CASE WHEN {_HIT} THEN concat('[', x, ']') ELSE x END), ' '), CASE WHEN len(w) > first + 11 THEN '…' ELSE '' END) AS snippet FROM f""")
 def _x27(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", search.snippet(F.col("text"), "the tion").alias("snippet"))
 
@@ -580,7 +592,11 @@ def _t10(spark, sf_dir):
     return slots.batch(rows, slots.hold_step, "session_id string, id long, text string", ["id"])
 
 
-@query("t11_attributed_events")
+@query("t11_attributed_events", f"""
+    WITH r AS (SELECT session_id::VARCHAR AS session_id, event_id AS id, kind = 'click' AS final, event_id % 3 = 0 AS mic FROM ({C.LEVELS_SQL})),
+         g AS (SELECT *, coalesce(sum(final::INTEGER) OVER (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM r),
+         n AS (SELECT *, count(*) FILTER (NOT final AND mic) OVER (PARTITION BY session_id, part) AS mics, count(*) FILTER (NOT final AND NOT mic) OVER (PARTITION BY session_id, part) AS systems FROM g)
+    SELECT session_id, id, CASE WHEN systems > mics THEN 'system' ELSE 'mic' END AS channel FROM n WHERE final""")
 def _t11(spark, sf_dir):
     kind = F.when(F.col("kind") == "click", "final").otherwise("frame").alias("kind")
     rows = C.levels(spark, sf_dir).select(F.col("session_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), kind, F.when(F.col("event_id") % 3 == 0, "mic").otherwise("system").alias("channel"))

@@ -20,6 +20,8 @@ from parley.plans.register import report_sql as _report_sql
 from parley.plans.register import twins_sql as _twins_sql
 from parley.sources import carriers as C
 from parley.sources import files
+from parley.sources.shared import new_path
+from parley.sources.stored import StoredTable
 from parley.sources.tables import table
 
 # -- Scans, projections and filters -------------------------------------------------------------
@@ -391,12 +393,35 @@ def _replaced(spark, sf_dir):
     return glossary.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), C.terms(spark, sf_dir))
 
 
-@_query("g17_search")
+def _search_sql(docs: str) -> str:
+    """The best 50 for the words the and tion, by bm25, of a table (ref_id, body)."""
+    return f"""
+    WITH d AS (SELECT ref_id, list_filter(string_split_regex(translate(lower(body), '{search.MARKED}', '{search.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM ({docs})),
+         n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d), t AS (SELECT ref_id, len(w) AS length, unnest(w) AS term FROM d),
+         h AS (SELECT ref_id, length, word, count(*) AS tf FROM t JOIN (VALUES (0, 'the'), (1, 'tion')) AS q(word, prefix) ON starts_with(term, prefix) GROUP BY ALL),
+         f AS (SELECT word, count(*) AS df FROM h GROUP BY 1),
+         s AS (SELECT ref_id, round(sum(greatest(0.000001::DOUBLE, ln((docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * {search.K1 + 1}::DOUBLE / (tf + {search.K1}::DOUBLE * ({1 - search.B}::DOUBLE + {search.B}::DOUBLE * length / mean))), 9) AS score, count(*) AS words
+               FROM h JOIN f USING (word), n GROUP BY 1)
+    SELECT ref_id, score, row_number() OVER (ORDER BY score DESC, ref_id)::INTEGER AS rank FROM s WHERE words = 2 ORDER BY score DESC, ref_id LIMIT 50"""
+
+
+@_query("g17_search", _search_sql("SELECT concat(conv_id, '-', turn) AS ref_id, text AS body FROM conversations"))
 def _search(spark, sf_dir):
     docs = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("ref_id"), F.col("text").alias("body"))
     return search.search(docs, "the tion", 50)
 
 
+@_query("g17_maintained_search", _search_sql("SELECT concat(conv_id, '-', turn) AS ref_id, CASE WHEN turn % 3 = 1 THEN concat('the nation, ', role) ELSE text END AS body FROM conversations WHERE conv_id % 5 <> 2"))
+def _maintained_search(spark, sf_dir):
+    """A stored index of all turns, then one change: new bodies for some turns, and conversations that go."""
+    rows = table(spark, sf_dir, "conversations").withColumn("ref_id", F.concat_ws("-", "conv_id", "turn"))
+    index = search.SearchIndex(spark, new_path(spark))
+    index.change(rows.select("ref_id", F.col("text").alias("body")))
+    changed = rows.where("turn % 3 = 1 AND conv_id % 5 <> 2").select("ref_id", F.concat(F.lit("the nation, "), F.col("role")).alias("body"))
+    index.change(changed, rows.where("conv_id % 5 = 2").select("ref_id"))
+    return index.search("the tion", 50)
+
+
 @_query("j12_matched_voices")
 def _matched(spark, sf_dir):
     rows = C.prints(spark, sf_dir)
@@ -443,7 +468,9 @@ def _gate(spark, sf_dir):
 @_query("s29_upserted", f"SELECT meeting_id, version, body FROM ({C.VERSIONS_SQL}) WHERE version > 2 UNION ALL SELECT meeting_id, version, 'new' FROM ({C.VERSIONS_SQL}) WHERE version <= 2")
 def _upserted(spark, sf_dir):
     old = C.versions(spark, sf_dir).select("meeting_id", "version", "body")
-    return maintenance.upserted(old, old.where("version <= 2").withColumn("body", F.lit("new")), ["meeting_id", "version"])
+    stored = StoredTable.create(old, new_path(spark), ["meeting_id"])
+    stored.upsert(old.where("version <= 2").withColumn("body", F.lit("new")), ["meeting_id", "version"])
+    return stored.rows()
 
 
 @_query("s31_written_terms", f"""
@@ -453,13 +480,17 @@ def _upserted(spark, sf_dir):
 def _written_terms(spark, sf_dir):
     old = C.terms(spark, sf_dir)
     new = old.where("id % 100 = 0").withColumns({"id": F.col("id") + 1_000_000, "canonical": F.lit("new")})
-    return maintenance.write_terms(old, new).select("id", "surface", "canonical")
+    stored = StoredTable.create(old, new_path(spark), ["surface"])
+    stored.write_terms(new)
+    return stored.rows().select("id", "surface", "canonical")
 
 
 @_query("s32_cascaded", f"SELECT meeting_id, version FROM ({C.VERSIONS_SQL}) WHERE meeting_id % 3 <> 0")
 def _cascaded(spark, sf_dir):
     gone = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("meeting_id"))
-    return maintenance.cascade({"versions": C.versions(spark, sf_dir)}, gone)["versions"].select("meeting_id", "version")
+    stored = StoredTable.create(C.versions(spark, sf_dir), new_path(spark), ["meeting_id"])
+    stored.delete(gone, ["meeting_id"])
+    return stored.rows().select("meeting_id", "version")
 
 
 @_query("s36_sweep_preview", "SELECT count(*) AS meetings, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM (SELECT c_custkey AS meeting_id FROM customer WHERE c_custkey < 500) JOIN (SELECT o_custkey AS meeting_id, count(*) * 100 AS bytes FROM orders GROUP BY 1) USING (meeting_id)")
@@ -487,13 +518,17 @@ def _glossary_order(spark, sf_dir):
 
 @_query("s33_conditional_update", f"SELECT id, CASE WHEN origin <> 'human' THEN 'cleared' ELSE edited_text END AS edited_text FROM ({C.EDITS_SQL})")
 def _conditional(spark, sf_dir):
-    return maintenance.update_where(C.edits(spark, sf_dir), F.col("origin") != "human", {"edited_text": F.lit("cleared")}).select("id", "edited_text")
+    stored = StoredTable.create(C.edits(spark, sf_dir), new_path(spark), ["meeting_id"])
+    stored.update(F.col("origin") != "human", {"edited_text": F.lit("cleared")})
+    return stored.rows().select("id", "edited_text")
 
 
 @_query("s38_keyed_delete", f"SELECT id, surface FROM ({C.TERMS_SQL}) WHERE id % 7 <> 0")
 def _keyed_delete(spark, sf_dir):
     rows = C.terms(spark, sf_dir)
-    return maintenance.delete_matching(rows, rows.where("id % 7 = 0"), ["id"]).select("id", "surface")
+    stored = StoredTable.create(rows, new_path(spark), ["id"])
+    stored.delete(rows.where("id % 7 = 0"), ["id"])
+    return stored.rows().select("id", "surface")
 
 
 @_query("f7_calendar", "SELECT event_id, CASE WHEN ts::DATE = DATE '2024-01-10' THEN 'today' WHEN date_trunc('week', ts) = DATE '2024-01-08' THEN 'this week' WHEN ts < TIMESTAMP '2024-01-08' THEN 'older' ELSE 'later' END AS kind FROM events")
