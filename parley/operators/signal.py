@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from parley.operators import folds, ordered
+from parley.sources.shipping import ship
 
 SPEECH_MARGIN, ABSOLUTE_FLOOR, RISE, FALL = 3.0, 120.0, 0.02, 0.25
 HYSTERESIS = 1.5
@@ -126,18 +130,76 @@ def _corr() -> Column:
     return F.try_divide(F.covar_pop("v", "w"), F.stddev_pop("v") * F.stddev_pop("w"))
 
 
-def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], most: int) -> DataFrame:
+def _block_sums(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], start: int, size: int, most: int) -> np.ndarray:
+    """Of one block of ``a`` and the stretch of ``b`` around it, for each lag the pairs and the sums of v, w, vv, ww and vw.
+
+    Places may be empty or hold several values. All six are correlations of one pair of series, so the
+    two sides are transformed three times each and six products are transformed back.
+    """
+    width = size + 2 * most
+    n = 1 << int(width + size).bit_length()
+
+    def sides(at: np.ndarray, values: np.ndarray, first: int, length: int) -> list[np.ndarray]:
+        return [np.fft.rfft(np.bincount(at - first, weights, length), n) for weights in (np.ones(len(at)), values, values * values)]
+
+    one, v, vv = sides(*a, start, size)
+    many, w, ww = sides(*b, start - most, width)
+    correlate = lambda x, y: np.fft.irfft(np.conj(x) * y, n)[: 2 * most + 1]
+    pairs = np.rint(correlate(one, many))
+    return np.stack([pairs, *(correlate(x, y) for x, y in ((v, many), (one, w), (vv, many), (one, ww), (v, w)))])
+
+
+def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], most: int, block: int = 8192) -> DataFrame:
     """Pearson correlation of two envelopes (at, v) at each lag; 0 for under two pairs or no variance.
 
-    The best lag of each key has ``best``; only a correlation over 0 can be best.
+    The best lag of each key has ``best``; only a correlation over 0 can be best. Places are cut into
+    blocks, so a long key is many small tasks: a block of ``a`` meets the places of ``b`` within
+    ``most`` of it, and answers with six sums a lag by fast Fourier transforms, which are added up.
+    Values are taken from their key's mean first, as the sums cancel. Empty places and repeated ones
+    count as the pairs that they make; rows with a null v or place make none.
     """
-    moved = a.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_at", F.col("at") + F.col("lag"))
-    pairs = moved.join(b.select(*keys, F.col("at").alias("_at"), F.col("v").alias("w")), [*keys, "_at"])
-    flat = (F.count("*") < 2) | (F.stddev_pop("v") == 0) | (F.stddev_pop("w") == 0)
-    value = F.when(flat, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _corr())))
-    found = pairs.groupBy(*keys, "lag").agg(F.count("*").alias("pairs"), F.round(value, 9).alias("corr"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("corr"), "lag")
-    return found.withColumn("best", (F.row_number().over(order) == 1) & (F.col("corr") > 0))
+    size = max(block, 2 * most)
+    sound = lambda df: df.where(F.col("at").isNotNull() & F.col("v").isNotNull()).select(*(F.col(k).alias(k) for k in keys), F.col("at").cast("long").alias("at"), F.col("v").cast("double").alias("v"))
+
+    def centred(df: DataFrame) -> DataFrame:
+        means = df.groupBy(*keys).agg(F.avg("v").alias("_m"))
+        both = df.join(means, keys) if keys else df.crossJoin(F.broadcast(means))  # one row without keys
+        return both.withColumn("v", F.col("v") - F.col("_m")).drop("_m")
+
+    x, y = centred(sound(a)), centred(sound(b))
+    place = lambda at: F.floor(at / size)
+    x = x.withColumn("_block", place(F.col("at")))
+    # A place near a bound belongs to two blocks.
+    y = y.withColumn("_block", F.explode(F.array_distinct(F.array(place(F.col("at") - most), place(F.col("at") + most)))))
+    by = [*keys, "_block"]
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+    sums = ["pairs", "sv", "sw", "svv", "sww", "svw"]
+    names = [*keys, "lag", *sums]
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: [] for n in names}, schema=schema)
+        side = lambda t: (t.column("at").to_numpy(), t.column("v").to_numpy())
+        found = _block_sums(side(left), side(right), key[-1].as_py() * size, size, most)
+        lags = np.flatnonzero(found[0] > 0)
+        fixed = {k: pa.array([key[i].as_py()] * len(lags), schema.field(k).type) for i, k in enumerate(keys)}
+        return pa.table({**fixed, "lag": pa.array(lags - most, pa.int32()), **{s: pa.array(found[i, lags]) for i, s in enumerate(sums)}}, schema=schema)
+
+    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "lag int", *(f"{s} double" for s in sums)])
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    ship(a.sparkSession)
+    blocks = x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(meet, ddl)
+    total = blocks.groupBy(*keys, "lag").agg(*(F.sum(s).alias(s) for s in sums))
+    n = F.col("pairs")
+    spread = lambda square, plain: F.col(square) / n - F.col(plain) / n * F.col(plain) / n
+    flat = lambda square, plain: spread(square, plain) <= F.col(square) / n * 1e-11 + 1e-300
+    value = (F.col("svw") / n - F.col("sv") / n * F.col("sw") / n) / F.sqrt(spread("svv", "sv") * spread("sww", "sw"))
+    corr = F.when((n < 2) | flat("svv", "sv") | flat("sww", "sw"), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    found = total.select(*keys, "lag", n.cast("long").alias("pairs"), F.round(corr, 9).alias("corr"))
+    # One row a key: the lags of a key are few, and the best is an aggregate.
+    best = found.groupBy(*keys).agg(F.min_by("lag", F.struct((-F.col("corr")).alias("c"), "lag")).alias("_best"), F.max("corr").alias("_top"))
+    joined = found.join(best, keys) if keys else found.crossJoin(F.broadcast(best))  # one row without keys
+    return joined.select(*keys, "lag", "pairs", "corr", ((F.col("lag") == F.col("_best")) & (F.col("_top") > 0)).alias("best"))
 
 
 def plain_correlation(pairs: DataFrame, keys: list[str]) -> DataFrame:

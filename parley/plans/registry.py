@@ -605,12 +605,12 @@ def _evidence(spark, sf_dir):
 @_query("a18_lag_correlation", f"""
     WITH e AS (SELECT session_id, (ts_ms // 3600000)::BIGINT AS pos, sum(CASE WHEN kind = 'click' THEN level ELSE 0 END) AS v, sum(CASE WHEN kind <> 'click' THEN level ELSE 0 END) AS w FROM ({C.LEVELS_SQL}) GROUP BY ALL),
          l AS (SELECT a.session_id, lag, a.v, b.w FROM e a, generate_series(-2, 2) AS g(lag), e b WHERE a.session_id = b.session_id AND b.pos = a.pos + lag)
-    SELECT session_id, lag::INTEGER AS lag, count(*) AS pairs FROM l GROUP BY ALL""")
+    SELECT session_id, lag::INTEGER AS lag, count(*) AS pairs, round(CASE WHEN count(*) < 2 OR stddev_pop(v) = 0 OR stddev_pop(w) = 0 THEN 0 ELSE greatest(-1, least(1, corr(v, w))) END, 6) AS corr FROM l GROUP BY ALL""")
 def _lags(spark, sf_dir):
     part = lambda hit: F.sum(F.when(hit, F.col("level")).otherwise(0.0)).alias("v")
     rows = C.levels(spark, sf_dir).groupBy("session_id", F.floor(F.col("ts_ms") / 3_600_000).alias("at"))
     a, b = rows.agg(part(F.col("kind") == "click")), rows.agg(part(F.col("kind") != "click"))
-    return signal.lag_correlation(a, b, ["session_id"], 2).select("session_id", "lag", "pairs")
+    return signal.lag_correlation(a, b, ["session_id"], 2).select("session_id", "lag", "pairs", F.round("corr", 6).alias("corr"))
 
 
 @_query("w12_split", f"SELECT id, speaker_id, (row_number() OVER (PARTITION BY speaker_id ORDER BY id) - 1) % 2 = 0 AS train FROM ({C.PRINTS_SQL})")
