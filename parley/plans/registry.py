@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
 from parley.functions import text as T
-from parley.operators import briefs, diff, edits, glossary, intervals, maintenance, ordered, reports, search, signal, speakers, transcripts, vectors
+from parley.operators import briefs, diff, edits, flows, glossary, intervals, maintenance, ordered, reports, search, signal, speakers, transcripts, vectors
 from parley.plans import further  # noqa: F401  registers its queries
 from parley.plans.register import CENTROID as _CENTROID
 from parley.plans.register import QUERIES as _QUERIES
@@ -843,6 +843,52 @@ def _collapsed_text(spark, sf_dir):
     return transcripts.rendered(transcripts.collapsed(C.segments(spark, sf_dir), 0.5))
 
 
+_UNIT = "generate_subscripts(vector, 1) AS pos, unnest(vector)::DOUBLE / sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) AS x"
+_TOP = "lead(similarity) OVER (PARTITION BY id ORDER BY similarity DESC, best) AS following, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, best) AS n"
+#: Labels after a voice pass: by the voices of each meeting, then by remembered ones.
+_VOICED = f"""
+    v AS ({C.VOICED_SQL}),
+    pm AS (SELECT meeting_id, speaker_id, pos, sum(x) AS x FROM (SELECT meeting_id, speaker_id, {_UNIT} FROM v WHERE source = 'human' AND vector IS NOT NULL) GROUP BY ALL),
+    print AS (SELECT meeting_id, speaker_id, list(x ORDER BY pos) AS x FROM pm GROUP BY ALL),
+    own AS (SELECT id, best FROM (SELECT *, {_TOP} FROM (SELECT v.id, print.speaker_id AS best, list_cosine_similarity(v.vector::DOUBLE[], print.x) AS similarity FROM v JOIN print USING (meeting_id) WHERE source <> 'human' AND vector IS NOT NULL))
+            WHERE n = 1 AND similarity >= 0.3 AND similarity - coalesce(following, -1) >= 0.02),
+    f AS (SELECT v.*, source <> 'human' AND vector IS NOT NULL AND own.best IS NULL AS unsure,
+                 CASE WHEN source = 'human' OR (vector IS NULL AND source <> 'voiceprint') THEN v.speaker_id WHEN vector IS NOT NULL AND own.best IS NOT NULL THEN own.best WHEN vector IS NOT NULL AND source = 'channel' THEN v.speaker_id ELSE '' END AS label
+          FROM v LEFT JOIN own USING (id)),
+    km AS (SELECT label, pos, sum(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM embeddings WHERE vec_id % 7 = 0) GROUP BY ALL),
+    known AS (SELECT concat('v', label) AS best, list(x ORDER BY pos) AS x FROM km GROUP BY label),
+    mem AS (SELECT id, best FROM (SELECT *, {_TOP} FROM (SELECT f.id, known.best, list_cosine_similarity(f.vector::DOUBLE[], known.x) AS similarity FROM f, known WHERE f.source <> 'human' AND f.vector IS NOT NULL AND f.label = ''))
+            WHERE n = 1 AND similarity >= 0.3 AND similarity - coalesce(following, -1) >= 0.02),
+    made AS (SELECT f.* EXCLUDE (speaker_id), f.source <> 'human' AND f.label <> f.speaker_id AS changed, mem.best, CASE WHEN mem.best IS NOT NULL THEN concat(meeting_id, ':voice:', mem.best) ELSE f.label END AS speaker_id FROM f LEFT JOIN mem USING (id))"""
+
+
+def _voice_pass(spark, sf_dir):
+    rows = C.voiced(spark, sf_dir)
+    voices = vectors.centroids(table(spark, sf_dir, "embeddings").where("vec_id % 7 = 0").select(F.concat(F.lit("v"), F.col("label")).alias("speaker_id"), F.col("embedding").alias("vector")))
+    return rows, flows.voice_pass(rows, voices, 0.3, 0.02)
+
+
+@_query("g24_voice_pass", f"""
+    WITH {_VOICED} SELECT meeting_id, (SELECT count(*) FROM print p WHERE p.meeting_id = made.meeting_id) AS prints, count(*) FILTER (changed AND label <> '') AS signed, count(*) FILTER (changed AND label = '') AS cleared,
+           count(*) FILTER (unsure) AS unknown, count(*) FILTER (source <> 'human' AND vector IS NULL) AS without_vector, count(*) FILTER (best IS NOT NULL) AS signed_from_memory FROM made GROUP BY meeting_id""")
+def _voice_report(spark, sf_dir):
+    return _voice_pass(spark, sf_dir)[1].report
+
+
+@_query("g24_voice_bodies", f"""
+    WITH {_VOICED}, {_para("SELECT meeting_id, idx, start_ms, end_ms, channel, speaker_id, text FROM made")}
+    SELECT meeting_id, 1 AS version, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body, (SELECT count(*) FROM print p WHERE p.meeting_id = q.meeting_id) AS prints FROM q GROUP BY meeting_id""")
+def _voice_bodies(spark, sf_dir):
+    """Finals and prints are stored, the pass is written, and both are read back."""
+    rows, made = _voice_pass(spark, sf_dir)
+    before = transcripts.rendered(rows).withColumn("version", F.lit(1)).select("meeting_id", "version", "body")
+    finals = StoredTable.create(before, new_path(spark), ["meeting_id"])
+    prints = StoredTable.create(made.prints.withColumn("samples", F.lit(0).cast("long")), new_path(spark), ["meeting_id"])
+    flows.apply_voice_pass(made, rows, prints, finals)
+    many = prints.rows().groupBy("meeting_id").agg(F.count_if(F.col("samples") > 0).alias("prints"))
+    return finals.rows().join(many, "meeting_id", "left").withColumn("prints", F.coalesce("prints", F.lit(0)))
+
+
 def queries() -> dict[str, Query]:
     """Every query by name."""
     return dict(_QUERIES)

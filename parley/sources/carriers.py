@@ -39,6 +39,11 @@ LEVELS_SQL = """
 PRINTS_SQL = """
   SELECT vec_id AS id, concat('s', label) AS speaker_id, embedding AS vector, CASE WHEN vec_id % 5 = 0 THEN 'human' WHEN vec_id % 5 = 1 THEN 'voiceprint' ELSE 'channel' END AS source,
          1000 + vec_id % 7 * 100 AS ms FROM embeddings"""
+VOICED_SQL = """
+  SELECT vec_id AS id, vec_id // 40 AS meeting_id, vec_id % 40 AS idx, vec_id % 40 * 2000 AS start_ms, vec_id % 40 * 2000 + 1500 AS end_ms, CASE WHEN vec_id % 2 = 0 THEN 'mic' ELSE 'system' END AS channel,
+         CASE vec_id % 5 WHEN 0 THEN concat('s', label) WHEN 1 THEN concat('s', label) WHEN 2 THEN 'channel' ELSE '' END AS speaker_id,
+         CASE vec_id % 5 WHEN 0 THEN 'human' WHEN 1 THEN 'voiceprint' WHEN 2 THEN 'channel' ELSE 'none' END AS source,
+         CASE WHEN vec_id % 11 <> 3 THEN embedding END AS vector, 1000 + vec_id % 7 * 100 AS ms, concat('line ', vec_id, CASE WHEN vec_id % 3 = 0 THEN '.' ELSE '' END) AS text FROM embeddings"""
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,3 +113,21 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as voice vectors; every fifth has a human label."""
     part = F.col("vec_id") % 5
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("label")).alias("speaker_id"), F.col("embedding").alias("vector"), F.when(part == 0, "human").when(part == 1, "voiceprint").otherwise("channel").alias("source"), (1000 + F.col("vec_id") % 7 * 100).alias("ms"))
+
+
+def voiced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as the segments of meetings of forty, with voice vectors and labels of four sources."""
+    part, id_, place = F.col("vec_id") % 5, F.col("vec_id"), F.col("vec_id") % 40
+    return table(spark, sf_dir, "embeddings").select(
+        id_.alias("id"),
+        F.floor(id_ / 40).alias("meeting_id"),
+        place.alias("idx"),
+        (place * 2000).alias("start_ms"),
+        (place * 2000 + 1500).alias("end_ms"),
+        F.when(id_ % 2 == 0, "mic").otherwise("system").alias("channel"),
+        F.when(part < 2, F.concat(F.lit("s"), F.col("label"))).when(part == 2, "channel").otherwise("").alias("speaker_id"),
+        F.when(part == 0, "human").when(part == 1, "voiceprint").when(part == 2, "channel").otherwise("none").alias("source"),
+        F.when(id_ % 11 != 3, F.col("embedding")).alias("vector"),
+        (1000 + id_ % 7 * 100).alias("ms"),
+        F.concat(F.lit("line "), id_, F.when(id_ % 3 == 0, ".").otherwise("")).alias("text"),
+    )
