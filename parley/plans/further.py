@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
 from parley.functions import text as T
-from parley.operators import audio, briefs, diff, edits, flows, glossary, intervals, maintenance, reports, search, signal, transcripts, vectors
+from parley.operators import audio, briefs, diff, edits, flows, glossary, intervals, maintenance, ordered, reports, search, signal, transcripts, vectors
 from parley.plans.register import CENTROID, SQL, TOKENS, WORDS, query, report_sql, twins_sql
 from parley.sources import carriers as C
 from parley.sources.shared import new_path
@@ -248,10 +248,54 @@ def _w8(spark, sf_dir):
     return rows.groupBy("session_id").agg(F.round(F.max_by("gain", F.struct("ts_ms", "event_id")), 4).alias("gain"))
 
 
-@query("w11_loudest_windows")
+_PLACED_SQL = f"SELECT session_id % 3 AS session_id, row_number() OVER (PARTITION BY session_id % 3 ORDER BY ts_ms, event_id) - 1 AS i, floor(level)::DOUBLE AS level, event_id FROM ({C.LEVELS_SQL}) WHERE level IS NOT NULL"
+
+
+def _placed(spark, sf_dir):
+    """Events as three long tracks of one sample each."""
+    rows = C.levels(spark, sf_dir).where("level is not null").select((F.col("session_id") % 3).alias("session_id"), "ts_ms", "event_id", F.floor("level").cast("double").alias("level"))
+    return ordered.numbered(rows, ["session_id"], ["ts_ms", "event_id"], "_n").select("session_id", (F.col("_n") - 1).alias("i"), "level", "event_id")
+
+
+def _in_chunks(rows, size, **columns):
+    """Samples in rows of ``size``, with their number as seq and first place as start."""
+    inside = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", c.alias("x")))), lambda s: s["x"])  # noqa: E731  of ``size`` samples
+    return rows.groupBy("session_id", F.floor(F.col("i") / size).alias("seq")).agg(F.min("i").alias("start"), *(inside(c).alias(n) for n, c in columns.items()))
+
+
+@query("s35_resampled", f"""
+    WITH t AS ({_PLACED_SQL}), o AS (SELECT session_id, unnest(generate_series(0, (count(*) * 2 + 2) // 3 - 1)) AS n FROM t GROUP BY 1),
+         w AS (SELECT o.session_id, n, level, i - n * 1.5::DOUBLE AS d FROM o JOIN t ON t.session_id = o.session_id AND i BETWEEN n * 3 // 2 - 8 AND n * 3 // 2 + 9)
+    SELECT session_id, n, round(coalesce(sum(CASE WHEN abs(d) >= 8 THEN 0 ELSE level * CASE WHEN abs(d) < 1e-12 THEN 2::DOUBLE / 3 ELSE sin(pi() * 2 / 3 * d) / (pi() * d) END * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * d / 8)) END), 0), 5) AS sample FROM w GROUP BY ALL""")
+def _s35(spark, sf_dir):
+    chunks = _in_chunks(_placed(spark, sf_dir), 50, samples=F.col("level"))
+    made = audio.resampled(chunks, ["session_id"], 3, 2, 1, 4)
+    return made.select("session_id", "first", F.posexplode("pcm").alias("at", "x")).select("session_id", (F.col("first") + F.col("at")).alias("n"), F.round("x", 5).alias("sample"))
+
+
+@query("g14_echo_windows")
+def _g14(spark, sf_dir):
+    """A microphone that hears half of the system channel seven samples later, and a voice of its own in every other stretch of 200."""
+    rows = _placed(spark, sf_dir).withColumn("system", F.col("level") - 1000)
+    late = rows.select("session_id", (F.col("i") + 7).alias("i"), (F.col("system") / 2).alias("_late"))
+    voice = F.when(F.floor(F.col("i") / 200) % 2 == 1, (F.col("event_id") * 7919 % 1009 - 504) * 2.0).otherwise(0.0)
+    both = rows.join(late, ["session_id", "i"], "left").withColumn("mic", F.coalesce("_late", F.lit(0.0)) + voice)
+    frames = _in_chunks(both, 100, mic=F.col("mic"), system=F.col("system"))
+    rules = audio.EchoRules(rate=1000, window_ms=50, max_delay_ms=40, probe_ms=160, guard_ms=3, taps=24)
+    return audio.echo_windows(frames, ["session_id"], rules)
+
+
+@query("w11_loudest_windows", f"""
+    WITH l AS (SELECT session_id, level, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, event_id) - 1 AS pos FROM ({C.LEVELS_SQL})),
+         s AS (SELECT session_id, pos, sqrt(sum(level * level) OVER w / 4) AS rms, count(*) OVER w AS n FROM l WINDOW w AS (PARTITION BY session_id ORDER BY pos RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+         c AS (SELECT session_id, pos, rms FROM s WHERE n = 4),
+         a1 AS (SELECT session_id, first(pos ORDER BY rms DESC, pos) AS pos FROM c GROUP BY 1), c1 AS (SELECT c.* FROM c JOIN a1 ON a1.session_id = c.session_id AND abs(c.pos - a1.pos) >= 4),
+         a2 AS (SELECT session_id, first(pos ORDER BY rms DESC, pos) AS pos FROM c1 GROUP BY 1), c2 AS (SELECT c1.* FROM c1 JOIN a2 ON a2.session_id = c1.session_id AND abs(c1.pos - a2.pos) >= 4),
+         a3 AS (SELECT session_id, first(pos ORDER BY rms DESC, pos) AS pos FROM c2 GROUP BY 1)
+    SELECT session_id, pos::INTEGER AS "at", round(rms, 6) AS rms FROM c JOIN (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3) USING (session_id, pos)""")
 def _w11(spark, sf_dir):
     place = (F.row_number().over(Window.partitionBy("session_id").orderBy("ts_ms", "event_id")) - 1).cast("int").alias("at")
-    return audio.loudest_windows(C.levels(spark, sf_dir).select("session_id", place, "level"), ["session_id"], 4)
+    return audio.loudest_windows(C.levels(spark, sf_dir).select("session_id", place, "level"), ["session_id"], 4).select("session_id", "at", F.round("rms", 6).alias("rms"))
 
 
 @query("t9_buffer_starts", f"""

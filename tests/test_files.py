@@ -53,19 +53,6 @@ def test_tracks(spark):
     assert audio.decoded(raw).first().pcm == [1, -1]
 
 
-def test_echo_is_explained_and_speech_is_not(spark):
-    import random
-
-    rng = random.Random(2)
-    reference = [rng.randint(-3000, 3000) for _ in range(1500)]
-    other = [rng.randint(-3000, 3000) for _ in range(1500)]
-    delayed = [0] * 30 + reference[:-30]
-    tracks = spark.createDataFrame([("echo", [x // 2 for x in delayed], reference), ("speech", other, reference)], "session_id string, mic array<int>, reference array<int>")
-    got = audio.echo_windows(tracks).orderBy("session_id", "window").collect()
-    assert all(r.echo for r in got if r.session_id == "echo" and r.window > 0)
-    assert not any(r.echo for r in got if r.session_id == "speech")
-
-
 def test_loudest_windows(spark):
     levels = spark.createDataFrame([("a", i, 10.0 if 40 <= i < 48 else 5.0 if 8 <= i < 16 else 1.0) for i in range(64)], "k string, at int, level double")
     got = audio.loudest_windows(levels, ["k"], 8, 2).orderBy("at").collect()
