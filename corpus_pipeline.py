@@ -21,7 +21,7 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of docs, with n_chars of the text as it is now."""
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.select(*columns)
+    return docs.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     recurring line. An empty table gives no rows. ``n_chars`` follows the text, null for a null one;
     other columns come back as they are.
     """
-    left = linededup.drop_recurring_lines(docs).where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "[\\t-\\r]", " ")) != ""))
-    return _counted(left, docs.columns)
+    # The operator's counts must not take the place of columns of docs.
+    taken = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+    left = linededup.drop_recurring_lines(docs.select(*(F.col(f"`{c}`").alias(name) for c, name in taken.items())))
+    left = left.where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "[\\t-\\r]", " ")) != ""))
+    return _counted(left.select(*(F.col(name).alias(c) for c, name in taken.items())), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without a word (null, empty or blank texts) are linked with nothing and stay, and so do
     rows without an id. Texts of any length are compared whole. Of rows that repeat an id that stays,
-    each different text stays once, with the least of its other columns; none is lost by chance. An
+    each different text stays once, with the least of its other columns by their JSON; none is lost by chance. An
     empty table gives no rows. Columns come back as they are.
     """
     kept = neardup.near_duplicates(docs.select("doc_id", "text"), WIDTH, PERCENT).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
@@ -69,11 +72,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     left = docs.join(storage.broadcast_if_small(kept.select("doc_id")), "doc_id", "left_semi")
     again = kept.where("_rows > 1").select("doc_id")
     if not again.isEmpty():
-        others = [c for c in docs.columns if c not in ("doc_id", "text")]
-        several = left.join(storage.broadcast_if_small(again), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_x"))
-        several = several.select(*(c if c in ("doc_id", "text") else F.col(f"_x.{c}") for c in docs.columns))
-        left = left.join(storage.broadcast_if_small(again), "doc_id", "left_anti").select(*docs.columns).union(several)
-    return left.select(*docs.columns).union(docs.where("doc_id is null"))
+        # The other columns travel as one value under names of their own; as JSON they have an order, maps too.
+        others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+        held = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(name) for c, name in others.items()))
+        several = left.join(storage.broadcast_if_small(again), "doc_id", "left_semi").select("doc_id", "text", held.alias("x"))
+        several = several.groupBy("doc_id", "text").agg(F.min_by("x", F.to_json("x", {"ignoreNullFields": "false"})).alias("x"))
+        several = several.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"x.{others[c]}").alias(c) for c in docs.columns))
+        left = left.join(storage.broadcast_if_small(again), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).union(several)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return left.select(*names).union(docs.where("doc_id is null").select(*names))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from parley.sources.shipping import ship
 
 BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch, about: long texts make batches of fewer rows.
+BATCH_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -30,10 +32,11 @@ LOWER[65:91] += 32
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of an Arrow batch, where the session still has Spark's default: texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Rows and bytes of an Arrow batch, where the session still has Spark's defaults: texts are long."""
+    for key, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, str(ours))
 
 
 def give_back() -> None:

@@ -124,9 +124,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     Repeated rows count as one document and lose the same lines. Rows without an id count as one
     document, which is never the first: they lose all lines whose template recurs, and no passages.
     An empty table gives no rows. Columns that docs has already under the names n_lines or n_dropped
-    are replaced. Lines, leaves and rows are told apart by 64-bit hashes.
+    are replaced, columns of any other name come back. Lines, leaves and rows are told apart by 64-bit hashes.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    # The other columns travel under names of their own, so that none is taken for one of ours.
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    taken = {c: c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(kept)}
+    docs = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in taken.items()))
     lines = line_table(docs)
     each = lines.groupBy("template", "leaf", "size", "doc_id").agg(F.lit(1).alias("one"))
     exact = storage.written(each.groupBy("template", "leaf", "size").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")))
@@ -142,4 +145,4 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")),
         "n_dropped": F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")),
     }
-    return lost.withColumns(changed).select(*docs.columns, "n_lines", "n_dropped")
+    return lost.withColumns(changed).select(*(F.col(name).alias(c) for c, name in taken.items()), "n_lines", "n_dropped")

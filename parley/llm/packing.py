@@ -18,6 +18,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows of one task of a sorted table, about.
 TASK_ROWS = 20_000
+#: Ranges of a sorted table at most; beyond, a range holds more rows, of a few numbers each.
+MOST_PARTS = 4096
 #: Ratio of the lengths that are packed in one band of sweeps: fewer bands are fewer jobs.
 BAND = 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,8 +48,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
 
 def _sorted(rows: DataFrame, n: int, *order) -> DataFrame:
-    """The rows in order over range partitions of about TASK_ROWS rows; ``order`` must tell rows apart, so that no value is hot."""
-    return rows.repartitionByRange(max(1, -(-n // TASK_ROWS)), *order).sortWithinPartitions(*order)
+    """The rows in order over range partitions of TASK_ROWS rows, or over MOST_PARTS larger ones; ``order`` must tell rows apart, so that no value is hot."""
+    return rows.repartitionByRange(max(1, min(MOST_PARTS, -(-n // TASK_ROWS))), *order).sortWithinPartitions(*order)
 
 
 def numbered(rows: DataFrame, n: int, order: list, name: str) -> DataFrame:
@@ -199,11 +201,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ``fill``; those that fit nowhere go into the next round. All sorting and matching is done by range
     partitions of pieces and gaps; the driver sees counts alone, one for each length, each range or
     each band. Lengths must be from 1 to ``capacity``. Repeated rows are placed one by one;
-    no rows give none. Columns named _part, _place or _base must not be there.
+    no rows give none. Other columns come back, whatever their names. What the driver holds of a
+    sweep, and what is broadcast, has a row or two for each of MOST_PARTS ranges at most.
     """
     spark = pieces.sparkSession
+    # Columns travel under names of their own.
+    taken = {c: f"c{i}" for i, c in enumerate(pieces.columns)}
+    back = [F.col(name).alias(c) for c, name in taken.items()]
+    pieces = pieces.select(*(F.col(f"`{c}`").alias(name) for c, name in taken.items()), "length")
     n = pieces.count()
-    order = [F.desc("length"), F.xxhash64("doc_id", "piece"), *(F.col(f"`{c}`") for c in pieces.columns), F.monotonically_increasing_id()]
+    plain = [name for c, name in taken.items() if pieces.schema[name].dataType.typeName() not in ("map", "variant")]
+    order = [F.desc("length"), F.xxhash64(taken["doc_id"], taken["piece"]), *plain, F.monotonically_increasing_id()]
     ranked = storage.written(numbered(pieces, n, order, "_rank"))
     left = ranked.select(F.col("_rank").alias("rank"), "length")
     placed: list[DataFrame] = []
@@ -225,10 +233,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         sequences, step = sequences + opening, step + 1 + len(found)
         left = storage.written(left)
     if not placed:
-        return ranked.select(*pieces.columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return ranked.select(*back, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     whole = functools.reduce(DataFrame.union, placed).select(F.col("rank").alias("_rank"), F.col("sequence").alias("sequence_id"), "step")
     before = Window.partitionBy("sequence_id").orderBy("step", "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    return ranked.join(whole, "_rank").select(*pieces.columns, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    return ranked.join(whole, "_rank").select(*back, "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -106,3 +106,23 @@ def test_documents(spark):
             wanted.append((i, k // packing.CAPACITY, k, len(part), kernels.crc(part.tobytes())))
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(wanted)
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_ranges_are_bounded_and_columns_of_any_name_come_back(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_ROWS", 3)
+    monkeypatch.setattr(packing, "MOST_PARTS", 5)
+    seen = []
+    before = packing.carried
+    monkeypatch.setattr(packing, "carried", lambda counts: seen.append(len(counts)) or before(counts))
+    rng = random.Random(4)
+    rows = [(i, 0, rng.randrange(1, 101), {"m": i}, i, "b", 7, 8, 9) for i in range(300)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, tags map<string,int>, _part long, _place string, _base int, _rank int, c0 int")
+    got = packing.pack(pieces, 100).collect()
+    assert max(seen) <= 5  # what the driver holds of a sweep
+    assert sorted((r.doc_id, r.length, r.tags["m"], r["_part"], r["_place"], r["_base"], r["_rank"], r.c0) for r in got) == sorted((i, n, t["m"], p, *rest) for i, _, n, t, p, *rest in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[-1][0] + spans[-1][1] <= 100
