@@ -7,6 +7,7 @@ and its longest text, not the partition.
 from __future__ import annotations
 
 import ctypes
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 512
 #: Bytes of an Arrow batch, about: long texts make batches of fewer rows.
 BATCH_BYTES = 4 << 20
+#: Arrays of so many bytes go back to the system one by one.
+MMAP_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -39,6 +42,20 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(ours))
 
 
+@functools.cache
+def keep_lean() -> None:
+    """Once a worker: large arrays go back to the system as they are freed, and Arrow takes its memory from the same place.
+
+    By default the C library raises the size from which it does so as it sees larger arrays, and each
+    thread and Arrow hold memory of their own; in workers that live on, these add up.
+    """
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        for option, value in ((-3, MMAP_BYTES), (-1, MMAP_BYTES), (-8, 2)):  # mmap threshold, trim threshold, arenas
+            libc.mallopt(option, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def give_back() -> None:
     """Returns memory that a finished task has freed to the system: Python workers live on, and their arenas add up."""
     pa.default_memory_pool().release_unused()
@@ -51,6 +68,7 @@ def tidy(function):
     """The same function over batches, with freed memory given back at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_lean()
         yield from function(batches)
         give_back()
 
