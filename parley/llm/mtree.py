@@ -21,8 +21,10 @@ LEVELS = 9
 ROUTED_ROWS, QUERY_ROWS = 16384, 512
 #: Pages that a query visits in a round: one until it has k rows, then this many times more each round.
 GROWTH = 8
-#: Relative slack of float bounds; scores themselves are whole numbers.
-SLACK = 1e-9
+#: Unit roundoff of doubles; scores themselves are whole numbers.
+ROUNDOFF = 2.0**-53
+#: Least and greatest score: one beyond is given as the nearer of them.
+LEAST, GREATEST = -(1 << 63) + 1, (1 << 63) - 1
 ROOT = 1
 
 
@@ -71,9 +73,16 @@ class Space:
         return np.column_stack((q, np.zeros(len(q))))
 
     def reach(self, squares: Column, kth: Column) -> Column:
-        """Distance from a query of that sum of squares within which all points of at least that score lie; infinite without one."""
+        """Distance from a query of that sum of squares within which all points of at least that score lie; infinite without one.
+
+        A squared distance, and what the further component adds to it, are wrong by at most
+        (4 width + 32) roundoffs of the squares that it is made of, and a root by no more than the root of
+        that. A bound is made of four such distances at most (to a router, its parent distance, its radius,
+        and this one), so five of those errors are added.
+        """
         whole = squares + self.norm**2
-        return F.when(kth.isNull(), float("inf")).otherwise(F.sqrt(F.greatest(whole - 2 * kth, F.lit(0.0))) + SLACK * F.sqrt(whole) + 1e-6)
+        error = F.sqrt((4 * self.width + 32) * ROUNDOFF * whole)
+        return F.when(kth.isNull(), float("inf")).otherwise(F.sqrt(F.greatest(whole - 2 * kth, F.lit(0.0))) + 5 * error + 1e-6)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,7 +95,8 @@ def scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     if np.abs(rows).max(initial=0) * np.abs(query).sum() < 2**53:
         return (rows @ query).astype(np.int64)
     q = [int(x) for x in query]
-    return np.array([sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in rows], np.int64)
+    whole = (sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in rows)
+    return np.array([min(max(x, LEAST), GREATEST) for x in whole], np.int64)
 
 
 def choose_routers(points: np.ndarray, most: int) -> np.ndarray:
@@ -196,7 +206,8 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, report: list[dict] |
 
     Takes vec_id and embedding; queries are the rows whose vec_id is divisible by ``every``, and all
     rows but those of the query's own id are candidates. Components become floor(1024 x) and the
-    score is the integer inner product (exact while it is under 2^63). Returns query_id, rank from 1,
+    score is the integer inner product, exact; one beyond 64 bits is given, and ranked, as the nearest
+    64-bit number. Returns query_id, rank from 1,
     vec_id and score, ties to the smaller vec_id; fewer rows where there are fewer candidates.
     Vectors that are null or hold null or non-finite components take no part; a shorter vector counts
     as filled up with 0. Repeated candidate rows count each; a repeated query row counts once. An
@@ -243,7 +254,8 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, report: list[dict] |
     best = storage.written(spark.createDataFrame([], "key long, vec_id long, score long, rank int"))
     turn, many = 0, 1
     while True:
-        kth = best.where(F.col("rank") == k).select("key", F.col("score").alias("kth"))
+        # Below the least score there may be others that count as equal.
+        kth = best.where((F.col("rank") == k) & (F.col("score") > LEAST)).select("key", F.col("score").alias("kth"))
         known = asking.join(kth, "key", "left").withColumn("reach", space.reach(F.col("squares"), F.col("kth")))
         live = queue.join(known.select("key", "reach"), "key").where(F.col("bound") <= F.col("reach")).drop("reach")
         place = F.row_number().over(Window.partitionBy("key").orderBy("bound", "d", "node"))
