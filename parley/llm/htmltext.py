@@ -20,10 +20,14 @@ from parley.llm import kernels as K
 TRAINING_PAGES, GENERATED_PAGES = 400, 400
 #: Fixed values of HTML: elements without content, elements whose content is no markup, elements that end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "select", "annotation-xml", "annotation", "canvas", "audio", "video")
+RAW = ("script", "style", "iframe", "title", "svg", "annotation-xml", "annotation")
+#: Elements of other languages: these alone can end in their own tag, with ``/>``.
+FOREIGN = frozenset(("svg", "annotation-xml", "annotation"))
+#: Elements that a head may hold; any other ends it.
+IN_HEAD = frozenset("head title base link meta style script noscript template".split())
 BREAKING = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements, and words of class, id and role, that the classifier has features for; none of them decides alone.
-AGAINST = frozenset("nav footer aside menu button dialog".split())
+AGAINST = frozenset("nav footer aside menu button dialog select textarea".split())
 AGAINST_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted related search share sharing sidebar social sponsor sponsored subscribe tags toolbar widget".split())
 COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
 FOR = frozenset("article main".split())
@@ -34,18 +38,20 @@ NEUTRAL_WORDS = frozenset("area author bar block bottom box button buttons col c
 SMOOTHNESS, LIMIT = (0.25, 0.5, 1.0, 1.5, 2.0), 8.0
 PENALTY = 1e-5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</[^>]*>|<[a-zA-Z/][^<>]*\Z", re.S | re.I)
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRS + r")>|</[^>]*>|<[a-zA-Z/][^<>]*\Z", re.S)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 #: A class that says what a page has or lacks, not what the element is.
 _ABOUT = re.compile(r"(?:has|have|with|no|without|show|hide)[-_]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _CLOSES_P = BREAKING - frozenset("br option button".split())
 
 #: What an element says of what is below it.
-HARD, MARKED, PARTIAL, COMMENTS, CONTENT_TAG, CONTENT_WORD, HEADER = (1 << k for k in range(7))
-FEATURES = ("bias", "words", "log_words", "link_share", "sentence", "paragraph", "item", "heading", "hard", "marked", "partial", "comments", "content_tag", "content_word", "header", "outside_content")
+HARD, MARKED, PARTIAL, COMMENTS, CONTENT_TAG, CONTENT_WORD, HEADER, HIDDEN = (1 << k for k in range(8))
+FEATURES = ("bias", "words", "log_words", "link_share", "sentence", "paragraph", "item", "heading", "hard", "marked", "partial", "comments", "content_tag", "content_word", "header", "hidden", "outside_content", "plain")
 SHAPE = 8
 
 
@@ -78,28 +84,43 @@ def _class_marks(value: str) -> int:
     return CONTENT_WORD if words & FOR_WORDS and words <= FOR_WORDS | NEUTRAL_WORDS else 0
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Attributes of a tag by name, in lower case; of repeated ones the first; one without a value has ''."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(source):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
 def _marks(name: str, attrs: str, in_content: bool) -> int:
-    found = HARD if name in AGAINST else HEADER if name == "header" and not in_content else MARKED if name == "form" else CONTENT_TAG if name in FOR else 0
-    if attrs and name not in ("html", "body"):
-        for m in _MARK.finditer(attrs):
-            for value in (m[1] or m[2] or m[3] or "").split():
+    found = HARD if name in AGAINST else HEADER if name == "header" and not in_content else MARKED if name == "form" else CONTENT_TAG if name in FOR else HIDDEN if name == "template" else 0
+    if attrs.strip(" /\t\n") and name not in ("html", "body"):
+        given = attributes(attrs)
+        for key in ("class", "id", "role"):
+            for value in given.get(key, "").split():
                 found |= _class_marks(value)
+        if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _NOT_SHOWN.search(given.get("style", "")):
+            found |= HIDDEN
     return found
 
 
 def parse(source: str) -> Page:
-    """Blocks of a page; character references are decoded and white space is one space. Linear in the page."""
+    """Blocks of a page; character references are decoded and white space is one space.
+
+    Scripts, styles, drawings and the title are no text; all else comes back, hidden or not, for the cut to decide.
+    """
     page = Page()
-    # An open element: name, number, links open, whether its text shows, number and name of the
-    # nearest element that ends blocks, whether an article or main is around.
-    stack: list[tuple[str, int, int, bool, int, str, bool]] = [("", 0, 0, True, 0, "", False)]
+    # An open element: name, number, links open, number and name of the nearest element that ends
+    # blocks, whether an article or main is around.
+    stack: list[tuple[str, int, int, int, str, bool]] = [("", 0, 0, 0, "", False)]
     places: dict[str, list[int]] = {}
     parts: list[str] = []
-    linked, where, shown, at = 0, (0, ""), True, 0
+    linked, where, at = 0, (0, ""), 0
+    unended: set[str] = set()  # elements that do not end on the rest of the page, so that it is searched once
 
     def flush() -> None:
-        nonlocal linked, where, shown
-        if parts and shown:
+        nonlocal linked, where
+        if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 page.texts.append(text)
@@ -108,7 +129,7 @@ def parse(source: str) -> Page:
                 page.names.append(where[1])
         parts.clear()
         top = stack[-1]
-        linked, where, shown = 0, (top[4], top[5]), top[3]
+        linked, where = 0, (top[3], top[4])
 
     def close(depth: int) -> bool:
         broken = False
@@ -120,12 +141,18 @@ def parse(source: str) -> Page:
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and stack[-1][3]:
+        if text:
+            if stack[-1][0] == "head" and text.strip():
+                leave_head()
             parts.append(text)
             if stack[-1][2]:
                 linked += len(text)
 
-    for token in _TOKEN.finditer(source):
+    def leave_head() -> None:
+        close(places["head"][-1])
+        flush()
+
+    while token := _TOKEN.search(source, at):
         add(source[at : token.start()])
         at = token.end()
         name = token["name"]
@@ -136,21 +163,32 @@ def parse(source: str) -> Page:
             if places.get(name) and close(places[name][-1]):
                 flush()
             continue
-        if name in _CLOSES_P and stack[-1][5] == "p":
+        attrs = token["attrs"]
+        if name in _ENDS:
+            # What is inside is no text of the page. Without an end a script or style goes on to the
+            # end of the page; of the others the tag alone is passed over.
+            closed = name in unended or name in FOREIGN and attrs.endswith("/")
+            ends = None if closed else _ENDS[name].search(source, at)
+            if ends:
+                at = ends.end()
+            elif not closed:
+                unended.add(name)
+                at = len(source) if name in ("script", "style") else at
+            continue
+        if places.get("head") and name not in IN_HEAD:
+            leave_head()
+        if name in _CLOSES_P and stack[-1][4] == "p":
             close(places["p"][-1])
         if name not in VOID:
-            _, parent, links, shows, near, near_name, in_content = stack[-1]
-            attrs = token["attrs"]
+            _, parent, links, near, near_name, in_content = stack[-1]
             number = len(page.parents)
             mark = _marks(name, attrs, in_content)
             page.parents.append(parent)
             page.marks.append(mark)
-            if name == "head" or attrs and _HIDDEN.search(attrs):
-                shows = False
             if name in BREAKING:
                 near, near_name = number, name
             places.setdefault(name, []).append(len(stack))
-            stack.append((name, number, links + (name == "a"), shows, near, near_name, in_content or bool(mark & CONTENT_TAG)))
+            stack.append((name, number, links + (name == "a"), near, near_name, in_content or bool(mark & CONTENT_TAG)))
         if name in BREAKING:
             flush()
     add(source[at:])
@@ -200,9 +238,11 @@ def describe(page: Page) -> np.ndarray:
     rows[:, 6] = [name in ("li", "td", "a") for name in page.names]
     rows[:, 7] = [name[:1] == "h" and name[1:].isdigit() for name in page.names]
     marks = surroundings(page)
-    for k, mark in enumerate((HARD, MARKED, PARTIAL, COMMENTS, CONTENT_TAG, CONTENT_WORD, HEADER)):
+    for k, mark in enumerate((HARD, MARKED, PARTIAL, COMMENTS, CONTENT_TAG, CONTENT_WORD, HEADER, HIDDEN)):
         rows[:, SHAPE + k] = marks & mark > 0
-    rows[:, SHAPE + 7] = (rows[:, SHAPE + 4] == 0) & bool(rows[:, SHAPE + 4].any())
+    # A page without a link or anything that says what it is.
+    rows[:, SHAPE + 9] = not any(page.marks) and not any(page.linked)
+    rows[:, SHAPE + 8] = (rows[:, SHAPE + 4] == 0) & bool(rows[:, SHAPE + 4].any())
     return rows
 
 
@@ -335,6 +375,7 @@ def main_text(source: str, model: Model) -> str:
 def labelled_pages(n: int, seed: int = 3, marked: bool = True) -> Iterator[tuple[str, frozenset[str]]]:
     """``n`` pages made by rule, each with the texts of its content blocks.
 
+    A few are their article alone.
     A page has an article of headings, paragraphs, lists and inner boxes, and around and inside it
     some of: menu, header, advert, sidebar, comments, notice, form and footer. Each part carries
     its HTML element, a class that names it, a class that misleads or none; with ``marked`` false
@@ -402,6 +443,10 @@ def labelled_pages(n: int, seed: int = 3, marked: bool = True) -> Iterator[tuple
                 return f'<div class="{pick("share", "share-buttons", "social-links", "related", "related-posts", "tags", "newsletter-box")}">{pick(links(2, 5), f"<p>{prose(3, 12, pick(str(), chr(46)))}</p>")}</div>'
             return f"<{(e := pick('aside', 'form', 'nav', 'footer'))}>{pick(links(1, 4), f'<p>{prose(3, 20, chr(46))}</p>')}</{e}>"
 
+        if marked and chance(0.08):  # a page that is its article, without a word of markup about it
+            only = [own(prose(8, 60, ".")) for _ in range(int(rng.integers(1, 4)))]
+            yield pick("%s", "<html><body>%s</body></html>", "<p>%s</p>", "<noscript><p>%s</p></noscript>", "<object><p>%s</p></object>") % pick("</p><p>", "<p>").join(only), frozenset(content)
+            continue
         head = f"<h1>{own(prose(3, 9))}</h1>"
         if chance(0.3):
             head = f"<header>{head}<p>{own(prose(2, 8))}</p></header>" if marked else head
@@ -430,6 +475,9 @@ def labelled_pages(n: int, seed: int = 3, marked: bool = True) -> Iterator[tuple
             after.append(box(f"<label>{prose(1, 2)}</label>", "form", "search", "subscribe", "newsletter"))
         if chance(0.8):
             after.append(box(f"&copy; {prose(1, 4, pick('', '.'))}" + (links(1, 4) if chance(0.5) else ""), "footer", "footer", "site-footer", "copyright"))
+        if marked and chance(0.3):  # what is not shown: a dialog or a notice around the article
+            unseen = pick("<div hidden>%s</div>", '<div style="display: none">%s</div>', '<div aria-hidden="true">%s</div>', "<template>%s</template>")
+            pick(before, after).append(unseen % f"<h2>{prose(1, 3)}</h2><p>{prose(4, 25, '.')}</p>")
         body = "".join(before) + article + "".join(after)
         if marked and chance(0.3):
             body = f'<div class="{pick("has-sidebar", "menu-open", "search-page", "with-comments", "no-banner", "sidebar-left", "page")}">{body}</div>'
