@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from parley.sources.shipping import ship
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 BATCH_ROWS = 512
 #: Bytes of an Arrow batch, about: long texts make batches of fewer rows.
 BATCH_BYTES = 4 << 20
 #: Arrays of so many bytes go back to the system one by one.
-MMAP_BYTES = 1 << 20
+MMAP_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
