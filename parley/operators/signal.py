@@ -195,9 +195,9 @@ def lag_correlation(a: DataFrame, b: DataFrame, keys: list[str], most: int, bloc
     flat = lambda square, plain: spread(square, plain) <= F.col(square) / n * 1e-11 + 1e-300
     value = (F.col("svw") / n - F.col("sv") / n * F.col("sw") / n) / F.sqrt(spread("svv", "sv") * spread("sww", "sw"))
     corr = F.when((n < 2) | flat("svv", "sv") | flat("sww", "sw"), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
-    found = total.select(*keys, "lag", n.cast("long").alias("pairs"), F.round(corr, 9).alias("corr"))
+    found = total.select(*keys, "lag", n.cast("long").alias("pairs"), corr.alias("corr"))
     # One row a key: the lags of a key are few, and the best is an aggregate.
-    best = found.groupBy(*keys).agg(F.min_by("lag", F.struct((-F.col("corr")).alias("c"), "lag")).alias("_best"), F.max("corr").alias("_top"))
+    best = found.groupBy(*keys).agg(F.min_by("lag", F.struct((-F.round("corr", 9)).alias("c"), "lag")).alias("_best"), F.max(F.round("corr", 9)).alias("_top"))
     joined = found.join(best, keys) if keys else found.crossJoin(F.broadcast(best))  # one row without keys
     return joined.select(*keys, "lag", "pairs", "corr", ((F.col("lag") == F.col("_best")) & (F.col("_top") > 0)).alias("best"))
 
