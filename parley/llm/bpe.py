@@ -183,7 +183,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per text the number of ids and the SHA-256 of its ids and of its decoded bytes.
 
-    The same encoder and decoder as ``encode_decode``; ids and bytes stay inside the task.
+    The same encoder and decoder as ``encode_decode``; ids and bytes stay inside the task. A null text
+    counts as empty: no ids, and the hash of nothing. Long texts are encoded whole; of pairs of equal
+    rank the leftmost merges first. Repeated rows and ids give a row each, a null id keeps its null;
+    an empty table gives no rows, and columns other than doc_id and text are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ from parley.llm import kernels as K
 #: Labelled findings that the forest learns from, and the score from which a candidate is a secret.
 FINDINGS, THRESHOLD = 3000, 0.5
 REPLACEMENT = "[SECRET]"
+#: Characters on either side of a candidate that its neighbouring words are taken from.
 CONTEXT = 48
 #: Words that name a secret, words that name something else, and a small dictionary.
 KEY_WORDS = frozenset("access api apikey auth authorization aws bearer client credential credentials key passphrase passwd password private pwd secret session sk token".split())
@@ -66,7 +67,11 @@ def coverage(value: str) -> float:
 
 
 def describe(value: str, before: str, after: str, path: str) -> list[float]:
-    """Features of a candidate: its characters, the path it is found in and the words around it."""
+    """Features of a candidate: its characters, the path it is found in and the words around it.
+
+    The words around it are the last three before it and those that begin in the 24 characters
+    before it, and the first four after it; ``before`` and ``after`` are CONTEXT characters at most.
+    """
     n = len(value)
     classes = [_class(c) for c in value]
     many = Counter(value)
@@ -115,8 +120,10 @@ def key_blocks(text: str) -> list[tuple[int, int]]:
 def candidates(text: str) -> Iterator[tuple[int, str, str, str]]:
     """Start, value, and the text before and after, of each candidate.
 
-    Candidates are private keys, assigned values, and runs of 16 characters or more that have a
-    digit or a known prefix. They come by start, each span once; those of different kinds may overlap.
+    Candidates are private keys, assigned values of 8 characters or more, and runs of 16 characters
+    or more that have a digit or a known prefix: what is shorter is no candidate, as words and
+    numbers of that length are everywhere. Values of any length are taken whole. They come by start,
+    each span once; those of different kinds may overlap.
     """
     blocks = key_blocks(text)
     spans = set(blocks)
@@ -253,8 +260,9 @@ def scan(docs: DataFrame, model: forest.Forest | None = None) -> DataFrame:
 
     Returns doc_id, start (characters before it), value, score and is_secret, which is
     score >= THRESHOLD. ``source``, if docs has it, is the path that a text was found in. A null or
-    empty text has no candidates. Repeated rows give their candidates each; an empty table gives
-    no rows; other columns are not read.
+    empty text has no candidates, a very long one is scanned whole. Repeated rows give their
+    candidates each, and a null id keeps its null; a score of exactly THRESHOLD is a secret. An empty
+    table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
 
@@ -270,7 +278,12 @@ def scan(docs: DataFrame, model: forest.Forest | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: forest.Forest | None = None) -> DataFrame:
-    """docs with every secret in ``text`` replaced by REPLACEMENT; rows and other columns stay as they are."""
+    """docs with every secret in ``text`` replaced by REPLACEMENT; rows and other columns stay as they are.
+
+    Secrets are the candidates that ``scan`` marks; those that overlap are replaced as one, those that
+    touch one by one. Null and empty texts stay as they are, very long ones are searched whole. A null
+    ``source`` is an empty path. Repeated rows change alike, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     names = docs.columns
     at = names.index("text")

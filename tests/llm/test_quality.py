@@ -1,7 +1,13 @@
 import re
 from collections import Counter
+from pathlib import Path
 
-from parley.llm import quality
+import pyarrow.parquet as pq
+import pytest
+
+from parley.llm import quality, queries
+
+SMALL = "/root/testdata/sf0.01"
 
 SCHEMA = "doc_id long, text string, kept string, n_words string"
 
@@ -45,3 +51,26 @@ def test_the_verdict_does_not_depend_on_the_order(spark):
 def test_rules_come_by_new_rejections_per_second():
     sample = [(0b011, 10, [1.0, 1.0, 0.1]), (0b001, 2, [1.0, 1.0, 0.1]), (0b100, 3, [0.0, 0.0, 0.1]), (0, 50, [0.0, 0.0, 0.0])]
     assert quality.rule_order(sample, 3) == [2, 0, 1]
+
+
+def verdict(text, counts):
+    """Whether a text passes the base rule and every other one, by plain counts of its own."""
+    text = text or ""
+    words, chars, symbols, twice, repeated = counts
+    lines = text.split("\n")
+    upper, digits = len(re.findall("[A-Z]", text)), len(re.findall("[0-9]", text))
+    letters = sum(c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" or ord(c) > 127 for c in text)
+    bad = [words < 50 or 100 * repeated > 50 * words, 10 * symbols > words, 2 * twice > len(lines), not 2 * words <= chars <= 15 * words, 2 * upper > chars, 2 * letters < chars, 4 * digits > chars]
+    return bad[0], not any(bad)
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the given tables")
+def test_query_against_plain_rules(spark):
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    got = queries.op7_quality_cascade(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        counts = brute(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
+        assert (r.base_failed, r.kept) == verdict(docs[r.doc_id], counts), r.doc_id
+    assert {r.kept for r in got} == {True, False}

@@ -1,8 +1,14 @@
 import base64
+import string
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
-from parley.llm import forest, secretscan
+from parley.llm import forest, queries, secretscan
+
+SMALL = "/root/testdata/sf0.01"
 
 HEX = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
 
@@ -95,3 +101,66 @@ def test_long_values_and_keys_leave_nothing_behind(spark):
     assert left[1] == 'a token: "[SECRET]" b' and left[2] == "a DB_PASSWORD=[SECRET] b"
     assert left[3] == left[4] == "a [SECRET] b" and left[5].split() == "a [SECRET] b c [SECRET] b".split()
     assert "x'Q7#k2!mZ9" in [c[1] for c in secretscan.candidates("a password: \"x'Q7#k2!mZ9\" b")]
+
+
+INNER = set(string.ascii_letters + string.digits + "+/_.-")
+
+
+def plain_runs(text):
+    """Start and value of long runs, character by character."""
+    i = 0
+    while i < len(text):
+        if text[i] not in INNER or (i and text[i - 1] in INNER - {"."}):
+            i += 1
+            continue
+        end = i
+        while end < len(text) and text[end] in INNER:
+            end += 1
+        if end - i < 16:
+            i = end
+            continue
+        value, padding = text[i:end], text[end : end + 2]
+        for tail in ("==", "="):
+            after = text[end + len(tail) : end + len(tail) + 1]
+            if padding.startswith(tail) and not (after and (after in INNER - {"."} or after == "=")):
+                value += tail
+                break
+        if any(c.isdigit() and c.isascii() for c in value) or value.startswith(("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxr-", "xoxs-", "xoxp-", "sk-", "sk_live_", "rk_live_", "AIza", "ya29", "eyJ", "npm_", "SG.", "hf_")):
+            short = value.rstrip(".-/")
+            yield i, short if len(short) >= 8 else value
+        i = end
+    return
+
+
+def walked(model, row):
+    """Score of one row, tree by tree."""
+    total = 0.0
+    for root in model.roots:
+        at = int(root)
+        while model.feature[at] >= 0:
+            at = int(model.left[at] if row[model.feature[at]] <= model.threshold[at] else model.right[at])
+        total += model.share[at]
+    return total / len(model.roots)
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the given tables")
+def test_query_against_a_plain_version(spark):
+    """Runs by a loop over characters, assigned values and key blocks by their own patterns, trees walked one by one."""
+    model, want = secretscan.trained(), {}
+    for doc in pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text", "source"]).to_pylist():
+        text = doc["text"] or ""
+        blocks = secretscan.key_blocks(text)
+        found = {(i, v) for i, v in plain_runs(text) if not any(a <= i < b for a, b in blocks)} | {(a, text[a:b]) for a, b in blocks}
+        for m in secretscan._ASSIGNED.finditer(text):
+            start, value = m.start("value"), m["value"]
+            if text[start - 1] not in "\"'":
+                value = value[: max(8, len(value.rstrip(".,;:)]}>")))]
+            found.add((start, value))
+        for start, value in found:
+            end = start + len(value)
+            row = secretscan.describe(value, text[max(0, start - secretscan.CONTEXT) : start], text[end : end + secretscan.CONTEXT], doc["source"] or "")
+            want[doc["doc_id"], start, value] = walked(model, row)
+    got = {(r.doc_id, r.start, r.value): r for r in queries.op2_secret_scan(spark, SMALL).collect()}
+    assert set(got) == set(want) and want
+    assert all(abs(r.score - want[k]) < 1e-9 and r.is_secret == (r.score >= secretscan.THRESHOLD) for k, r in got.items())
+    assert {r.is_secret for r in got.values()} == {True, False}
