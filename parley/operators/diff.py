@@ -22,25 +22,36 @@ def _codes(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
     known: dict[str, int] = {}
 
     def code(word: str, none: int) -> int:
-        bare = _EDGE.sub("", word).lower()
+        bare = (word if word.isalnum() else _EDGE.sub("", word)).lower()
         return known.setdefault(bare, len(known)) if bare else none
 
     return np.array([code(w, -1) for w in left], np.int64), np.array([code(w, -2) for w in right], np.int64)
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a from i on and b from j on, at (i, j); a row of arrays for each of the shorter side."""
+    if len(a) > len(b):
+        return _common(b, a).T
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int16)
+    for i in range(len(a) - 1, -1, -1):
+        row = np.where(b == a[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    return best
+
+
 def _spans(left: list[str], right: list[str], a: np.ndarray, b: np.ndarray) -> list[tuple[str, str]]:
     """(op, word) from the longest common subsequence of the codes; where both ways are as long, a word is removed first."""
     n, m = len(left), len(right)
-    best = np.zeros((n + 1, m + 1), np.int16)
-    for i in range(n - 1, -1, -1):
-        row = np.where(b == a[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    # Words that the other side does not have are in no common subsequence.
+    here, there = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+    best = _common(a[here], b[there]).tolist()
+    down, across = np.searchsorted(here, np.arange(n + 1)).tolist(), np.searchsorted(there, np.arange(m + 1)).tolist()
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
             out.append(("equal", right[j]))
             i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1, j] >= best[i, j + 1]):
+        elif i < n and (j == m or best[down[i + 1]][across[j]] >= best[down[i]][across[j + 1]]):
             out.append(("removed", left[i]))
             i += 1
         else:

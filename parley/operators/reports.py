@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import scalars
 from parley.operators import ordered
+from parley.sources import shared
 
 BLURRED = 0.15
 
@@ -49,27 +52,36 @@ def gap_verdict(real: DataFrame, control: DataFrame, keys: list[str] | None = No
 def greedy_assignment(cells: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one pairs of speaker and cluster: cells by ms, then speaker, then cluster; taken if both are free.
 
-    Each group (a meeting's speakers by clusters) is one small table of a Python task, as each
-    choice depends on those before it.
+    Cells come sorted as a stream, so that a task holds the speakers and clusters taken so far in one
+    meeting, as each choice depends on those before it, and no meeting as a whole.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in (*keys, "speaker_id", "cluster", "ms"))
-    names = [f.name for f in cells.schema.fields if f.name in (*keys, "speaker_id", "cluster", "ms")]
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["ms", "speaker_id", "cluster"], ascending=[False, True, True])
-        people, clusters, rows = set(), set(), []
-        for i, who, which in zip(ordered.index, ordered["speaker_id"], ordered["cluster"], strict=True):
-            if who not in people and which not in clusters:
-                people.add(who)
-                clusters.add(which)
-                rows.append(i)
-        return ordered.loc[rows, names]
-
-    return cells.where("ms > 0").groupBy(*keys).applyInPandas(take, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    names = [*keys, "speaker_id", "cluster", "ms"]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, people, clusters = None, set(), set()
+        for batch in batches:
+            kept = []
+            key = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            for i, (at, who, which) in enumerate(zip(key, batch.column("speaker_id").to_pylist(), batch.column("cluster").to_pylist(), strict=True)):
+                if at != now:
+                    now, people, clusters = at, set(), set()
+                if who not in people and which not in clusters:
+                    people.add(who)
+                    clusters.add(which)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = cells.where("ms > 0").select(*names).repartition(*keys).sortWithinPartitions(*keys, F.desc("ms"), "speaker_id", "cluster")
+    return rows.mapInArrow(take, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
 def agreement(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Accuracy, wholeness and purity of clusters against labels, each 0 where there is nothing to divide by."""
+    """Accuracy, wholeness and purity of clusters against labels, each 0 where there is nothing to divide by.
+
+    ``cells`` is written once, as each of the four measures reads it: the join behind it runs once.
+    """
+    cells = shared.written(cells.select(*keys, "speaker_id", "cluster", "ms"))
     pairs = greedy_assignment(cells, keys).groupBy(*keys).agg(F.sum("ms").alias("paired"))
     of_person = cells.groupBy(*keys, "speaker_id").agg(F.max("ms").alias("best")).groupBy(*keys).agg(F.sum("best").alias("whole"))
     of_cluster = cells.groupBy(*keys, "cluster").agg(F.max("ms").alias("best")).groupBy(*keys).agg(F.sum("best").alias("pure"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import scalars as S
 from parley.functions import text as T
 from parley.operators import audio, briefs, diff, edits, flows, glossary, intervals, maintenance, ordered, reports, search, signal, transcripts, vectors
-from parley.plans.register import CENTROID, SQL, TOKENS, WORDS, query, report_sql, twins_sql
+from parley.plans.register import CENTROID, SQL, TOKENS, WORDS, agreement_sql, query, report_sql, twins_sql
 from parley.sources import carriers as C
 from parley.sources.shared import new_path
 from parley.sources.stored import StoredTable
@@ -230,7 +230,9 @@ def _a33(spark, sf_dir):
     return reports.two_sided_errors(windows, [0.2, 0.4, 0.6, 0.8]).select("threshold", F.round("owner_eaten", 9).alias("owner_eaten"), F.round("others_missed", 9).alias("others_missed"))
 
 
-@query("a35_cluster_sweep")
+@query("a35_cluster_sweep", agreement_sql(f"""
+    SELECT a.meeting_id, parts, a.speaker_id, b.idx % parts AS cluster, sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms))::BIGINT AS ms
+    FROM ({C.SEGMENTS_SQL}) a JOIN ({C.SEGMENTS_SQL}) b ON a.meeting_id = b.meeting_id AND a.speaker_id <> '' AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms, (VALUES (2), (3), (4)) AS v(parts) GROUP BY ALL""", "meeting_id, parts"))
 def _a35(spark, sf_dir):
     rows = C.segments(spark, sf_dir).withColumn("parts", F.explode(F.array(*map(F.lit, (2, 3, 4)))))
     cells = intervals.overlap_matrix(rows.where("speaker_id <> ''"), rows.withColumn("cluster", F.col("idx") % F.col("parts")), ["meeting_id", "parts"])

@@ -57,3 +57,27 @@ def report_sql(segments: str, threshold: float) -> str:
     whole AS (SELECT meeting_id, count(*) AS segments, count(*) FILTER (channel = 'mic') AS mic_total, count(*) FILTER (channel = 'system') AS system_total FROM ({segments}) GROUP BY 1),
     report AS (SELECT meeting_id, segments, mic_total, system_total, coalesce(paired, 0) AS paired, coalesce(collapsed, 0) AS collapsed, coalesce(kept_short, 0) AS kept_short,
                       mic_total - coalesce(paired, 0) AS lonely_mic, segments - coalesce(collapsed, 0) AS kept FROM whole LEFT JOIN found USING (meeting_id))"""
+
+
+def greedy_sql(cells: str, keys: str) -> str:
+    """CTEs c (the cells), o (them in order) and g (a step a cell, with what is taken so far) of the greedy assignment."""
+    free = "NOT list_contains(g.people, o.speaker_id) AND NOT list_contains(g.clusters, o.cluster)"
+    return f"""
+    WITH RECURSIVE c AS ({cells}),
+         o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ms DESC, speaker_id, cluster) AS i FROM c WHERE ms > 0),
+         g AS (SELECT DISTINCT ON ({keys}) {keys}, speaker_id, cluster, ms, 0::BIGINT AS i, false AS taken, [speaker_id][:0] AS people, [cluster][:0] AS clusters FROM o
+               UNION ALL
+               SELECT {keys}, o.speaker_id, o.cluster, o.ms, o.i, {free}, CASE WHEN {free} THEN list_append(g.people, o.speaker_id) ELSE g.people END,
+                      CASE WHEN {free} THEN list_append(g.clusters, o.cluster) ELSE g.clusters END
+               FROM g JOIN o USING ({keys}) WHERE o.i = g.i + 1)"""
+
+
+def agreement_sql(cells: str, keys: str) -> str:
+    """Accuracy, wholeness and purity of the cells."""
+    return f"""{greedy_sql(cells, keys)},
+         p AS (SELECT {keys}, sum(ms) AS paired FROM g WHERE taken GROUP BY ALL), t AS (SELECT {keys}, sum(ms) AS ms FROM c GROUP BY ALL),
+         s AS (SELECT {keys}, sum(best) AS whole FROM (SELECT {keys}, speaker_id, max(ms) AS best FROM c GROUP BY ALL) GROUP BY ALL),
+         u AS (SELECT {keys}, sum(best) AS pure FROM (SELECT {keys}, cluster, max(ms) AS best FROM c GROUP BY ALL) GROUP BY ALL)
+    SELECT {keys}, CASE WHEN ms > 0 THEN coalesce(paired, 0)::DOUBLE / ms::DOUBLE ELSE 0 END AS accuracy, CASE WHEN ms > 0 THEN whole::DOUBLE / ms::DOUBLE ELSE 0 END AS wholeness,
+           CASE WHEN ms > 0 THEN pure::DOUBLE / ms::DOUBLE ELSE 0 END AS purity
+    FROM t JOIN s USING ({keys}) JOIN u USING ({keys}) LEFT JOIN p USING ({keys})"""

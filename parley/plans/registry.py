@@ -14,7 +14,7 @@ from parley.plans.register import QUERIES as _QUERIES
 from parley.plans.register import SQL as _SQL
 from parley.plans.register import TOKENS as _TOKENS
 from parley.plans.register import WORDS as _WORDS
-from parley.plans.register import Query
+from parley.plans.register import Query, agreement_sql, greedy_sql
 from parley.plans.register import query as _query
 from parley.plans.register import report_sql as _report_sql
 from parley.plans.register import twins_sql as _twins_sql
@@ -106,12 +106,12 @@ def _matrix(spark, sf_dir):
     return _matrix_rows(spark, sf_dir)
 
 
-@_query("j11_greedy_assignment")
+@_query("j11_greedy_assignment", f"{greedy_sql(_MATRIX, 'meeting_id')} SELECT meeting_id, speaker_id, cluster, ms FROM g WHERE taken")
 def _greedy(spark, sf_dir):
     return reports.greedy_assignment(_matrix_rows(spark, sf_dir), ["meeting_id"])
 
 
-@_query("a12_agreement")
+@_query("a12_agreement", agreement_sql(_MATRIX, "meeting_id"))
 def _agreement(spark, sf_dir):
     return reports.agreement(_matrix_rows(spark, sf_dir), ["meeting_id"])
 
