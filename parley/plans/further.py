@@ -94,6 +94,61 @@ def _s28(spark, sf_dir):
     return files.folder_bytes(spark, sf_dir, "*.parquet")
 
 
+@query("s28_audio_bytes", f"""
+    WITH c AS (SELECT session_id::VARCHAR AS s, concat(session_id, '/', channel) AS f, duration_ms * rate // 1000 * 2 AS bytes FROM ({C.CHUNKS_SQL}))
+    SELECT coalesce(f, s, '') AS folder, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM c GROUP BY GROUPING SETS ((), (s), (s, f))""")
+def _audio_bytes(spark, sf_dir):
+    """Bytes below every folder of the chunks' raw files: all, a session's, a channel's."""
+    from parley.sources import files
+
+    rows = C.chunks(spark, sf_dir).select(F.concat_ws("/", "session_id", "channel", F.concat("seq", F.lit(".raw"))).alias("path"), F.expr("duration_ms * rate div 1000 * 2").alias("bytes"))
+    return files.tree_bytes(rows)
+
+
+@query("s19_glossary_csv", f"""
+    WITH t AS (SELECT CASE WHEN id % 5 = 0 THEN concat('a "', surface, '", b') WHEN id % 11 = 0 THEN '' ELSE surface END AS surface, canonical, language, scope,
+                      CASE WHEN id % 7 <> 0 THEN meeting_id END::VARCHAR AS meeting_id FROM ({C.TERMS_SQL})),
+         g AS (SELECT *, surface <> '' AND (scope = 'global' OR meeting_id IS NOT NULL) AS good FROM t)
+    SELECT surface, canonical, language, scope, meeting_id, NULL::BIGINT AS skipped FROM g WHERE good
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, count(*) FROM g WHERE NOT good""")
+def _glossary_csv(spark, sf_dir):
+    """Terms with quotes and commas, and bad ones, written as CSV and read back: the good ones, and the number of bad ones."""
+    from parley.sources import files
+
+    number = F.col("id")
+    surface = F.when(number % 5 == 0, F.concat(F.lit('a "'), "surface", F.lit('", b'))).when(number % 11 == 0, "").otherwise(F.col("surface"))
+    path = new_path(spark)
+    files.write_glossary(C.terms(spark, sf_dir).withColumns({"surface": surface, "meeting_id": F.when(number % 7 != 0, F.col("meeting_id"))}), path)
+    good, skipped = files.glossary_csv(spark, path)
+    return good.withColumn("skipped", F.lit(None).cast("long")).unionByName(skipped, allowMissingColumns=True)
+
+
+@query("s22_diagnostics", f"""
+    SELECT ts_ms, kind, event_id % 1000 AS buffer_ms, concat('a "', kind, '"', chr(10), '{{b}} ', event_id) AS text FROM ({C.LEVELS_SQL}) WHERE kind IN ('click', 'purchase')""")
+def _diagnostics(spark, sf_dir):
+    """Events appended as JSON lines in two goes, broken lines between them, and read back by kind."""
+    from parley.sources import files
+
+    rows, path = C.levels(spark, sf_dir), new_path(spark)
+    made = rows.select("ts_ms", "kind", (F.col("event_id") % 1000).alias("buffer_ms"), F.concat(F.lit('a "'), "kind", F.lit('"\n{b} '), "event_id").alias("text"), "event_id")
+    files.append_diagnostics(made.where("event_id % 3 = 0"), path)
+    rows.where("event_id % 50 = 0").select(F.concat(F.lit('{"ts_ms": '), "event_id", F.lit(', "kind": "click')).alias("value")).write.mode("append").text(path)
+    files.append_diagnostics(made.where("event_id % 3 <> 0"), path)
+    return files.diagnostics(spark, path, ["click", "purchase"])
+
+
+@query("f13_power_log", f"""
+    SELECT round(avg(level), 6) AS mean, count(*) AS rows FROM ({C.LEVELS_SQL}) WHERE event_id % 10 <> 0""")
+def _power_log(spark, sf_dir):
+    """Levels as a text table, with a header line for every tenth event, and the mean of its second field."""
+    from parley.sources import files
+
+    path = new_path(spark)
+    line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("# sample "), "event_id")).otherwise(F.concat(F.lit("  "), "event_id", F.lit("   "), F.col("level").cast("string"), F.lit("  mW")))
+    C.levels(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return files.power_log(spark, path, 1).select(F.round("mean", 6).alias("mean"), "rows")
+
+
 @query("s30_replaced_partition", f"""
     WITH v AS ({C.VERSIONS_SQL}) SELECT meeting_id, version, body FROM v WHERE meeting_id % 2 = 1
     UNION ALL SELECT meeting_id, version, 'redone' FROM v WHERE meeting_id % 2 = 0 AND version = 1""")

@@ -67,6 +67,25 @@ def folder_bytes(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+def tree_bytes(files: DataFrame) -> DataFrame:
+    """Files and bytes below every folder of a listing (path, bytes), the root as the empty folder.
+
+    Files are summed by their own folder first, so that few rows are listed under the folders above it.
+    A null path is no file, null bytes are none.
+    """
+    own = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    direct = files.where("path is not null").groupBy(own.alias("own")).agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"))
+    parts = F.filter(F.split("own", "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return direct.select(F.explode(above).alias("folder"), "n", "size").groupBy("folder").agg(F.sum("n").alias("files"), F.sum("size").cast("long").alias("bytes"))
+
+
+def write_glossary(terms: DataFrame, path: str) -> None:
+    """Terms as CSV with the header that ``glossary_csv`` asks for; quotes inside fields are doubled."""
+    names = ("surface", "canonical", "language", "scope", "meeting_id")
+    terms.select(*names).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def power_log(spark: SparkSession, path: str, field: int) -> DataFrame:
     """mean of a numeric field of a text table's rows; rows that don't begin with a number are no data."""
     rows = spark.read.text(path).where(F.col("value").rlike("^\\s*[0-9]"))

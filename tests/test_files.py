@@ -86,3 +86,10 @@ def test_wav_files(spark, tmp_path):
     got = {r.path[-5]: r for r in files.wav(spark, str(tmp_path)).collect()}
     assert (got["a"].rate, got["a"].channels, got["a"].pcm) == (16000, 1, [1, -2, 300])
     assert got["b"].rate == 16000 and got["b"].pcm is None and got["c"].rate is None and got["c"].pcm is None
+
+
+def test_bytes_below_every_folder(spark):
+    rows = [("a/b/c.raw", 5), ("a/b/d.raw", None), ("a/e.raw", 7), ("f.raw", 1), (None, 9), ("a/b/c.raw", 5), ("/x//y.raw", 2)]
+    got = {r.folder: (r.files, r.bytes) for r in files.tree_bytes(spark.createDataFrame(rows, "path string, bytes long")).collect()}
+    assert got == {"": (6, 20), "a": (4, 17), "a/b": (3, 10), "x": (1, 2)}
+    assert files.tree_bytes(spark.createDataFrame([], "path string, bytes long")).count() == 0
