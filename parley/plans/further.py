@@ -603,11 +603,6 @@ def _g25(spark, sf_dir):
     return diff.live_against_final(rows, transcripts.assembled(rows.where("id % 4 = 1")))
 
 
-@query("g26_promoted_bodies")
-def _g26(spark, sf_dir):
-    return flows.promoted(C.segments(spark, sf_dir), C.edits(spark, sf_dir), "the", "THE")
-
-
 @query("g27_stored_finals", f"SELECT session_id AS meeting_id, coalesce(v, 0) + 1 AS version, body FROM ({SQL['g10_assembled']}) LEFT JOIN (SELECT meeting_id, max(version) AS v FROM ({C.VERSIONS_SQL}) GROUP BY 1) ON meeting_id = session_id")
 def _g27(spark, sf_dir):
     return flows.stored_finals(transcripts.assembled(C.captions(spark, sf_dir)).withColumnRenamed("session_id", "meeting_id"), C.versions(spark, sf_dir))

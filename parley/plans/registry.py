@@ -770,15 +770,26 @@ def _worded(text: str, surface: str, canonical: str) -> str:
     return f"replace({text}, chr(1), '{canonical}')"
 
 
-@_query("g8_bulk_edits", f"""
-    WITH e AS ({C.EDITS_SQL}), w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY meeting_id, channel, start_ms, end_ms ORDER BY created_at_ms DESC, id DESC) = 1),
-         n AS (SELECT *, {_worded('text', 'the', 'THE')} AS edited_text FROM ({C.SEGMENTS_SQL}))
-    SELECT meeting_id, channel, start_ms, edited_text FROM n WHERE edited_text <> text
-      AND NOT EXISTS (SELECT 1 FROM w WHERE w.meeting_id = n.meeting_id AND w.channel = n.channel AND w.start_ms = n.start_ms AND w.end_ms = n.end_ms AND w.origin = 'human')""")
+_BULK = f"""
+    e AS ({C.EDITS_SQL}), w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY meeting_id, channel, start_ms, end_ms ORDER BY created_at_ms DESC, id DESC) = 1),
+    put AS (SELECT *, {_worded('text', 'the', 'THE')} AS edited_text FROM ({C.SEGMENTS_SQL})),
+    bulk AS (SELECT meeting_id, channel, start_ms, end_ms, edited_text FROM put WHERE edited_text <> text
+      AND NOT EXISTS (SELECT 1 FROM w WHERE w.meeting_id = put.meeting_id AND w.channel = put.channel AND w.start_ms = put.start_ms AND w.end_ms = put.end_ms AND w.origin = 'human'))"""
+
+
+@_query("g8_bulk_edits", f"WITH {_BULK} SELECT meeting_id, channel, start_ms, edited_text FROM bulk")
 def _bulk(spark, sf_dir):
     return edits.bulk_edits(C.segments(spark, sf_dir), C.edits(spark, sf_dir), "the", "THE").select("meeting_id", "channel", "start_ms", "edited_text")
 
 
+_PROMOTED = f"SELECT s.* REPLACE (coalesce(edited_text, text) AS text) FROM ({C.SEGMENTS_SQL}) s LEFT JOIN bulk USING (meeting_id, channel, start_ms, end_ms) WHERE s.meeting_id IN (SELECT meeting_id FROM bulk)"
+
+
+@_query("g26_promoted_bodies", f"WITH {_BULK}, {_para(_PROMOTED)} SELECT meeting_id, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body FROM q GROUP BY 1")
+def _promoted_bodies(spark, sf_dir):
+    return flows.promoted(C.segments(spark, sf_dir), C.edits(spark, sf_dir), "the", "THE")
+
+
 @_query("g11_briefs", f"""{_PARA}, b AS (SELECT meeting_id, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body FROM q GROUP BY 1),
     c AS (SELECT meeting_id, list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM b)
     SELECT meeting_id, coalesce(p[1][1:280], '') AS summary, array_to_string(list_transform(list_filter(p, lambda x: contains(lower(x), 'the') OR contains(lower(x), 'que')), lambda x: concat('- ', x)), chr(10)) AS actions FROM c""")
