@@ -608,11 +608,6 @@ def _g27(spark, sf_dir):
     return flows.stored_finals(transcripts.assembled(C.captions(spark, sf_dir)).withColumnRenamed("session_id", "meeting_id"), C.versions(spark, sf_dir))
 
 
-@query("g28_rebuilt_bodies")
-def _g28(spark, sf_dir):
-    return flows.rebuilt(C.segments(spark, sf_dir), C.edits(spark, sf_dir), 0.5)
-
-
 @query("g29_named_segments", f"""
     WITH e AS ({C.EDITS_SQL}), w AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY meeting_id, channel, start_ms, end_ms ORDER BY created_at_ms DESC, id DESC) = 1)
     SELECT s.meeting_id, s.idx, coalesce(w.edited_text, s.text) AS text, CASE s.speaker_id WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Helper' ELSE '' END AS name

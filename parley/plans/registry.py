@@ -849,6 +849,23 @@ def _paced(spark, sf_dir):
 _UNDOUBLED = f"SELECT * FROM ({C.SEGMENTS_SQL}) s WHERE NOT EXISTS (SELECT 1 FROM twin t WHERE t.meeting_id = s.meeting_id AND t.idx = s.idx AND similarity >= 0.5 AND shorter >= 4)"
 
 
+_REBUILT = f"""
+    clip AS (SELECT * EXCLUDE (latest) REPLACE (greatest(start_ms, coalesce(latest, start_ms)) AS start_ms, greatest(end_ms, start_ms, coalesce(latest, start_ms)) AS end_ms)
+             FROM (SELECT *, max(greatest(start_ms, end_ms)) OVER (PARTITION BY meeting_id, channel ORDER BY start_ms, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM ({C.SEGMENTS_SQL}) WHERE trim(text) <> '')),
+    {_twins_sql("SELECT * FROM clip")},
+    fresh AS (SELECT * FROM clip s WHERE NOT EXISTS (SELECT 1 FROM twin t WHERE t.meeting_id = s.meeting_id AND t.idx = s.idx AND similarity >= 0.5 AND shorter >= 4)),
+    home AS (SELECT ed.id, ed.meeting_id, ed.created_at_ms, ed.edited_text, s.idx AS target_idx, least(ed.end_ms, s.end_ms) - greatest(ed.start_ms, s.start_ms) AS overlap
+             FROM ({C.EDITS_SQL}) ed JOIN fresh s ON ed.meeting_id = s.meeting_id AND ed.channel = s.channel AND trim(ed.original_text) <> '' AND contains(s.text, ed.original_text) AND least(ed.end_ms, s.end_ms) > greatest(ed.start_ms, s.start_ms)
+             QUALIFY row_number() OVER (PARTITION BY ed.id ORDER BY overlap DESC, target_idx) = 1),
+    placed AS (SELECT * FROM home QUALIFY row_number() OVER (PARTITION BY meeting_id, target_idx ORDER BY created_at_ms DESC, id DESC) = 1),
+    laid AS (SELECT s.* REPLACE (coalesce(placed.edited_text, s.text) AS text) FROM fresh s LEFT JOIN placed ON placed.meeting_id = s.meeting_id AND placed.target_idx = s.idx)"""
+
+
+@_query("g28_rebuilt_bodies", f"WITH {_REBUILT}, {_para('SELECT * FROM laid')} SELECT meeting_id, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body FROM q GROUP BY 1")
+def _rebuilt_bodies(spark, sf_dir):
+    return flows.rebuilt(C.segments(spark, sf_dir), C.edits(spark, sf_dir), 0.5)
+
+
 @_query("g18_collapsed_text", f"WITH {_TWINS}, {_para(_UNDOUBLED)} SELECT meeting_id, string_agg(body, chr(10) || chr(10) ORDER BY paragraph) AS body FROM q GROUP BY 1")
 def _collapsed_text(spark, sf_dir):
     return transcripts.rendered(transcripts.collapsed(C.segments(spark, sf_dir), 0.5))
