@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -17,18 +17,39 @@ HYSTERESIS = 1.5
 MAX_PENDING = 24
 
 
+def listed_once(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks (ts_ms, duration_ms, rate and seq) without copies of the same chunk, found side by side in ``chunk_islands``' order."""
+    order = _chunk_order(keys)
+    same = F.row_number().over(order) > 1
+    for column in ("ts_ms", "seq", "duration_ms", "rate"):
+        same &= F.lag(column).over(order).eqNullSafe(F.col(column))
+    return chunks.withColumn("_same", same).where(~F.col("_same")).drop("_same")
+
+
+def _chunk_order(keys: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("ts_ms", "seq", "duration_ms", "rate")
+
+
 def chunk_islands(chunks: DataFrame, keys: list[str], target_ms: int = 2000) -> DataFrame:
     """Contiguous chunks of one rate joined to chunks of about ``target_ms``.
 
     ``chunks`` has ts_ms, duration_ms, rate and seq. An island ends at a gap or a change of rate;
-    inside, a new piece begins with each ``target_ms``.
+    inside, a new piece begins with each ``target_ms``. A piece is a run in the order of time, so all
+    is read off running totals: one sort, and no table of pieces in memory.
     """
-    order = Window.partitionBy(*keys).orderBy("ts_ms", "seq")
-    breaks = F.lag("ts_ms").over(order).isNull() | (F.lag("ts_ms").over(order) + F.lag("duration_ms").over(order) != F.col("ts_ms")) | (F.lag("rate").over(order) != F.col("rate"))
-    rows = chunks.withColumn("_b", breaks.cast("int")).withColumn("island", F.sum("_b").over(order) - 1)
-    start = F.min("ts_ms").over(Window.partitionBy(*keys, "island"))
-    rows = rows.withColumn("piece", F.floor((F.col("ts_ms") - start) / target_ms))
-    return rows.groupBy(*keys, "island", "piece").agg(F.min("ts_ms").alias("ts_ms"), F.sum("duration_ms").alias("duration_ms"), F.first("rate").alias("rate"), F.count("*").alias("chunks"))
+    order = _chunk_order(keys)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = lambda c: F.lag(c).over(order)
+    breaks = before("ts_ms").isNull() | (before("ts_ms") + before("duration_ms") != F.col("ts_ms")) | (before("rate") != F.col("rate"))
+    rows = chunks.withColumn("_b", breaks).withColumns({"island": F.sum(F.col("_b").cast("int")).over(so_far) - 1, "_start": F.last(F.when(F.col("_b"), F.col("ts_ms")), ignorenulls=True).over(so_far)})
+    rows = rows.withColumn("piece", F.floor((F.col("ts_ms") - F.col("_start")) / target_ms))
+    rows = rows.withColumn("_new", F.coalesce((before("island") != F.col("island")) | (before("piece") != F.col("piece")), F.lit(True)))
+    totals = {"_ms": F.sum("duration_ms"), "_known": F.count("duration_ms"), "_n": F.count("*"), "_first": F.last(F.when(F.col("_new"), F.struct("ts_ms", "rate")), ignorenulls=True)}
+    rows = rows.withColumns({name: total.over(so_far) for name, total in totals.items()} | {"_last": F.coalesce(F.lead("_new").over(order), F.lit(True))})
+    # Among the last rows of the pieces, the row before has the totals up to the piece.
+    since = lambda c: F.col(c) - F.coalesce(before(c), F.lit(0))
+    ends = rows.where("_last").withColumns({"_k": since("_known"), "_d": since("_ms"), "chunks": since("_n")})
+    return ends.select(*keys, "island", "piece", "_first.ts_ms", F.when(F.col("_k") > 0, F.col("_d")).alias("duration_ms"), "_first.rate", "chunks")
 
 
 def speech_islands(frames: DataFrame, keys: list[str], frame_ms: int = 100, level: float = 200.0, close_after: int = 3) -> DataFrame:

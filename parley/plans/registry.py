@@ -276,7 +276,7 @@ def _clipped(spark, sf_dir):
          p AS (SELECT *, (ts_ms - min(ts_ms) OVER (PARTITION BY session_id, channel, island)) // 2000 AS piece FROM i)
     SELECT session_id, channel, island::BIGINT AS island, min(ts_ms)::INTEGER AS ts_ms, sum(duration_ms)::BIGINT AS duration_ms, count(*) AS chunks FROM p GROUP BY session_id, channel, island, piece""")
 def _chunk_islands(spark, sf_dir):
-    rows = C.chunks(spark, sf_dir).distinct().withColumn("seq", F.col("seq") * 1000 + F.col("duration_ms"))
+    rows = signal.listed_once(C.chunks(spark, sf_dir), ["session_id", "channel"])
     return signal.chunk_islands(rows, ["session_id", "channel"]).select("session_id", "channel", "island", "ts_ms", "duration_ms", "chunks")
 
 

@@ -171,3 +171,41 @@ def test_resampled_chunks_equal_the_whole_track(spark):
             full = np.array([(track * audio.kernel(np.arange(len(track)) - t, up, down, reach)).sum() for t in at])
             assert len(out) == len(full) and np.allclose(out, full, atol=1e-9), (name, rate)
             assert [m.first for m in mine] == [sum(len(x.pcm) for x in mine[:i]) for i in range(len(mine))]
+
+
+def islands(chunks):
+    """Pieces of one session's chunks (ts, duration, rate, seq), by a loop."""
+    out, before, island = [], None, -1
+    for ts, ms, rate, seq in sorted(chunks, key=lambda c: (c[0], c[3], c[1], c[2])):
+        if before is None or before[0] + before[1] != ts or before[2] != rate:
+            island, start = island + 1, ts
+        piece = (ts - start) // 2000
+        if out and out[-1][:2] == [island, piece]:
+            out[-1][3] += ms
+            out[-1][5] += 1
+        else:
+            out.append([island, piece, ts, ms, rate, 1])
+        before = ts, ms, rate
+    return [tuple(row) for row in out]
+
+
+def test_chunk_islands_against_a_loop_with_one_sort_and_no_table_of_pieces(spark):
+    rng = random.Random(8)
+    keys = {}
+    for k in ("a", "b", None):
+        ts = 0
+        for seq in range(200):
+            ms, rate = rng.choice((300, 500, 2500)), 16000 if rng.random() < 0.95 else 8000
+            keys.setdefault(k, []).append((ts, ms, rate, seq))
+            ts += ms + 10 * (rng.random() < 0.05)
+    keys["c"] = [(0, 500, 16000, 1)]
+    rows = [(k, *c) for k, chunks in keys.items() for c in chunks]
+    schema = "session string, ts_ms int, duration_ms int, rate int, seq int"
+    df = spark.createDataFrame(rows + rows[::3] + rows[::7], schema)
+    found = signal.chunk_islands(signal.listed_once(df, ["session"]), ["session"])
+    wanted = {(k, *piece) for k, chunks in keys.items() for piece in islands(chunks)}
+    assert found.count() == len(wanted) and {tuple(r) for r in found.collect()} == wanted
+    assert any(piece[2] > 0 for piece in wanted) and any(piece[6] > 1 for piece in wanted)
+    plan = signal.chunk_islands(signal.listed_once(df, ["session"]), ["session"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
+    assert signal.listed_once(spark.createDataFrame([("a", None, None, None, None)] * 2, schema), ["session"]).count() == 1
