@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
@@ -21,43 +23,63 @@ MOST_TERMS = 100_000
 _LETTER = re.compile(f"[{LETTERS}]")
 
 
-def token_counts(replies: DataFrame, keys: list[str]) -> DataFrame:
+def token_counts(replies: DataFrame, keys: list[str], examples: bool = True) -> DataFrame:
     """Each token of two characters or more by its lower-case form.
 
     ``replies`` has keys, start_ms, idx and text. Returns occurrences, the commonest spelling (ties
-    to the smallest) and the first two examples of distinct start in the order of the replies.
+    to the smallest) and, where ``examples`` are asked for, the first two of distinct start in the
+    order of the replies. Counting needs no text: only examples carry it, two for a token.
     """
-    rows = replies.select(*keys, "start_ms", "idx", "text", F.posexplode(T.tokens(F.col("text"))).alias("at", "token")).where(F.length("token") >= MIN_TOKEN)
-    rows = rows.withColumn("key", F.lower("token"))
-    spellings = rows.groupBy(*keys, "key", "token").agg(F.count("*").alias("n"))
-    named = spellings.groupBy(*keys, "key").agg(F.sum("n").alias("occurrences"), F.min_by("token", F.struct((-F.col("n")).alias("n"), "token")).alias("surface"))
-    firsts = rows.groupBy(*keys, "key", "start_ms").agg(F.min(F.struct("idx", "text")).alias("first"))
-    order = Window.partitionBy(*keys, "key").orderBy("first.idx", "start_ms")
+    rows = replies.select(*keys, F.explode(T.tokens(F.col("text"))).alias("token")).where(F.length("token") >= MIN_TOKEN)
+    spellings = rows.groupBy(*keys, "token").agg(F.count("*").alias("n")).withColumn("key", F.lower("token"))
+    counts = spellings.groupBy(*keys, "key").agg(F.sum("n").alias("occurrences"), F.min_by("token", F.struct((-F.col("n")).alias("n"), "token")).alias("surface"))
+    return _with_examples(counts, replies, keys) if examples else counts
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal keys where null equals null; without the right side's keys."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in keys})
+    return left.join(named, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys)), how).drop(*(f"_r_{c}" for c in keys))
+
+
+def _with_examples(counts: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
+    """``counts`` (keys, key) with the first two ``examples``, chosen by place; their texts are joined at the end."""
+    lowered = F.array_distinct(F.transform(F.filter(T.tokens(F.col("text")), lambda t: F.length(t) >= MIN_TOKEN), F.lower))
+    places = replies.select(*keys, "start_ms", "idx", F.explode(lowered).alias("key"))
+    firsts = places.groupBy(*keys, "key", "start_ms").agg(F.min("idx").alias("idx"))
+    order = Window.partitionBy(*keys, "key").orderBy("idx", "start_ms")
     kept = firsts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= EXAMPLES)
-    examples = kept.groupBy(*keys, "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "start_ms", "first.text"))), lambda x: F.struct(x["start_ms"], x["text"])).alias("examples"))
-    return named.join(examples, [*keys, "key"])
+    texts = replies.select(*keys, "start_ms", "idx", "text", lowered.alias("_keys"))
+    named = _joined(kept, texts, [*keys, "start_ms", "idx"]).where(F.array_contains("_keys", F.col("key"))).groupBy(*keys, "key", "_n", "start_ms").agg(F.min("text").alias("text"))
+    found = named.groupBy(*keys, "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "start_ms", "text"))), lambda x: F.struct(x["start_ms"], x["text"])).alias("examples"))
+    return _joined(counts, found, [*keys, "key"], "left")
 
 
 def frequent_head(counts: DataFrame, keys: list[str], size: int) -> DataFrame:
     """The ``size`` commonest tokens by count, then key, before any exclusion."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("occurrences"), "key")
-    return counts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).select(*keys, "key")
+    return counts.withColumn("_n", _rank(keys)).where(F.col("_n") <= size).select(*keys, "key")
+
+
+def _rank(keys: list[str]) -> Column:
+    """Place of a token among its keys' ones, by count, then key."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("occurrences"), "key"))
 
 
-def mined(replies: DataFrame, known: DataFrame, keys: list[str], min_occurrences: int = 3, head: int = 50) -> DataFrame:
+def mined(replies: DataFrame, known: DataFrame, keys: list[str], min_occurrences: int = 3, head: int = 50, examples: bool = True) -> DataFrame:
     """Term candidates with their rule, without known ones (``known`` has a column key, lower case).
 
     A candidate is Latin, an acronym, or repeated: often enough, of four characters or more and not
-    among the commonest tokens. ``position`` numbers them by occurrences, then surface.
+    among the commonest tokens. ``position`` numbers them by occurrences, then surface. Candidates
+    of null keys have no commonest tokens. ``examples`` are those of ``token_counts``.
     """
-    counts = token_counts(replies, keys)
-    top = frequent_head(counts, keys, head).withColumn("_head", F.lit(True))
-    rows = counts.join(known.select("key").distinct(), "key", "left_anti").join(top, [*keys, "key"], "left")
-    repeated = (F.col("occurrences") >= min_occurrences) & F.col("_head").isNull() & (F.length("key") >= MIN_REPEATED)
+    counts = token_counts(replies, keys, examples=False).withColumn("_rank", _rank(keys))
+    rows = counts.join(known.select("key").distinct(), "key", "left_anti")
+    in_head = (F.col("_rank") <= head) & reduce(and_, (F.col(c).isNotNull() for c in keys))
+    repeated = (F.col("occurrences") >= min_occurrences) & ~in_head & (F.length("key") >= MIN_REPEATED)
     rule = F.when(T.is_latin(F.col("surface")), "latin").when(T.is_acronym(F.col("surface")), "acronym").when(repeated, "repeated")
     order = Window.partitionBy(*keys).orderBy(F.desc("occurrences"), "surface")
-    found = rows.withColumn("rule", rule).where("rule is not null").drop("_head", "key")
-    return found.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    found = rows.withColumn("rule", rule).where("rule is not null").drop("_rank").withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    return (_with_examples(found, replies, keys) if examples else found).drop("key")
 
 
 def active_terms(terms: DataFrame, meeting_id: int | str) -> DataFrame:

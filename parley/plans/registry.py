@@ -209,7 +209,7 @@ _COUNTS = f"""
 
 @_query("a5_token_counts", f"WITH {_COUNTS} SELECT meeting_id, key, occurrences, surface FROM cnt")
 def _token_counts(spark, sf_dir):
-    return glossary.token_counts(C.segments(spark, sf_dir), ["meeting_id"]).select("meeting_id", "key", "occurrences", "surface")
+    return glossary.token_counts(C.segments(spark, sf_dir), ["meeting_id"], examples=False).select("meeting_id", "key", "occurrences", "surface")
 
 
 _MINED = f"""
@@ -224,7 +224,7 @@ _MINED = f"""
 @_query("g4_mined_terms", f"{_MINED} SELECT meeting_id, surface, occurrences, rule, row_number() OVER (PARTITION BY meeting_id ORDER BY occurrences DESC, surface) - 1 AS position FROM ruled WHERE rule IS NOT NULL")
 def _mined(spark, sf_dir):
     known = table(spark, sf_dir, "benchmark").select(F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("key"))
-    return glossary.mined(C.segments(spark, sf_dir), known, ["meeting_id"], 3, 20).select("meeting_id", "surface", "occurrences", "rule", "position")
+    return glossary.mined(C.segments(spark, sf_dir), known, ["meeting_id"], 3, 20, examples=False).select("meeting_id", "surface", "occurrences", "rule", "position")
 
 
 @_query("a23_rule_totals", f"{_MINED} SELECT rule, count(*) AS candidates, sum(occurrences)::BIGINT AS occurrences FROM ruled WHERE rule IS NOT NULL GROUP BY 1")
