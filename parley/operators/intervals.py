@@ -54,6 +54,8 @@ def best_pair(pairs: DataFrame, by: list[str], then: str, tie: str) -> DataFrame
 
 #: Similarities, in per cent, down to which far partners are looked for round by round.
 FAR_PERCENTS = (50, 25, 10, 0)
+#: Partners up to which all pairs of a meeting are compared at once: so many pairs of a row at most.
+FEW_PARTNERS = 16
 
 
 def _ranked_tokens(rows: DataFrame, frequency: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
@@ -65,41 +67,49 @@ def _ranked_tokens(rows: DataFrame, frequency: DataFrame, keys: list[str], row:
     return written(tokens.select(*keys, *row, "n", "word", "turn", place.alias("place")))
 
 
-def far_twin(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], tie: str, gap_ms: int = 30_000, report: list[int] | None = None) -> DataFrame:
+def far_twin(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], tie: str, gap_ms: int = 30_000, report: list[int] | None = None, few: int = FEW_PARTNERS) -> DataFrame:
     """The best partner at least ``gap_ms`` away, within the keys: a control group for J1.
 
     Best is greatest by similarity of the arrays ``words`` (rounded to nine places), then by gap, then
-    least by ``tie``. Two rows of similarity s have s of the longer one's words in common, so they share one
+    least by ``tie``. Keys with up to ``few`` right rows have all their pairs compared, which needs no
+    words apart. Elsewhere, two rows of similarity s have s of the longer one's words in common, so they share one
     of the rarest words of each, and all but that share of words may be left out of the join. The search begins at half,
     and goes down for rows that have found nothing so good; a row whose partners all have similarity
-    0 gets the farthest, which is at an end of its meeting. No pair without a common word is made.
+    0 gets the farthest, which is at an end of its meeting. No pair without a common word is made there.
     ``report`` gets the number of pairs that each round compared.
     """
+    gap = scalars.gap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r_start_ms"), F.col("r_end_ms"))
+    similarity = F.round(T.word_similarity(F.col("words"), F.col("r_words")), 9)
+    partners = lambda df: df.select(*keys, *(F.col(c).alias(f"r_{c}") for c in (tie, "start_ms", "end_ms", "words")))
     side = lambda df, cols: written(df.select(*keys, *cols, "start_ms", "end_ms", F.slice("words", 1, T.MAX_WORDS).alias("words")))
     mine, theirs = side(left, row), side(right, [tie])
+    large = written(theirs.groupBy(*keys).count().where(F.col("count") > few).select(*keys))
+    pairs = mine.join(large, keys, "left_anti").join(partners(theirs.join(large, keys, "left_anti")), keys).withColumn("gap", gap).where(F.col("gap") >= gap_ms)
+    at_once = best_pair(pairs.select(*keys, *row, f"r_{tie}", "gap", similarity.alias("similarity")), [*keys, *row], "gap", f"r_{tie}").select(*keys, *row, f"r_{tie}", "gap", "similarity")
+    # From here on, the keys with more.
+    mine, theirs = written(mine.join(large, keys, "left_semi")), written(theirs.join(large, keys, "left_semi"))
     each = lambda df, cols: df.select(*keys, *cols, F.explode("words").alias("word")).groupBy(*keys, *cols, "word").agg(F.count("*").alias("_n"))
     counts = each(mine, row).select(*keys, "word", "_n").union(each(theirs, [tie]).select(*keys, "word", "_n"))
     # How many rows have a word at least so often.
     frequency = counts.select(*keys, "word", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("turn")).groupBy(*keys, "word", "turn").agg(F.count("*").alias("many"))
     frequency = written(frequency)
     a, b = _ranked_tokens(mine, frequency, keys, row), _ranked_tokens(theirs, frequency, keys, [tie])
-    other = theirs.select(*keys, *(F.col(c).alias(f"r_{c}") for c in (tie, "start_ms", "end_ms", "words")))
-    gap = scalars.gap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r_start_ms"), F.col("r_end_ms"))
-    similarity = F.round(T.word_similarity(F.col("words"), F.col("r_words")), 9)
-    open_rows, found = mine, None
+    other, open_rows, found = partners(theirs), mine, at_once
     for percent in FAR_PERCENTS:
         needed = F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1))
         rare = lambda df: df.where(F.col("place") <= F.col("n") - needed + 1)  # noqa: B023, E731
         asked = rare(a.join(open_rows.select(*keys, *row), [*keys, *row], "left_semi")).withColumnRenamed("n", "_n")
         met = asked.drop("place").join(rare(b).drop("place").withColumnRenamed(tie, f"r_{tie}"), [*keys, "word", "turn"])
         met = met.where(100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")).select(*keys, *row, f"r_{tie}").distinct()
+        # Few bytes but long work: bare pairs are dealt to all tasks, which fetch their words.
+        met = met.repartition(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         pairs = met.join(mine, [*keys, *row]).join(other, [*keys, f"r_{tie}"]).withColumn("gap", gap).where(F.col("gap") >= gap_ms)
         pairs = pairs.select(*keys, *row, f"r_{tie}", "gap", similarity.alias("similarity"))
         if report is not None:
             report.append(pairs.count())
         best = best_pair(pairs, [*keys, *row], "gap", f"r_{tie}")
         best = written(best.where((F.col("similarity") > 0) & (100 * F.col("similarity") >= percent)).select(*keys, *row, f"r_{tie}", "gap", "similarity"))
-        found = best if found is None else found.union(best)
+        found = found.union(best)
         open_rows = written(open_rows.join(best, [*keys, *row], "left_anti"))
     return found.union(_farthest(open_rows, theirs, keys, row, tie, gap_ms))
 

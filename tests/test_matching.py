@@ -92,3 +92,26 @@ def test_far_partners_against_all_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
     assert any(w[4] == 0 for w in wanted) and any(w[4] >= 0.5 for w in wanted)
     assert len(report) == 4
+
+
+def test_far_partners_of_small_meetings_take_no_round(spark):
+    rng = random.Random(4)
+    rows = []
+    for m, n in ((1, 6), (2, 20), (3, 40), (None, 6)):
+        for i in range(n):
+            start = rng.randrange(0, 30_000)
+            rows.append((m, i, start, start + rng.randrange(0, 3000), "mic" if i % 2 else "system", " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 7)))))
+    df = spark.createDataFrame(rows, "meeting_id long, idx long, start_ms long, end_ms long, channel string, text string").withColumn("words", T.words(F.col("text")))
+    wanted = []
+    for m, i, s, e, channel, text in rows:
+        pairs = [(-similarity(text.split(), t.split()), -(max(s, s2) - min(e, e2)), j) for k, j, s2, e2, c, t in rows if channel == "mic" and c == "system" and k == m is not None and max(s, s2) - min(e, e2) >= 5000]
+        if pairs:
+            wanted.append((m, i, min(pairs)[2], -min(pairs)[1], -min(pairs)[0]))
+    compared = {}
+    for few in (0, 10, 20):
+        report = []
+        got = intervals.far_twin(df.where("channel = 'mic'"), df.where("channel = 'system'"), ["meeting_id"], ["idx"], "idx", 5000, report, few)
+        assert sorted(map(tuple, got.collect())) == sorted(wanted)
+        compared[few] = sum(report)
+    assert compared[0] > compared[10] > compared[20] == 0
+    assert any(w[4] == 0 for w in wanted)
