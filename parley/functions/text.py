@@ -33,26 +33,49 @@ def plain(text: Column) -> Column:
 
 #: Characters that stand for the words that two texts share, after one for all other words of a side.
 _SHARED = "".join(chr(0x4E00 + i) for i in range(MAX_WORDS))
+#: Lists that longer texts' shared words are dealt to by a hash, so that a word is sought in one of them.
+_LISTS = 64
 
 
-def word_similarity(a: Column, b: Column, most: int = MAX_WORDS) -> Column:
+def word_similarity(a: Column, b: Column, most: int | None = MAX_WORDS) -> Column:
     """1 - distance / longer length of two word arrays by word-level edit distance; 0 if either is empty.
 
     Words become characters, so that the built-in edit distance of strings counts words: a word that
     both sides have by its place among those, any other by a character of its side, since it can
-    match nothing. Only the first ``most`` words count.
+    match nothing. Only the first ``most`` words count, or all where it is None; then about a million
+    different words may be shared, and more are an error.
     """
-    if most > MAX_WORDS:
+    if most is not None and most > MAX_WORDS:
         raise ValueError(f"at most {MAX_WORDS} words are compared")
 
     def coded(side: Column, shared: Column, own: str) -> Column:
         return F.array_join(F.transform(side, lambda w: F.substring(F.lit(own + _SHARED), F.array_position(shared, w).cast("int") + 1, F.lit(1))), "")
 
+    def dealt(word: Column) -> Column:
+        return F.pmod(F.hash(word), F.lit(_LISTS))
+
+    def coded_by_number(side: Column, lists: Column, own: int) -> Column:
+        def code(w: Column) -> Column:
+            place = F.array_position(F.get(lists, dealt(w)), w)
+            number = F.when(place == 0, F.lit(own)).otherwise((place - 1) * _LISTS + dealt(w) + 3)
+            # Past the surrogates and the byte order mark, which are no characters.
+            return F.lpad(F.hex(F.when(number < 0xD800, number).otherwise(number + 0x2800)), 8, "0")
+
+        return F.decode(F.unhex(F.array_join(F.transform(side, code), "")), "UTF-32")
+
+    def distance(s: Column) -> Column:
+        short = F.levenshtein(coded(s["a"], s["k"], "<"), coded(s["b"], s["k"], ">"))
+        if most is not None:
+            return short
+        lists = F.array(F.transform(F.sequence(F.lit(0), F.lit(_LISTS - 1)), lambda i: F.filter(s["k"], lambda w: dealt(w) == i)))
+        long = F.get(F.transform(lists, lambda k: F.levenshtein(coded_by_number(s["a"], k, 1), coded_by_number(s["b"], k, 2))), F.lit(0))
+        return F.when(F.size(s["k"]) <= MAX_WORDS, short).otherwise(long)
+
     def similarity(s: Column) -> Column:
         longer = F.greatest(F.size(s["a"]), F.size(s["b"]))
-        return F.when(F.size(s["k"]) == 0, 0.0).otherwise(1 - F.levenshtein(coded(s["a"], s["k"], "<"), coded(s["b"], s["k"], ">")) / longer)
+        return F.when(F.size(s["k"]) == 0, 0.0).otherwise(1 - distance(s) / longer)
 
-    left, right = F.slice(a, 1, most), F.slice(b, 1, most)
+    left, right = (a, b) if most is None else (F.slice(a, 1, most), F.slice(b, 1, most))
     # One element, so that the shared words are found once for a pair and not once for each word.
     pair = F.array(F.struct(left.alias("a"), right.alias("b"), F.array_intersect(left, right).alias("k")))
     return F.get(F.transform(pair, similarity), F.lit(0))

@@ -70,8 +70,8 @@ def _ranked_tokens(rows: DataFrame, frequency: DataFrame, keys: list[str], row:
 def far_twin(left: DataFrame, right: DataFrame, keys: list[str], row: list[str], tie: str, gap_ms: int = 30_000, report: list[int] | None = None, few: int = FEW_PARTNERS) -> DataFrame:
     """The best partner at least ``gap_ms`` away, within the keys: a control group for J1.
 
-    Best is greatest by similarity of the arrays ``words`` (rounded to nine places), then by gap, then
-    least by ``tie``. Keys with up to ``few`` right rows have all their pairs compared, which needs no
+    Best is greatest by similarity of the whole arrays ``words`` (returned with nine places), then by gap,
+    then least by ``tie``. Keys with up to ``few`` right rows have all their pairs compared, which needs no
     words apart. Elsewhere, two rows of similarity s have s of the longer one's words in common, so they share one
     of the rarest words of each, and all but that share of words may be left out of the join. The search begins at half,
     and goes down for rows that have found nothing so good; a row whose partners all have similarity
@@ -79,9 +79,9 @@ def far_twin(left: DataFrame, right: DataFrame, keys: list[str], row: list[str],
     ``report`` gets the number of pairs that each round compared.
     """
     gap = scalars.gap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r_start_ms"), F.col("r_end_ms"))
-    similarity = F.round(T.word_similarity(F.col("words"), F.col("r_words")), 9)
+    similarity = T.word_similarity(F.col("words"), F.col("r_words"), None)
     partners = lambda df: df.select(*keys, *(F.col(c).alias(f"r_{c}") for c in (tie, "start_ms", "end_ms", "words")))
-    side = lambda df, cols: written(df.select(*keys, *cols, "start_ms", "end_ms", F.slice("words", 1, T.MAX_WORDS).alias("words")))
+    side = lambda df, cols: written(df.select(*keys, *cols, "start_ms", "end_ms", "words"))
     mine, theirs = side(left, row), side(right, [tie])
     large = written(theirs.groupBy(*keys).count().where(F.col("count") > few).select(*keys))
     pairs = mine.join(large, keys, "left_anti").join(partners(theirs.join(large, keys, "left_anti")), keys).withColumn("gap", gap).where(F.col("gap") >= gap_ms)
@@ -108,10 +108,10 @@ def far_twin(left: DataFrame, right: DataFrame, keys: list[str], row: list[str],
         if report is not None:
             report.append(pairs.count())
         best = best_pair(pairs, [*keys, *row], "gap", f"r_{tie}")
-        best = written(best.where((F.col("similarity") > 0) & (100 * F.col("similarity") >= percent)).select(*keys, *row, f"r_{tie}", "gap", "similarity"))
+        best = written(best.where((F.col("similarity") > 0) & (100 * F.round("similarity", 9) >= percent)).select(*keys, *row, f"r_{tie}", "gap", "similarity"))
         found = found.union(best)
         open_rows = written(open_rows.join(best, [*keys, *row], "left_anti"))
-    return found.union(_farthest(open_rows, theirs, keys, row, tie, gap_ms))
+    return found.union(_farthest(open_rows, theirs, keys, row, tie, gap_ms)).withColumn("similarity", F.round("similarity", 9))
 
 
 def _farthest(rows: DataFrame, others: DataFrame, keys: list[str], row: list[str], tie: str, gap_ms: int) -> DataFrame:

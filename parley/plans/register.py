@@ -50,6 +50,28 @@ def twins_sql(segments: str, condition: str = "m.start_ms < s.end_ms AND s.start
     twin AS (SELECT * FROM alike QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY similarity DESC, measure DESC, r_idx) = 1)"""
 
 
+def whole_twins_sql(segments: str, condition: str, measure: str) -> str:
+    """Common table expression ``twin`` as above, over all words of the segments; it needs WITH RECURSIVE.
+
+    Up to 90 shared words get a character each. Pairs with more fill the table of the edit distance by its
+    diagonals: element i + 1 of ``last`` is the distance of i words of a to the other step - 1 - i of b.
+    What lies outside of a list is null, and ``least`` passes it over.
+    """
+    chars = "array_to_string(list_transform({0}, lambda x: chr((34 + x)::INTEGER)), '')"
+    return f"""
+    seg AS (SELECT *, {WORDS} AS w FROM ({segments})),
+    pair AS (SELECT m.meeting_id, m.idx, s.idx AS r_idx, {measure} AS measure, m.w AS a, s.w AS b, list_intersect(m.w, s.w) AS k
+             FROM seg m JOIN seg s ON m.meeting_id = s.meeting_id AND m.channel = 'mic' AND s.channel = 'system' AND {condition}),
+    coded AS (SELECT meeting_id, idx, r_idx, measure, len(k) AS shared, list_transform(a, lambda x: coalesce(list_position(k, x), 0)::BIGINT) AS a, list_transform(b, lambda x: coalesce(list_position(k, x), -1)::BIGINT) AS b FROM pair),
+    diagonal USING KEY (a, b) AS (
+             SELECT DISTINCT a, b, 1::BIGINT AS step, [0::BIGINT] AS last, []::BIGINT[] AS before FROM coded WHERE shared > 90
+             UNION SELECT a, b, step + 1, list_transform(range(0, least(len(a), step) + 1), lambda i: least(least(last[i], last[i + 1]) + 1, before[i] + (a[i] <> b[step - i])::BIGINT)), last
+             FROM diagonal WHERE step <= len(a) + len(b)),
+    measured AS (SELECT c.*, CASE WHEN shared <= 90 THEN levenshtein({chars.format("c.a")}, {chars.format("c.b")}) ELSE last[len(c.a) + 1] END AS distance FROM coded c LEFT JOIN diagonal d ON d.a = c.a AND d.b = c.b),
+    alike AS (SELECT meeting_id, idx, r_idx, measure, CASE WHEN shared = 0 THEN 0.0::DOUBLE ELSE 1 - distance::DOUBLE / greatest(len(a), len(b)) END AS similarity FROM measured),
+    twin AS (SELECT * FROM alike QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY similarity DESC, measure DESC, r_idx) = 1)"""
+
+
 def report_sql(segments: str, threshold: float) -> str:
     """Common table expression ``report`` over ``twin``: what a collapse at the threshold would do to each meeting."""
     return f"""

@@ -18,6 +18,7 @@ from parley.plans.register import Query, agreement_sql, greedy_sql
 from parley.plans.register import query as _query
 from parley.plans.register import report_sql as _report_sql
 from parley.plans.register import twins_sql as _twins_sql
+from parley.plans.register import whole_twins_sql as _whole_twins_sql
 from parley.sources import carriers as C
 from parley.sources import files
 from parley.sources.shared import new_path
@@ -684,10 +685,10 @@ def _owner_windows(spark, sf_dir):
 # -- Further joins and reports ------------------------------------------------------------------
 
 
-_FAR = _twins_sql(C.SEGMENTS_SQL, "greatest(m.start_ms, s.start_ms) - least(m.end_ms, s.end_ms) >= 3000", "greatest(m.start_ms, s.start_ms) - least(m.end_ms, s.end_ms)")
+_FAR = _whole_twins_sql(C.SEGMENTS_SQL, "greatest(m.start_ms, s.start_ms) - least(m.end_ms, s.end_ms) >= 3000", "greatest(m.start_ms, s.start_ms) - least(m.end_ms, s.end_ms)")
 
 
-@_query("j2_far_twin", f"WITH {_FAR} SELECT meeting_id, idx, r_idx, measure AS gap, round(similarity, 9) AS similarity FROM twin")
+@_query("j2_far_twin", f"WITH RECURSIVE {_FAR} SELECT meeting_id, idx, r_idx, measure AS gap, round(similarity, 9) AS similarity FROM twin")
 def _far_twin(spark, sf_dir):
     rows = C.segments(spark, sf_dir).withColumn("words", T.words(F.col("text")))
     return intervals.far_twin(rows.where("channel = 'mic'"), rows.where("channel = 'system'"), ["meeting_id"], ["idx"], "idx", 3000).select("meeting_id", "idx", "r_idx", "gap", "similarity")

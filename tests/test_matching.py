@@ -3,8 +3,10 @@
 import math
 import random
 
+import duckdb
 from parley.functions import text as T
 from parley.operators import intervals, vectors
+from parley.plans import registry
 from pyspark.sql import functions as F
 
 
@@ -115,3 +117,79 @@ def test_far_partners_of_small_meetings_take_no_round(spark):
         compared[few] = sum(report)
     assert compared[0] > compared[10] > compared[20] == 0
     assert any(w[4] == 0 for w in wanted)
+
+
+def whole_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return round(1 - row[-1] / max(len(a), len(b)), 9) if set(a) & set(b) else 0.0
+
+
+def test_words_beyond_the_first_400_count(spark):
+    rng = random.Random(5)
+    fresh = lambda name, n: [f"{name}{i}" for i in range(n)]
+    body, noise = fresh("w", 900), fresh("n", 450)
+    pairs = [
+        (body[:450] + fresh("x", 300), body[:450] + fresh("y", 300)),  # the beginnings are equal
+        (fresh("x", 450) + body[:300], fresh("y", 450) + body[:300]),  # the ends are
+        (body, body[:500] + ["new"] + body[503:]),
+        (body, rng.sample(body, 900)),
+        (body[:401], body[:402]),
+        ([rng.choice(noise) for _ in range(700)], [rng.choice(noise) for _ in range(450)]),
+        ([rng.choice("abcdefgh") for _ in range(600)], [rng.choice("abcdefgh") for _ in range(500)]),
+        (fresh("x", 500), fresh("y", 500)),
+        (body, []),
+    ]
+    pairs += [(b, a) for a, b in pairs]
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").select(F.round(T.word_similarity(F.col("a"), F.col("b"), None), 9).alias("all"), F.round(T.word_similarity(F.col("a"), F.col("b")), 9).alias("first")).collect()
+    assert [r["all"] for r in got] == [whole_similarity(a, b) for a, b in pairs]
+    assert [r["first"] for r in got] == [similarity(a, b) for a, b in pairs]  # the other comparisons keep the survey's bound
+    assert got[0]["first"] == 1 and got[0]["all"] == 0.6 and got[1]["first"] == 0 and got[1]["all"] == 0.4
+
+
+def test_shared_words_are_coded_past_the_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(T, "_LISTS", 60_000)  # so many numbers, which 450 words are spread over
+    rng = random.Random(7)
+    a = [f"w{i}" for i in range(450)]
+    b = rng.sample(a, 100) + a[100:]
+    got = spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(F.round(T.word_similarity(F.col("a"), F.col("b"), None), 9)).first()[0]
+    assert got == whole_similarity(a, b)
+
+
+def test_far_partners_by_whole_long_texts(spark, tmp_path):
+    rng = random.Random(6)
+    common = [f"w{i}" for i in range(520)]
+    ends = {0: [f"p{i}" for i in range(260)], 1: [f"q{i}" for i in range(260)]}
+
+    def text(kind):
+        if kind == "short":
+            return [rng.choice(common) for _ in range(rng.randrange(0, 9))]
+        head = common[:400] if kind == "same head" else rng.sample(common, 420)
+        tail = ends[rng.randrange(2)]
+        return head + tail[: rng.randrange(100, 260)]
+
+    rows = []
+    for m, n in ((1, 7), (2, 18)):
+        for i in range(n):
+            rows.append((m, i, "assistant" if i % 2 else "user", " ".join(text(rng.choice(("short", "same head", "other head"))))))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    segments = [(m, i, 2000 * i, 2000 * i + 500 + 10 * len(t), role, t.split()) for m, i, role, t in rows]
+    wanted, cut = [], []
+    for m, i, s, e, role, words in segments:
+        near = [(max(s, s2) - min(e, e2), j, w) for k, j, s2, e2, r, w in segments if role == "user" and r == "assistant" and k == m and max(s, s2) - min(e, e2) >= 3000]
+        for out, alike in ((wanted, whole_similarity), (cut, similarity)):
+            ranked = sorted((-alike(words, w), -gap, j) for gap, j, w in near)
+            out.extend((m, i, j, -gap, -like) for like, gap, j in ranked[:1])
+    assert sorted(wanted) != sorted(cut) and {w[2] for w in wanted} != {w[2] for w in cut}
+    segment = spark.createDataFrame(segments, "meeting_id long, idx long, start_ms long, end_ms long, role string, words array<string>")
+    for few in (0, 16):
+        got = intervals.far_twin(segment.where("role = 'user'"), segment.where("role = 'assistant'"), ["meeting_id"], ["idx"], "idx", 3000, few=few)
+        assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    query = registry.queries()["j2_far_twin"](spark, str(tmp_path))
+    assert sorted(map(tuple, query.collect())) == sorted(wanted)
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(connection.sql(registry.oracle_sql()["j2_far_twin"]).fetchall()) == sorted(wanted)
